@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dedup, quality_rules
-from .common import table
+from . import bpe, decontaminate, langid, near_dedup, quality_mil, quality_rules, toxicity
+from .common import crc_mod, table
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,23 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), settings=near_dedup.Settings(words=2))
 
 
+def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 3) == 1
+    model = quality_mil.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality_mil.predicted(quality_mil.scores(docs, model)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_langid_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2
+    return langid.predict(docs, langid.train(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality_mil.predicted(toxicity.scores(docs, model)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -27,5 +44,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_bpe_codec, op9_quality_rules, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_bpe_codec, op5_quality_mil, op7_langid_ppm, op8_toxicity_subword, op9_quality_rules, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
