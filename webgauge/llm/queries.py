@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, langid, near_dedup, quality_mil, quality_rules, toxicity
+from . import bpe, chat, decontaminate, html_extract, langid, lm, near_dedup, quality_mil, quality_rules, toxicity
 from .common import crc_mod, table
 
 
@@ -23,6 +23,13 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), settings=near_dedup.Settings(words=2))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0
+    model = lm.train(docs, ~held_out)
+    scored = lm.scores(docs, model).withColumn("train_tokens", F.lit(model.total).cast("bigint"))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 3) == 1
     model = quality_mil.train(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -57,5 +64,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_extract, op3_bpe_codec, op5_quality_mil, op6_chat_format, op7_langid_ppm, op8_toxicity_subword, op9_quality_rules, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_extract, op3_bpe_codec, op4_lm_score, op5_quality_mil, op6_chat_format, op7_langid_ppm, op8_toxicity_subword, op9_quality_rules, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
