@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounds, csr_take, slices
+from .common import bounds, carried, csr_take, inputs, outputs, slices
 
 #: The pre-token pattern of byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -206,23 +206,22 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, carry: bool = False) -> DataFrame:
     """Each row's id with `ids` array<int>, `decoded` string and the digests of both.
 
     Null and empty texts give no ids and the empty text; repeated rows give a row each; a text of any length is
-    encoded whole; the strings of special tokens in a text become their ids.  Other columns don't matter.
+    encoded whole; the strings of special tokens in a text become their ids.  carry adds `row`, all columns of df.
     """
-    return _run(df, id_col, text_col, vocabulary, True)
+    return _run(inputs(df, id_col, text_col, carry), id_col, vocabulary, True)
 
 
-def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, carry: bool = False) -> DataFrame:
     """As encode, with the number of ids and the SHA-256 digests only."""
-    return _run(df, id_col, text_col, vocabulary, False)
+    return _run(inputs(df, id_col, text_col, carry), id_col, vocabulary, False)
 
 
-def _run(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None, whole: bool) -> DataFrame:
+def _run(docs: DataFrame, id_col: str, vocabulary: str | None, whole: bool) -> DataFrame:
     path = vocabulary or default_vocabulary()
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -236,7 +235,7 @@ def _run(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None, whol
             digits, plain = digits.tobytes(), plain.tobytes()
             decoded = [plain[a:b] for a, b in zip(plain_at, plain_at[1:])]
             out = {
-                id_col: batch.column("id"),
+                "id": batch.column("id"),
                 "n_tokens": pa.array(np.diff(at), pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(digits[a : max(a, b - 1)]).hexdigest() for a, b in zip(digit_at, digit_at[1:])]),
                 "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
@@ -244,7 +243,7 @@ def _run(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None, whol
             if whole:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 out["decoded"] = pa.array([d.decode("utf-8", "replace") for d in decoded])
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(out | carried(batch))
 
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * whole
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
+    ddl = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * whole
+    return docs.mapInArrow(run, outputs(docs, ddl)).withColumnRenamed("id", id_col)

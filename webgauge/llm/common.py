@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 4 << 20
 """Text that a Python task works on at a time; bounds its memory whatever the Arrow batch holds."""
@@ -56,6 +57,22 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def inputs(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """df's id and text under fixed names; with carry also `row`, all its columns."""
+    row = [F.struct(*(df[f"`{c.replace('`', '``')}`"] for c in df.columns)).alias("row")] if carry else []
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text"), *row)
+
+
+def outputs(docs: DataFrame, ddl: str) -> T.StructType:
+    """The schema of an operator's result: id, ddl, and the row if it is carried."""
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL(ddl)])
+    return schema.add("row", docs.schema["row"].dataType) if "row" in docs.columns else schema
+
+
+def carried(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    return {"row": batch.column("row")} if "row" in batch.schema.names else {}
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8; null is empty."""
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()

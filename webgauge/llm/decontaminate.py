@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, csr_take, slices, utf8
+from .common import bounds, carried, csr_take, inputs, outputs, slices, utf8
 
 WINDOW = 13
 SHARD_BYTES = 16 << 20
@@ -211,7 +211,7 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SPANS = "n_words bigint, spans array<struct<start:int,stop:int>>, items array<string>"
 
 
-def _find(docs: DataFrame, benchmark: Benchmark, kind: str) -> DataFrame:
+def _find(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(benchmark)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,38 +242,38 @@ def _find(docs: DataFrame, benchmark: Benchmark, kind: str) -> DataFrame:
                 "id": batch.column("id"), "n_words": pa.array(np.diff(at), pa.int64()),
                 "spans": pa.ListArray.from_arrays(pa.array(np.searchsorted(span_doc, counts), pa.int32()), spans),
                 "items": pa.ListArray.from_arrays(pa.array(np.searchsorted(item_doc, counts), pa.int32()), pa.array([b.names[i] for i in item], pa.string())),
-                **({"digest": batch.column("digest")} if "digest" in batch.schema.names else {}),
+                **carried(batch),
             })
 
-    return docs.mapInArrow(run, f"id {kind}, {SPANS}" + ", digest binary" * ("digest" in docs.columns))
+    return docs.mapInArrow(run, outputs(docs, SPANS))
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES, carry: bool = False) -> DataFrame:
     """Each row's id with n_words, `spans` (first word and the word after the last of each merged occurrence) and
     `items` (ids of the items found, sorted as strings).
 
     A null or blank text has no words and no hits, a null or blank item no windows; an item id that is null counts as
     the empty string.  An empty benchmark hits nothing.  Repeated rows give a row each; items with the same windows
-    are all found.  A benchmark beyond max_benchmark_bytes is searched in blocks, whose spans are merged.
+    are all found.  A benchmark beyond max_benchmark_bytes is searched in blocks, whose spans are merged.  carry adds `row`, all
+    columns of df.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     items = benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text_col].alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // max_benchmark_bytes) or 1
     if blocks == 1:
-        return _find(docs, Benchmark([(r.item, r.text) for r in items.collect()], window), kind).withColumnRenamed("id", id_col)
-    docs = docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+        return _find(inputs(df, id_col, text_col, carry), Benchmark([(r.item, r.text) for r in items.collect()], window)).withColumnRenamed("id", id_col)
+    docs = inputs(df, id_col, text_col, True)
     parts = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64(F.col("text")), F.lit(blocks)) == k).collect()
-        found = _find(docs, Benchmark([(r.item, r.text) for r in block], window), kind)
+        found = _find(docs, Benchmark([(r.item, r.text) for r in block], window))
         parts = found if parts is None else parts.unionByName(found)
-    merged = parts.groupBy("id", "digest").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / blocks).cast("int").alias("copies"))
+    key = F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256)
+    merged = parts.withColumn("key", key).groupBy("id", "key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.first("row").alias("row"), (F.count("*") / blocks).cast("int").alias("copies"))
     # Spans by their start; one that begins after all before it have ended opens a new span.
     span, spans = "struct<start:int,stop:int>", F.array_sort("spans")
     grown = F.aggregate(spans, F.array().cast(f"array<{span}>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] > x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x))))
-    return merged.withColumn("spans", grown).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(F.col("id").alias(id_col), "n_words", "spans", "items")
+    return merged.withColumn("spans", grown).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(F.col("id").alias(id_col), "n_words", "spans", "items", *["row"] * carry)
 
 
 def verdict(found: DataFrame, percent: int = 5) -> DataFrame:

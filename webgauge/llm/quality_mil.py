@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, slices, utf8
+from .common import bounds, carried, inputs, outputs, slices, utf8
 from .quality_rules import CLASS_OF, CLASSES, SPACE
 from .training import labelled_sample
 
@@ -173,17 +173,18 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settin
     return Model(width, s).fit(x, bounds(map(len, bags)), np.array([r.label for r in rows], np.float32))
 
 
-def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Each row's id with its score, 0 to 1.  Null, empty and blank texts are one empty passage, whose score the model gives too; texts of any
-    length are scored whole; repeated rows give a row each."""
+    length are scored whole; repeated rows give a row each.  carry adds `row`, all columns of df."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x, at = encode_passages(utf8(batch.column("text")), model.s)
             p = np.concatenate([model.score(x[at[k] : at[j]], at[k : j + 1] - at[k]) for k, j in _runs(at)]) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": pa.array(p.astype(np.float64))})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": pa.array(p.astype(np.float64))} | carried(batch))
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    docs = inputs(df, id_col, text_col, carry)
+    return docs.mapInArrow(run, outputs(docs, "score double")).withColumnRenamed("id", id_col)
 
 
 def _runs(at: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Numbered, bounds, number, slices, utf8
+from .common import Numbered, bounds, carried, inputs, number, outputs, slices, utf8
 
 #: The classes of a word's bytes.  Bytes of two or more for a letter count as one class.
 CLASSES = ["lower", "upper", "digit", "stop", "mark", "symbol", "wide"]
@@ -93,12 +93,12 @@ def repeated(words: np.ndarray, size: int) -> int:
     return int(hit.sum())
 
 
-def apply_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", against: DataFrame | None = None) -> DataFrame:
+def apply_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", against: DataFrame | None = None, carry: bool = False) -> DataFrame:
     """The figures and the verdict of each row.
 
     Null, empty and blank texts have no words and fail.  A language of fewer rows makes a reference as well; where
     there are no references (no row has a language), the base rules alone decide.  Repeated rows give a row each.
-    `against` takes the references of another corpus.
+    `against` takes the references of another corpus.  carry adds `row`, all columns of df.
     """
     rows = (references(df, rules, text_col, lang_col) if against is None else against).collect()  # common_words + 9 for each language
     langs = sorted({r.lang for r in rows})
@@ -144,11 +144,10 @@ def apply_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", t
                         p[-1] = 1 - p[:-1].sum()
                         near.append(float(distances(p[None], ref[cols][None])[0, 0]))
                 out["word_distance"].append(min(near) if judged else None)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), **{k: pa.array(v, pa.float64() if "distance" in k else pa.int64()) for k, v in out.items()}})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), **{k: pa.array(v, pa.float64() if "distance" in k else pa.int64()) for k, v in out.items()}, **carried(batch)})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, class_distance double, word_distance double"
-    found = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
+    docs = inputs(df, id_col, text_col, carry)
+    found = docs.mapInArrow(run, outputs(docs, "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, class_distance double, word_distance double"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= rules.max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
     return found.withColumnRenamed("id", id_col).withColumn("base_failed", failed).withColumn("kept", ~failed & near)
