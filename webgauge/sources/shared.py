@@ -7,10 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FETCHES = "seq bigint, host string, original_url string, final_url string, status_code int, content_type string, content_length bigint, load_seconds double, headers map<string,string>, redirects array<struct<from_url:string,status_code:int,location:string>>, html string"
-PAGESPEED = T.StructType.fromDDL("lighthouseResult struct<finalUrl:string,categories:struct<performance:struct<score:double>>,audits:map<string,struct<numericValue:double>>>")
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import checks
 
 
-def arriving(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def arriving(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Parquet files as they come."""
     return spark.readStream.schema(schema).parquet(path)
 
