@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Scheme, host, port, path, query; no user part, no blanks.
@@ -108,6 +109,24 @@ def looks_like_html(url: Column) -> Column:
     return ~last.contains(".") | last.rlike(r"\.html?$")
 
 
+def ascii_hosts(hosts: DataFrame) -> DataFrame:
+    """(host, ascii): international names in their ASCII form.  Only distinct names that need it reach Python."""
+
+    @F.pandas_udf("string")
+    def idna(names: pd.Series) -> pd.Series:
+        def one(name: str) -> str | None:
+            try:
+                return name.encode("idna").decode()
+            except UnicodeError:
+                return None
+
+        return names.map(one)
+
+    plain = F.col("host").rlike(r"^[\x00-\x7F]*$")
+    names = hosts.select("host").distinct()
+    return names.where(plain).select("host", F.lower("host").alias("ascii")).unionByName(names.where(~plain).select("host", idna("host").alias("ascii")))
+
+
 def root2(host_: Column) -> Column:
     return F.substring_index(host_, ".", -2)
 

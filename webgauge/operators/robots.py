@@ -119,6 +119,12 @@ def indexability(fetches: DataFrame, noindex_header: Column, noindex_meta: Colum
     return fetches.withColumn("state", state)
 
 
+def site_indexability(homes: DataFrame) -> DataFrame:
+    """(host, code) of homepages with `allowed`, `by_header`, `by_meta` and status_code; one row for each host."""
+    codes = [(~F.col("allowed"), "SITE_INDEX_BLOCKED_BY_ROBOTS"), (F.col("status_code") >= 400, "SITE_INDEX_HOMEPAGE_HTTP_ERROR"), (F.col("by_header"), "SITE_INDEX_HOMEPAGE_NOINDEX_HEADER"), (F.col("by_meta"), "SITE_INDEX_HOMEPAGE_NOINDEX_META")]
+    return homes.select("host", F.explode(F.filter(F.array(*(F.when(c, F.lit(code)) for c, code in codes)), lambda c: c.isNotNull())).alias("code"))
+
+
 def sitemap_audit(entries: DataFrame, states: DataFrame) -> dict[str, DataFrame]:
     """Set comparisons between sitemap entries(host, loc) and crawled pages(host, url, state).  Keys are normalised on both sides."""
     listed = entries.select("host", urls.sitemap_url(F.col("loc")).alias("key")).where("key is not null").distinct()

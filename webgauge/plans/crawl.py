@@ -66,6 +66,12 @@ def j7_a15_crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.frontier(view(spark, sf_dir, "site_edges"), starts, max_depth=2)
 
 
+@query()
+def u13_ascii_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = view(spark, sf_dir, "pages_ext").select("host")
+    return urls.ascii_hosts(hosts.unionByName(hosts.select(F.concat(F.lit("пример."), "host").alias("host"))))
+
+
 @query("SELECT f.original_url AS url, coalesce(r2.location, r1.location, f.original_url) AS final_url, CASE WHEN r2.location IS NOT NULL THEN 2 WHEN r1.location IS NOT NULL THEN 1 ELSE 0 END AS hops, false AS too_many FROM (SELECT DISTINCT original_url FROM fetches) f LEFT JOIN hop r1 ON f.original_url = r1.from_url LEFT JOIN hop r2 ON r1.location = r2.from_url", hop="SELECT from_url, min(location) AS location FROM redirects GROUP BY from_url")
 def j8_redirect_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve_redirects(view(spark, sf_dir, "redirects"), view(spark, sf_dir, "fetches").select(F.col("original_url").alias("url")))

@@ -55,10 +55,21 @@ def r6_sitemap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT seq, state FROM states", states=STATE, **MADE)
-def j6_r7_indexability(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j6_indexability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _states(spark, sf_dir).select("seq", "state")
 
 
+HOMES = "SELECT f.host, allowed, status_code, coalesce(contains(x_robots_tag, 'noindex'), false) AS by_header, len(h.noindex) > 0 AS by_meta FROM fetches f JOIN robot_allowed USING (seq) JOIN head h ON h.page_id = f.seq QUALIFY row_number() OVER (PARTITION BY f.host ORDER BY f.seq) = 1"
+
+
+@query("SELECT host, 'SITE_INDEX_BLOCKED_BY_ROBOTS' AS code FROM homes WHERE NOT allowed UNION ALL SELECT host, 'SITE_INDEX_HOMEPAGE_HTTP_ERROR' FROM homes WHERE status_code >= 400 UNION ALL SELECT host, 'SITE_INDEX_HOMEPAGE_NOINDEX_HEADER' FROM homes WHERE by_header UNION ALL SELECT host, 'SITE_INDEX_HOMEPAGE_NOINDEX_META' FROM homes WHERE by_meta", homes=HOMES, **MADE)
+def r7_site_indexability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of a host stands for its homepage."""
+    first = view(spark, sf_dir, "fetches").groupBy("host").agg(F.min("seq").alias("seq")).select("seq")
+    home = _states(spark, sf_dir).join(first, "seq")
+    return robots.site_indexability(home.select("host", "allowed", "status_code", checks.noindex_header().alias("by_header"), checks.noindex_meta().alias("by_meta")))
+
+
 @query(f"SELECT seq, NOT allowed AS blocked, coalesce(contains(x_robots_tag, 'noindex'), false) AS by_header FROM (SELECT seq, original_url AS url, x_robots_tag FROM fetches) f JOIN robot_allowed USING (seq) WHERE len({SEGMENTS}) <= 2", **MADE)
 def p13_landing_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = view(spark, sf_dir, "fetches").select("seq", "host", F.col("original_url").alias("url"), "x_robots_tag").where(F.size(urls.segments(F.col("url"))) <= 2)
