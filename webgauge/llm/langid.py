@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounds, slices, utf8
@@ -148,7 +148,7 @@ class Model:
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def train(df: DataFrame, usable, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(df: DataFrame, usable: Column | str, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from about s.sample documents of each language, picked by a hash of their ids.  Gram counts are made and
     summed on the executors; what comes here is bounded by the sample."""
     known = df.where(usable).select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].alias("lang")).where("lang is not null")

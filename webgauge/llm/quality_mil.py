@@ -151,7 +151,7 @@ class Model:
         return self
 
 
-def train(df: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def train(df: DataFrame, labels: DataFrame, usable: Column | str, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from a bounded sample: its passages are encoded on the executors, the weights are fitted here.  Without labelled rows, or
     with rows of one label only, the model still scores: all alike or nearly so."""
 

@@ -56,7 +56,7 @@ def op8_toxicity_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,61 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_extract, op3_bpe_codec, op4_lm_score, op5_quality_mil, op6_chat_format, op7_langid_ppm, op8_toxicity_subword, op9_quality_rules, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+
+LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, root = doc_id AS kept FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY a) r USING (doc_id)
+"""
+
+OP10 = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[k:k + 12], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS k FROM items WHERE len(w) > 0) x),
+places AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM windows) y) z),
+found AS (SELECT doc_id, k, n, item_id FROM places JOIN windows USING (n, win)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM found) d) e GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) f GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+RULES = quality_rules.Rules()
+SPACE = r"[\x20\x09-\x0D]"
+
+
+def _divergence(p: str, q: str) -> str:
+    half = lambda a: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"sqrt(greatest(0, least(1, (sum({half(p)}) + sum({half(q)})) / 2)))"
+
+
+OP9 = rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+  strlen(t) - len(regexp_extract_all(t, '{SPACE}')) AS used, [len(regexp_extract_all(t, '[a-z]')), len(regexp_extract_all(t, '[A-Z]')), len(regexp_extract_all(t, '[0-9]')), len(regexp_extract_all(t, '[.,;:''"\-()?]')), len(regexp_extract_all(t, '[#*$%&|<>]')), strlen(t) - len(regexp_extract_all(t, '[\x00-\x7F]'))] AS c FROM t),
+classes AS (SELECT doc_id, lang, used, unnest(list_append(c, used - list_sum(c))) AS n, unnest(range(7)) AS k FROM words),
+class_refs AS (SELECT lang, k, sum(n) / greatest(1, sum(sum(n)) OVER (PARTITION BY lang)) AS q FROM classes WHERE lang IS NOT NULL GROUP BY lang, k),
+class_near AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, r.lang, {_divergence('(n / used)', 'q')} AS d FROM classes JOIN class_refs r USING (k) WHERE used >= {RULES.min_class_bytes} GROUP BY doc_id, r.lang) x GROUP BY doc_id),
+tokens AS (SELECT doc_id, lang, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM (SELECT doc_id, lang, unnest(w) AS x FROM words) y),
+totals AS (SELECT lang, count(*) AS n FROM tokens WHERE lang IS NOT NULL GROUP BY lang),
+common AS (SELECT lang, x, count(*) AS n FROM tokens WHERE lang IS NOT NULL AND strlen(x) <= {RULES.common_bytes} GROUP BY lang, x QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) <= {RULES.common_words}),
+word_refs AS (SELECT c.lang, x, c.n / t.n AS q FROM common c JOIN totals t USING (lang)),
+seen AS (SELECT doc_id, x, count(*) AS n FROM tokens GROUP BY doc_id, x),
+long AS (SELECT doc_id, len(w) AS n FROM words WHERE len(w) >= {RULES.min_word_words}),
+parts AS (SELECT l.doc_id, r.lang, coalesce(s.n, 0) / l.n AS p, q FROM long l CROSS JOIN word_refs r LEFT JOIN seen s ON s.doc_id = l.doc_id AND s.x = r.x),
+bins AS (SELECT * FROM parts UNION ALL SELECT doc_id, lang, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM parts GROUP BY doc_id, lang),
+word_near AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, lang, {_divergence('p', 'q')} AS d FROM bins GROUP BY doc_id, lang) x GROUP BY doc_id),
+threes AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, k, w[k] AS a, w[k + 1] AS b, w[k + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM words) x) y),
+twice AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 3)) AS p FROM threes WHERE n > 1) x GROUP BY doc_id),
+figures AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, c[5] AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM words LEFT JOIN twice USING (doc_id))
+SELECT f.*, n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_percent} * n_words AS base_failed,
+  NOT (n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_percent} * n_words) AND coalesce(c.d, 0) <= {RULES.max_class_distance} AND coalesce(v.d, 0) <= {RULES.max_word_distance} AS kept
+FROM figures f LEFT JOIN class_near c USING (doc_id) LEFT JOIN word_near v USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op9_quality_rules": OP9, "op1_near_dedup": OP1, "op10_decontaminate": OP10}

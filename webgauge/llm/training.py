@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, size: int, seed: int, ones: float = 0.5, id_col: str = "doc_id", label_id: str = "doc_id") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column | str, size: int, seed: int, ones: float = 0.5, id_col: str = "doc_id", label_id: str = "doc_id") -> DataFrame:
     """docs(id, text) with `label` 0/1 for about size * ones rows of label 1 and the rest of label 0, all where there are fewer.
 
     Rows are picked by a hash of their id against the wanted over the actual number of rows with that label, so the same rows
