@@ -247,3 +247,13 @@ def test_lm_base_and_normalisation(spark, odd_docs, no_docs):
     assert lm.scores(no_docs, model).count() == 0
     empty = lm.train(no_docs, usable)
     assert all(abs(x.score) < 1e-9 for x in lm.scores(odd_docs, empty).where("doc_id = 4").collect())
+
+
+def test_common_counts():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 300, 80).astype(np.uint64)) for _ in range(24)]
+    packed = [h.tobytes() for h in sets]
+    i, j = (a.ravel() for a in np.meshgrid(np.arange(24), np.arange(24)))
+    want = [len(set(sets[p].tolist()) & set(sets[q].tolist())) for p, q in zip(i, j)]
+    assert near_dedup.common_counts(packed, packed, i, j).tolist() == want
+    assert near_dedup.common_counts(packed, packed, i[:5], j[:5]).tolist() == want[:5]

@@ -33,13 +33,16 @@ class Settings:
     """Words of a shingle."""
     percent: int = 80
     """Least similarity of a link, in percent."""
-    rows: int = 5
-    bands: int = 50
-    """At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**50 < 3e-9."""
-    batch: int = 25
+    rows: int = 7
+    bands: int = 60
+    """At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**7)**60 < 8e-7; at 0.3 it shares one with 1.3 %."""
+    batch: int = 42
     miss: float = 1e-9
     """Posterior chance of a link at which a pair is given up."""
     seed: int = 20240501
+    whole: int = 2048
+    """Sets of so many shingles go along where blocks of a bucket are compared; pairs of larger ones are verified one by one."""
+    block: int = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -94,7 +97,7 @@ def signature(shingles: np.ndarray, s: Settings) -> np.ndarray:
 
 def sketches(df: DataFrame, s: Settings) -> DataFrame:
     """(id, n_shingles, class, sketch, bands) of each row of df(id, text).  class: digest of the whole set; sketch: low byte of each
-    signature value; bands: a hash for each band.  Empty sets have neither."""
+    signature value; bands: a hash for each band.  Empty sets have no sketch and bands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.arange(s.bands, dtype=np.uint64)
@@ -153,26 +156,27 @@ def plausible(pairs: DataFrame, s: Settings) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}, matches int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Pairs(a, b) whose full sets are similar enough.  Sets are made anew, for the documents in question only."""
-    pairs = materialize(pairs.select("a", "b").distinct())
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    kind = docs.schema["id"].dataType.simpleString()
+def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """(id, shingles) of the documents wanted(id), made anew from their texts; so no set of another document is ever stored."""
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "shingles": pa.array([h.tobytes() for h in shingle_sets(utf8(batch.column("text")), s.words)], pa.binary())})
 
+    return materialize(docs.join(wanted.distinct().hint("shuffle_merge"), "id", "left_semi").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles binary"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Pairs(a, b) whose full sets are similar enough."""
+    pairs = materialize(pairs.select("a", "b").distinct())
+    kind = docs.schema["id"].dataType.simpleString()
+
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= s.percent * (len(x) + len(y) - both))
+            keep = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in sets), s) for sets in zip(batch.column("set_a"), batch.column("set_b"))]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("a", "b")}).filter(pa.array(keep, pa.bool_()))
 
-    made = materialize(docs.join(wanted.hint("shuffle_merge"), "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary"))
+    made = _sets(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), s)
     first = made.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).hint("shuffle_merge")
     second = made.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")).hint("shuffle_merge")
     return materialize(pairs.join(first, "a").join(second, "b").mapInArrow(judge, f"a {kind}, b {kind}"))
@@ -191,11 +195,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketched = materialize(sketches(docs, s))
     full = sketched.where("n_shingles > 0 and id is not null")
     # One document stands for each class of equal sets.
-    classes = materialize(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    rows = classes.select("rep", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    met = materialize(rows.join(materialize(buckets).hint("shuffle_merge"), "bucket"))
-    stars = met.select(F.col("rep").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
+    classes = materialize(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    several = materialize(rows.groupBy("bucket").count().where("count > 1").select("bucket"))
+    met = materialize(rows.join(several.hint("shuffle_merge"), "bucket"))
+    ends = materialize(met.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high")))
+    stars = met.join(ends.hint("shuffle_merge"), "bucket").select(F.col("rep").alias("a"), "n", F.explode(F.array("low", "high")).alias("end")).select("a", F.col("end.rep").alias("b"), _alike("n", "end.n", s).alias("alike")).where("alike and a <> b")
     tried = materialize(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sketch = classes.select("rep", "sketch")
     likely = materialize(_likely(tried, sketch, s))
@@ -205,10 +210,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links)
     links = links.unionByName(verified(_apart(likely.join(best, ["a", "b"], "left_anti").select("a", "b"), roots), docs, s))
     roots = components(links)
-    mixed = _mixed(met, roots)
-    rest = materialize(_apart(mixed.join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti"), roots))
+    rest = materialize(_apart(_mixed(met, roots, sketch, docs, s), roots, "sure"))
     if rest.head(1):
-        links = links.unionByName(verified(_likely(rest, sketch, s), docs, s))
+        doubtful = rest.where("not sure").select("a", "b").join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti")
+        links = links.unionByName(rest.where("sure").select("a", "b")).unionByName(verified(doubtful, docs, s))
         roots = components(links)
     # From representatives to their classes' members, and to versions under one id.
     of_class = classes.select("class", "rep").join(roots.hint("shuffle_merge"), classes["rep"] == roots["id"], "left").select("class", F.coalesce("root", "rep").alias("root"))
@@ -228,19 +233,87 @@ def _likely(pairs: DataFrame, sketch: DataFrame, s: Settings) -> DataFrame:
     return plausible(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b"), s)
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
     """Pairs in different components."""
-    kept = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "a", "b")
-    return relabel(kept, roots).where("a <> b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    kept = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "a", "b", *more)
+    return relabel(kept, roots).where("a <> b").select(F.col("x").alias("a"), F.col("y").alias("b"), *more)
 
 
-def _mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket, out of met(bucket, rep).  Of such a pair one at least is not in
-    the bucket's largest component, so the rows of the others are joined with all: no square of a large component."""
-    rooted = materialize(met.select("bucket", "rep").join(roots.hint("shuffle_merge"), met["rep"] == roots["id"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root")))
+def _alike(n: str, m: str, s: Settings):
+    """Sets of such sizes can be similar enough."""
+    return 100 * F.least(n, m) >= s.percent * F.greatest(n, m)
+
+
+def _mixed(met: DataFrame, roots: DataFrame, sketch: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """(a, b, sure): pairs of different components in one bucket that are links (sure), or may be, out of met(bucket, rep, n).
+
+    Of such a pair one at least is not in the bucket's largest component, so the rows of the others meet all rows: no square
+    of a large component.  Both sides are packed into blocks and blocks are joined; pairs are tested and verified inside a task,
+    and only links become rows.  Pairs that pass the test with a set too large for a block become rows to be verified.
+    """
+    rooted = materialize(met.join(roots.hint("shuffle_merge"), met["rep"] == roots["id"], "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root")))
     sizes = rooted.groupBy("bucket", "root").count()
-    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "main")
-    rooted = materialize(rooted.join(materialize(main).hint("shuffle_merge"), "bucket"))
-    other = rooted.where("root <> main").select("bucket", F.col("rep").alias("x"), F.col("root").alias("root_x")).hint("shuffle_merge")
-    pairs = rooted.select("bucket", "rep", "root").join(other, "bucket").where("root <> root_x")
-    return pairs.select(F.greatest("rep", "x").alias("a"), F.least("rep", "x").alias("b")).distinct()
+    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"), F.sum("count").alias("size")).where("roots > 1").select("bucket", "main", "size")
+    rows = materialize(rooted.join(materialize(main).hint("shuffle_merge"), "bucket"))
+    sets = _sets(docs, rows.where(F.col("n") <= s.whole).select(F.col("rep").alias("id")), s).withColumnRenamed("id", "rep")
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / s.block)).alias("block")
+    rows = rows.join(sketch.hint("shuffle_merge"), "rep").join(sets.hint("shuffle_merge"), "rep", "left")
+    rows = materialize(rows.select("bucket", block, (F.col("root") != F.col("main")).alias("other"), F.struct("rep", "root", "n", "sketch", "shingles").alias("row")))
+    blocks = rows.groupBy("bucket", "block").agg(F.collect_list("row").alias("rows"))
+    others = rows.where("other").groupBy("bucket", "block").agg(F.collect_list("row").alias("others")).drop("block")
+    kind = met.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, width = least_matches(s), s.rows * s.bands
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = [batch.column(c)[k].values.flatten() for c in ("rows", "others")]
+                (x_rep, x_root, x_n), (y_rep, y_root, y_n) = ([v.to_numpy(zero_copy_only=False) for v in side[:3]] for side in sides)
+                x, y = (np.frombuffer(b"".join(side[3].to_pylist()), np.uint8).reshape(-1, width) for side in sides)
+                i, j = np.nonzero((x_root[:, None] != y_root[None]) & (100 * np.minimum(x_n[:, None], y_n[None]) >= s.percent * np.maximum(x_n[:, None], y_n[None])))
+                matches = np.zeros(len(i), np.int64)
+                for at, few in enumerate(least):
+                    cols = slice(at * s.batch, (at + 1) * s.batch)
+                    matches += (x[i, cols] == y[j, cols]).sum(1)
+                    kept = matches >= few
+                    i, j, matches = i[kept], j[kept], matches[kept]
+                if not len(i):
+                    continue
+                u, v = (side[4].to_pylist() for side in sides)
+                sure = np.array([u[p] is not None and v[q] is not None for p, q in zip(i, j)])
+                both = common_counts(u, v, i[sure], j[sure])
+                keep = ~sure
+                keep[sure] = 100 * both >= s.percent * (x_n[i[sure]] + y_n[j[sure]] - both)
+                i, j, sure = i[keep], j[keep], sure[keep]
+                a, b = x_rep[i], y_rep[j]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b)), "sure": pa.array(sure)})
+
+    return blocks.join(others.hint("shuffle_merge"), "bucket").select("rows", "others").mapInArrow(run, f"a {kind}, b {kind}, sure boolean").distinct()
+
+
+def common_counts(u: list, v: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles sets u[i] and v[j] share, pair by pair: one by one for few pairs, else as a product of 0/1 matrices over the
+    shingles that both sides have, some thousand columns at a time."""
+    load = lambda b: np.frombuffer(b, np.uint64)
+    if len(i) < 64:
+        return np.array([len(np.intersect1d(load(u[p]), load(v[q]), assume_unique=True)) for p, q in zip(i, j)], np.int64)
+    (left, at_i), (right, at_j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+    x, y = ([load(w[k]) for k in ks] for w, ks in ((u, left), (v, right)))
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    total = np.zeros((len(x), len(y)), np.float32)
+    for start in range(0, len(shared), 4096):
+        part = shared[start : start + 4096]
+        sides = []
+        for sets in (x, y):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for row, h in enumerate(sets):
+                at = np.searchsorted(part, h)
+                m[row, at[(at < len(part)) & (part[np.minimum(at, len(part) - 1)] == h)]] = 1
+            sides.append(m)
+        total += sides[0] @ sides[1].T
+    return total[at_i, at_j].astype(np.int64)
+
+
+def similar(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= s.percent * (len(x) + len(y) - both)
