@@ -129,7 +129,7 @@ class Model:
         buf = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
         at = bounds(len(t) + self.order for t in texts)
         out = np.zeros((len(texts), len(self.langs)))
-        if len(buf) <= self.order:
+        if not self.langs or len(buf) <= self.order:
             return out
         keys = grams(buf, self.order + 1)
         text = np.repeat(np.arange(len(texts)), np.diff(at))[self.order :]
