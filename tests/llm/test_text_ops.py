@@ -249,6 +249,39 @@ def test_lm_base_and_normalisation(spark, odd_docs, no_docs):
     assert all(abs(x.score) < 1e-9 for x in lm.scores(odd_docs, empty).where("doc_id = 4").collect())
 
 
+def brute_scores(docs, usable, least, discount=0.75, add=0.1):
+    """Absolute discounting with backoff, token by token."""
+    c = [collections.Counter() for _ in range(4)]
+    for i, d in docs:
+        for k in (1, 2, 3):
+            c[k].update(tuple(d[j : j + k]) for j in range(len(d) - k + 1) if usable(i))
+    total = sum(c[1].values())
+    kept = {g: n for k in (2, 3) for g, n in c[k].items() if n >= least}
+    one = lambda w: (c[1][(w,)] + add) / (total + add * (len(c[1]) + 1))
+    after = collections.defaultdict(list)
+    for g in kept:
+        after[g[:-1]].append(g[-1])
+    p = lambda g: one(g[0]) if len(g) == 1 else (kept[g] - discount) / c[len(g) - 1][g[:-1]]
+    left = lambda x: min(1.0, max(1e-6, 1 - x))
+    back = lambda h: left(sum(p((*h, w)) for w in after[h])) / left(sum(p((*h[1:], w)) for w in after[h]))
+
+    def log_p(g):
+        return np.log10(p(g)) if len(g) == 1 or g in kept else (np.log10(back(g[:-1])) if g[:-1] in after else 0) + log_p(g[1:])
+
+    return {i: sum(log_p(tuple(d[max(0, j - 2) : j + 1])) for j in range(len(d))) for i, d in docs}
+
+
+@pytest.mark.parametrize("bounds", [{"words": 5, "max_ngrams": 4}, {"words": 1000}])
+def test_lm_keeps_all_ngrams(spark, bounds):
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(40)] + ["y" * 100]
+    rows = [(k, " ".join(words[min(40, int(r.expovariate(0.12)))] for _ in range(r.randint(0, 60)))) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = lm.scores(df, lm.train(df, "doc_id % 4 <> 0", lm.Settings(**bounds))).collect()
+    want = brute_scores([(i, t.split() + [None]) for i, t in rows], lambda i: i % 4 != 0, 3)
+    assert len(got) == len(rows) and all(abs(x.score - want[x.doc_id]) < 1e-4 for x in got)
+
+
 def test_common_counts():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 300, 80).astype(np.uint64)) for _ in range(24)]

@@ -1,11 +1,13 @@
-"""Language-model scoring with an n-gram trie.
+"""Language-model scoring: a trigram model of all words and n-grams that were seen often enough, however many there are.
 
-Counts of all tokens are exact and stay distributed.  The trie has n-grams over the most frequent words, kept if
-they were seen often enough; its size is bounded by parameters, so it is sent to all executors as a file and memory-mapped there.
-Smoothing: absolute discounting with backoff down to the additive unigram estimate of all tokens.
+Smoothing: absolute discounting with backoff down to the additive unigram estimate of all tokens.  The log probability of a text
+is written as a sum over its n-grams: with U(c) = log p(c) + backoff(c), B(b, c) = log p(c | b) - backoff(b) - log p(c) + backoff(b, c)
+and T(a, b, c) = log p(c | a, b) - log p(c | b) - backoff(a, b), where B and T count for kept n-grams only, inner terms cancel and
+each token is left with its longest kept n-gram and the backoffs on the way to it.  So every n-gram has one weight.
 
-A document's frequent words are scored in the task that reads it.  Its rare words always end in the unigram estimate, so their
-number in the document goes to their count by a join; such words are rare by definition, no key of that join is hot.
+Weights stay in a distributed table.  Those of the most frequent n-grams over the most frequent words are in a trie of bounded
+size too, which every executor has as a file: that saves the shuffle for them and leaves no hot keys.  What a document has
+besides goes to the table by a join, once for each distinct n-gram.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from hashlib import sha256
-from itertools import chain, repeat
+from hashlib import blake2b, sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_trie
-from .common import Numbered, bounds, materialize, number, slices, utf8
+from .common import bounds, materialize, slices, utf8
 
 
 @dataclass(frozen=True)
 class Settings:
     words: int = 1 << 15
-    """Most frequent words, which the trie's n-grams are made of."""
+    """Most frequent words, which the trie's n-grams are made of.  Further words and their n-grams are in the table."""
     min_count: int = 3
+    """N-grams seen less often aren't kept, whatever the size of the input."""
     max_ngrams: int = 2_000_000
-    """N-grams of a level.  Where more were seen min_count times, the least count goes up until they fit."""
+    """N-grams of a level of the trie, the most frequent ones.  All others that are kept are in the table."""
     discount: float = 0.75
     add: float = 0.1
 
@@ -75,41 +78,68 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 def _frequent(counted: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order with their counts, of those seen often enough; raises the least count until they fit."""
+    """Keys in order with their weights, of the most frequent ones, as many as the trie holds."""
     sizes = {r.n: r["count"] for r in counted.where(F.col("n") < 100_000).groupBy("n").count().orderBy("n").limit(100_000).collect()}
-    left, least = counted.where(F.col("n") >= s.min_count).count(), s.min_count
+    left, least = counted.count(), s.min_count
     while left > s.max_ngrams and least < 100_000:
         left -= sizes.get(least, 0)
         least += 1
-    rows = counted.where(F.col("n") >= least).toArrow()
-    keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+    rows = counted.where(F.col("n") >= least).select("key", F.col("w").cast("float")).toArrow()
+    keys, w = rows.column("key").to_numpy(), rows.column("w").to_numpy()
     order = np.argsort(keys)
-    return keys[order], n[order]
+    return keys[order], w[order]
+
+
+CACHED = 300_000
+"""Words whose code a task remembers."""
+RARE = 1 << 62
+
+
+class Codes(dict):
+    """The code of a word: its number if it is a frequent one, else a digest of 62 bits."""
+
+    def __missing__(self, word: bytes) -> int:
+        key = key_of(word)
+        code = self[key] if key != word else RARE | int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 2
+        if len(self) < CACHED:
+            self[word] = code
+        return code
 
 
 class Text:
-    """Tokens of a slice as numbers: words of the trie, its end token, -1 for other words."""
+    """Tokens of a slice as codes, with the document of each and its place there."""
 
-    def __init__(self, texts: list[bytes], ids: dict[bytes, int]):
+    def __init__(self, texts: list[bytes], codes: Codes):
         split = [words_of(t) for t in texts]
         for words in split:
             words.append(END)
         self.at = bounds(map(len, split))
-        self.words = list(chain.from_iterable(split))
-        end = ids[END]
-        self.ids = np.fromiter(map(ids.get, self.words, repeat(-1)), np.int64, self.at[-1])
+        self.codes = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), np.int64, self.at[-1])
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.at))
-        before = np.concatenate(([-1], self.ids[:-1])) if len(self.ids) else self.ids
-        first = np.zeros(len(self.ids), bool)
-        first[self.at[:-1]] = True
-        self.before = np.where(first | (before == end), -1, before)
+        self.place = np.arange(len(self.codes)) - self.at[self.doc]
+
+    def grams(self, size: int) -> np.ndarray:
+        """Where an n-gram of this size ends."""
+        return np.flatnonzero(self.place >= size - 1)
+
+
+def _mixed(*columns: np.ndarray) -> np.ndarray:
+    """A digest of 64 bits for each row."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = (out ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+    return out
 
 
 class Trained:
-    """What scoring needs; built by train()."""
+    """What scoring needs; built by train().  weights: (a, b, c, w, base) of all words, pairs (c = -1) and triples; ids, n, own: the
+    frequent words, their counts and weights."""
 
-    def __init__(self, counts: DataFrame, total: int, kinds: int, ids: dict[bytes, int], n: np.ndarray, file: str, s: Settings):
-        self.counts, self.total, self.kinds, self.ids, self.n, self.file, self.s = counts, total, kinds, ids, n, file, s
+    def __init__(self, weights: DataFrame, total: int, kinds: int, ids: dict[bytes, int], n: np.ndarray, own: np.ndarray, file: str, s: Settings):
+        self.weights, self.total, self.kinds, self.ids, self.n, self.own, self.file, self.s = weights, total, kinds, ids, n, own, file, s
 
 
 def _ship(df: DataFrame, parts: dict[str, np.ndarray]) -> str:
@@ -121,8 +151,35 @@ def _ship(df: DataFrame, parts: dict[str, np.ndarray]) -> str:
     return name
 
 
+def _backoff(p: str, below: str) -> Column:
+    """log10 of what is left for other words against what the shorter context gives them."""
+    left = lambda c: F.log10(F.least(F.lit(1.0), F.greatest(F.lit(1e-6), 1 - F.sum(c))))
+    return left(p) - left(below)
+
+
+def weights(grams: DataFrame, words: DataFrame, total: int, kinds: int, s: Settings) -> DataFrame:
+    """(a, b, c, n, w, base) from counts: grams(a, b, c, n) that are kept, c = -1 in pairs, and words(code, n).  Words have b = c = -1."""
+    norm = float(total + s.add * (kinds + 1))
+    of = lambda a, n: words.select(F.col("code").alias(a), F.col("n").alias(n)).hint("shuffle_merge")
+    two = grams.where("c = -1").join(of("a", "n_a"), "a").join(of("b", "n_b"), "b")
+    two = materialize(two.select("a", "b", "n", ((F.col("n") - s.discount) / F.col("n_a")).alias("p"), ((F.col("n_b") + s.add) / norm).alias("q")))
+    back_one = two.groupBy("a").agg(_backoff("p", "q").alias("back_one"))
+    first = two.select("a", "b", F.col("n").alias("n_ab")).hint("shuffle_merge")
+    second = two.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("p").alias("q")).hint("shuffle_merge")
+    three = grams.where("c <> -1").join(first, ["a", "b"]).join(second, ["b", "c"])
+    three = materialize(three.select("a", "b", "c", "n", ((F.col("n") - s.discount) / F.col("n_ab")).alias("p"), "q"))
+    back_two = materialize(three.groupBy("a", "b").agg(_backoff("p", "q").alias("back_two"))).hint("shuffle_merge")
+    none = F.lit(-1).cast("bigint")
+    back_one = materialize(back_one).hint("shuffle_merge")
+    own = F.log10((F.col("n") + s.add) / norm)
+    one = words.withColumnRenamed("code", "a").join(back_one, "a", "left").select("a", none.alias("b"), none.alias("c"), "n", (own + F.coalesce("back_one", F.lit(0.0))).alias("w"), own.alias("base"))
+    pairs = two.join(back_two, ["a", "b"], "left").join(back_one, "a").select("a", "b", none.alias("c"), "n", (F.log10("p") - F.col("back_one") - F.log10("q") + F.coalesce("back_two", F.lit(0.0))).alias("w"), F.lit(0.0).alias("base"))
+    triples = three.join(back_two, ["a", "b"]).select("a", "b", "c", "n", (F.log10("p") - F.log10("q") - F.col("back_two")).alias("w"), F.lit(0.0).alias("base"))
+    return materialize(one.unionByName(pairs).unionByName(triples))
+
+
 def train(df: DataFrame, usable: Column | str, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Trained:
-    """Count all usable rows and build the trie.  Without usable rows every token has the same probability."""
+    """Count all usable rows and weigh their n-grams.  Without usable rows every token has the same probability."""
     docs = df.where(usable).select(df[id_col].alias("id"), df[text_col].alias("text"))
     counts = materialize(count_tokens(docs))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -130,134 +187,124 @@ def train(df: DataFrame, usable: Column | str, s: Settings = Settings(), id_col:
     end = counts.where(F.col("word") == F.lit(END)).first()
     ids = {bytes(r.word): i for i, r in enumerate(top)} | {END: len(top)}
     n = np.array([*(r.n for r in top), end.n if end else 0], np.int64)
-    size, context = df.sparkSession.sparkContext, len(n)
-    sent = size.broadcast(ids)  # s.words words
-
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def keys() -> Iterator[np.ndarray]:
-            for batch in slices(batches):
-                t = Text(utf8(batch.column("text")), sent.value)
-                both = (t.before >= 0) & (t.ids >= 0)
-                yield t.before[both] * context + t.ids[both]
-
-        return _counted(keys())
+    context = len(n)
+    sent = df.sparkSession.sparkContext.broadcast(ids)  # s.words words
 
-    one = np.log10((n + s.add) / (total + s.add * (kinds + 1)))
-    two = _frequent(materialize(docs.select("text").mapInArrow(pairs, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))), s)
-    parts, log_two = ngram_trie.build(context, one, n, two, s.discount)
-    parts["back_two/codes"], parts["back_two/book"] = np.zeros(len(two[0]), np.uint8), np.zeros(256)
-    file, n_two = _ship(df, parts), max(1, len(two[0]))
+    def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(sent.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"code": pa.array([codes[w] for w in batch.column("word").to_pylist()], pa.int64()), "n": batch.column("n")})
 
-    def triples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = ngram_trie.load(SparkFiles.get(file))
+    def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(sent.value)
 
-        def keys() -> Iterator[np.ndarray]:
+        def keys() -> Iterator[tuple[np.ndarray, ...]]:
             for batch in slices(batches):
-                t = Text(utf8(batch.column("text")), sent.value)
-                pair = _pairs(trie, t, context)
-                both = (pair[1:] >= 0) & (pair[:-1] >= 0) & (t.before[1:] >= 0)
-                yield pair[:-1][both] * n_two + pair[1:][both]
+                t = Text(utf8(batch.column("text")), codes)
+                at = t.grams(2)
+                yield t.codes[at - 1], t.codes[at], np.full(len(at), -1, np.int64)
+                at = t.grams(3)
+                yield t.codes[at - 2], t.codes[at - 1], t.codes[at]
 
         return _counted(keys())
 
-    three = _frequent(materialize(docs.select("text").mapInArrow(triples, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))), s)
-    parts = ngram_trie.extend(parts, two, log_two, three, context, s.discount)
-    return Trained(counts, total, kinds, ids, n, _ship(df, parts), s)
+    kept = docs.select("text").mapInArrow(grams, "a bigint, b bigint, c bigint, n bigint").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= s.min_count)
+    table = weights(materialize(kept), materialize(counts.mapInArrow(coded, "code bigint, n bigint")), total, kinds, s)
+    own = np.log10((n + s.add) / (total + s.add * (kinds + 1)))
+    for r in table.where((F.col("b") == -1) & (F.col("a") < context)).select("a", "w").collect():
+        own[r.a] = r.w
+    hot = (F.col("a") < context) & (F.col("b") < context) & (F.col("c") < context)
+    pair = F.col("a") * context + F.col("b")
+    two = _frequent(table.where(hot & (F.col("b") >= 0) & (F.col("c") == -1)).select(pair.alias("key"), "n", "w"), s)
+    three = _frequent(table.where(hot & (F.col("c") >= 0)).select((pair * context + F.col("c")).alias("key"), "n", "w"), s)
+    return Trained(table, total, kinds, ids, n, own, _ship(df, ngram_trie.build(context, two, three)), s)
 
 
-def _counted(keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Counts of the keys, summed over as many as a task holds."""
-    held: list[np.ndarray] = []
+def _counted(keys: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams, summed over as many as a task holds."""
+    held: list[tuple[np.ndarray, ...]] = []
 
     def hand_on() -> pa.RecordBatch:
-        own, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_pydict({"key": pa.array(own, pa.int64()), "n": pa.array(n, pa.int64())})
+        rows = [np.concatenate(c) for c in zip(*held)]
+        _, first, n = np.unique(_mixed(*rows), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_pydict({k: pa.array(c[first], pa.int64()) for k, c in zip("abc", rows)} | {"n": pa.array(n, pa.int64())})
 
     for part in keys:
         held.append(part)
-        if sum(map(len, held)) > 10 * HELD:
+        if sum(len(c[0]) for c in held) > 10 * HELD:
             yield hand_on()
             held = []
     if held:
         yield hand_on()
 
 
-def _pairs(trie: ngram_trie.Trie, t: Text, context: int) -> np.ndarray:
-    """The level-2 place of each token with the one before it, or -1.  Each distinct pair is looked up once."""
-    out = np.full(len(t.ids), -1, np.int64)
-    both = np.flatnonzero((t.before >= 0) & (t.ids >= 0))
-    keys, back = np.unique(t.before[both] * context + t.ids[both], return_inverse=True)
+def in_trie(trie: ngram_trie.Trie, t: Text, context: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The weights that the trie has for each token's pair and triple, and whether it has the pair and the triple."""
+    w, pair, triple = np.zeros(len(t.codes)), np.full(len(t.codes), -1, np.int64), np.full(len(t.codes), -1, np.int64)
+    hot = t.codes < context
+    at = t.grams(2)
+    at = at[hot[at - 1] & hot[at]]
+    keys, back = np.unique(t.codes[at - 1] * context + t.codes[at], return_inverse=True)
     if len(keys):
-        out[both] = trie.pairs(*np.divmod(keys, context))[back]
-    return out
-
-
-def token_scores(trie: ngram_trie.Trie, t: Text, one: np.ndarray, context: int) -> np.ndarray:
-    """log10 probability of each token; for a token outside the trie only the backoff weights on the way to its unigram."""
-    pair = _pairs(trie, t, context)
-    earlier = np.concatenate(([-1], pair[:-1])) if len(pair) else pair
-    earlier = np.where(t.before >= 0, earlier, -1)
-    triple = np.full(len(pair), -1, np.int64)
-    both = np.flatnonzero((earlier >= 0) & (pair >= 0))
-    if len(both):
-        keys, back = np.unique(earlier[both] * (pair.max() + 1) + pair[both], return_inverse=True)
-        first, second = np.divmod(keys, pair.max() + 1)
-        at = np.zeros(len(keys), np.int64)
-        at[back] = both
-        triple[both] = trie.triples(first, t.before[at], second)[back]
-    own = np.where(t.ids >= 0, one[t.ids], 0.0)
-    out = np.where(t.before >= 0, trie.back_one[np.maximum(t.before, 0)], 0.0) + own
-    seen = pair >= 0
-    out[seen] = trie.two.log_p(pair[seen])
-    longer = earlier >= 0
-    out[longer] += trie.back_two[earlier[longer]]
-    whole = triple >= 0
-    out[whole] = trie.three.log_p(triple[whole])
-    return out
+        pair[at] = trie.pairs(*np.divmod(keys, context))[back]
+    at = t.grams(3)
+    at = at[(pair[at - 1] >= 0) & (pair[at] >= 0)]
+    if len(at):
+        _, first, back = np.unique(pair[at - 1] * (pair.max() + 1) + pair[at], return_index=True, return_inverse=True)
+        own = at[first]
+        triple[at] = trie.triples(pair[own - 1], t.codes[own - 1], pair[own])[back]
+    for found, level in ((pair, trie.two), (triple, trie.three)):
+        w[found >= 0] += level.weight(found[found >= 0])
+    return w, pair >= 0, triple >= 0
 
 
 def scores(df: DataFrame, model: Trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id with n_tokens, n_known, base_score (additive unigram) and score (the trie's), both log10.
+    """Each row's id with n_tokens, n_known, base_score (additive unigram) and score (the trigram model's), both log10.
 
     A null, empty or blank text is its end token alone.  Texts of any length are scored whole; repeated rows give a row
     each.
     """
     s = model.s
-    norm = np.log10(model.total + s.add * (model.kinds + 1))
-    raw = np.log10(model.n + s.add)
-    sent, file, n = df.sparkSession.sparkContext.broadcast(model.ids), model.file, model.n
+    norm = float(np.log10(model.total + s.add * (model.kinds + 1)))
+    sent, file, n, weight = df.sparkSession.sparkContext.broadcast(model.ids), model.file, model.n, model.own
+    raw, context = np.log10(n + s.add) - norm, len(n)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = ngram_trie.load(SparkFiles.get(file))
+        """A row of each document's own figures, which no key of the table meets, and one for each distinct n-gram that the table is asked for."""
+        trie, codes = ngram_trie.load(SparkFiles.get(file)), Codes(sent.value)
         for batch in slices(batches):
-            t = Text(utf8(batch.column("text")), sent.value)
-            hot = t.ids >= 0
-            base = np.bincount(t.doc, np.where(hot, raw[t.ids], 0.0), batch.num_rows)
-            own = np.bincount(t.doc, token_scores(trie, t, raw - norm, len(n)), batch.num_rows)
-            known = np.bincount(t.doc, hot & (n[t.ids] > 0), batch.num_rows).astype(np.int64)
-            n_hot = np.bincount(t.doc, hot, batch.num_rows).astype(np.int64)
-            cold = np.flatnonzero(~hot)
-            rare = Numbered()
-            own_words = number([t.words[k] for k in cold.tolist()], rare)
-            pairs, k = np.unique(t.doc[cold] * max(1, len(rare)) + own_words, return_counts=True)
-            of, which = np.divmod(pairs, max(1, len(rare)))
-            keys = pa.array(map(key_of, rare), pa.binary()).take(pa.array(which))
-            pair = pa.StructArray.from_arrays([keys, pa.array(k, pa.int64())], ["word", "k"])
-            at = np.searchsorted(of, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_tokens": pa.array(np.diff(t.at)), "n_hot": pa.array(n_hot), "n_known": pa.array(known), "base": pa.array(base), "own": pa.array(own), "rare": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pair)})
-
+            t = Text(utf8(batch.column("text")), codes)
+            rows = batch.num_rows
+            hot = t.codes < context
+            place = np.where(hot, t.codes, 0)
+            w, pair, triple = in_trie(trie, t, context)
+            sums = lambda v: np.bincount(t.doc, v, rows)
+            base, own = sums(np.where(hot, raw[place], 0.0)), sums(np.where(hot, weight[place], 0.0) + w)
+            known, n_rare = (sums(v).astype(np.int64) for v in (hot & (n[place] > 0), ~hot))
+            numbers = batch.column("row").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), *(pa.array(v, pa.int64()) for v in (numbers, np.full(rows, -2), np.full(rows, -2), np.zeros(rows))), pa.StructArray.from_arrays([batch.column("id"), *map(pa.array, (np.diff(t.at), known, n_rare, base, own))], names)], ["row", "a", "b", "c", "k", "own"])
+            one = np.flatnonzero(~hot)
+            two, three = t.grams(2), t.grams(3)
+            two, three = two[~pair[two]], three[~triple[three]]
+            none = lambda v: np.full(len(v), -1, np.int64)
+            doc = np.concatenate((t.doc[one], t.doc[two], t.doc[three]))
+            a, b, c = (np.concatenate(v) for v in ((t.codes[one], t.codes[two - 1], t.codes[three - 2]), (none(one), t.codes[two], t.codes[three - 1]), (none(one), none(two), t.codes[three])))
+            _, first, k = np.unique(_mixed(doc, a, b, c), return_index=True, return_counts=True)
+            for part in np.array_split(np.arange(len(first)), len(first) // 50_000 + 1):
+                own_rows = first[part]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (numbers[doc[own_rows]], a[own_rows], b[own_rows], c[own_rows], k[part])] + [pa.nulls(len(part), struct(batch))], ["row", "a", "b", "c", "k", "own"])
+
+    names = ["id", "n_tokens", "n_known", "n_rare", "base", "own"]
+    struct = lambda batch: pa.struct([("id", batch.schema.field("id").type), *((x, pa.int64()) for x in names[1:4]), *((x, pa.float64()) for x in names[4:])])
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens bigint, n_hot bigint, n_known bigint, base double, own double, rare array<struct<word:binary,k:bigint>>"
-    made = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
-    made = materialize(made.withColumn("row", F.monotonically_increasing_id()))
-    rare = made.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
-    met = rare.join(model.counts.hint("shuffle_merge"), "word").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + s.add)).alias("log"))
-    out = made.drop("rare").join(met.hint("shuffle_merge"), "row", "left")
-    k, log = F.coalesce("k", F.lit(0)), F.coalesce("log", F.lit(0.0))
-    unseen = (F.col("n_tokens") - F.col("n_hot") - k) * float(np.log10(s.add))
-    rest = log + unseen
-    return out.select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + k).alias("n_known"),
-        (F.col("base") + rest - F.col("n_tokens") * float(norm)).alias("base_score"),
-        (F.col("own") + rest - (F.col("n_tokens") - F.col("n_hot")) * float(norm)).alias("score"),
+    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.monotonically_increasing_id().alias("row"))
+    asked = docs.mapInArrow(run, f"row bigint, a bigint, b bigint, c bigint, k bigint, own struct<id:{kind},n_tokens:bigint,n_known:bigint,n_rare:bigint,base:double,own:double>")
+    met = asked.join(model.weights.drop("n").hint("shuffle_merge"), ["a", "b", "c"], "left")
+    word = F.when(F.col("b") == -1, F.col("k") * F.col("w").isNotNull().cast("bigint"))
+    sums = met.groupBy("row").agg(F.first("own", True).alias("own"), F.sum(F.col("k") * F.col("w")).alias("w"), F.sum(F.col("k") * F.col("base")).alias("base"), F.sum(word).alias("known"))
+    known, zero = F.coalesce("known", F.lit(0)), F.lit(0.0)
+    unseen = (F.col("own.n_rare") - known) * (float(np.log10(s.add)) - norm)
+    return sums.select(
+        F.col("own.id").alias(id_col), F.col("own.n_tokens").alias("n_tokens"), (F.col("own.n_known") + known).alias("n_known"),
+        (F.col("own.base") + F.coalesce("base", zero) + unseen).alias("base_score"), (F.col("own.own") + F.coalesce("w", zero) + unseen).alias("score"),
     )

@@ -3,8 +3,7 @@
 Level 1 has the words of the trie's vocabulary, level 2 their followers, level 3 the followers of those pairs.  The followers
 of a context lie in one range of a level; ranges begin where monotone pointers say.  Followers rise within a range; each range
 goes on above the last value of the range before, so a level is one monotone sequence.  On level 3 a follower is
-written as its place among the followers of the pair's second word, which takes far fewer bits.  Probabilities and backoff
-weights are 8-bit codes into a book for each level.
+written as its place among the followers of the pair's second word, which takes far fewer bits.  Each n-gram has one weight.
 """
 
 from __future__ import annotations
@@ -93,27 +92,16 @@ def _ranges(context: np.ndarray, follower: np.ndarray, n_contexts: int) -> tuple
     return pointer, follower + (np.cumsum(width) - width)[context]
 
 
-def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit codes and their book: the mean of each quantile."""
-    if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(256)
-    edges = np.unique(np.quantile(values, np.arange(1, 256) / 256))
-    codes = np.searchsorted(edges, values, "right")
-    n = np.bincount(codes, minlength=256)
-    return codes.astype(np.uint8), np.bincount(codes, values, 256) / np.maximum(1, n)
-
-
 class Level:
     def __init__(self, parts: dict[str, np.ndarray], name: str):
         of = lambda kind: EliasFano({k.split("/")[2]: v for k, v in parts.items() if k.startswith(f"{name}/{kind}/")})
         self.pointer, self.sequence = of("pointer"), of("sequence")
-        self.codes, self.book = parts[f"{name}/codes"], parts[f"{name}/book"]
+        self.weights = parts[f"{name}/weights"]
 
     @staticmethod
-    def build(name: str, context: np.ndarray, follower: np.ndarray, n_contexts: int, log_p: np.ndarray) -> dict[str, np.ndarray]:
+    def build(name: str, context: np.ndarray, follower: np.ndarray, n_contexts: int, weights: np.ndarray) -> dict[str, np.ndarray]:
         pointer, sequence = _ranges(context, follower, n_contexts)
-        codes, book = quantise(log_p)
-        parts = {f"{name}/codes": codes, f"{name}/book": book}
+        parts = {f"{name}/weights": weights.astype(np.float32)}
         for kind, values in (("pointer", pointer), ("sequence", sequence)):
             parts |= {f"{name}/{kind}/{k}": v for k, v in EliasFano.build(values).items()}
         return parts
@@ -137,16 +125,15 @@ class Level:
         out[some[inside[hit]]] = at[hit]
         return out
 
-    def log_p(self, place: np.ndarray) -> np.ndarray:
-        return self.book[self.codes[place]]
+    def weight(self, place: np.ndarray) -> np.ndarray:
+        return self.weights[place]
 
 
 class Trie:
     """words: w follows word v on level 2, and a pair of level 2 on level 3."""
 
     def __init__(self, parts: dict[str, np.ndarray]):
-        self.two, self.three = (Level(parts, name) for name in ("two", "three") if f"{name}/codes" in parts) if "three/codes" in parts else (Level(parts, "two"), None)
-        self.back_one, self.back_two = (parts[f"{k}/book"][parts[f"{k}/codes"]] for k in ("back_one", "back_two"))
+        self.two, self.three = (Level(parts, name) for name in ("two", "three"))
 
     def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return self.two.find(first, second)
@@ -156,36 +143,20 @@ class Trie:
         return self.three.find(pair, next_pair - self.two.range(second))
 
 
-def build(n_words: int, one: np.ndarray, count: np.ndarray, two: tuple[np.ndarray, np.ndarray], discount: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Level 2.  one: log10 of the words' own probabilities; count: how often each was seen; two: keys first * n_words + second in order, and counts.
-    Returns the parts and the quantised log10 probabilities."""
+def build(n_words: int, two: tuple[np.ndarray, np.ndarray], three: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+    """Keys in order, and weights.  two: first * n_words + second; three: (first * n_words + second) * n_words + third, left out where the
+    trie lacks one of the pairs."""
     first, second = np.divmod(two[0], n_words)
-    p = (two[1] - discount) / count[first]
-    parts = Level.build("two", first, second, n_words, np.log10(p))
-    log_p = parts["two/book"][parts["two/codes"]]
-    stored = np.bincount(first, 10**log_p, n_words)
-    below = np.bincount(first, 10 ** one[second], n_words)
-    parts["back_one/codes"], parts["back_one/book"] = quantise(_backoff(stored, below))
-    return parts, log_p
-
-
-def extend(parts: dict[str, np.ndarray], two: tuple[np.ndarray, np.ndarray], log_two: np.ndarray, three: tuple[np.ndarray, np.ndarray], n_words: int, discount: float) -> dict[str, np.ndarray]:
-    """Level 3 on top.  three: keys pair * len(two) + next pair in order, and counts; both pairs are places of level 2."""
-    n = max(1, len(two[0]))
-    pair, following = np.divmod(three[0], n)
-    start = np.searchsorted(two[0], np.arange(n_words) * n_words)
-    relative = following - start[two[0][pair] % n_words] if len(pair) else following
-    p = (three[1] - discount) / two[1][pair] if len(pair) else np.zeros(0)
-    parts |= Level.build("three", pair, relative, len(two[0]), np.log10(p))
-    log_p = parts["three/book"][parts["three/codes"]]
-    stored, below = np.bincount(pair, 10**log_p, len(two[0])), np.bincount(pair, 10 ** log_two[following] if len(pair) else None, len(two[0]))
-    parts["back_two/codes"], parts["back_two/book"] = quantise(_backoff(stored, below))
-    return parts
-
-
-def _backoff(stored: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """log10 of what is left for other words against what the shorter context gives them."""
-    return np.log10(np.clip(1 - stored, 1e-6, 1)) - np.log10(np.clip(1 - below, 1e-6, 1))
+    parts = Level.build("two", first, second, n_words, two[1])
+    before, third = np.divmod(three[0], n_words)
+    following = before % n_words * n_words + third
+    pair, after = (np.searchsorted(two[0], k) for k in (before, following))
+    if len(two[0]):
+        whole = np.flatnonzero((two[0][np.minimum(pair, len(two[0]) - 1)] == before) & (two[0][np.minimum(after, len(two[0]) - 1)] == following))
+    else:
+        whole = np.zeros(0, np.int64)
+    start = np.searchsorted(two[0], before[whole] % n_words * n_words)
+    return parts | Level.build("three", pair[whole], after[whole] - start, len(two[0]), three[1][whole])
 
 
 def save(parts: dict[str, np.ndarray], path: str) -> None:
