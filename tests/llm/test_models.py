@@ -79,6 +79,21 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert len(odd) == odd_docs.count() and all(0 <= x.score <= 1 for x in odd) and toxicity.scores(no_docs, model).count() == 0
 
 
+def test_toxicity_scores_whole_runs(spark):
+    insult, s = "坏蛋的人们".encode(), toxicity.Settings()
+    model = toxicity.Model(s)
+    model.E[:] = 0
+    marked = toxicity.subwords(insult, s)
+    model.W = np.eye(s.width, 2, dtype=np.float32)
+    model.E[marked, 1] = 500
+    for filler, n in (("好", 200), ("x", 700), ("ж", 300)):
+        texts = [filler * n, filler * n + insult.decode() + filler * n, filler * n + insult.decode()]
+        for t in texts:
+            assert set().union(*toxicity.words_of(t.encode())) == set(t.encode()) and all(w.decode() for w in toxicity.words_of(t.encode()))
+        got = {r.doc_id: r.score for r in toxicity.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()}
+        assert got[1] > 0.6 > 0.51 > got[0] and got[2] > 0.6
+
+
 def test_language(spark, docs, odd_docs, no_docs):
     model = langid.train(docs, EVEN, langid.Settings(sample=60))
     rows = langid.predict(docs, model).where(ODD).join(docs.select("doc_id", "lang"), "doc_id").collect()

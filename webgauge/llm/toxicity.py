@@ -54,13 +54,33 @@ CACHED = 500_000
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
+LONG, OVERLAP = 64, 32
+"""Longer words are cut into pieces of so many bytes; two neighbours share so many."""
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """Overlapping pieces, none of which begins or ends within a letter.  A sequence of OVERLAP - 6 bytes is whole in one."""
+    out, start = [], 0
+    while len(word) - start > LONG:
+        stop = start + LONG
+        while word[stop] & 0xC0 == 0x80:
+            stop -= 1
+        out.append(word[start:stop])
+        start = stop - OVERLAP
+        while word[start] & 0xC0 == 0x80:
+            start -= 1
+    return [*out, word[start:]]
+
+
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
+    """Runs of word bytes.  Text without spaces is one run: long ones become several words, so that all of it counts."""
+    words = text.translate(FOLD).split()
+    return [p for w in words for p in pieces(w)] if max(map(len, words), default=0) > LONG else words
 
 
 def subwords(word: bytes, s: Settings) -> list[int]:
     """Buckets of the word, of its n-grams of letters with marks at both ends, and of its longer beginnings."""
-    w = b"<" + word[:64] + b">"
+    w = b"<" + word + b">"
     mask = s.buckets - 1
     out = [crc32(word) & mask]
     starts = [k for k in range(len(w)) if w[k] & 0xC0 != 0x80] + [len(w)]
