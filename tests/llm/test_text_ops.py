@@ -92,6 +92,22 @@ def test_rules_reject_other_distributions(spark):
     assert all(got[k].kept for k in range(30)) and not got[100].kept and not got[101].kept
 
 
+def test_rules_with_languages_without_reference_words(spark):
+    r = random.Random(3)
+    make = lambda n: ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(4, 7))) for _ in range(n)]
+    words, other = make(100), make(300)
+    rows = [(k, " ".join(r.choice(words) for _ in range(300)), "en") for k in range(40)] + [(100, " ".join(r.choice(other) for _ in range(300)), "en")]
+    thai = " ".join("".join(r.choice("กขคงจชซดตนบปผพมยรลวสหอ") for _ in range(20)) for _ in range(300))
+    df = spark.createDataFrame([*rows, (200, thai, "th"), (201, "", "xx"), (202, None, "yy")], "doc_id bigint, text string, lang string")
+    got = {x.doc_id: x for x in quality_rules.apply_rules(df).collect()}
+    assert all(got[k].kept for k in range(40)) and not got[100].kept and got[100].word_distance > 0.36 and not got[100].base_failed
+    few = thai.split()[:50]
+    more = [(k, " ".join(r.choice(few) for _ in range(300)), "th") for k in range(300, 305)]
+    df = spark.createDataFrame([*rows, (200, thai, "one text"), *more], "doc_id bigint, text string, lang string")
+    whole = {x.doc_id: x for x in quality_rules.apply_rules(df, quality_rules.Rules(common_bytes=None, min_reference_words=1000)).collect()}
+    assert not whole[100].kept and all(whole[k].kept for k in (*range(40), *range(300, 305)))
+
+
 # --- contamination
 
 

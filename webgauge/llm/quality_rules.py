@@ -33,8 +33,11 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     common_words: int = 64
-    """Reference words of a language; they are short, so longer words aren't counted."""
-    common_bytes: int = 8
+    """Reference words of a language."""
+    common_bytes: int | None = 8
+    """Reference words have so many bytes at most, as in the registered query's SQL.  None: words of any length."""
+    min_reference_words: int = 1
+    """A language of fewer words in all has no part in the word distance."""
     max_class_distance: float = 0.30
     min_class_bytes: int = 200
     max_word_distance: float = 0.36
@@ -55,7 +58,7 @@ def references(df: DataFrame, rules: Rules = Rules(), text_col: str = "text", la
                 used = np.frombuffer(text, np.uint8)
                 classes += np.bincount(CLASS_OF[used[~SPACE[used]]], minlength=len(CLASSES))
             for lang, (words, classes) in found.items():
-                short = {w: n for w, n in words.items() if len(w) <= rules.common_bytes}
+                short = {w: n for w, n in words.items() if rules.common_bytes is None or len(w) <= rules.common_bytes}
                 short[b""] = sum(words.values()) - sum(short.values())
                 keys = [*CLASSES, *(w.decode("utf-8", "replace") for w in short)]
                 n = [*classes.tolist(), *short.values()]
@@ -97,7 +100,8 @@ def apply_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", t
     """The figures and the verdict of each row.
 
     Null, empty and blank texts have no words and fail.  A language of fewer rows makes a reference as well; where
-    there are no references (no row has a language), the base rules alone decide.  Repeated rows give a row each.
+    there are no references (no row has a language), the base rules alone decide; a language without reference words (its
+    texts are empty, or hold long words only) has no part in the word distance.  Repeated rows give a row each.
     `against` takes the references of another corpus.  carry adds `row`, all columns of df.
     """
     rows = (references(df, rules, text_col, lang_col) if against is None else against).collect()  # common_words + 9 for each language
@@ -112,6 +116,8 @@ def apply_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", t
         if r.key:
             (by_class if r.kind == "c" else by_word)[k, CLASSES.index(r.key) if r.kind == "c" else words[r.key]] = n
     by_word[:, -1] = np.clip(1 - by_word[:, :-1].sum(1), 0, 1)
+    enough = np.array([total.get((lang, "w"), 0) >= rules.min_reference_words for lang in langs], bool)
+    by_word = by_word[by_word[:, :-1].any(1) & enough]  # a language without reference words has no distance
     own = [np.append(np.flatnonzero(h[:-1]), len(words)) for h in by_word]
     common = {w.encode(): i for w, i in words.items()}
 
@@ -135,7 +141,7 @@ def apply_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", t
                 out["n_repeat_words"].append(repeated(mine, len(ids)))
                 judged = len(langs) > 0 and len(used) >= rules.min_class_bytes
                 out["class_distance"].append(float(distances(np.bincount(CLASS_OF[used], minlength=len(CLASSES))[None] / len(used), by_class).min()) if judged else None)
-                judged = len(langs) > 0 and n >= rules.min_word_words
+                judged = len(by_word) > 0 and n >= rules.min_word_words
                 if judged:
                     seen = np.bincount(known[mine], minlength=len(words) + 1) / n
                     near = []
