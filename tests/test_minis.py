@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from webgauge.functions import text, urls
-from webgauge.operators import checks, content, extract, hosts, robots
+from webgauge.operators import checks, content, extract, graph, hosts, robots
 from webgauge.plans.fixtures import view
 from webgauge.sources import shared
 from webgauge.streaming import streams
@@ -79,6 +79,16 @@ def test_near_pairs_are_true_pairs(spark, values):
     assert all(bin((values[p.seq] ^ values[p.other]) & (2**64 - 1)).count("1") == p.distance <= 5 and p.other < p.seq for p in pairs)
 
 
+def test_frontier_goes_to_the_end(spark):
+    edges = [("h", f"p{k}", f"P{k + 1}") for k in range(54)] + [("h", "p3", "p0"), ("h", "p4", "q"), ("h", "q", "r"), ("g", "p0", "p1"), ("h", "x", "y")]
+    depth, level = {"p0": 0}, ["p0"]
+    while level:
+        level = sorted({d.lower() for h, a, d in edges if h == "h" and a in level} - {"q", *depth})
+        depth |= {u: max(depth.values()) + 1 for u in level}
+    made = graph.frontier(spark.createDataFrame(edges, "host string, src string, dst string"), spark.createDataFrame([("h", "p0")], "host string, url string"), blocked=spark.createDataFrame([("h", "q")], "host string, url string"))
+    assert {r.url: r.depth for r in made.collect()} == depth and max(depth.values()) == 54
+
+
 def test_issues_do_not_depend_on_partitioning(spark):
     pages = view(spark, SF, "pages_ext")
     key = lambda df: sorted(map(tuple, df.collect()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,9 @@ def image_use(images: DataFrame, pages: DataFrame, rare: int = 10) -> DataFrame:
     return by_page.join(counts.groupBy("host").agg(F.count("*").alias("images")), "host", "left").na.fill(0)
 
 
-def frontier(edges: DataFrame, starts: DataFrame, max_pages: int = 1000, max_depth: int = 50, allow_query: bool = True, blocked: DataFrame | None = None) -> DataFrame:
+def frontier(edges: DataFrame, starts: DataFrame, max_pages: int = 1000, max_depth: int | None = None, allow_query: bool = True, blocked: DataFrame | None = None) -> DataFrame:
     """(host, url, depth): breadth-first from starts(host, url) over edges(host, src, dst), unique by lower-case address, `max_pages` of a host by depth and
-    address.  blocked(host, url) aren't entered.  Each level is a join and an anti join, written out so that plans don't grow."""
+    address.  Without max_depth it goes on until no new page comes.  blocked(host, url) aren't entered.  Each level is a join and an anti join, written out so that plans don't grow."""
     key = lambda c: F.lower(c)
     level = starts.select("host", key("url").alias("url")).distinct().withColumn("depth", F.lit(0))
     seen = materialize(level)
@@ -38,7 +40,7 @@ def frontier(edges: DataFrame, starts: DataFrame, max_pages: int = 1000, max_dep
     steps = edges.select("host", key("src").alias("src"), key("dst").alias("dst")).distinct()
     if not allow_query:
         steps = steps.where(~F.col("dst").contains("?"))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         found = level.join(steps, (level["host"] == steps["host"]) & (level["url"] == steps["src"])).select(steps["host"], F.col("dst").alias("url")).distinct()
         if blocked is not None:
             found = found.join(blocked.select("host", key("url").alias("url")), ["host", "url"], "left_anti")
