@@ -152,6 +152,15 @@ def test_html(spark):
     assert sorted((r.page_id, r.text) for r in got) == sorted((i, t) for i, _, t in pages)
 
 
+def test_html_head_without_end_tag():
+    for start in ("<body>", ""):
+        page = html_extract.Tree()
+        page.feed(f"<html><head><meta charset=utf-8><title>t</title><template><p>x</p></template><link rel=x>{start}<article><p>Said here.</p></article>")
+        tags = {tag: k for k, tag in enumerate(page.tags)}
+        within = lambda k: [page.tags[k], *within(page.parents[k])] if k >= 0 else []
+        assert "head" not in within(tags["article"]) and "head" in within(tags["template"]) and "head" in within(tags["link"])
+
+
 def test_exact_marginals_by_enumeration():
     model = html_extract.trained()
     tree = html_extract.parse("<article><p>some text of a page</p><div class=ad>buy</div></article>")

@@ -33,6 +33,10 @@ KINDS = {**{t: 1 for t in INLINE}, **{t: 2 for t in "p h1 h2 h3 h4 h5 h6 li ul o
 N_KINDS = 5
 
 
+#: Fixed value: start tags that may stand in a head; any other one ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+
+
 class Tree(HTMLParser):
     """Elements of a page in order: tag, parent, names; and the texts with their element, -1 where a block begins or ends."""
 
@@ -53,6 +57,8 @@ class Tree(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD:
+            self._close({"head"}, {"template"})
         if tag in ENDS_P:
             self._close({"p"}, {"table", "td", "th", "button", "object", "li", "div", "article", "section"})
         if tag in ENDS:
