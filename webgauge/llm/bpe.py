@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounds, carried, csr_take, inputs, outputs, slices
+from .common import bounds, carried, csr_take, inputs, opened, outputs, places, slices
 
 #: The pre-token pattern of byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -76,6 +76,7 @@ class Bpe:
         # The longest other token that starts a token.
         self.shorter = [next((ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ids), -1) for t in tokens]
         self.length = list(map(len, tokens))
+        self.longest = max(self.length)
         self.automaton = ahocorasick.Automaton()
         for t, i in ids.items():
             if self.rank[i] >= 0 or len(t) == 1:
@@ -123,7 +124,7 @@ class Bpe:
         out = [i for _, i in self.automaton.iter_long(word)]
         if all(map(self.compatible, out, out[1:])):
             return out
-        length, shorter, compatible, longest = self.length, self.shorter, self.compatible, self.automaton.iter_long
+        length, shorter, compatible, longest, most = self.length, self.shorter, self.compatible, self.automaton.iter_long, self.longest
         out, at, token, n, dead = [], 0, out[0], len(word), set()
         while at < n:
             while token >= 0 and (at + length[token] in dead or out and not compatible(out[-1], token)):
@@ -132,7 +133,7 @@ class Bpe:
                 out.append(token)
                 at += length[token]
                 if at < n:
-                    token = next(longest(word, at))[1]
+                    token = next(longest(word[at : at + most]))[1]  # no more of the word than a token may hold
             else:
                 dead.add(at)
                 last = out.pop()
@@ -212,20 +213,20 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     Null and empty texts give no ids and the empty text; repeated rows give a row each; a text of any length is
     encoded whole; the strings of special tokens in a text become their ids.  carry adds `row`, all columns of df.
     """
-    return _run(inputs(df, id_col, text_col, carry), id_col, vocabulary, True)
+    return _run(df, id_col, text_col, vocabulary, carry, True)
 
 
 def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, carry: bool = False) -> DataFrame:
     """As encode, with the number of ids and the SHA-256 digests only."""
-    return _run(inputs(df, id_col, text_col, carry), id_col, vocabulary, False)
+    return _run(df, id_col, text_col, vocabulary, carry, False)
 
 
-def _run(docs: DataFrame, id_col: str, vocabulary: str | None, whole: bool) -> DataFrame:
-    path = vocabulary or default_vocabulary()
+def _run(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None, carry: bool, whole: bool) -> DataFrame:
+    path, docs, where = vocabulary or default_vocabulary(), inputs(df, id_col, text_col, carry), places(df, id_col, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in slices(batches):
+        for batch in slices(opened(batches, where)):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             ids, at = bpe.encode_batch(texts)
             digits, lens = csr_take(bpe.decimal_offsets, bpe.decimals, ids)
@@ -246,4 +247,4 @@ def _run(docs: DataFrame, id_col: str, vocabulary: str | None, whole: bool) -> D
             yield pa.RecordBatch.from_pydict(out | carried(batch))
 
     ddl = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * whole
-    return docs.mapInArrow(run, outputs(docs, ddl)).withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, outputs(docs, df.schema[id_col].dataType, ddl)).withColumnRenamed("id", id_col)

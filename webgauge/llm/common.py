@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,54 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and
-    gives the optimizer the table's true size.  The folder's owner removes old tables."""
-    path = f"{shared_dir(df.sparkSession)}/webgauge/{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+"""Bytes of an Arrow batch that goes to a Python worker; Spark's default is eight times that, in every worker at once."""
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session sends small batches to Python; a smaller setting of the user's stays."""
+    now = str(spark.conf.get(BATCH, "64m")).lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    if int(now.rstrip("kmg")) << unit > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and gives the optimizer the
+    table's true size.  The shuffle files of the write go when it ends.  Within scratch() the table goes too, unless it is to be kept."""
+    spark = df.sparkSession
+    small_batches(spark)
+    path = f"{shared_dir(spark)}/webgauge/{uuid.uuid4().hex}"
+    made, before = _made.get(), spark.conf.get(CLEANUP, "false")
+    if made is not None and not keep:
+        made.append(path)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that materialize() wrote meanwhile.  What is read later must come from kept ones."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        for path in made or []:
+            drop_table(spark, path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -58,14 +102,30 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 
 
 def inputs(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
-    """df's id and text under fixed names; with carry also `row`, all its columns."""
-    row = [F.struct(*(df[f"`{c.replace('`', '``')}`"] for c in df.columns)).alias("row")] if carry else []
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text"), *row)
+    """df's id and text under fixed names; with carry instead `row`, all its columns, of which id and text are a part already."""
+    small_batches(df.sparkSession)
+    if not carry:
+        return df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    return df.select(F.struct(*(df[f"`{c.replace('`', '``')}`"] for c in df.columns)).alias("row"))
 
 
-def outputs(docs: DataFrame, ddl: str) -> T.StructType:
+def places(df: DataFrame, id_col: str, text_col: str) -> tuple[int, int]:
+    """Where id and text are in df's rows."""
+    return df.columns.index(id_col), df.columns.index(text_col)
+
+
+def opened(batches: Iterable[pa.RecordBatch], at: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Batches of inputs() with id and text; they are read out of the row, if that is carried, and aren't sent beside it."""
+    for batch in batches:
+        if "row" in batch.schema.names:
+            row = batch.column("row")
+            batch = pa.RecordBatch.from_arrays([row.field(at[0]), row.field(at[1]), row], ["id", "text", "row"])
+        yield batch
+
+
+def outputs(docs: DataFrame, kind: T.DataType, ddl: str) -> T.StructType:
     """The schema of an operator's result: id, ddl, and the row if it is carried."""
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL(ddl)])
+    schema = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL(ddl)])
     return schema.add("row", docs.schema["row"].dataType) if "row" in docs.columns else schema
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, carried, csr_take, inputs, outputs, slices, utf8
+from .common import bounds, carried, csr_take, inputs, opened, outputs, places, slices, utf8
 
 WINDOW = 13
 SHARD_BYTES = 16 << 20
@@ -211,13 +211,14 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SPANS = "n_words bigint, spans array<struct<start:int,stop:int>>, items array<string>"
 
 
-def _find(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
+def _find(df: DataFrame, id_col: str, text_col: str, carry: bool, benchmark: Benchmark) -> DataFrame:
+    docs, where = inputs(df, id_col, text_col, carry), places(df, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(benchmark)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = sent.value
         look = b.vocab.get
-        for batch in _shards(batches):
+        for batch in _shards(opened(batches, where)):
             split = [words_of(t) for t in utf8(batch.column("text"))]
             at = bounds(map(len, split))
             ids = np.fromiter((look(w, 0) for s in split for w in s), np.int64, at[-1])
@@ -245,7 +246,7 @@ def _find(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
                 **carried(batch),
             })
 
-    return docs.mapInArrow(run, outputs(docs, SPANS))
+    return docs.mapInArrow(run, outputs(docs, df.schema[id_col].dataType, SPANS))
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES, carry: bool = False) -> DataFrame:
@@ -261,12 +262,11 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // max_benchmark_bytes) or 1
     if blocks == 1:
-        return _find(inputs(df, id_col, text_col, carry), Benchmark([(r.item, r.text) for r in items.collect()], window)).withColumnRenamed("id", id_col)
-    docs = inputs(df, id_col, text_col, True)
+        return _find(df, id_col, text_col, carry, Benchmark([(r.item, r.text) for r in items.collect()], window)).withColumnRenamed("id", id_col)
     parts = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64(F.col("text")), F.lit(blocks)) == k).collect()
-        found = _find(docs, Benchmark([(r.item, r.text) for r in block], window))
+        found = _find(df, id_col, text_col, True, Benchmark([(r.item, r.text) for r in block], window))
         parts = found if parts is None else parts.unionByName(found)
     key = F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256)
     merged = parts.withColumn("key", key).groupBy("id", "key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.first("row").alias("row"), (F.count("*") / blocks).cast("int").alias("copies"))

@@ -20,10 +20,10 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbered, bounds, materialize, number, slices, utf8
+from .common import Numbered, bounds, materialize, number, scratch, slices, small_batches, utf8
 from .components import components, relabel
 
 
@@ -41,8 +41,8 @@ class Settings:
     """Posterior chance of a link at which a pair is given up."""
     seed: int = 20240501
     whole: int = 2048
-    """Sets of so many shingles go along where blocks of a bucket are compared; pairs of larger ones are verified one by one."""
-    block: int = 256
+    """Sets of so many shingles go along where blocks of a group are compared; pairs of larger ones are verified one by one."""
+    block: int = 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,29 +96,25 @@ def signature(shingles: np.ndarray, s: Settings) -> np.ndarray:
 
 
 def sketches(df: DataFrame, s: Settings) -> DataFrame:
-    """(id, n_shingles, class, sketch, bands) of each row of df(id, text).  class: digest of the whole set; sketch: low byte of each
-    signature value; bands: a hash for each band.  Empty sets have no sketch and bands."""
+    """(id, n_shingles, class, sketch) of each row of df(id, text).  class: digest of the whole set; sketch: low byte of each
+    signature value.  Empty sets have no sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = np.arange(s.bands, dtype=np.uint64)
         for batch in slices(batches):
-            n, cls, low, bands = [], [], [], []
-            for h in shingle_sets(utf8(batch.column("text")), s.words):
-                n.append(len(h))
-                cls.append(blake2b(h.tobytes(), digest_size=16).digest())
-                if not len(h):
-                    low.append(None)
-                    bands.append(None)
-                    continue
-                sig = signature(h, s)
-                low.append(sig.astype(np.uint8).tobytes())
-                value = _mix(band + np.uint64(1))
-                for row in sig.reshape(s.bands, s.rows).T:
-                    value = _mix(value * np.uint64(31) + row)
-                bands.append(value.view(np.int64))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_shingles": pa.array(n, pa.int64()), "class": pa.array(cls, pa.binary()), "sketch": pa.array(low, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+            sets = list(shingle_sets(utf8(batch.column("text")), s.words))
+            low = [signature(h, s).astype(np.uint8).tobytes() if len(h) else None for h in sets]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_shingles": pa.array(map(len, sets), pa.int64()), "class": pa.array(map(class_of, sets), pa.binary()), "sketch": pa.array(low, pa.binary())})
+
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n_shingles bigint, class binary, sketch binary")
+
+
+def class_of(shingles: np.ndarray) -> bytes:
+    return blake2b(shingles.tobytes(), digest_size=16).digest()
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n_shingles bigint, class binary, sketch binary, bands array<bigint>")
+
+def buckets(s: Settings) -> Column:
+    """A hash for each band of a sketch.  Unequal values have equal low bytes once in 256 times, so few more sketches meet."""
+    return F.expr(f"transform(sequence(0, {s.bands - 1}), k -> xxhash64(k, substring(sketch, k * {s.rows} + 1, {s.rows})))")
 
 
 @lru_cache(8)
@@ -156,30 +152,34 @@ def plausible(pairs: DataFrame, s: Settings) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}, matches int")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """(id, shingles) of the documents wanted(id), made anew from their texts; so no set of another document is ever stored."""
+def payloads(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """(rep, n, sketch, shingles) of the classes wanted(rep, class, n, sketch), shingled anew from the text of a document that stands
+    for one; so a set is stored once, and none of a document that met no other."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "shingles": pa.array([h.tobytes() for h in shingle_sets(utf8(batch.column("text")), s.words)], pa.binary())})
+            sets = list(shingle_sets(utf8(batch.column("text")), s.words))
+            # Other versions under the same id have another class.
+            own = pa.array([class_of(h) == c for h, c in zip(sets, batch.column("class").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("rep", "n", "sketch")} | {"shingles": pa.array([h.tobytes() for h in sets], pa.binary())}).filter(own)
 
-    return materialize(docs.join(wanted.distinct().hint("shuffle_merge"), "id", "left_semi").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles binary"))
+    texts = docs.join(wanted.hint("shuffle_merge"), docs["id"] == wanted["rep"]).select("rep", "class", "n", "sketch", "text", F.xxhash64("text").alias("version"))
+    return texts.dropDuplicates(["rep", "class", "version"]).mapInArrow(run, f"rep {kind}, n bigint, sketch binary, shingles binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def verified(pairs: DataFrame, payload: DataFrame, s: Settings) -> DataFrame:
     """Pairs(a, b) whose full sets are similar enough."""
-    pairs = materialize(pairs.select("a", "b").distinct())
-    kind = docs.schema["id"].dataType.simpleString()
+    kind = payload.schema["rep"].dataType.simpleString()
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in sets), s) for sets in zip(batch.column("set_a"), batch.column("set_b"))]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("a", "b")}).filter(pa.array(keep, pa.bool_()))
 
-    made = _sets(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), s)
-    first = made.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).hint("shuffle_merge")
-    second = made.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")).hint("shuffle_merge")
-    return materialize(pairs.join(first, "a").join(second, "b").mapInArrow(judge, f"a {kind}, b {kind}"))
+    first = payload.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")).hint("shuffle_merge")
+    second = payload.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")).hint("shuffle_merge")
+    return materialize(pairs.select("a", "b").distinct().join(first, "a").join(second, "b").mapInArrow(judge, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -190,46 +190,54 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are versions of one document and end in one component; of such rows with equal sets the pair's links hold for
     all.  A null id is its own component (null), kept.  Texts of any length are used whole.
     """
-    s = settings
-    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    small_batches(df.sparkSession)
+    with scratch(df.sparkSession):
+        sizes, roots = _linked(df.select(df[id_col].alias("id"), df[text_col].alias("text")), settings)
+    out = sizes.join(roots.hint("shuffle_merge"), "id", "left")
+    root = F.coalesce("root", "id")
+    return out.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), root.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def _linked(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Kept tables (id, n_shingles) of all rows and (id, root) of all ids with a set."""
     sketched = materialize(sketches(docs, s))
+    sizes = materialize(sketched.select("id", "n_shingles"), keep=True)
     full = sketched.where("n_shingles > 0 and id is not null")
     # One document stands for each class of equal sets.
-    classes = materialize(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    classes = materialize(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    rows = classes.select("rep", "n", F.explode(buckets(s)).alias("bucket"))
     several = materialize(rows.groupBy("bucket").count().where("count > 1").select("bucket"))
     met = materialize(rows.join(several.hint("shuffle_merge"), "bucket"))
     ends = materialize(met.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high")))
-    stars = met.join(ends.hint("shuffle_merge"), "bucket").select(F.col("rep").alias("a"), "n", F.explode(F.array("low", "high")).alias("end")).select("a", F.col("end.rep").alias("b"), _alike("n", "end.n", s).alias("alike")).where("alike and a <> b")
+    # Buckets with the same ends are one from here on.
+    met = materialize(met.join(ends.hint("shuffle_merge"), "bucket").select("low", "high", F.struct("rep", "n").alias("own")).distinct())
+    stars = met.select("own", F.explode(F.array("low", "high")).alias("end")).where(_alike("own.n", "end.n", s)).select(F.col("own.rep").alias("a"), F.col("end.rep").alias("b")).where("a <> b")
     tried = materialize(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sketch = classes.select("rep", "sketch")
-    likely = materialize(_likely(tried, sketch, s))
+    groups = materialize(met.select(F.col("low.rep").alias("low"), F.col("own.rep").alias("rep"), F.col("own.n").alias("n")).distinct())
+    payload = materialize(payloads(docs, classes.join(groups.select("rep").distinct().hint("shuffle_merge"), "rep", "left_semi"), s))
+    likely = materialize(_likely(tried, payload, s))
     # The best partner of each first; then what still lies between components.
-    best = likely.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
-    links = verified(best, docs, s)
+    best = materialize(likely.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b")))
+    links = verified(best, payload, s)
     roots = components(links)
-    links = links.unionByName(verified(_apart(likely.join(best, ["a", "b"], "left_anti").select("a", "b"), roots), docs, s))
+    links = links.unionByName(verified(_apart(likely.join(best.hint("shuffle_merge"), ["a", "b"], "left_anti").select("a", "b"), roots), payload, s))
     roots = components(links)
-    rest = materialize(_apart(_mixed(met, roots, sketch, docs, s), roots, "sure"))
+    rest = materialize(_apart(_mixed(groups, roots, payload, s), roots, "sure"))
     if rest.head(1):
         doubtful = rest.where("not sure").select("a", "b").join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti")
-        links = links.unionByName(rest.where("sure").select("a", "b")).unionByName(verified(doubtful, docs, s))
+        links = links.unionByName(rest.where("sure").select("a", "b")).unionByName(verified(doubtful, payload, s))
         roots = components(links)
     # From representatives to their classes' members, and to versions under one id.
     of_class = classes.select("class", "rep").join(roots.hint("shuffle_merge"), classes["rep"] == roots["id"], "left").select("class", F.coalesce("root", "rep").alias("root"))
-    members = full.select("id", "class").join(of_class.hint("shuffle_merge"), "class").select("id", "root").distinct()
+    members = materialize(full.select("id", "class").join(of_class.hint("shuffle_merge"), "class").select("id", "root").distinct())
     if members.groupBy("id").count().where("count > 1").head(1):
-        both = members.select(F.col("id").alias("a"), F.col("root").alias("b"))
-        members = components(both)
-    ends = members.groupBy("id").agg(F.min("root").alias("root"))
-    out = sketched.select("id", "n_shingles").join(ends.hint("shuffle_merge"), "id", "left")
-    root = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), root.eqNullSafe(F.col("id")).alias("kept"))
+        members = components(members.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    return sizes, materialize(members.groupBy("id").agg(F.min("root").alias("root")), keep=True)
 
 
-def _likely(pairs: DataFrame, sketch: DataFrame, s: Settings) -> DataFrame:
-    a = sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")).hint("shuffle_merge")
-    b = sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")).hint("shuffle_merge")
+def _likely(pairs: DataFrame, payload: DataFrame, s: Settings) -> DataFrame:
+    a = payload.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")).hint("shuffle_merge")
+    b = payload.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")).hint("shuffle_merge")
     return plausible(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b"), s)
 
 
@@ -239,56 +247,66 @@ def _apart(pairs: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
     return relabel(kept, roots).where("a <> b").select(F.col("x").alias("a"), F.col("y").alias("b"), *more)
 
 
-def _alike(n: str, m: str, s: Settings):
+def _alike(n: str, m: str, s: Settings) -> Column:
     """Sets of such sizes can be similar enough."""
     return 100 * F.least(n, m) >= s.percent * F.greatest(n, m)
 
 
-def _mixed(met: DataFrame, roots: DataFrame, sketch: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """(a, b, sure): pairs of different components in one bucket that are links (sure), or may be, out of met(bucket, rep, n).
+def _mixed(groups: DataFrame, roots: DataFrame, payload: DataFrame, s: Settings) -> DataFrame:
+    """(a, b, sure): pairs of different components in one group that are links (sure), or may be, out of groups(low, rep, n): all that
+    share a bucket whose smallest representative is `low`, so whatever shares a bucket shares a group.
 
-    Of such a pair one at least is not in the bucket's largest component, so the rows of the others meet all rows: no square
-    of a large component.  Both sides are packed into blocks and blocks are joined; pairs are tested and verified inside a task,
-    and only links become rows.  Pairs that pass the test with a set too large for a block become rows to be verified.
+    Of such a pair one at least is not in the group's largest component, so the rows of the others meet all rows: no square of a large
+    component.  Rows go by number to each pair of blocks that they are in; a pair of blocks is tested and verified inside a
+    task, and only links become rows.  Pairs that pass the test with a set too large for a block become rows to be verified.
     """
-    rooted = materialize(met.join(roots.hint("shuffle_merge"), met["rep"] == roots["id"], "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root")))
-    sizes = rooted.groupBy("bucket", "root").count()
-    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"), F.sum("count").alias("size")).where("roots > 1").select("bucket", "main", "size")
-    rows = materialize(rooted.join(materialize(main).hint("shuffle_merge"), "bucket"))
-    sets = _sets(docs, rows.where(F.col("n") <= s.whole).select(F.col("rep").alias("id")), s).withColumnRenamed("id", "rep")
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / s.block)).alias("block")
-    rows = rows.join(sketch.hint("shuffle_merge"), "rep").join(sets.hint("shuffle_merge"), "rep", "left")
-    rows = materialize(rows.select("bucket", block, (F.col("root") != F.col("main")).alias("other"), F.struct("rep", "root", "n", "sketch", "shingles").alias("row")))
-    blocks = rows.groupBy("bucket", "block").agg(F.collect_list("row").alias("rows"))
-    others = rows.where("other").groupBy("bucket", "block").agg(F.collect_list("row").alias("others")).drop("block")
-    kind = met.schema["rep"].dataType.simpleString()
+    rooted = materialize(groups.join(roots.hint("shuffle_merge"), groups["rep"] == roots["id"], "left").select("low", "rep", "n", F.coalesce("root", "rep").alias("root")))
+    sizes = rooted.groupBy("low", "root").count()
+    main = sizes.groupBy("low").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"), F.sum("count").alias("size"), F.max("count").alias("most")).where("roots > 1").drop("roots")
+    rows = rooted.join(materialize(main).hint("shuffle_merge"), "low")
+    wide, high = F.ceil(F.col("size") / s.block), F.ceil((F.col("size") - F.col("most")) / s.block)
+    at = lambda blocks: F.pmod(F.xxhash64("rep"), blocks)
+    rows = materialize(rows.select("low", "rep", "root", (F.col("root") != F.col("main")).alias("other"), at(wide).alias("x"), at(high).alias("y"), wide.alias("wide"), high.alias("high")))
+    # A row is on the left of all pairs of its block, and on the right too if it is one of the others.
+    left = rows.select("low", "x", F.col("y").alias("own"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("y"), "rep", "root", "other")
+    left = left.select("low", "x", "y", "rep", "root", F.lit(True).alias("left"), (F.col("other") & (F.col("own") == F.col("y"))).alias("right"))
+    right = rows.where("other").select("low", F.col("x").alias("own"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), "y", "rep", "root").where("x <> own")
+    placed = left.unionByName(right.select("low", "x", "y", "rep", "root", F.lit(False).alias("left"), F.lit(True).alias("right")))
+    shingles = F.when(F.col("n") <= s.whole, F.col("shingles")).alias("shingles")
+    row = F.struct("rep", "root", "n", "sketch", shingles, "left", "right").alias("row")
+    blocks = placed.join(payload.hint("shuffle_merge"), "rep").select("low", "x", "y", row).groupBy("low", "x", "y").agg(F.collect_list("row").alias("rows"))
+    kind = groups.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least, width = least_matches(s), s.rows * s.bands
         for batch in batches:
-            for k in range(batch.num_rows):
-                sides = [batch.column(c)[k].values.flatten() for c in ("rows", "others")]
-                (x_rep, x_root, x_n), (y_rep, y_root, y_n) = ([v.to_numpy(zero_copy_only=False) for v in side[:3]] for side in sides)
-                x, y = (np.frombuffer(b"".join(side[3].to_pylist()), np.uint8).reshape(-1, width) for side in sides)
-                i, j = np.nonzero((x_root[:, None] != y_root[None]) & (100 * np.minimum(x_n[:, None], y_n[None]) >= s.percent * np.maximum(x_n[:, None], y_n[None])))
+            for rows in batch.column("rows"):
+                fields = rows.values.flatten()
+                rep, root, n, on_left, on_right = (fields[k].to_numpy(zero_copy_only=False) for k in (0, 1, 2, 5, 6))
+                sketch = np.frombuffer(b"".join(fields[3].to_pylist()), np.uint8).reshape(-1, width)
+                u, v = np.flatnonzero(on_left), np.flatnonzero(on_right)
+                near = (root[u, None] != root[None, v]) & (100 * np.minimum(n[u, None], n[None, v]) >= s.percent * np.maximum(n[u, None], n[None, v]))
+                i, j = (w[k] for w, k in zip((u, v), np.nonzero(near)))
                 matches = np.zeros(len(i), np.int64)
                 for at, few in enumerate(least):
                     cols = slice(at * s.batch, (at + 1) * s.batch)
-                    matches += (x[i, cols] == y[j, cols]).sum(1)
+                    for k in range(0, len(i), 1 << 16):
+                        part = slice(k, k + (1 << 16))
+                        matches[part] += (sketch[i[part], cols] == sketch[j[part], cols]).sum(1)
                     kept = matches >= few
                     i, j, matches = i[kept], j[kept], matches[kept]
                 if not len(i):
                     continue
-                u, v = (side[4].to_pylist() for side in sides)
-                sure = np.array([u[p] is not None and v[q] is not None for p, q in zip(i, j)])
-                both = common_counts(u, v, i[sure], j[sure])
+                sets = fields[4].to_pylist()
+                sure = np.array([sets[p] is not None and sets[q] is not None for p, q in zip(i, j)])
+                both = common_counts(sets, sets, i[sure], j[sure])
                 keep = ~sure
-                keep[sure] = 100 * both >= s.percent * (x_n[i[sure]] + y_n[j[sure]] - both)
+                keep[sure] = 100 * both >= s.percent * (n[i[sure]] + n[j[sure]] - both)
                 i, j, sure = i[keep], j[keep], sure[keep]
-                a, b = x_rep[i], y_rep[j]
+                a, b = rep[i], rep[j]
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b)), "sure": pa.array(sure)})
 
-    return blocks.join(others.hint("shuffle_merge"), "bucket").select("rows", "others").mapInArrow(run, f"a {kind}, b {kind}, sure boolean").distinct()
+    return blocks.select("rows").mapInArrow(run, f"a {kind}, b {kind}, sure boolean").distinct()
 
 
 def common_counts(u: list, v: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, carried, inputs, outputs, slices, utf8
+from .common import bounds, carried, inputs, opened, outputs, places, slices, utf8
 from .quality_rules import CLASS_OF, CLASSES, SPACE
 from .training import labelled_sample
 
@@ -178,13 +178,13 @@ def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     length are scored whole; repeated rows give a row each.  carry adds `row`, all columns of df."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(opened(batches, where)):
             x, at = encode_passages(utf8(batch.column("text")), model.s)
             p = np.concatenate([model.score(x[at[k] : at[j]], at[k : j + 1] - at[k]) for k, j in _runs(at)]) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": pa.array(p.astype(np.float64))} | carried(batch))
 
-    docs = inputs(df, id_col, text_col, carry)
-    return docs.mapInArrow(run, outputs(docs, "score double")).withColumnRenamed("id", id_col)
+    docs, where = inputs(df, id_col, text_col, carry), places(df, id_col, text_col)
+    return docs.mapInArrow(run, outputs(docs, df.schema[id_col].dataType, "score double")).withColumnRenamed("id", id_col)
 
 
 def _runs(at: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Numbered, bounds, carried, inputs, number, outputs, slices, utf8
+from .common import Numbered, bounds, carried, inputs, materialize, number, opened, outputs, places, scratch, slices, small_batches, utf8
 
 #: The classes of a word's bytes.  Bytes of two or more for a letter count as one class.
 CLASSES = ["lower", "upper", "digit", "stop", "mark", "symbol", "wide"]
@@ -34,15 +35,14 @@ class Rules:
     max_repeat_percent: int = 50
     common_words: int = 64
     """Reference words of a language."""
-    common_bytes: int | None = 8
-    """Reference words have so many bytes at most, as in the registered query's SQL.  None: words of any length."""
+    common_bytes: int | None = None
+    """Reference words have so many bytes at most.  None: words of any length."""
     min_reference_words: int = 1
     """A language of fewer words in all has no part in the word distance."""
     max_class_distance: float = 0.30
     min_class_bytes: int = 200
     max_word_distance: float = 0.36
     min_word_words: int = 200
-    max_languages: int = 1000
 
 
 def references(df: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -50,28 +50,48 @@ def references(df: DataFrame, rules: Rules = Rules(), text_col: str = "text", la
     of each language, counted over all rows; rows without a language count for none."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, tuple[Counter, np.ndarray]] = {}
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for lang, (words, classes) in found.items():
+                short = {w: n for w, n in words.items() if rules.common_bytes is None or len(w) <= rules.common_bytes}
+                short[b""] = sum(words.values()) - sum(short.values())
+                keys = [*CLASSES, *map(key_of, short)]
+                n = [*classes.tolist(), *short.values()]
+                for k in range(0, len(n), 20_000):
+                    part = slice(k, k + 20_000)
+                    kinds = ["c" if i < len(CLASSES) else "w" for i in range(len(n))[part]]
+                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(kinds), "kind": kinds, "key": keys[part], "n": pa.array(n[part], pa.int64())})
+
         for batch in slices(batches):
-            found: dict[str, tuple[Counter, np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text"))):
                 words, classes = found.setdefault(lang, (Counter(), np.zeros(len(CLASSES), np.int64)))
                 words.update(text.lower().split())
                 used = np.frombuffer(text, np.uint8)
                 classes += np.bincount(CLASS_OF[used[~SPACE[used]]], minlength=len(CLASSES))
-            for lang, (words, classes) in found.items():
-                short = {w: n for w, n in words.items() if rules.common_bytes is None or len(w) <= rules.common_bytes}
-                short[b""] = sum(words.values()) - sum(short.values())
-                keys = [*CLASSES, *(w.decode("utf-8", "replace") for w in short)]
-                n = [*classes.tolist(), *short.values()]
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(n), "kind": ["c"] * len(CLASSES) + ["w"] * len(short), "key": keys, "n": pa.array(n, pa.int64())})
+            if sum(len(words) for words, _ in found.values()) > HELD:
+                yield from hand_on()
+                found.clear()
+        yield from hand_on()
 
+    small_batches(df.sparkSession)
     docs = df.select(df[lang_col].alias("lang"), df[text_col].alias("text")).where("lang is not null")
-    counts = docs.mapInArrow(count, "lang string, kind string, key string, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    nth = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("key") == "", F.desc("n"), "key"))
+    counts = materialize(docs.mapInArrow(count, "lang string, kind string, key string, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
+    nth = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
     top = counts.where("key <> ''").withColumn("nth", nth).where(F.col("nth") <= rules.common_words).drop("nth")
     total = counts.groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.lit("").alias("key"))
     return top.unionByName(total)
 
 
+HELD = 300_000
+"""Words whose counts a task holds before it hands them on."""
+
+
+def key_of(word: bytes) -> str:
+    """Long words go by their beginning and a digest, which sorts as the word does."""
+    return word.decode("utf-8", "replace") if len(word) <= 200 else word[:120].decode("utf-8", "replace") + sha256(word).hexdigest()
+
+
 def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance of each row of p to each row of q."""
     p, q = p[:, None, :], q[None, :, :]
@@ -100,14 +120,14 @@ def apply_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", t
     """The figures and the verdict of each row.
 
     Null, empty and blank texts have no words and fail.  A language of fewer rows makes a reference as well; where
-    there are no references (no row has a language), the base rules alone decide; a language without reference words (its
-    texts are empty, or hold long words only) has no part in the word distance.  Repeated rows give a row each.
+    there are no references (no row has a language), the base rules alone decide; a language whose reference words are too few of its
+    words (its texts are empty, or written without spaces), so that a text without any of them would be near it, has no part in
+    the word distance.  Repeated rows give a row each.
     `against` takes the references of another corpus.  carry adds `row`, all columns of df.
     """
-    rows = (references(df, rules, text_col, lang_col) if against is None else against).collect()  # common_words + 9 for each language
+    with scratch(df.sparkSession):
+        rows = (references(df, rules, text_col, lang_col) if against is None else against).collect()  # common_words + 9 for each language
     langs = sorted({r.lang for r in rows})
-    if len(langs) > rules.max_languages:
-        raise ValueError(f"{len(langs)} languages; the references are made for {rules.max_languages} at most")
     total = {(r.lang, r.kind): r.n for r in rows if r.key == ""}
     words = {w: i for i, w in enumerate(sorted({r.key for r in rows if r.kind == "w" and r.key}))}
     by_class, by_word = np.zeros((len(langs), len(CLASSES))), np.zeros((len(langs), len(words) + 1))
@@ -117,17 +137,19 @@ def apply_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", t
             (by_class if r.kind == "c" else by_word)[k, CLASSES.index(r.key) if r.kind == "c" else words[r.key]] = n
     by_word[:, -1] = np.clip(1 - by_word[:, :-1].sum(1), 0, 1)
     enough = np.array([total.get((lang, "w"), 0) >= rules.min_reference_words for lang in langs], bool)
-    by_word = by_word[by_word[:, :-1].any(1) & enough]  # a language without reference words has no distance
+    # A language that a text without any reference word is near to can't tell texts apart.
+    enough &= np.array([distances(np.array([[0.0, 1.0]]), np.array([[1 - h[-1], h[-1]]]))[0, 0] > rules.max_word_distance for h in by_word], bool)
+    by_word = by_word[enough]
     own = [np.append(np.flatnonzero(h[:-1]), len(words)) for h in by_word]
-    common = {w.encode(): i for w, i in words.items()}
+    common = words
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(opened(batches, where)):
             texts = utf8(batch.column("text"))
             split = [t.split() for t in texts]
             ids = Numbered()
             flat = number([w for s in split for w in s], ids)
-            known = np.fromiter((common.get(w.lower(), len(words)) for w in ids), np.int64, len(ids))
+            known = np.fromiter((common.get(key_of(w.lower()), len(words)) for w in ids), np.int64, len(ids))
             at = bounds(map(len, split))
             out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance")}
             for k, text in enumerate(texts):
@@ -152,8 +174,8 @@ def apply_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", t
                 out["word_distance"].append(min(near) if judged else None)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), **{k: pa.array(v, pa.float64() if "distance" in k else pa.int64()) for k, v in out.items()}, **carried(batch)})
 
-    docs = inputs(df, id_col, text_col, carry)
-    found = docs.mapInArrow(run, outputs(docs, "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, class_distance double, word_distance double"))
+    docs, where = inputs(df, id_col, text_col, carry), places(df, id_col, text_col)
+    found = docs.mapInArrow(run, outputs(docs, df.schema[id_col].dataType, "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, class_distance double, word_distance double"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= rules.max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
     return found.withColumnRenamed("id", id_col).withColumn("base_failed", failed).withColumn("kept", ~failed & near)

@@ -107,8 +107,9 @@ class_refs AS (SELECT lang, k, sum(n) / greatest(1, sum(sum(n)) OVER (PARTITION
 class_near AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, r.lang, {_divergence('(n / used)', 'q')} AS d FROM classes JOIN class_refs r USING (k) WHERE used >= {RULES.min_class_bytes} GROUP BY doc_id, r.lang) x GROUP BY doc_id),
 tokens AS (SELECT doc_id, lang, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM (SELECT doc_id, lang, unnest(w) AS x FROM words) y),
 totals AS (SELECT lang, count(*) AS n FROM tokens WHERE lang IS NOT NULL GROUP BY lang),
-common AS (SELECT lang, x, count(*) AS n FROM tokens WHERE lang IS NOT NULL AND strlen(x) <= {RULES.common_bytes} GROUP BY lang, x QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) <= {RULES.common_words}),
-word_refs AS (SELECT c.lang, x, c.n / t.n AS q FROM common c JOIN totals t USING (lang)),
+common AS (SELECT lang, x, count(*) AS n FROM tokens WHERE lang IS NOT NULL GROUP BY lang, x QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) <= {RULES.common_words}),
+all_refs AS (SELECT c.lang, x, c.n / t.n AS q, greatest(0, 1 - sum(c.n / t.n) OVER (PARTITION BY c.lang)) AS r FROM common c JOIN totals t USING (lang)),
+word_refs AS (SELECT lang, x, q FROM all_refs WHERE sqrt((1 - r - log2((1 + r) / 2) + CASE WHEN r > 0 THEN r * log2(2 * r / (1 + r)) ELSE 0 END) / 2) > {RULES.max_word_distance}),
 seen AS (SELECT doc_id, x, count(*) AS n FROM tokens GROUP BY doc_id, x),
 long AS (SELECT doc_id, len(w) AS n FROM words WHERE len(w) >= {RULES.min_word_words}),
 parts AS (SELECT l.doc_id, r.lang, coalesce(s.n, 0) / l.n AS p, q FROM long l CROSS JOIN word_refs r LEFT JOIN seen s ON s.doc_id = l.doc_id AND s.x = r.x),
