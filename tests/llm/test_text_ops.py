@@ -248,54 +248,76 @@ def test_elias_fano():
         assert (ef.find(q) == np.searchsorted(v, q)).all()
 
 
-def test_lm_base_and_normalisation(spark, odd_docs, no_docs):
-    usable = F.coalesce(F.col("doc_id") != 3, F.lit(False))
-    model = lm.train(odd_docs, usable, lm.Settings(words=20, min_count=1))
-    got = lm.scores(odd_docs, model).collect()
-    docs = [(i, WORD.findall(lower(t)) + [None]) for i, t in texts_of(odd_docs)]
-    c = collections.Counter(w for i, d in docs for w in d if i is not None and i != 3)
-    n, v = sum(c.values()), len(c)
-    by = {x.doc_id: x for x in got}
-    for i, d in docs:
-        base = sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in d)
-        assert abs(by[i].base_score - base) < 1e-6 * max(1, abs(base)) and by[i].n_tokens == len(d) and by[i].n_known == sum(c[w] > 0 for w in d) and by[i].score <= 1e-9
-    assert len(got) == len(docs) and model.total == n
-    assert lm.scores(no_docs, model).count() == 0
-    empty = lm.train(no_docs, usable)
-    assert all(abs(x.score) < 1e-9 for x in lm.scores(odd_docs, empty).where("doc_id = 4").collect())
+def tokens_of(df):
+    return [(i, WORD.findall(lower(t)) + [None]) for i, t in texts_of(df)]
 
 
-def brute_scores(docs, usable, least, discount=0.75, add=0.1):
-    """Absolute discounting with backoff, token by token."""
+def brute_model(docs, usable, s=lm.Settings()):
+    """p(context, word), each order drawn to the lower one."""
     c = [collections.Counter() for _ in range(4)]
     for i, d in docs:
         for k in (1, 2, 3):
             c[k].update(tuple(d[j : j + k]) for j in range(len(d) - k + 1) if usable(i))
-    total = sum(c[1].values())
-    kept = {g: n for k in (2, 3) for g, n in c[k].items() if n >= least}
-    one = lambda w: (c[1][(w,)] + add) / (total + add * (len(c[1]) + 1))
-    after = collections.defaultdict(list)
-    for g in kept:
-        after[g[:-1]].append(g[-1])
-    p = lambda g: one(g[0]) if len(g) == 1 else (kept[g] - discount) / c[len(g) - 1][g[:-1]]
-    left = lambda x: min(1.0, max(1e-6, 1 - x))
-    back = lambda h: left(sum(p((*h, w)) for w in after[h])) / left(sum(p((*h[1:], w)) for w in after[h]))
+    total, kinds = sum(c[1].values()), len(c[1])
 
-    def log_p(g):
-        return np.log10(p(g)) if len(g) == 1 or g in kept else (np.log10(back(g[:-1])) if g[:-1] in after else 0) + log_p(g[1:])
+    def p(g):
+        if len(g) == 1:
+            return (c[1][g] + s.add) / (total + s.add * (kinds + 1))
+        mass = s.pair_mass if len(g) == 2 else s.triple_mass
+        return (c[len(g)][g] + mass * p(g[1:])) / (c[len(g) - 1][g[:-1]] + mass)
 
-    return {i: sum(log_p(tuple(d[max(0, j - 2) : j + 1])) for j in range(len(d))) for i, d in docs}
+    return p, c[1]
 
 
-@pytest.mark.parametrize("bounds", [{"words": 5, "max_ngrams": 4}, {"words": 1000}])
-def test_lm_keeps_all_ngrams(spark, bounds):
+@pytest.mark.parametrize("settings", [lm.Settings(), lm.Settings(shard=40, piece=120)])
+def test_lm_equals_brute_force(spark, odd_docs, settings):
     r = random.Random(5)
     words = [f"w{k}" for k in range(40)] + ["y" * 100]
-    rows = [(k, " ".join(words[min(40, int(r.expovariate(0.12)))] for _ in range(r.randint(0, 60)))) for k in range(80)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    got = lm.scores(df, lm.train(df, "doc_id % 4 <> 0", lm.Settings(**bounds))).collect()
-    want = brute_scores([(i, t.split() + [None]) for i, t in rows], lambda i: i % 4 != 0, 3)
-    assert len(got) == len(rows) and all(abs(x.score - want[x.doc_id]) < 1e-4 for x in got)
+    rows = [(100 + k, " ".join(words[min(40, int(r.expovariate(0.12)))] for _ in range(r.randint(0, 60)))) for k in range(80)]
+    df = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string")).repartition(3)
+    usable = lambda i: i is not None and i % 4 != 0
+    docs = tokens_of(df)
+    got = lm.scores(df, "doc_id % 4 <> 0", settings).collect()
+    p, c = brute_model(docs, usable, settings)
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x.doc_id].append(x)
+    assert len(got) == len(docs)
+    for i, d in docs:
+        base = sum(np.log10(p((w,))) for w in d)
+        score = sum(np.log10(p(tuple(d[max(0, j - 2) : j + 1]))) for j in range(len(d)))
+        for x in by[i]:
+            assert abs(x.base_score - base) < 1e-6 * max(1, abs(base)) and abs(x.score - score) < 5e-4 * len(d) + 1e-6
+            assert x.n_tokens == len(d) and x.n_known == sum(c[(w,)] > 0 for w in d) and x.train_tokens == sum(c.values())
+
+
+def test_lm_contexts_sum_to_one():
+    r = random.Random(2)
+    docs = [(k, [r.choice("abcde") for _ in range(r.randint(0, 9))] + [None]) for k in range(30)]
+    p, c = brute_model(docs, lambda i: True)
+    words = [w for (w,) in c] + ["unseen"]
+    for a in words:
+        for b in words:
+            if a is not None and b is not None:
+                assert abs(sum(p((a, b, w)) for w in words) - 1) < 1e-9 and abs(sum(p((b, w)) for w in words) - 1) < 1e-9
+
+
+def test_lm_without_rows(spark, odd_docs, no_docs):
+    assert lm.scores(no_docs, "true").count() == 0
+    assert all(abs(x.score) < 1e-9 and x.train_tokens == 0 for x in lm.scores(odd_docs, "false").collect())
+
+
+def test_trie():
+    r = np.random.default_rng(1)
+    paths = np.unique(r.integers(0, 30, (2000, 3)), axis=0)
+    pairs, node = np.unique(paths[:, :2], axis=0, return_inverse=True)
+    trie = ngram_trie.opened(ngram_trie.image(ngram_trie.build(30, (pairs[:, 0], pairs[:, 1], np.arange(len(pairs))), (node.ravel(), paths[:, 2], np.arange(len(paths))))))
+    asked = r.integers(0, 30, (5000, 3))
+    pair, triple = trie.find(*asked.T)
+    known = {tuple(x): k for k, x in enumerate(paths.tolist())}
+    known_pairs = {tuple(x): k for k, x in enumerate(pairs.tolist())}
+    assert triple.tolist() == [known.get(tuple(x), -1) for x in asked.tolist()]
+    assert pair.tolist() == [known_pairs.get(tuple(x[:2]), -1) for x in asked.tolist()]
 
 
 def test_common_counts():

@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
@@ -56,13 +56,14 @@ def small_batches(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and gives the optimizer the
-    table's true size.  The shuffle files of the write go when it ends.  Within scratch() the table goes too, unless it is to be kept."""
+    table's true size.  The shuffle files of the write go when it ends.  At the end of scratch() the table goes too; a table to `keep`
+    belongs to the scratch() around that."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/webgauge/{uuid.uuid4().hex}"
     made, before = _made.get(), spark.conf.get(CLEANUP, "false")
-    if made is not None and not keep:
-        made.append(path)
+    if len(made) > keep:
+        made[-1 - keep].append(path)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
@@ -74,13 +75,13 @@ def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes at its end the tables that materialize() wrote meanwhile.  What is read later must come from kept ones."""
-    token = _made.set([])
+    made: list[str] = []
+    token = _made.set((*_made.get(), made))
     try:
         yield
     finally:
-        made = _made.get()
         _made.reset(token)
-        for path in made or []:
+        for path in made:
             drop_table(spark, path)
 
 

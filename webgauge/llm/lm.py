@@ -1,310 +1,396 @@
-"""Language-model scoring: a trigram model of all words and n-grams that were seen often enough, however many there are.
+"""Language-model scoring: a trigram model of all words and n-grams of the corpus, in shards of an Elias-Fano trie.
 
-Smoothing: absolute discounting with backoff down to the additive unigram estimate of all tokens.  The log probability of a text
-is written as a sum over its n-grams: with U(c) = log p(c) + backoff(c), B(b, c) = log p(c | b) - backoff(b) - log p(c) + backoff(b, c)
-and T(a, b, c) = log p(c | a, b) - log p(c | b) - backoff(a, b), where B and T count for kept n-grams only, inner terms cancel and
-each token is left with its longest kept n-gram and the backoffs on the way to it.  So every n-gram has one weight.
+Smoothing: each order is drawn towards the next lower one, p(c | a, b) = (n(abc) + m p(c | b)) / (n(ab) + m), down to the additive
+unigram estimate, so the probabilities of each context sum to one.  A shard's trie holds the quantised logarithm of that for
+each n-gram seen, and of each context's share for the rest, m / (n + m).
 
-Weights stay in a distributed table.  Those of the most frequent n-grams over the most frequent words are in a trie of bounded
-size too, which every executor has as a file: that saves the shuffle for them and leaves no hot keys.  What a document has
-besides goes to the table by a join, once for each distinct n-gram.
+The corpus goes through four passes over chunks of some MB of text, whose tokens are numbers:
+
+1. words: each chunk sends its distinct words with their counts to shards and gets numbers and counts of the whole corpus;
+2. pairs: each chunk sends its distinct pairs to the shard of the first word, which adds up, builds its trie and answers;
+3. triples: likewise, to the shard of the first two words; its trie leads from the second word over the first to the third;
+4. sums of a document's tokens.
+
+What a chunk sends is added up within it and packed in arrays, a row for each shard.  Shards are as many as the corpus needs, so
+none grows with it.  A hot context is dealt to several shards by what follows it: counts of contexts come from the pass
+before, so a shard needs no other one.  Nothing but two totals goes through the driver.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections import Counter
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from hashlib import blake2b, sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_trie
-from .common import bounds, materialize, slices, utf8
+from .common import Numbered, bounds, materialize, number, scratch, slices, small_batches, utf8
 
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 1 << 15
-    """Most frequent words, which the trie's n-grams are made of.  Further words and their n-grams are in the table."""
-    min_count: int = 3
-    """N-grams seen less often aren't kept, whatever the size of the input."""
-    max_ngrams: int = 2_000_000
-    """N-grams of a level of the trie, the most frequent ones.  All others that are kept are in the table."""
-    discount: float = 0.75
     add: float = 0.1
+    pair_mass: float = 32.0
+    """The weight, in tokens, of the unigram estimate in a pair's."""
+    triple_mass: float = 8.0
+    shard: int = 600_000
+    """Tokens for each shard; a context of over a quarter of that is dealt to several."""
+    piece: int = 4 << 20
+    """Bytes of text in a chunk; a longer text is cut between words, and sums of its pieces are added up."""
 
 
 END = b"\n"
 """The end token; no word holds white space."""
-HELD = 400_000
-"""Words, or tenths of n-grams, whose counts a task holds before it hands them on."""
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+STEP = 2048
+"""Steps of a quantised log10 probability in one."""
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes: A-Z and ASCII white space only
 
 
-def key_of(word: bytes) -> bytes:
-    """Long words go by their digest; no word begins with this byte."""
-    return word if len(word) <= 64 else b"\xff" + sha256(word).digest()
+def quantised(log: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-log * STEP), 0, 65535).astype(np.uint16)
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(word, n) of all tokens of docs(id, text)."""
+def pack(a: np.ndarray) -> bytes:
+    """Numbers from 0 on in as many bytes each as the largest needs."""
+    kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
+    return kind.char.encode() + a.astype(kind).tobytes()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        hand_on = lambda: pa.RecordBatch.from_pydict({"word": pa.array(map(key_of, found), pa.binary()), "n": pa.array(found.values(), pa.int64())})
-        for batch in slices(batches):
-            for text in utf8(batch.column("text")):
-                found.update(words_of(text))
-            found[END] += batch.num_rows
-            if len(found) > HELD:
-                yield hand_on()
-                found = Counter()
-        if found:
-            yield hand_on()
-
-    return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _frequent(counted: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order with their weights, of the most frequent ones, as many as the trie holds."""
-    sizes = {r.n: r["count"] for r in counted.where(F.col("n") < 100_000).groupBy("n").count().orderBy("n").limit(100_000).collect()}
-    left, least = counted.count(), s.min_count
-    while left > s.max_ngrams and least < 100_000:
-        left -= sizes.get(least, 0)
-        least += 1
-    rows = counted.where(F.col("n") >= least).select("key", F.col("w").cast("float")).toArrow()
-    keys, w = rows.column("key").to_numpy(), rows.column("w").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], w[order]
-
-
-CACHED = 300_000
-"""Words whose code a task remembers."""
-RARE = 1 << 62
-
-
-class Codes(dict):
-    """The code of a word: its number if it is a frequent one, else a digest of 62 bits."""
-
-    def __missing__(self, word: bytes) -> int:
-        key = key_of(word)
-        code = self[key] if key != word else RARE | int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 2
-        if len(self) < CACHED:
-            self[word] = code
-        return code
-
-
-class Text:
-    """Tokens of a slice as codes, with the document of each and its place there."""
-
-    def __init__(self, texts: list[bytes], codes: Codes):
-        split = [words_of(t) for t in texts]
-        for words in split:
-            words.append(END)
-        self.at = bounds(map(len, split))
-        self.codes = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), np.int64, self.at[-1])
-        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.at))
-        self.place = np.arange(len(self.codes)) - self.at[self.doc]
 
-    def grams(self, size: int) -> np.ndarray:
-        """Where an n-gram of this size ends."""
-        return np.flatnonzero(self.place >= size - 1)
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, chr(data[0]), offset=1).astype(np.int64)
+
 
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers end to end, and where each row's begin."""
+    arrays = [unpack(v) for v in column.to_pylist()]
+    return np.concatenate(arrays), bounds(map(len, arrays))
 
-def _mixed(*columns: np.ndarray) -> np.ndarray:
-    """A digest of 64 bits for each row."""
+
+def mixed(*columns: np.ndarray) -> np.ndarray:
+    """A digest of 63 bits for each row."""
     out = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
         out = (out ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(32)
+    return (out >> np.uint64(1)).astype(np.int64)
+
+
+def pieces(text: bytes, size: int) -> Iterator[bytes]:
+    start = 0
+    while len(text) - start > size and (cut := SPACE.search(text, start + size)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
+def chunks(docs: DataFrame, s: Settings) -> DataFrame:
+    """Tokens of docs(row, id, train, text): `codes` number a chunk's own `words`, which go by 64-bit digests; row k has the codes from at[k]
+    to at[k + 1], of which lead[k] are those before a later piece of a cut text."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def lists(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
+        if len(texts) > 1 or len(texts[0]) <= s.piece:
+            yield list(range(len(texts))), [0] * len(texts), [[*words_of(t), END] for t in texts]
+            return
+        lead: list[bytes] = []
+        held = None
+        for part in pieces(texts[0], s.piece):
+            if held is not None:
+                yield [0], [len(lead)], [lead + held]
+                lead = (lead + held)[-2:]
+            held = words_of(part)
+        yield [0], [len(lead)], [[*lead, *held, END]]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, limit=s.piece):
+            cut = batch.num_rows == 1 and len(utf8(batch.column("text"))[0]) > s.piece
+            for which, lead, words in lists(utf8(batch.column("text"))):
+                ids = Numbered()
+                codes = number([w for d in words for w in d], ids)
+                digests = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
+                own = pa.array(which)
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array([n], pa.int64()), "tokens": pa.array([len(codes)], pa.int64()), "cut": [cut],
+                    **{c: pa.array([batch.column(c).take(own).to_pylist()], pa.list_(batch.schema.field(c).type)) for c in ("row", "id", "train")},
+                    "lead": pa.array([pack(np.array(lead))]), "at": pa.array([pack(bounds(map(len, words)))]), "codes": pa.array([pack(codes)]), "words": pa.array([digests.tobytes()], pa.binary()),
+                })
+                n += 1
+
+    return docs.mapInArrow(run, f"chunk bigint, tokens bigint, cut boolean, row array<bigint>, id array<{kind}>, train array<boolean>, lead binary, at binary, codes binary, words binary")
+
+
+class Chunk:
+    """One row of the table of chunks."""
+
+    def __init__(self, batch: pa.RecordBatch, k: int):
+        of = lambda c: unpack(batch.column(c)[k].as_py())
+        self.codes, self.at = of("codes"), of("at")
+        rows = len(self.at) - 1
+        self.doc = np.repeat(np.arange(rows), np.diff(self.at))
+        self.place = np.arange(len(self.codes)) - self.at[self.doc]
+        self.own = self.place >= of("lead")[self.doc]
+        train = np.array(batch.column("train")[k].as_py(), bool)
+        self.counted = self.own & train[self.doc]
+
+    def pairs(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs' codes; where pairs end, and which pair ends at each place."""
+        ends = np.flatnonzero(self.place >= 1)
+        keys, which = np.unique(self.codes[ends - 1] * words + self.codes[ends], return_inverse=True)
+        at = np.full(len(self.codes), -1, np.int64)
+        at[ends] = which
+        return *np.divmod(keys, words), ends, at
+
+    def triples(self, pair_at: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct triples as pairs of pairs; where triples end, and which one each is."""
+        ends = np.flatnonzero(self.own & (self.place >= 2))
+        keys, which = np.unique(pair_at[ends - 1] * max(1, pairs) + pair_at[ends], return_inverse=True)
+        return *np.divmod(keys, max(1, pairs)), ends, which
+
+
+def counts(which: np.ndarray, size: int, flags: np.ndarray) -> np.ndarray:
+    return np.bincount(which, flags, size).astype(np.int64) if len(which) else np.zeros(size, np.int64)
+
+
+def dealt(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by shard, and where each shard's run begins."""
+    order = np.argsort(part, kind="stable")
+    return order, np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)) if len(part) else np.zeros(1, np.int64)
+
+
+def asked(chunk: int, part: np.ndarray, columns: Callable[[np.ndarray], dict[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """A row for each shard; columns(places) packs what it gets."""
+    order, at = dealt(part)
+    for a, b in zip(at, at[1:]):
+        own = order[a:b]
+        packed = columns(own)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part[own[0]]], pa.int64()), "chunk": pa.array([chunk], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in packed.items()}})
+
+
+def answers(replies: pa.Scalar, part: np.ndarray, field: str) -> np.ndarray:
+    """The numbers of a field of all shards' replies, in the order of what was asked."""
+    order, _ = dealt(part)
+    out = np.zeros(len(part), np.int64)
+    if len(part):
+        rows = sorted(replies.as_py(), key=lambda r: r["part"])
+        out[order] = np.concatenate([unpack(r[field]) for r in rows])
     return out
 
 
-class Trained:
-    """What scoring needs; built by train().  weights: (a, b, c, w, base) of all words, pairs (c = -1) and triples; ids, n, own: the
-    frequent words, their counts and weights."""
-
-    def __init__(self, weights: DataFrame, total: int, kinds: int, ids: dict[bytes, int], n: np.ndarray, own: np.ndarray, file: str, s: Settings):
-        self.weights, self.total, self.kinds, self.ids, self.n, self.own, self.file, self.s = weights, total, kinds, ids, n, own, file, s
-
-
-def _ship(df: DataFrame, parts: dict[str, np.ndarray]) -> str:
-    """Write the trie once and have every executor fetch it."""
-    name = f"trie-{uuid.uuid4().hex}.bin"
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="webgauge-")), name)
-    ngram_trie.save(parts, path)
-    df.sparkSession.sparkContext.addFile(path)
-    return name
-
-
-def _backoff(p: str, below: str) -> Column:
-    """log10 of what is left for other words against what the shorter context gives them."""
-    left = lambda c: F.log10(F.least(F.lit(1.0), F.greatest(F.lit(1e-6), 1 - F.sum(c))))
-    return left(p) - left(below)
-
-
-def weights(grams: DataFrame, words: DataFrame, total: int, kinds: int, s: Settings) -> DataFrame:
-    """(a, b, c, n, w, base) from counts: grams(a, b, c, n) that are kept, c = -1 in pairs, and words(code, n).  Words have b = c = -1."""
-    norm = float(total + s.add * (kinds + 1))
-    of = lambda a, n: words.select(F.col("code").alias(a), F.col("n").alias(n)).hint("shuffle_merge")
-    two = grams.where("c = -1").join(of("a", "n_a"), "a").join(of("b", "n_b"), "b")
-    two = materialize(two.select("a", "b", "n", ((F.col("n") - s.discount) / F.col("n_a")).alias("p"), ((F.col("n_b") + s.add) / norm).alias("q")))
-    back_one = two.groupBy("a").agg(_backoff("p", "q").alias("back_one"))
-    first = two.select("a", "b", F.col("n").alias("n_ab")).hint("shuffle_merge")
-    second = two.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("p").alias("q")).hint("shuffle_merge")
-    three = grams.where("c <> -1").join(first, ["a", "b"]).join(second, ["b", "c"])
-    three = materialize(three.select("a", "b", "c", "n", ((F.col("n") - s.discount) / F.col("n_ab")).alias("p"), "q"))
-    back_two = materialize(three.groupBy("a", "b").agg(_backoff("p", "q").alias("back_two"))).hint("shuffle_merge")
-    none = F.lit(-1).cast("bigint")
-    back_one = materialize(back_one).hint("shuffle_merge")
-    own = F.log10((F.col("n") + s.add) / norm)
-    one = words.withColumnRenamed("code", "a").join(back_one, "a", "left").select("a", none.alias("b"), none.alias("c"), "n", (own + F.coalesce("back_one", F.lit(0.0))).alias("w"), own.alias("base"))
-    pairs = two.join(back_two, ["a", "b"], "left").join(back_one, "a").select("a", "b", none.alias("c"), "n", (F.log10("p") - F.col("back_one") - F.log10("q") + F.coalesce("back_two", F.lit(0.0))).alias("w"), F.lit(0.0).alias("base"))
-    triples = three.join(back_two, ["a", "b"]).select("a", "b", "c", "n", (F.log10("p") - F.log10("q") - F.col("back_two")).alias("w"), F.lit(0.0).alias("base"))
-    return materialize(one.unionByName(pairs).unionByName(triples))
-
-
-def train(df: DataFrame, usable: Column | str, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Trained:
-    """Count all usable rows and weigh their n-grams.  Without usable rows every token has the same probability."""
-    docs = df.where(usable).select(df[id_col].alias("id"), df[text_col].alias("text"))
-    counts = materialize(count_tokens(docs))
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(s.words).collect()
-    end = counts.where(F.col("word") == F.lit(END)).first()
-    ids = {bytes(r.word): i for i, r in enumerate(top)} | {END: len(top)}
-    n = np.array([*(r.n for r in top), end.n if end else 0], np.int64)
-    context = len(n)
-    sent = df.sparkSession.sparkContext.broadcast(ids)  # s.words words
-
-    def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(sent.value)
+def answered(table: DataFrame, replies: DataFrame, *fields: str) -> DataFrame:
+    got = replies.groupBy("chunk").agg(F.collect_list(F.struct("part", *fields)).alias("replies"))
+    return table.join(got.hint("shuffle_merge"), "chunk", "left")
+
+
+def split_of(n: np.ndarray, s: Settings) -> np.ndarray:
+    """Over how many shards a context seen n times is dealt."""
+    return 1 + 4 * n // s.shard
+
+
+class Passes:
+    """Functions that run in tasks; total and kinds are known from the second pass on."""
+
+    def __init__(self, s: Settings, parts: int, total: int = 0, kinds: int = 0):
+        self.s, self.parts, self.norm = s, parts, total + s.add * (kinds + 1)
+
+    # 1. words
+
+    def word_part(self, words: np.ndarray) -> np.ndarray:
+        return (words % np.uint64(self.parts)).astype(np.int64)
+
+    def ask_words(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c, words = Chunk(batch, k), np.frombuffer(batch.column("words")[k].as_py(), np.uint64)
+                n, every = (counts(c.codes, len(words), f) for f in (c.counted, c.own))
+                yield from asked(batch.column("chunk")[k].as_py(), self.word_part(words), lambda own: {"keys": words[own].tobytes(), "n": pack(n[own]), "every": pack(every[own])})
+
+    def answer_words(self, table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(v, np.uint64) for v in table.column("keys").to_pylist()]
+        at = bounds(map(len, keys))
+        known, which = np.unique(np.concatenate(keys), return_inverse=True)
+        n, every = (np.bincount(which, unpacked(table.column(c))[0], len(known)).astype(np.int64) for c in ("n", "every"))
+        ids = np.arange(len(known)) * self.parts + table.column("part")[0].as_py()
+        out = {name: pa.array([pack(v[which[a:b]]) for a, b in zip(at, at[1:])], pa.binary()) for name, v in (("ids", ids), ("n", n), ("split", split_of(every, self.s)))}
+        first = [0] * (len(keys) - 1)
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), **out, "total": pa.array([int(n.sum()), *first], pa.int64()), "kinds": pa.array([int((n > 0).sum()), *first], pa.int64())})
+
+    def numbered(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shards' answers in place of the words."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = self.word_part(np.frombuffer(batch.column("words")[k].as_py(), np.uint64))
+                made = {f"word_{f}": pa.array([pack(answers(batch.column("replies")[k], part, f))], pa.binary()) for f in ("ids", "n", "split")}
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_pydict({c: row.column(c) for c in KEPT} | made)
+
+    def words(self, batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
+        return [unpack(batch.column(f"word_{f}")[k].as_py()) for f in ("ids", "n", "split")]
+
+    # 2. pairs
+
+    def pair_part(self, first: np.ndarray, second: np.ndarray, split: np.ndarray) -> np.ndarray:
+        return mixed(first, mixed(second) % split) % self.parts
+
+    def ask_pairs(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"code": pa.array([codes[w] for w in batch.column("word").to_pylist()], pa.int64()), "n": batch.column("n")})
-
-    def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(sent.value)
-
-        def keys() -> Iterator[tuple[np.ndarray, ...]]:
-            for batch in slices(batches):
-                t = Text(utf8(batch.column("text")), codes)
-                at = t.grams(2)
-                yield t.codes[at - 1], t.codes[at], np.full(len(at), -1, np.int64)
-                at = t.grams(3)
-                yield t.codes[at - 2], t.codes[at - 1], t.codes[at]
-
-        return _counted(keys())
-
-    kept = docs.select("text").mapInArrow(grams, "a bigint, b bigint, c bigint, n bigint").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= s.min_count)
-    table = weights(materialize(kept), materialize(counts.mapInArrow(coded, "code bigint, n bigint")), total, kinds, s)
-    own = np.log10((n + s.add) / (total + s.add * (kinds + 1)))
-    for r in table.where((F.col("b") == -1) & (F.col("a") < context)).select("a", "w").collect():
-        own[r.a] = r.w
-    hot = (F.col("a") < context) & (F.col("b") < context) & (F.col("c") < context)
-    pair = F.col("a") * context + F.col("b")
-    two = _frequent(table.where(hot & (F.col("b") >= 0) & (F.col("c") == -1)).select(pair.alias("key"), "n", "w"), s)
-    three = _frequent(table.where(hot & (F.col("c") >= 0)).select((pair * context + F.col("c")).alias("key"), "n", "w"), s)
-    return Trained(table, total, kinds, ids, n, own, _ship(df, ngram_trie.build(context, two, three)), s)
-
-
-def _counted(keys: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Counts of the n-grams, summed over as many as a task holds."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def hand_on() -> pa.RecordBatch:
-        rows = [np.concatenate(c) for c in zip(*held)]
-        _, first, n = np.unique(_mixed(*rows), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_pydict({k: pa.array(c[first], pa.int64()) for k, c in zip("abc", rows)} | {"n": pa.array(n, pa.int64())})
-
-    for part in keys:
-        held.append(part)
-        if sum(len(c[0]) for c in held) > 10 * HELD:
-            yield hand_on()
-            held = []
-    if held:
-        yield hand_on()
-
-
-def in_trie(trie: ngram_trie.Trie, t: Text, context: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The weights that the trie has for each token's pair and triple, and whether it has the pair and the triple."""
-    w, pair, triple = np.zeros(len(t.codes)), np.full(len(t.codes), -1, np.int64), np.full(len(t.codes), -1, np.int64)
-    hot = t.codes < context
-    at = t.grams(2)
-    at = at[hot[at - 1] & hot[at]]
-    keys, back = np.unique(t.codes[at - 1] * context + t.codes[at], return_inverse=True)
-    if len(keys):
-        pair[at] = trie.pairs(*np.divmod(keys, context))[back]
-    at = t.grams(3)
-    at = at[(pair[at - 1] >= 0) & (pair[at] >= 0)]
-    if len(at):
-        _, first, back = np.unique(pair[at - 1] * (pair.max() + 1) + pair[at], return_index=True, return_inverse=True)
-        own = at[first]
-        triple[at] = trie.triples(pair[own - 1], t.codes[own - 1], pair[own])[back]
-    for found, level in ((pair, trie.two), (triple, trie.three)):
-        w[found >= 0] += level.weight(found[found >= 0])
-    return w, pair >= 0, triple >= 0
-
-
-def scores(df: DataFrame, model: Trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id with n_tokens, n_known, base_score (additive unigram) and score (the trigram model's), both log10.
+            for k in range(batch.num_rows):
+                c, (ids, n, split) = Chunk(batch, k), self.words(batch, k)
+                a, b, ends, at = c.pairs(len(ids))
+                seen, every = (counts(at[ends], len(a), f[ends]) for f in (c.counted, c.own))
+
+                def columns(own: np.ndarray) -> dict[str, bytes]:
+                    words, where = np.unique(np.concatenate((a[own], b[own])), return_inverse=True)
+                    return {"ids": pack(ids[words]), "word_n": pack(n[words]), "a": pack(where[: len(own)]), "b": pack(where[len(own) :]), "n": pack(seen[own]), "every": pack(every[own])}
+
+                yield from asked(batch.column("chunk")[k].as_py(), self.pair_part(ids[a], ids[b], split[a]), columns)
+
+    def answer_pairs(self, table: pa.Table) -> pa.Table:
+        ids, word_at = unpacked(table.column("ids"))
+        word_n, _ = unpacked(table.column("word_n"))
+        (a, at), (b, _), (n, _), (every, _) = (unpacked(table.column(c)) for c in ("a", "b", "n", "every"))
+        words, first, dense = np.unique(ids, return_index=True, return_inverse=True)
+        word_n, base = word_n[first], np.repeat(word_at[:-1], np.diff(at))
+        keys, which = np.unique(dense[a + base] * len(words) + dense[b + base], return_inverse=True)
+        a, b = np.divmod(keys, len(words))
+        n, every = (np.bincount(which, v, len(keys)).astype(np.int64) for v in (n, every))
+        m = self.s.pair_mass
+        lower = np.log10((word_n + self.s.add) / self.norm)
+        own = np.log10((n + m * 10 ** lower[b]) / (word_n[a] + m))
+        some = n > 0
+        trie = ngram_trie.opened(ngram_trie.image(ngram_trie.build(len(words), (a[some], b[some], quantised(own[some])))))
+        rest = np.log10(m / (word_n + m))
+        (node,) = trie.find(a, b)
+        score = np.where(node >= 0, trie.levels[0].weights[node] if some.any() else 0, quantised(rest[a] + lower[b]))
+        return replied(table, at, which, score=score, n=n, split=split_of(every, self.s))
+
+    def paired(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c, (ids, _, split) = Chunk(batch, k), self.words(batch, k)
+                a, b, _, _ = c.pairs(len(ids))
+                part = self.pair_part(ids[a], ids[b], split[a])
+                made = {f"pair_{f}": pa.array([pack(answers(batch.column("replies")[k], part, f))], pa.binary()) for f in ("score", "n", "split")}
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_pydict({c: row.column(c) for c in (*KEPT, *NUMBERED)} | made)
+
+    # 3. triples
+
+    def opened(self, batch: pa.RecordBatch, k: int) -> tuple:
+        """A chunk with its triples and their shards, and the pairs' answers."""
+        c, (ids, n, _) = Chunk(batch, k), self.words(batch, k)
+        a, b, _, at = c.pairs(len(ids))
+        score, pair_n, split = (unpack(batch.column(f"pair_{f}")[k].as_py()) for f in ("score", "n", "split"))
+        before, after, ends, which = c.triples(at, len(a))
+        part = mixed(ids[a[before]], ids[b[before]], mixed(ids[b[after]]) % split[before]) % self.parts
+        return c, ids, n, (a, b, at, score, pair_n), (before, after, ends, which, part)
+
+    def ask_triples(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c, ids, _, (a, b, _, score, pair_n), (before, after, ends, which, part) = self.opened(batch, k)
+                seen = counts(which, len(before), c.counted[ends])
+
+                def columns(own: np.ndarray) -> dict[str, bytes]:
+                    context, where = np.unique(before[own], return_inverse=True)
+                    return {"a": pack(ids[a[context]]), "b": pack(ids[b[context]]), "pair_n": pack(pair_n[context]), "context": pack(where), "c": pack(ids[b[after[own]]]), "lower": pack(score[after[own]]), "n": pack(seen[own])}
+
+                yield from asked(batch.column("chunk")[k].as_py(), part, columns)
+
+    def answer_triples(self, table: pa.Table) -> pa.Table:
+        (a, context_at), (b, _), (pair_n, _) = (unpacked(table.column(c)) for c in ("a", "b", "pair_n"))
+        (context, at), (c, _), (lower, _), (n, _) = (unpacked(table.column(x)) for x in ("context", "c", "lower", "n"))
+        words, dense = np.unique(np.concatenate((a, b, c)), return_inverse=True)
+        a, b, c = np.split(dense, [len(a), 2 * len(a)])
+        contexts, first, same = np.unique(b * len(words) + a, return_index=True, return_inverse=True)
+        b, a = np.divmod(contexts, len(words))
+        pair_n = pair_n[first]
+        keys, first, which = np.unique(same[context + np.repeat(context_at[:-1], np.diff(at))] * len(words) + c, return_index=True, return_inverse=True)
+        context, c = np.divmod(keys, len(words))
+        n, lower, m = np.bincount(which, n, len(keys)), -lower[first] / STEP, self.s.triple_mass
+        own = np.log10((n + m * 10**lower) / (pair_n[context] + m))
+        # Contexts that were never seen have no node.
+        kept, some = pair_n > 0, n > 0
+        node = np.cumsum(kept) - 1
+        rest = quantised(np.log10(m / (pair_n + m)))
+        trie = ngram_trie.opened(ngram_trie.image(ngram_trie.build(len(words), (b[kept], a[kept], rest[kept]), (node[context[some]], c[some], quantised(own[some])))))
+        pair, triple = trie.find(b[context], a[context], c)
+        back = np.where(pair >= 0, trie.levels[0].weights[pair] if kept.any() else 0, 0)
+        score = np.where(triple >= 0, trie.levels[1].weights[triple] if some.any() else 0, np.minimum(65535, back + quantised(lower)))
+        return replied(table, at, which, score=score)
+
+    # 4. sums
+
+    def sums(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c, _, n, (_, _, at, score, _), (_, _, ends, which, part) = self.opened(batch, k)
+                own = np.log10((n + self.s.add) / self.norm)[c.codes]
+                token = own.copy()
+                second = np.flatnonzero(c.own & (c.place == 1))
+                token[second] = -score[at[second]] / STEP
+                token[ends] = -answers(batch.column("replies")[k], part, "score")[which] / STEP
+                add = lambda v: np.bincount(c.doc[c.own], v[c.own], len(c.at) - 1)
+                whole = {"n_tokens": add(np.ones(len(own))).astype(np.int64), "n_known": add((n > 0)[c.codes]).astype(np.int64), "base_score": add(own), "score": add(token)}
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_pydict({"row": row.column("row").flatten(), "id": row.column("id").flatten(), **{x: pa.array(v) for x, v in whole.items()}, "cut": pa.array(row.column("cut").to_pylist() * len(c.at[1:]), pa.bool_())})
+
+
+def replied(table: pa.Table, at: np.ndarray, which: np.ndarray, **values: np.ndarray) -> pa.Table:
+    out = {name: pa.array([pack(v[which[a:b]]) for a, b in zip(at, at[1:])], pa.binary()) for name, v in values.items()}
+    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), **out})
+
+
+def of_group(answer: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A method as a function of a group, without the group's key."""
+    return lambda table: answer(table)
+
+
+KEPT = ["chunk", "cut", "row", "id", "train", "lead", "at", "codes"]
+NUMBERED = ["word_ids", "word_n", "word_split"]
+BINARY = lambda *names: ", ".join(f"{x} binary" for x in names)
+
+
+def scores(df: DataFrame, usable: Column | str, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row's id with n_tokens, n_known, train_tokens, base_score (additive unigram) and score (the trigram model's), both log10.  The model
+    learns from the `usable` rows of df, all of them; other texts are scored by it as further rows of df that aren't usable.
 
     A null, empty or blank text is its end token alone.  Texts of any length are scored whole; repeated rows give a row
-    each.
+    each.  Without usable rows every token has probability one.
     """
-    s = model.s
-    norm = float(np.log10(model.total + s.add * (model.kinds + 1)))
-    sent, file, n, weight = df.sparkSession.sparkContext.broadcast(model.ids), model.file, model.n, model.own
-    raw, context = np.log10(n + s.add) - norm, len(n)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of each document's own figures, which no key of the table meets, and one for each distinct n-gram that the table is asked for."""
-        trie, codes = ngram_trie.load(SparkFiles.get(file)), Codes(sent.value)
-        for batch in slices(batches):
-            t = Text(utf8(batch.column("text")), codes)
-            rows = batch.num_rows
-            hot = t.codes < context
-            place = np.where(hot, t.codes, 0)
-            w, pair, triple = in_trie(trie, t, context)
-            sums = lambda v: np.bincount(t.doc, v, rows)
-            base, own = sums(np.where(hot, raw[place], 0.0)), sums(np.where(hot, weight[place], 0.0) + w)
-            known, n_rare = (sums(v).astype(np.int64) for v in (hot & (n[place] > 0), ~hot))
-            numbers = batch.column("row").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), *(pa.array(v, pa.int64()) for v in (numbers, np.full(rows, -2), np.full(rows, -2), np.zeros(rows))), pa.StructArray.from_arrays([batch.column("id"), *map(pa.array, (np.diff(t.at), known, n_rare, base, own))], names)], ["row", "a", "b", "c", "k", "own"])
-            one = np.flatnonzero(~hot)
-            two, three = t.grams(2), t.grams(3)
-            two, three = two[~pair[two]], three[~triple[three]]
-            none = lambda v: np.full(len(v), -1, np.int64)
-            doc = np.concatenate((t.doc[one], t.doc[two], t.doc[three]))
-            a, b, c = (np.concatenate(v) for v in ((t.codes[one], t.codes[two - 1], t.codes[three - 2]), (none(one), t.codes[two], t.codes[three - 1]), (none(one), none(two), t.codes[three])))
-            _, first, k = np.unique(_mixed(doc, a, b, c), return_index=True, return_counts=True)
-            for part in np.array_split(np.arange(len(first)), len(first) // 50_000 + 1):
-                own_rows = first[part]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (numbers[doc[own_rows]], a[own_rows], b[own_rows], c[own_rows], k[part])] + [pa.nulls(len(part), struct(batch))], ["row", "a", "b", "c", "k", "own"])
-
-    names = ["id", "n_tokens", "n_known", "n_rare", "base", "own"]
-    struct = lambda batch: pa.struct([("id", batch.schema.field("id").type), *((x, pa.int64()) for x in names[1:4]), *((x, pa.float64()) for x in names[4:])])
+    spark = df.sparkSession
+    small_batches(spark)
+    docs = df.select(F.monotonically_increasing_id().alias("row"), df[id_col].alias("id"), F.coalesce(F.expr(usable) if isinstance(usable, str) else usable, F.lit(False)).alias("train"), df[text_col].alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.monotonically_increasing_id().alias("row"))
-    asked = docs.mapInArrow(run, f"row bigint, a bigint, b bigint, c bigint, k bigint, own struct<id:{kind},n_tokens:bigint,n_known:bigint,n_rare:bigint,base:double,own:double>")
-    met = asked.join(model.weights.drop("n").hint("shuffle_merge"), ["a", "b", "c"], "left")
-    word = F.when(F.col("b") == -1, F.col("k") * F.col("w").isNotNull().cast("bigint"))
-    sums = met.groupBy("row").agg(F.first("own", True).alias("own"), F.sum(F.col("k") * F.col("w")).alias("w"), F.sum(F.col("k") * F.col("base")).alias("base"), F.sum(word).alias("known"))
-    known, zero = F.coalesce("known", F.lit(0)), F.lit(0.0)
-    unseen = (F.col("own.n_rare") - known) * (float(np.log10(s.add)) - norm)
-    return sums.select(
-        F.col("own.id").alias(id_col), F.col("own.n_tokens").alias("n_tokens"), (F.col("own.n_known") + known).alias("n_known"),
-        (F.col("own.base") + F.coalesce("base", zero) + unseen).alias("base_score"), (F.col("own.own") + F.coalesce("w", zero) + unseen).alias("score"),
-    )
+    with scratch(spark):
+        with scratch(spark):
+            made = materialize(chunks(docs, s))
+            parts = 1 + int((made.agg(F.sum("tokens")).first()[0] or 0) // s.shard)
+            p = Passes(s, parts)
+            schema = ", ".join(f"{x} {made.schema[x].dataType.simpleString()}" for x in KEPT)
+            words = materialize(made.mapInArrow(p.ask_words, f"part bigint, chunk bigint, {BINARY('keys', 'n', 'every')}").groupBy("part").applyInArrow(of_group(p.answer_words), f"chunk bigint, part bigint, {BINARY('ids', 'n', 'split')}, total bigint, kinds bigint"))
+            total, kinds = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+            numbered = materialize(answered(made, words, "ids", "n", "split").mapInArrow(p.numbered, f"{schema}, {BINARY(*NUMBERED)}"), keep=True)
+        p = Passes(s, parts, total, kinds)
+        with scratch(spark):
+            pairs = materialize(numbered.mapInArrow(p.ask_pairs, f"part bigint, chunk bigint, {BINARY('ids', 'word_n', 'a', 'b', 'n', 'every')}").groupBy("part").applyInArrow(of_group(p.answer_pairs), f"chunk bigint, part bigint, {BINARY('score', 'n', 'split')}"))
+            paired = materialize(answered(numbered, pairs, "score", "n", "split").mapInArrow(p.paired, f"{schema}, {BINARY(*NUMBERED, 'pair_score', 'pair_n', 'pair_split')}"), keep=True)
+        triples = materialize(paired.mapInArrow(p.ask_triples, f"part bigint, chunk bigint, {BINARY('a', 'b', 'pair_n', 'context', 'c', 'lower', 'n')}").groupBy("part").applyInArrow(of_group(p.answer_triples), f"chunk bigint, part bigint, {BINARY('score')}"))
+        summed = materialize(answered(paired, triples, "score").mapInArrow(p.sums, f"row bigint, id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, cut boolean"), keep=True)
+    names = ["n_tokens", "n_known", "base_score", "score"]
+    whole = summed.where("not cut").select("id", *names)
+    pieces = summed.where("cut").groupBy("row").agg(F.first("id").alias("id"), *(F.sum(x).alias(x) for x in names)).drop("row")
+    out = whole.unionByName(pieces).withColumn("train_tokens", F.lit(total).cast("bigint"))
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", "train_tokens", "base_score", "score")

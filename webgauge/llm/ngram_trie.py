@@ -1,16 +1,16 @@
-"""An n-gram trie in Elias-Fano form, kept in one memory-mapped file.
+"""An n-gram trie in Elias-Fano form, kept in one run of mapped memory.
 
-Level 1 has the words of the trie's vocabulary, level 2 their followers, level 3 the followers of those pairs.  The followers
+Above all levels are the words; a level has the nodes that follow the words, or the nodes of the level above.  The followers
 of a context lie in one range of a level; ranges begin where monotone pointers say.  Followers rise within a range; each range
-goes on above the last value of the range before, so a level is one monotone sequence.  On level 3 a follower is
-written as its place among the followers of the pair's second word, which takes far fewer bits.  Each n-gram has one weight.
+goes on above the last value of the range before, so a level is one monotone sequence, and a follower is found as the successor
+of a value that is relative to its context.  Each node has one weight.
 """
 
 from __future__ import annotations
 
 import io
 import json
-from functools import lru_cache
+import mmap
 
 import numpy as np
 
@@ -101,7 +101,7 @@ class Level:
     @staticmethod
     def build(name: str, context: np.ndarray, follower: np.ndarray, n_contexts: int, weights: np.ndarray) -> dict[str, np.ndarray]:
         pointer, sequence = _ranges(context, follower, n_contexts)
-        parts = {f"{name}/weights": weights.astype(np.float32)}
+        parts = {f"{name}/weights": weights}
         for kind, values in (("pointer", pointer), ("sequence", sequence)):
             parts |= {f"{name}/{kind}/{k}": v for k, v in EliasFano.build(values).items()}
         return parts
@@ -110,13 +110,14 @@ class Level:
         return self.pointer.at(context)
 
     def find(self, context: np.ndarray, follower: np.ndarray) -> np.ndarray:
-        """The place of each follower in its context's range, or -1."""
+        """The place of each follower in its context's range, or -1; no context (-1) has followers."""
         out = np.full(len(context), -1, np.int64)
-        start, stop = self.range(context), self.range(context + 1)
-        some = np.flatnonzero((start < stop) & (follower >= 0))
+        some = np.flatnonzero((context >= 0) & (follower >= 0))
+        start, stop = self.range(context[some]), self.range(context[some] + 1)
+        fine = start < stop
+        some, start, stop = some[fine], start[fine], stop[fine]
         if not len(some):
             return out
-        start, stop = start[some], stop[some]
         base = np.where(start > 0, self.sequence.at(np.maximum(start - 1, 0)) + 1, 0)
         wanted = base + follower[some]
         inside = np.flatnonzero(wanted <= self.sequence.at(stop - 1))
@@ -125,41 +126,33 @@ class Level:
         out[some[inside[hit]]] = at[hit]
         return out
 
-    def weight(self, place: np.ndarray) -> np.ndarray:
-        return self.weights[place]
-
 
 class Trie:
-    """words: w follows word v on level 2, and a pair of level 2 on level 3."""
+    """Levels below the words: a node of a level is a context of the next one."""
 
     def __init__(self, parts: dict[str, np.ndarray]):
-        self.two, self.three = (Level(parts, name) for name in ("two", "three"))
-
-    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return self.two.find(first, second)
-
-    def triples(self, pair: np.ndarray, second: np.ndarray, next_pair: np.ndarray) -> np.ndarray:
-        """next_pair: the level-2 place of the pair's second word with the third word."""
-        return self.three.find(pair, next_pair - self.two.range(second))
+        self.levels = [Level(parts, name) for name in sorted({k.split("/")[0] for k in parts})]
+
+    def find(self, word: np.ndarray, *path: np.ndarray) -> list[np.ndarray]:
+        """The node of each path's every step, or -1."""
+        out, node = [], word
+        for level, follower in zip(self.levels, path):
+            node = level.find(node, follower)
+            out.append(node)
+        return out
 
 
-def build(n_words: int, two: tuple[np.ndarray, np.ndarray], three: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
-    """Keys in order, and weights.  two: first * n_words + second; three: (first * n_words + second) * n_words + third, left out where the
-    trie lacks one of the pairs."""
-    first, second = np.divmod(two[0], n_words)
-    parts = Level.build("two", first, second, n_words, two[1])
-    before, third = np.divmod(three[0], n_words)
-    following = before % n_words * n_words + third
-    pair, after = (np.searchsorted(two[0], k) for k in (before, following))
-    if len(two[0]):
-        whole = np.flatnonzero((two[0][np.minimum(pair, len(two[0]) - 1)] == before) & (two[0][np.minimum(after, len(two[0]) - 1)] == following))
-    else:
-        whole = np.zeros(0, np.int64)
-    start = np.searchsorted(two[0], before[whole] % n_words * n_words)
-    return parts | Level.build("three", pair[whole], after[whole] - start, len(two[0]), three[1][whole])
+def build(n_words: int, *levels: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+    """levels: each node's context (a word, then a node of the level before), follower and weight, sorted by context and follower."""
+    parts, above = {}, n_words
+    for k, (context, follower, weight) in enumerate(levels):
+        parts |= Level.build(str(k), context, follower, above, weight)
+        above = len(context)
+    return parts
 
 
-def save(parts: dict[str, np.ndarray], path: str) -> None:
+def image(parts: dict[str, np.ndarray]) -> bytes:
+    """All levels in one run of bytes."""
     head, body, at = {}, io.BytesIO(), 0
     for name, a in parts.items():
         a = np.ascontiguousarray(a)
@@ -170,14 +163,22 @@ def save(parts: dict[str, np.ndarray], path: str) -> None:
         at += a.nbytes + pad
     text = json.dumps(head).encode()
     text += b" " * (-len(text) % 8)
-    with open(path, "wb") as f:
-        f.write(len(text).to_bytes(8, "little") + text + body.getbuffer())
+    return len(text).to_bytes(8, "little") + text + body.getbuffer()
+
+
+def opened(data: bytes) -> Trie:
+    """The trie of an image, in anonymous mapped memory: pages that are outside of Python's heap and go back whole."""
+    pages = mmap.mmap(-1, len(data))
+    pages.write(data)
+    return view(np.frombuffer(pages, np.uint8))
 
 
-@lru_cache(2)
 def load(path: str) -> Trie:
-    """All workers of an executor share the file's pages."""
-    whole = np.memmap(path, np.uint8, "r")
+    """The trie of an image in a file; all workers of an executor share the file's pages."""
+    return view(np.memmap(path, np.uint8, "r"))
+
+
+def view(whole: np.ndarray) -> Trie:
     n = int.from_bytes(whole[:8].tobytes(), "little")
     parts = {}
     for name, (kind, length, at) in json.loads(whole[8 : 8 + n].tobytes()).items():
