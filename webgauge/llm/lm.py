@@ -326,7 +326,8 @@ class Passes:
         node = np.cumsum(kept) - 1
         rest = quantised(np.log10(m / (pair_n + m)))
         trie = ngram_trie.opened(ngram_trie.image(ngram_trie.build(len(words), (b[kept], a[kept], rest[kept]), (node[context[some]], c[some], quantised(own[some])))))
-        pair, triple = trie.find(b[context], a[context], c)
+        pair = trie.levels[0].find(b, a)[context]
+        triple = trie.levels[1].find(pair, c)
         back = np.where(pair >= 0, trie.levels[0].weights[pair] if kept.any() else 0, 0)
         score = np.where(triple >= 0, trie.levels[1].weights[triple] if some.any() else 0, np.minimum(65535, back + quantised(lower)))
         return replied(table, at, which, score=score)

@@ -77,9 +77,11 @@ class EliasFano:
         i, stop = (np.minimum(self._first(np.minimum(h, top)), self.n) for h in (high, high + 1))
         low = values & ((1 << self.width) - 1)
         live = np.flatnonzero(i < stop)
-        while len(live):
-            live = live[self._low(i[live]) < low[live]]
-            i[live] += 1
+        while len(live):  # halves what is left of each range
+            middle = i[live] + stop[live] >> 1
+            before = self._low(middle) < low[live]
+            i[live[before]] = middle[before] + 1
+            stop[live[~before]] = middle[~before]
             live = live[i[live] < stop[live]]
         return i
 
@@ -113,14 +115,16 @@ class Level:
         """The place of each follower in its context's range, or -1; no context (-1) has followers."""
         out = np.full(len(context), -1, np.int64)
         some = np.flatnonzero((context >= 0) & (follower >= 0))
-        start, stop = self.range(context[some]), self.range(context[some] + 1)
-        fine = start < stop
-        some, start, stop = some[fine], start[fine], stop[fine]
-        if not len(some):
+        if not len(some) or not self.sequence.n:
             return out
+        # Each run of one context looks its range up once.
+        head = np.flatnonzero(np.diff(context[some], prepend=-1))
+        own, times = context[some[head]], np.diff(head, append=len(some))
+        start, stop = self.range(own), self.range(own + 1)
         base = np.where(start > 0, self.sequence.at(np.maximum(start - 1, 0)) + 1, 0)
-        wanted = base + follower[some]
-        inside = np.flatnonzero(wanted <= self.sequence.at(stop - 1))
+        last = np.where(start < stop, self.sequence.at(np.maximum(stop - 1, 0)), -1)
+        wanted = np.repeat(base, times) + follower[some]
+        inside = np.flatnonzero(wanted <= np.repeat(last, times))
         at = self.sequence.find(wanted[inside])
         hit = self.sequence.at(at) == wanted[inside]
         out[some[inside[hit]]] = at[hit]
