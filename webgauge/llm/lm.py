@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,13 +62,20 @@ def quantised(log: np.ndarray) -> np.ndarray:
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Numbers from 0 on in as many bytes each as the largest needs."""
+    """Numbers from 0 on in as many bytes each as the largest needs, first bytes first, compressed.  Rising ones go by their steps."""
+    rising = len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+    if rising:
+        a = np.diff(a, prepend=0)
     kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
-    return kind.char.encode() + a.astype(kind).tobytes()
+    planes = np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(len(a), kind.itemsize).T)
+    return (kind.char.upper() if not rising else kind.char.lower()).encode() + zstandard.compress(planes.tobytes(), 1)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, chr(data[0]), offset=1).astype(np.int64)
+    kind, rising = np.dtype(chr(data[0]).upper()), data[:1].islower()
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8)
+    out = np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel().astype(np.int64)
+    return np.cumsum(out) if rising else out
 
 
 def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +230,9 @@ class Passes:
         at = bounds(map(len, keys))
         known, which = np.unique(np.concatenate(keys), return_inverse=True)
         n, every = (np.bincount(which, unpacked(table.column(c))[0], len(known)).astype(np.int64) for c in ("n", "every"))
-        ids = np.arange(len(known)) * self.parts + table.column("part")[0].as_py()
+        # The more frequent, the smaller the number.
+        ids = np.empty(len(known), np.int64)
+        ids[np.argsort(-every, kind="stable")] = np.arange(len(known)) * self.parts + table.column("part")[0].as_py()
         out = {name: pa.array([pack(v[which[a:b]]) for a, b in zip(at, at[1:])], pa.binary()) for name, v in (("ids", ids), ("n", n), ("split", split_of(every, self.s)))}
         first = [0] * (len(keys) - 1)
         return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), **out, "total": pa.array([int(n.sum()), *first], pa.int64()), "kinds": pa.array([int((n > 0).sum()), *first], pa.int64())})
