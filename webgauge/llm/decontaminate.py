@@ -21,8 +21,9 @@ from .common import bounds, carried, csr_take, inputs, opened, outputs, places,
 WINDOW = 13
 SHARD_BYTES = 16 << 20
 SAMPLE = 8
-MAX_BENCHMARK_BYTES = 64 << 20
-"""Benchmark text that is sent to all executors at once; a larger benchmark is searched in blocks of this size."""
+MAX_BENCHMARK_BYTES = 8 << 20
+"""Distinct benchmark text that is sent to all executors at once, as windows of 13 numbers a word; a larger benchmark is searched in
+blocks of about this size."""
 
 #: A-Z in lower case; all other ASCII but digits and letters separates words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -154,24 +155,32 @@ class FmIndex:
 class Benchmark:
     """The windows of all items: their words as symbols, and which items have each."""
 
-    def __init__(self, items: list[tuple], window: int):
+    def __init__(self, texts: list[tuple[str, list[str]]], window: int):
+        """texts: each distinct text with the ids of its items."""
         self.vocab: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of((text or "").encode()))
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(ids[k : k + window], set()).add("" if item is None else str(item))
-        windows = list(found)
-        self.lens = np.fromiter(map(len, windows), np.int64, len(windows))
-        self.least = int(self.lens.min()) if windows else 0
-        self.patterns = np.zeros((len(windows), window), np.int64)
-        for k, w in enumerate(windows):
-            self.patterns[k, window - len(w) :] = w
-        self.names = sorted(set().union(*found.values())) if found else []
-        at = {x: i for i, x in enumerate(self.names)}
-        owners = [sorted(at[x] for x in found[w]) for w in windows]
-        self.owner_at = bounds(map(len, owners))
-        self.owners = np.array([x for o in owners for x in o], np.int64)
+        split = [words_of(t.encode()) for t, _ in texts]
+        flat = np.fromiter((self.vocab.setdefault(w, len(self.vocab) + 1) for s in split for w in s), np.int32)
+        at = bounds(map(len, split))
+        rows, text = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
+        for k, (a, b) in enumerate(zip(at, at[1:])):
+            if b - a >= window:
+                rows.append(np.lib.stride_tricks.sliding_window_view(flat[a:b], window))
+            elif b > a:
+                rows.append(np.pad(flat[a:b], (window - (b - a), 0))[None])
+            text.append(np.full(len(rows[-1]), k) if b > a else text[0])
+        rows, text = np.concatenate(rows), np.concatenate(text)
+        self.patterns, which = np.unique(rows, axis=0, return_inverse=True)
+        self.lens = (self.patterns > 0).sum(1)
+        self.least = int(self.lens.min()) if len(self.lens) else 0
+        self.names = sorted({x for _, names in texts for x in names})
+        place = {x: i for i, x in enumerate(self.names)}
+        own = [np.array([place[x] for x in names], np.int64) for _, names in texts]
+        own_at = bounds(map(len, own))
+        owners, n = csr_take(own_at, np.concatenate([np.zeros(0, np.int64), *own]), text)
+        size = max(1, len(self.names))
+        pairs = np.unique(np.repeat(which.ravel(), n) * size + owners)
+        self.owners = pairs % size
+        self.owner_at = np.searchsorted(pairs // size, np.arange(len(self.patterns) + 1))
 
     def occurrences(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First word and window of each occurrence in a shard.  ids: symbols of its words, 0 for others."""
@@ -258,15 +267,16 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     are all found.  A benchmark beyond max_benchmark_bytes is searched in blocks, whose spans are merged.  carry adds `row`, all
     columns of df.
     """
-    items = benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text_col].alias("text")).where("text is not null")
+    item = F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("item")
+    items = benchmark.select(item, benchmark[item_text_col].alias("text")).where("text is not null").groupBy("text").agg(F.collect_set("item").alias("items"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // max_benchmark_bytes) or 1
     if blocks == 1:
-        return _find(df, id_col, text_col, carry, Benchmark([(r.item, r.text) for r in items.collect()], window)).withColumnRenamed("id", id_col)
+        return _find(df, id_col, text_col, carry, Benchmark([(r.text, r["items"]) for r in items.collect()], window)).withColumnRenamed("id", id_col)
     parts = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64(F.col("text")), F.lit(blocks)) == k).collect()
-        found = _find(df, id_col, text_col, True, Benchmark([(r.item, r.text) for r in block], window))
+        found = _find(df, id_col, text_col, True, Benchmark([(r.text, r["items"]) for r in block], window))
         parts = found if parts is None else parts.unionByName(found)
     key = F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256)
     merged = parts.withColumn("key", key).groupBy("id", "key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.first("row").alias("row"), (F.count("*") / blocks).cast("int").alias("copies"))

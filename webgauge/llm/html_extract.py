@@ -45,16 +45,24 @@ class Tree(HTMLParser):
         self.tags, self.parents, self.names, self.labels = ["#"], [-1], [""], [1]
         self.texts: list[tuple[int, str]] = []
         self.open = [0]
+        self.depths: dict[str, list[int]] = {}
+        """Where in `open` the elements of a tag are."""
 
     def _close(self, tags: set | frozenset, stop: set | frozenset) -> None:
         """Close the innermost open element of `tags`, and all within it, unless one of `stop` is nearer."""
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[k]]
-            if tag in tags:
-                del self.open[k:]
-                return
-            if tag in stop:
-                return
+        nearest = lambda kinds: max((self.depths[t][-1] for t in kinds if self.depths.get(t)), default=0)
+        at = nearest(tags)
+        if at and at > nearest(stop - tags):
+            for e in self.open[at:]:
+                self.depths[self.tags[e]].pop()
+            del self.open[at:]
+
+    def parse_html_declaration(self, i: int) -> int:
+        """A declaration that is none is a comment, as in browsers."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in HEAD:
@@ -76,6 +84,7 @@ class Tree(HTMLParser):
         self.names.append(names)
         self.labels.append(label)
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.tags) - 1)
         elif tag == "br":
             self.texts.append((self.open[-1], " "))
@@ -83,7 +92,7 @@ class Tree(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag in ("svg", "path", "circle", "rect") and self.tags[self.open[-1]] == tag:
-            self.open.pop()
+            self._close({tag}, frozenset())
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in VOID:
@@ -129,7 +138,9 @@ class Model:
         if found is None:
             if len(self.cache) > 50_000:
                 self.cache.clear()
-            found = self.cache[tag, names] = [self.tag.get(tag, len(TAGS)), *{self.name[w] for w in _names(names) if w in self.name}]
+            known = {self.name[w] for w in _names(names) if w in self.name}
+            # A box whose names say nothing has a feature of its own.
+            found = self.cache[tag, names] = [self.tag.get(tag, len(TAGS)), *(known or ([self.rest + 7] if tag in ("div", "section") else []))]
         return found
 
     def forest(self, trees: list[Tree]) -> tuple:
@@ -152,7 +163,7 @@ class Model:
                 if e >= 0 and t.tags[e] not in SILENT:
                     chars[a + e] += len(text)
         linked[:] = np.where(link, chars, 0)
-        levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+        levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth)))[1:-1]
         for level in reversed(levels):
             np.add.at(chars, parent[level], chars[level])
             np.add.at(linked, parent[level], linked[level])

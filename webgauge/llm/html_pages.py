@@ -78,6 +78,9 @@ class Pages:
             tag, name = r.choice(tags), r.choice(names)
             attrs = {r.choice(["class", "class", "id"]): name}
         x, kids = r.random(), []
+        if r.random() < 0.08:  # a list of links without a name
+            links = [(r.choice(["a", "li"]), {}, 0, [("a", {"href": "/x"}, 0, [self.words(1, 3)])]) for _ in range(r.randint(2, 8))]
+            return (r.choice(["div", "ul"]), {}, 0, links)
         if x < 0.35:
             kids = [("ul", {}, 0, [("li", {}, 0, [("a", {"href": "/x"}, 0, [self.words(1, 4)])]) for _ in range(r.randint(1, 8))])]
         elif x < 0.55:
@@ -93,10 +96,12 @@ class Pages:
     def page(self) -> Node:
         r = self.r
         x = r.random()
-        tag = "article" if x < 0.5 else "main" if x < 0.65 else "section" if x < 0.72 else "div"
+        tag = "article" if x < 0.4 else "main" if x < 0.52 else "section" if x < 0.6 else "div"
         attrs = {} if tag != "div" and r.random() < 0.6 else {r.choice(["class", "id"]): r.choice(MAIN)}
         if tag == "main" and r.random() < 0.3:
             attrs = {"role": "main"}
+        if r.random() < 0.4:  # names that say nothing, as far as the model goes
+            attrs = {}
         kids = self.prose()
         for _ in range(r.choice([0, 0, 1, 2])):
             kids.insert(r.randint(0, len(kids)), self.other())

@@ -24,7 +24,7 @@ from .training import labelled_sample
 class Settings:
     sample: int = 4000
     """Labelled documents to learn from, about half of them of each label where there are enough."""
-    max_passages: int = 500
+    max_passages: int = 150
     """Longer documents aren't learned from; they are scored like all others."""
     passage_words: int = 50
     buckets: int = 64

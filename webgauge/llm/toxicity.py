@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import Numbered, bounds, csr_take, number, slices, utf8
+from .common import Numbered, bounds, csr_take, number, slices, small_batches, utf8
 from .training import labelled_sample
 
 
@@ -27,7 +27,8 @@ class Settings:
     sample: int = 6000
     """Labelled documents to learn from, about a third of them toxic where there are enough."""
     max_words: int = 3000
-    """Longer documents aren't learned from; they are scored like all others."""
+    max_bytes: int = 24_000
+    """Longer documents aren't learned from, which bounds the sample by sample * max_bytes; they are scored like all others."""
     window: int = 12
     least: int = 3
     most: int = 5
@@ -197,11 +198,18 @@ class Model:
 def train(df: DataFrame, labels: DataFrame, usable: Column | str, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from a bounded sample of labelled rows.  Without any, all scores are near one half."""
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    rows = labelled_sample(docs, labels, label_col, usable, s.sample, s.seed, 1 / 3, label_id=id_col).where("text is not null").collect()
-    rows.sort(key=lambda r: (r.id, r.text))
-    split = [(words_of(r.text.encode()), r.label) for r in rows]
-    split = [(w, y) for w, y in split if 0 < len(w) <= s.max_words]
-    return Model(s).fit([w for w, _ in split], np.array([y for _, y in split], np.int64))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = [b" ".join(w) if 0 < len(w := words_of(t)) <= s.max_words else b"" for t in utf8(batch.column("text"))]
+            kept = pa.array([0 < len(w) <= s.max_bytes for w in words], pa.bool_())
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "label": batch.column("label"), "words": pa.array(words, pa.binary())}).filter(kept)
+
+    small_batches(df.sparkSession)
+    sample = labelled_sample(docs, labels, label_col, usable, s.sample, s.seed, 1 / 3, label_id=id_col)
+    rows = sample.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, label int, words binary").collect()
+    rows.sort(key=lambda r: (r.id, bytes(r.words)))
+    return Model(s).fit([bytes(r.words).split(b" ") for r in rows], np.array([r.label for r in rows], np.int64))
 
 
 class _Logits(dict):
@@ -243,4 +251,5 @@ def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             best = np.maximum.reduceat(mean, doc_at) if len(n) else mean
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": pa.array(1 / (1 + np.exp(-(best + constant))))})
 
+    small_batches(df.sparkSession)
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 
     Rows are picked by a hash of their id against the wanted over the actual number of rows with that label, so the same rows
     are picked whatever the partitioning and no ordering of all labels takes place.  Of several labels of an id the
-    largest counts; rows with null ids or labels don't.  usable: a condition on the labels' id.
+    largest counts, of several texts the first in order; rows with null ids, texts or labels don't.  usable: a condition on the labels' id.
     """
     known = labels.where(usable).select(F.col(label_id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
@@ -19,4 +19,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     share = F.when(F.col("label") == 1, size * ones / max(1, n.get(1, 0))).otherwise(size * (1 - ones) / max(1, n.get(0, 0)))
     picked = known.where(F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) / (1 << 30) < share)
     # About `size` rows of two numbers: small enough for every executor.
-    return docs.join(F.broadcast(picked), "id").select("id", "text", "label")
+    return docs.where("text is not null").join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
