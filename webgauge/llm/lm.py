@@ -40,9 +40,9 @@ class Settings:
     pair_mass: float = 32.0
     """The weight, in tokens, of the unigram estimate in a pair's."""
     triple_mass: float = 8.0
-    shard: int = 2_000_000
+    shard: int = 1_000_000
     """Tokens for each shard; a context of over a quarter of that is dealt to several."""
-    piece: int = 8 << 20
+    piece: int = 5 << 20
     """Bytes of text in a chunk; a longer text is cut between words, and sums of its pieces are added up."""
 
 
