@@ -148,3 +148,19 @@ def test_first_seen(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
     assert drain(streams.first_seen(stream), "st3", spark).count() == 2
+
+
+def test_whois_keys_begin_lines(spark):
+    raw = "\n".join(["% Registered nowhere", "created: not a date", "Created on: 2011-02-03", "domain: x", "paid till  ", "Expiry Date: unknown", "\tEXPIRES: 2030-05-06\r", "paid-till: 2031-01-01"])
+    rows = [("a", raw), ("b", "Registered: 2001-01-01\nCreation Date: 2002-01-01T00:00:00Z\nexpire: 2024-02-01"), ("c", ""), ("d", "nothing here")]
+    got = {r.host: r for r in hosts.whois(spark.createDataFrame(rows, "host string, whois_raw string"), "2024-01-15").collect()}
+    assert (str(got["a"].created), str(got["a"].expires), got["a"].code) == ("2011-02-03", "2030-05-06", None)
+    assert (str(got["b"].created), got["b"].days_left, got["b"].code) == ("2002-01-01", 17, "DOMAIN_EXPIRING_SOON")
+    assert got["c"].code == "WHOIS_UNAVAILABLE" and got["d"].code == "WHOIS_EXPIRES_UNKNOWN"
+
+
+def test_suffixes_and_directives(spark):
+    df = spark.createDataFrame([("shop.example.com.cn",), ("a.b.NE.jp",), ("x.y.co.nz",), ("one",)], "h string")
+    assert [r[0] for r in df.select(urls.registrable_domain(F.col("h"))).collect()] == ["example.com.cn", "b.NE.jp", "co.nz", "one"]
+    files = spark.createDataFrame([("h", "User-agent: *\nDisallow: /\nClean-param: x\nHost: y\nNoindex: /")], "host string, body string")
+    assert {(r.line, r.code) for r in robots.lint(files).collect()} == {(3, "ROBOTS_UNKNOWN_DIRECTIVE"), (5, "ROBOTS_UNKNOWN_DIRECTIVE")}

@@ -13,7 +13,7 @@ HAS_SCHEME = r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://"
 NOT_A_LINK = r"(?i)^\s*($|#|javascript:|mailto:|tel:)"
 NOT_A_RESOURCE = r"(?i)^\s*($|#|javascript:|mailto:|tel:|data:|whatsapp:|tg:|viber:|skype:|intent:)"
 #: Public suffixes of two labels.
-TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "gov.uk", "ac.uk", "com.au", "net.au", "org.au", "co.jp", "com.br", "com.tr", "com.ua", "co.il", "co.nz", "co.in", "com.ru", "org.ru", "net.ru", "msk.ru", "spb.ru"]
+TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "gov.uk", "ac.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "com.br", "com.tr", "com.cn", "net.cn", "org.cn"]
 
 
 def part(url: Column, k: int) -> Column:
@@ -131,5 +131,6 @@ def root2(host_: Column) -> Column:
     return F.substring_index(host_, ".", -2)
 
 
-def registrable_domain(host_: Column) -> Column:
-    return F.when(root2(host_).isin(TWO_LABEL_SUFFIXES), F.substring_index(host_, ".", -3)).otherwise(root2(host_))
+def registrable_domain(host_: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> Column:
+    """The last two labels, or three where the last two are a suffix."""
+    return F.when(F.lower(root2(host_)).isin(suffixes), F.substring_index(host_, ".", -3)).otherwise(root2(host_))

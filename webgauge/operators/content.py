@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text
 from .checks import Options, thin_page
 
-#: Fixed value: frequent words that never count as stuffing.
-STOP_WORDS = "the and for are but not you all any can her was one our out has him his how its may new now old see two who did get let put say she too use that with this from they have were been der die das und ist ein les des une est que los las por".split()
+#: Frequent words that never count as stuffing, Russian and English ones.
+STOP_WORDS = (
+    "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по ее мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть был него до "
+    "вас нибудь опять уж вам ведь там потом себя ничего ей может они тут где есть надо ней для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот того потому этого какой совсем ним здесь этом один почти мой тем чтобы нее кажется "
+    "the and for with that this you your from are was were have has had not but they their them his her she him our ours what when where who why how a an to in on of as at by or if it is be"
+).split()
 
 
 def duplicate_groups(rows: DataFrame, key: Column, top: int = 200, samples: int = 10) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys of creation and expiry lines, and the date formats that registries use.
-CREATED = ["created", "creation date", "registered", "registered on", "registration time", "domain registration date"]
-EXPIRES = ["paid-till", "registry expiry date", "expiry date", "expires", "expires on", "expiration date", "registrar registration expiration date"]
+#: What creation and expiry lines begin with, and the date formats that registries use.
+CREATED = ["Creation Date", "Created", "Created On", "Registered On", "Registration Time", "Domain Registration Date", "created:", "created on", "created-date"]
+EXPIRES = ["Registry Expiry Date", "Registrar Registration Expiration Date", "Expiration Date", "Expires On", "Expiry Date", "paid-till", "paid till", "expire:", "expires:"]
 FORMATS = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy.MM.dd", "dd.MM.yyyy", "dd-MMM-yyyy", "yyyy/MM/dd"]
 #: Prefixes of chain errors that make a chain invalid.
 CHAIN_ERRORS = r"^(UntrustedRoot|PartialChain|NotSignatureValid|CtlNotTimeValid|RevocationStatusUnknown|Revoked)"
@@ -29,7 +29,7 @@ def tls(observations: DataFrame, as_of: str, soon: int = 30) -> DataFrame:
     left = F.datediff("not_after", F.lit(as_of).cast("date"))
     name = F.array(F.coalesce("san", F.regexp_replace("subject", "^CN=", "")))
     return codes(observations, [
-        (~ok, "SSL_TLS_HANDSHAKE_FAILED"), (ok & F.col("not_after").isNull(), "SSL_NO_EXPIRY"), (ok & (left < 0), "SSL_EXPIRED"), (ok & left.between(0, soon), "SSL_EXPIRING_SOON"),
+        (~ok, "TLS_HANDSHAKE_FAILED"), (ok & F.col("not_after").isNull(), "SSL_NO_EXPIRY"), (ok & (left < 0), "SSL_EXPIRED"), (ok & left.between(0, soon), "SSL_EXPIRING_SOON"),
         (ok & (F.col("issuer") == F.col("subject")), "SSL_SELF_SIGNED"), (ok & ~cert_matches(F.col("host"), name), "SSL_DOMAIN_MISMATCH"), (ok & F.coalesce(F.col("chain_error").rlike(CHAIN_ERRORS), F.lit(False)), "SSL_CA_CHAIN_INVALID"),
     ], "host")
 
@@ -45,10 +45,16 @@ def parse_date(value: Column) -> Column:
 
 
 def whois(observations: DataFrame, as_of: str, soon: int = 30) -> DataFrame:
-    """(host, created, expires, age_days, days_left, code): the first line that begins with a creation or expiry key decides each."""
-    rows = F.split("whois_raw", "\r?\n")
-    pairs = F.transform(rows, lambda s: F.struct(F.lower(F.trim(F.regexp_extract(s, "^([^:]*):", 1))).alias("k"), F.trim(F.regexp_extract(s, "^[^:]*:(.*)$", 1)).alias("v")))
-    first = lambda keys: parse_date(F.get(F.filter(pairs, lambda p: p["k"].isin(keys)), F.lit(0))["v"])
+    """(host, created, expires, age_days, days_left, code): the first line that begins with a creation or expiry key, whatever its case, and
+    has a date decides each.  The date stands after the line's colon, or after the key where there's none."""
+    rows = F.transform(F.split("whois_raw", "\n"), lambda s: F.trim(F.translate(s, "\r\t", "  ")))
+
+    def first(keys: list[str]) -> Column:
+        key = f"(?i)^(?:{'|'.join(keys)})"
+        value = lambda s: F.trim(F.when(s.rlike("^[^:]*:."), F.regexp_extract(s, "^[^:]*:(.*)$", 1)).otherwise(F.regexp_replace(s, key, "")))
+        dates = F.transform(F.filter(rows, lambda s: s.rlike(key)), lambda s: parse_date(value(s)))
+        return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
+
     now = F.lit(as_of).cast("date")
     out = observations.select("host", "whois_raw", first(CREATED).alias("created"), first(EXPIRES).alias("expires")).withColumn("age_days", F.datediff(now, "created")).withColumn("days_left", F.datediff("expires", now))
     code = F.when(F.coalesce(F.trim("whois_raw"), F.lit("")) == "", "WHOIS_UNAVAILABLE").when(F.col("expires").isNull(), "WHOIS_EXPIRES_UNKNOWN").when(F.col("days_left") < 0, "DOMAIN_EXPIRED").when(F.col("days_left") <= soon, "DOMAIN_EXPIRING_SOON").when(F.col("created").isNull(), "WHOIS_CREATED_UNKNOWN")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import urls
 
 AGENT, RULE = "user-agent", ("allow", "disallow")
-#: Directives that robots files may have.
-KNOWN = ["user-agent", "allow", "disallow", "sitemap", "crawl-delay", "host", "clean-param", "request-rate", "visit-time", "noindex"]
+#: Directives that robots files may have, in lower case.
+KNOWN = ["user-agent", "disallow", "allow", "sitemap", "crawl-delay", "host"]
 
 
 def lines(files: DataFrame) -> DataFrame:

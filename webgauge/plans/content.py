@@ -72,9 +72,16 @@ def p21_thin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", F.col("chars").cast("bigint").alias("chars"), F.col("words").cast("bigint").alias("words"), "thin")
 
 
+#: Fixed values, written out apart from the library's own so that a mistake there would show: Russian and English stop words.
+STOPPED = ", ".join(map(d.q, (
+    "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по ее мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть был него до "
+    "вас нибудь опять уж вам ведь там потом себя ничего ей может они тут где есть надо ней для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот того потому этого какой совсем ним здесь этом один почти мой тем чтобы нее кажется "
+    "the and for with that this you your from are was were have has had not but they their them his her she him our ours what when where who why how a an to in on of as at by or if it is be"
+).split()))
+
 STUFFED = (
     "SELECT seq, token, w AS n, total, kinds AS \"distinct\" FROM (SELECT *, sum(w) OVER (PARTITION BY seq) AS total, count(*) OVER (PARTITION BY seq) AS kinds, row_number() OVER (PARTITION BY seq ORDER BY "
-    f"length(token) >= 3 AND token NOT IN ({', '.join(map(d.q, content.STOP_WORDS))}) DESC, w DESC, token) AS r FROM tokens) t WHERE r = 1 AND total >= 120 AND (w / total >= 0.09 AND kinds / total <= 0.35 OR w >= 80)"
+    f"length(token) >= 3 AND token NOT IN ({STOPPED}) DESC, w DESC, token) AS r FROM tokens) t WHERE r = 1 AND total >= 120 AND (w / total >= 0.09 AND kinds / total <= 0.35 OR w >= 80)"
 )
 
 

@@ -19,7 +19,7 @@ def _union(facts: str, rules: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT host, '{code}' AS code FROM {facts} WHERE {c}" for code, c in rules.items())
 
 
-@query(_union("hosts_obs", {"SSL_TLS_HANDSHAKE_FAILED": "NOT handshake_ok", "SSL_EXPIRED": f"handshake_ok AND not_after < DATE '{AS_OF}'", "SSL_EXPIRING_SOON": f"handshake_ok AND not_after BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 30", "SSL_SELF_SIGNED": "handshake_ok AND issuer = subject", "SSL_DOMAIN_MISMATCH": f"handshake_ok AND NOT {MATCH}", "SSL_CA_CHAIN_INVALID": "handshake_ok AND chain_error IS NOT NULL"}))
+@query(_union("hosts_obs", {"TLS_HANDSHAKE_FAILED": "NOT handshake_ok", "SSL_EXPIRED": f"handshake_ok AND not_after < DATE '{AS_OF}'", "SSL_EXPIRING_SOON": f"handshake_ok AND not_after BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 30", "SSL_SELF_SIGNED": "handshake_ok AND issuer = subject", "SSL_DOMAIN_MISMATCH": f"handshake_ok AND NOT {MATCH}", "SSL_CA_CHAIN_INVALID": "handshake_ok AND chain_error IS NOT NULL"}))
 def x3_x5_x6_tls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.tls(view(spark, sf_dir, "hosts_obs"), AS_OF)
 

@@ -47,7 +47,7 @@ LAST = f"lower(regexp_extract({d.part('url', 4)}, '([^/]*)$', 1))"
 
 @query(
     f"SELECT url, len({SEGMENTS}) <= 1 OR starts_with(lower({SEGMENTS}[-1]), 'index.') AS landing, NOT contains({LAST}, '.') OR regexp_matches({LAST}, '\\.html?$') AS html, array_to_string(string_split(host, '.')[-2:], '.') AS root2, "
-    f"CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({', '.join(map(d.q, urls.TWO_LABEL_SUFFIXES))}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain, "
+    f"CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'gov.uk', 'ac.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'ne.jp', 'com.br', 'com.tr', 'com.cn', 'net.cn', 'org.cn') THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain, "
     "NOT regexp_matches(ref, '(?i)^(/|\\./|\\.\\./|#|https?:)') AND contains(ref, '.') AND NOT contains(ref, ' ') AS missing FROM (SELECT url, host, regexp_replace(url, '^https?://', '') AS ref FROM pages_ext UNION ALL SELECT 'https://a.b.co.uk/', 'a.b.co.uk', '/x') y"
 )
 def u8_u12_url_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def r3_robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.allowed(f, robots.rules(view(spark, sf_dir, "robots_files"))).select("seq", "allowed")
 
 
-@query(f"SELECT host, line, code FROM (SELECT host, line, CASE WHEN NOT colon THEN 'ROBOTS_BAD_LINE' WHEN key NOT IN ({', '.join(map(d.q, robots.KNOWN))}) THEN 'ROBOTS_UNKNOWN_DIRECTIVE' WHEN key = 'crawl-delay' AND try_cast(value AS DOUBLE) IS NULL THEN 'ROBOTS_BAD_CRAWL_DELAY' END AS code FROM robot_lines) x WHERE code IS NOT NULL", **MADE)
+@query(f"SELECT host, line, code FROM (SELECT host, line, CASE WHEN NOT colon THEN 'ROBOTS_BAD_LINE' WHEN key NOT IN ('user-agent', 'disallow', 'allow', 'sitemap', 'crawl-delay', 'host') THEN 'ROBOTS_UNKNOWN_DIRECTIVE' WHEN key = 'crawl-delay' AND try_cast(value AS DOUBLE) IS NULL THEN 'ROBOTS_BAD_CRAWL_DELAY' END AS code FROM robot_lines) x WHERE code IS NOT NULL", **MADE)
 def r4_robots_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.lint(view(spark, sf_dir, "robots_files")).withColumn("line", F.col("line").cast("bigint"))
 
