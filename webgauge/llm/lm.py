@@ -84,6 +84,16 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(arrays), bounds(map(len, arrays))
 
 
+def dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and each one's place among them; by a table where ids aren't far apart, else by sorting."""
+    size = int(ids.max(initial=0)) + 1
+    if size > 4 * len(ids):
+        return np.unique(ids, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[ids] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[ids]
+
+
 def mixed(*columns: np.ndarray) -> np.ndarray:
     """A digest of 63 bits for each row."""
     out = np.zeros(len(columns[0]), np.uint64)
@@ -271,9 +281,11 @@ class Passes:
         ids, word_at = unpacked(table.column("ids"))
         word_n, _ = unpacked(table.column("word_n"))
         (a, at), (b, _), (n, _), (every, _) = (unpacked(table.column(c)) for c in ("a", "b", "n", "every"))
-        words, first, dense = np.unique(ids, return_index=True, return_inverse=True)
-        word_n, base = word_n[first], np.repeat(word_at[:-1], np.diff(at))
-        keys, which = np.unique(dense[a + base] * len(words) + dense[b + base], return_inverse=True)
+        words, place = dense(ids)
+        n_of, base = np.zeros(len(words), np.int64), np.repeat(word_at[:-1], np.diff(at))
+        n_of[place] = word_n
+        word_n = n_of
+        keys, which = np.unique(place[a + base] * len(words) + place[b + base], return_inverse=True)
         a, b = np.divmod(keys, len(words))
         n, every = (np.bincount(which, v, len(keys)).astype(np.int64) for v in (n, every))
         m = self.s.pair_mass
@@ -322,8 +334,8 @@ class Passes:
     def answer_triples(self, table: pa.Table) -> pa.Table:
         (a, context_at), (b, _), (pair_n, _) = (unpacked(table.column(c)) for c in ("a", "b", "pair_n"))
         (context, at), (c, _), (lower, _), (n, _) = (unpacked(table.column(x)) for x in ("context", "c", "lower", "n"))
-        words, dense = np.unique(np.concatenate((a, b, c)), return_inverse=True)
-        a, b, c = np.split(dense, [len(a), 2 * len(a)])
+        words, place = dense(np.concatenate((a, b, c)))
+        a, b, c = np.split(place, [len(a), 2 * len(a)])
         contexts, first, same = np.unique(b * len(words) + a, return_index=True, return_inverse=True)
         b, a = np.divmod(contexts, len(words))
         pair_n = pair_n[first]
