@@ -45,31 +45,41 @@ def content_hash(c: Column) -> Column:
     return F.upper(F.sha2(text.fold(c).cast("binary"), 256))
 
 
+#: Two counters in a bigint: bits k and k + 32 of a hash are summed together.
+LANES = 0x0000000100000001
+
+
 def simhash(docs: DataFrame) -> DataFrame:
-    """(host, seq, simhash) of docs(host, seq, text): 64 bits by term weights.  Each distinct token is hashed once; the sums of all bits
-    run in one aggregation."""
+    """(host, seq, simhash) of docs(host, seq, text): 64 bits by term weights.  Each distinct token is hashed once.  A bit is set where the tokens that have it
+    weigh more than half of the text; weights of two bits share a sum, so 32 sums do."""
     tokens = docs.select("host", "seq", F.explode(text.tokenize(F.col("text"))).alias("token")).groupBy("host", "seq", "token").agg(F.count("*").alias("w"))
     hashed = tokens.select("token").distinct().withColumn("h", text.fnv1a(F.col("token")))
-    bit = lambda k: F.when(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(1).cast("bigint")) == 1, F.col("w")).otherwise(-F.col("w"))
-    sums = tokens.join(hashed.hint("shuffle_merge"), "token").groupBy("host", "seq").agg(*(F.sum(bit(k)).alias(f"b{k}") for k in range(64)))
+    pair = lambda k: F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANES).cast("bigint")) * F.col("w")
+    sums = tokens.join(hashed.hint("shuffle_merge"), "token").groupBy("host", "seq").agg(F.sum("w").alias("total"), *(F.sum(pair(k)).alias(f"b{k}") for k in range(32)))
     value = F.lit(0).cast("bigint")
     for k in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{k}") > 0, F.shiftleft(F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint")))
+        ones = F.shiftrightunsigned(f"b{k - 32}", 32) if k >= 32 else F.col(f"b{k}").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+        value = value.bitwiseOR(F.when(ones * 2 > F.col("total"), F.shiftleft(F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint")))
     return sums.select("host", "seq", value.alias("simhash"))
 
 
-def near_pairs(hashes: DataFrame, distance: int = 5, bucket: int = 200) -> DataFrame:
-    """(host, seq, other, distance): for each row the nearest earlier row that shares one of four 16-bit bands, within `distance` bits.
+def near_pairs(hashes: DataFrame, distance: int = 5) -> DataFrame:
+    """(host, seq, other, distance): for each row the nearest earlier row that shares one of four 16-bit bands, within `distance` bits, of all rows.
 
-    The bucket limit is the feature's own: of a band's rows the first `bucket` by seq are candidates.  Only they are joined, so a large
-    bucket costs its size times the limit, not its square.
+    Rows of one hash make a class: all but its first are nearest to that one, at distance 0, so only classes meet.  Up to five differing bits leave one of the
+    six bytes beyond the band equal: classes meet by band and byte, 24 bits, which keeps the rows of a frequent band apart.
     """
-    bands = hashes.select("host", "seq", "simhash", F.posexplode(F.array(*(F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("bigint")) for k in range(4)))).alias("band", "part"))
-    nth = F.row_number().over(Window.partitionBy("host", "band", "part").orderBy("seq"))
-    earlier = bands.withColumn("nth", nth).where(F.col("nth") <= bucket).select("host", "band", "part", F.col("seq").alias("other"), F.col("simhash").alias("other_hash"))
-    pairs = bands.join(earlier.hint("shuffle_merge"), ["host", "band", "part"]).where("other < seq").withColumn("distance", F.bit_count(F.col("simhash").bitwiseXOR(F.col("other_hash"))))
-    best = pairs.where(F.col("distance") <= distance).groupBy("host", "seq").agg(F.min(F.struct("distance", "other")).alias("best"))
-    return best.select("host", "seq", "best.other", "best.distance")
+    classes = hashes.groupBy("host", "simhash").agg(F.min("seq").alias("seq"))
+    bits = lambda at, mask: F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit(mask).cast("bigint"))
+    keys = [F.struct(F.lit(8 * k + b).alias("at"), (bits(16 * k, 0xFFFF) * 256 + bits(8 * b, 0xFF)).alias("part")) for k in range(4) for b in range(8) if b // 2 != k]
+    if distance > 5:
+        keys = [F.struct(F.lit(k).alias("at"), bits(16 * k, 0xFFFF).alias("part")) for k in range(4)]
+    met = classes.select("host", "seq", "simhash", F.explode(F.array(*keys)).alias("key")).select("host", "seq", "simhash", "key.at", "key.part")
+    earlier = met.select("host", "at", "part", F.col("seq").alias("other"), F.col("simhash").alias("other_hash"))
+    pairs = met.join(earlier.hint("shuffle_merge"), ["host", "at", "part"]).where("other < seq").withColumn("distance", F.bit_count(F.col("simhash").bitwiseXOR(F.col("other_hash"))))
+    best = pairs.where(F.col("distance") <= distance).groupBy("host", "seq").agg(F.min(F.struct("distance", "other")).alias("best")).select("host", "seq", "best.other", "best.distance")
+    copies = hashes.join(classes.withColumnRenamed("seq", "other").hint("shuffle_merge"), ["host", "simhash"]).where("other < seq")
+    return best.unionByName(copies.select("host", "seq", "other", F.lit(0).alias("distance")))
 
 
 def stuffing(docs: DataFrame, o: Options = Options()) -> DataFrame:

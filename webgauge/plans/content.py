@@ -53,7 +53,7 @@ TOKENS = "SELECT source AS host, doc_id AS seq, token, count(*) AS w FROM (SELEC
 HASHED = f"SELECT token, {_fnv('token')} AS h FROM (SELECT DISTINCT token FROM tokens) u"
 SIMHASH = "SELECT host, seq, CAST(CASE WHEN u >= 9223372036854775808::UHUGEINT THEN u::HUGEINT - 18446744073709551616 ELSE u::HUGEINT END AS BIGINT) AS simhash, u FROM (SELECT host, seq, (" + " + ".join(f"CASE WHEN sum(CASE WHEN (h >> {k}::UHUGEINT) % 2 = 1 THEN w ELSE -w END) > 0 THEN {1 << k}::UHUGEINT ELSE 0::UHUGEINT END" for k in range(64)) + ") AS u FROM tokens JOIN hashed USING (token) GROUP BY host, seq) s"
 BANDS = "SELECT host, seq, u, k, (u >> (16 * k)::UHUGEINT) % 65536 AS part FROM simhashes, (SELECT unnest(range(4)) AS k) b"
-NEAR = "SELECT a.host, a.seq, arg_min(b.seq, bit_count(CAST(xor(a.u, b.u) AS BIT)) * 1000000 + b.seq) AS other, min(bit_count(CAST(xor(a.u, b.u) AS BIT))) AS distance FROM bands a JOIN (SELECT * FROM bands QUALIFY row_number() OVER (PARTITION BY host, k, part ORDER BY seq) <= 200) b ON a.host = b.host AND a.k = b.k AND a.part = b.part AND b.seq < a.seq WHERE bit_count(CAST(xor(a.u, b.u) AS BIT)) <= 5 GROUP BY a.host, a.seq"
+NEAR = "SELECT a.host, a.seq, arg_min(b.seq, bit_count(CAST(xor(a.u, b.u) AS BIT)) * 1000000 + b.seq) AS other, min(bit_count(CAST(xor(a.u, b.u) AS BIT))) AS distance FROM bands a JOIN bands b ON a.host = b.host AND a.k = b.k AND a.part = b.part AND b.seq < a.seq WHERE bit_count(CAST(xor(a.u, b.u) AS BIT)) <= 5 GROUP BY a.host, a.seq"
 
 
 @query("SELECT host, seq, simhash FROM simhashes", tokens=TOKENS, hashed=HASHED, simhashes=SIMHASH)
@@ -97,7 +97,7 @@ def p22_keyword_stuffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a1_content_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     count = lambda df, name: df.groupBy("host").agg(F.count("*").alias(name))
-    stuffed = count(content.stuffing(docs).join(docs.select("host", "seq"), "seq"), "stuffed")
+    stuffed = count(content.stuffing(docs).hint("shuffle_merge").join(docs.select("host", "seq"), "seq"), "stuffed")
     exact = count(docs.groupBy("host", content.content_hash(F.col("text")).alias("hash")).count().where("count >= 2"), "exact_groups")
     near = count(content.near_pairs(content.simhash(docs)), "near_pairs")
     out = docs.select("host").distinct().join(stuffed, "host", "left").join(exact, "host", "left").join(near, "host", "left")
