@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,17 @@ NOT_A_RESOURCE = r"(?i)^\s*($|#|javascript:|mailto:|tel:|data:|whatsapp:|tg:|vib
 TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "gov.uk", "ac.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "com.br", "com.tr", "com.cn", "net.cn", "org.cn"]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once for each row however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def parts(url: Column) -> Column:
+    """Scheme, host, port, path and query of an address, one match for all; empty strings where it is none, null for null."""
+    found = F.split(F.regexp_replace(url, PATTERN, "$1\n$2\n$3\n$4\n$5"), "\n")
+    return F.when(url.rlike(PATTERN), found).when(url.isNotNull(), F.array(*(F.lit("") for _ in range(5))))
+
+
 def part(url: Column, k: int) -> Column:
     return F.regexp_extract(url, PATTERN, k)
 
@@ -28,12 +41,15 @@ def host(url: Column) -> Column:
 def normalize(url: Column, add_scheme: bool = False, force_https: bool = False, keep_query: bool = False, keep_slash: bool = False) -> Column:
     """Lower scheme and host, drop the default port and the fragment; an empty path is "/".  Null if it isn't an address of http or https."""
     u = F.when(url.rlike(HAS_SCHEME), url).otherwise(F.when(F.trim(url) != "", F.concat(F.lit("https://"), F.trim(url)))) if add_scheme else url
-    scheme = F.lower(part(u, 1))
-    port = F.when(((scheme == "http") & (part(u, 3) == ":80")) | ((scheme == "https") & (part(u, 3) == ":443")), "").otherwise(part(u, 3))
-    path = part(u, 4) if keep_slash else F.regexp_replace(part(u, 4), "/+$", "")
-    path = F.when(path == "", "/").otherwise(path)
-    kept = F.concat(F.lit("https") if force_https else scheme, F.lit("://"), F.lower(part(u, 2)), port, path, part(u, 5) if keep_query else F.lit(""))
-    return F.when(scheme.isin("http", "https"), kept)
+
+    def kept(p: Column) -> Column:
+        scheme, port = F.lower(p[0]), p[2]
+        default = ((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443"))
+        path = p[3] if keep_slash else F.regexp_replace(p[3], "/+$", "")
+        out = F.concat(F.lit("https") if force_https else scheme, F.lit("://"), F.lower(p[1]), F.when(default, "").otherwise(port), F.when(path == "", "/").otherwise(path), p[4] if keep_query else F.lit(""))
+        return F.when(scheme.isin("http", "https"), out)
+
+    return let(parts(u), kept)
 
 
 def crawl_url(url: Column) -> Column:
@@ -70,20 +86,24 @@ def remove_dots(path: Column) -> Column:
 def resolve(base: Column, ref: Column) -> Column:
     """The address that a reference on page base means; null where base is none."""
     r = F.trim(ref)
-    scheme, path = F.lower(part(base, 1)), part(base, 4)
-    origin = F.concat(scheme, F.lit("://"), F.lower(part(base, 2)), part(base, 3))
     tail = F.regexp_extract(r, r"([?#].*)?$", 0)
     own = F.regexp_replace(r, r"[?#].*$", "")
-    folder = F.concat(F.regexp_replace(path, r"[^/]*$", ""), F.lit(""))
-    folder = F.when(folder == "", "/").otherwise(folder)
-    out = (
-        F.when(r.rlike(HAS_SCHEME), r)
-        .when(r.startswith("//"), F.concat(scheme, F.lit(":"), r))
-        .when(r.startswith("/"), F.concat(origin, remove_dots(own), tail))
-        .when(r.startswith("?"), F.concat(origin, F.when(path == "", "/").otherwise(path), r))
-        .otherwise(F.concat(origin, remove_dots(F.concat(folder, own)), tail))
-    )
-    return F.when(scheme != "", out)
+
+    def meant(p: Column) -> Column:
+        scheme, path = F.lower(p[0]), p[3]
+        origin = F.concat(scheme, F.lit("://"), F.lower(p[1]), p[2])
+        folder = F.regexp_replace(path, r"[^/]*$", "")
+        to = F.when(r.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+        out = (
+            F.when(r.rlike(HAS_SCHEME), r)
+            .when(r.startswith("//"), F.concat(scheme, F.lit(":"), r))
+            .when(r.startswith("?"), F.concat(origin, F.when(path == "", "/").otherwise(path), r))
+            .when(to.contains("/."), F.concat(origin, remove_dots(to), tail))
+            .otherwise(F.concat(origin, to, tail))
+        )
+        return F.when(scheme != "", out)
+
+    return let(parts(base), meant)
 
 
 def is_checkable(ref: Column, resource: bool = False) -> Column:

@@ -183,11 +183,10 @@ def image_issues(pages: DataFrame) -> DataFrame:
 
 
 def canonical_facts(pages: DataFrame) -> DataFrame:
-    """(page_id, host, url, canonicals, first, target, in_body)."""
-    head = extract.head_facts(pages).select("page_id", "canonicals")
-    body = pages.select("page_id", "host", "url", F.regexp_extract("html", r"(?is)<body(?:\s[^>]*)?>(.*)$", 1).alias("body"))
-    in_body = F.exists(extract.tags(F.col("body"), "link"), lambda t: F.coalesce(F.lower(extract.attribute(t, "rel")).contains("canonical"), F.lit(False)))
-    facts = body.withColumn("in_body", in_body).drop("body").join(head, "page_id")
+    """(page_id, host, url, canonicals, first, target, in_body), each from its own row."""
+    body = F.regexp_extract("html", r"(?is)<body(?:\s[^>]*)?>(.*)$", 1)
+    in_body = F.exists(extract.tags(body, "link"), lambda t: F.coalesce(F.lower(extract.attribute(t, "rel")).contains("canonical"), F.lit(False)))
+    facts = pages.select("page_id", "host", "url", extract.canonicals(F.col("html")).alias("canonicals"), in_body.alias("in_body"))
     first = F.get("canonicals", F.lit(0))
     return facts.withColumn("first", first).withColumn("target", F.when(F.trim(first) != "", urls.resolve(F.col("url"), first)))
 

@@ -65,13 +65,21 @@ def external_hosts(pages: DataFrame, cap: int = 40) -> DataFrame:
     return pages.select("page_id", "host", F.explode(kept).alias("external"))
 
 
+def metas(html: Column) -> Column:
+    """Array of (name, content) of the meta tags that have a name."""
+    return F.filter(F.transform(tags(html, "meta"), lambda t: F.struct(F.lower(attribute(t, "name")).alias("name"), attribute(t, "content").alias("content"))), lambda m: m["name"].isNotNull())
+
+
+def canonicals(html: Column) -> Column:
+    """Targets of the canonical links as they are written, in order."""
+    return F.transform(F.filter(tags(html, "link"), lambda t: F.lower(attribute(t, "rel")).contains("canonical")), lambda t: F.coalesce(attribute(t, "href"), F.lit("")))
+
+
 def head_facts(pages: DataFrame) -> DataFrame:
     """(page_id, host, url, titles, h1s, metas, canonicals, doctype): the facts that head checks share."""
     html = F.col("html")
     inner = lambda tag: F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1)), lambda s: F.trim(F.regexp_replace(text.decode_entities(F.regexp_replace(s, "<[^>]*>", "")), text.SPACE, " ")))
-    metas = F.filter(F.transform(tags(html, "meta"), lambda t: F.struct(F.lower(attribute(t, "name")).alias("name"), attribute(t, "content").alias("content"))), lambda m: m["name"].isNotNull())
-    canonicals = F.transform(F.filter(tags(html, "link"), lambda t: F.lower(attribute(t, "rel")).contains("canonical")), lambda t: F.coalesce(attribute(t, "href"), F.lit("")))
-    return pages.select("page_id", "host", "url", inner("title").alias("titles"), inner("h1").alias("h1s"), metas.alias("metas"), canonicals.alias("canonicals"), F.lower(F.regexp_extract(html, r"(?i)<!doctype\s+([^>]*)>", 1)).alias("doctype"))
+    return pages.select("page_id", "host", "url", inner("title").alias("titles"), inner("h1").alias("h1s"), metas(html).alias("metas"), canonicals(html).alias("canonicals"), F.lower(F.regexp_extract(html, r"(?i)<!doctype\s+([^>]*)>", 1)).alias("doctype"))
 
 
 #: Fixed value: elements whose text is not seen or not content.

@@ -15,7 +15,7 @@ from .content import top_samples
 def inbound(edges: DataFrame, discovered: DataFrame, least: int = 5, top: int = 200) -> DataFrame:
     """(host, url, inbound): landing pages with fewer than `least` distinct inbound links on their host, the fewest first; 0 where there is none."""
     counts = edges.select("host", "src", "dst").distinct().groupBy("host", F.col("dst").alias("url")).agg(F.count("*").alias("inbound"))
-    poor = discovered.where(urls.is_landing(F.col("url"))).join(counts, ["host", "url"], "left").select("host", "url", F.coalesce("inbound", F.lit(0)).alias("inbound")).where(F.col("inbound") < least)
+    poor = discovered.where(urls.is_landing(F.col("url"))).join(counts.hint("shuffle_merge"), ["host", "url"], "left").select("host", "url", F.coalesce("inbound", F.lit(0)).alias("inbound")).where(F.col("inbound") < least)
     return top_samples(poor, top, "inbound", "url").drop("nth")
 
 
@@ -38,8 +38,7 @@ def frontier(edges: DataFrame, starts: DataFrame, max_pages: int = 1000, max_dep
     seen = materialize(level)
     level = seen
     steps = edges.select("host", key("src").alias("src"), key("dst").alias("dst")).distinct()
-    if not allow_query:
-        steps = steps.where(~F.col("dst").contains("?"))
+    steps = materialize(steps if allow_query else steps.where(~F.col("dst").contains("?")))
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         found = level.join(steps, (level["host"] == steps["host"]) & (level["url"] == steps["src"])).select(steps["host"], F.col("dst").alias("url")).distinct()
         if blocked is not None:
@@ -72,7 +71,7 @@ def domain_variants(hosts: DataFrame, hops: DataFrame) -> DataFrame:
     ends = resolve_redirects(hops, variants.select("url"))
     expected = F.concat(F.lit("https://"), F.col("host"))
     origin = F.regexp_extract("final_url", r"^(https?://[^/]+)", 1)
-    return variants.join(ends, "url").groupBy("host").agg(F.bool_and(origin == expected).alias("ok")).select("host", F.when(F.col("ok"), "DOMAIN_VARIANTS_OK").otherwise("DOMAIN_VARIANTS_PROBLEM").alias("code"))
+    return variants.join(ends.hint("shuffle_merge"), "url").groupBy("host").agg(F.bool_and(origin == expected).alias("ok")).select("host", F.when(F.col("ok"), "DOMAIN_VARIANTS_OK").otherwise("DOMAIN_VARIANTS_PROBLEM").alias("code"))
 
 
 def canonical_targets(canonicals: DataFrame, fetches: DataFrame, blocked: Column) -> DataFrame:

@@ -41,7 +41,7 @@ INBOUND = f"SELECT d.host, d.url, coalesce(n, 0) AS inbound FROM discovered d LE
 @query(INBOUND, discovered=DISCOVERED, raw_links=LINKS)
 def j1_a7_inbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = view(spark, sf_dir, "pages_ext")
-    links = extract.links(pages)
+    links = shared.materialize(extract.links(pages).select("host", "src", "dst").distinct())
     found = pages.select("host", urls.graph_url(F.col("url")).alias("url")).unionByName(links.select("host", F.col("dst").alias("url"))).where("url is not null").distinct()
     return graph.inbound(links, found)
 
@@ -97,8 +97,8 @@ def a3_canonical_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT f.host, count(DISTINCT original_url) AS noindex FROM fetches f JOIN head h ON f.seq = h.page_id WHERE coalesce(contains(x_robots_tag, 'noindex'), false) OR len(h.noindex) > 0 GROUP BY f.host", head=HEAD)
 def a4_noindex_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = view(spark, sf_dir, "fetches").withColumnRenamed("seq", "page_id").withColumnRenamed("original_url", "url")
-    hit = f.join(extract.head_facts(f).select("page_id", "metas"), "page_id").where(checks.noindex_header() | checks.noindex_meta())
+    f = view(spark, sf_dir, "fetches").select("host", F.col("original_url").alias("url"), "x_robots_tag", extract.metas(F.col("html")).alias("metas"))
+    hit = f.where(checks.noindex_header() | checks.noindex_meta())
     return hit.groupBy("host").agg(F.count_distinct("url").alias("noindex"))
 
 

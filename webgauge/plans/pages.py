@@ -175,9 +175,8 @@ def p3_p9_p28_p29_markup_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT f.seq, coalesce(contains(f.x_robots_tag, 'noindex'), false) AS by_header, len(h.noindex) > 0 AS by_meta FROM fetches f JOIN head h ON f.seq = h.page_id", head=HEAD)
 def p12_noindex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = view(spark, sf_dir, "fetches").withColumnRenamed("seq", "page_id").withColumnRenamed("original_url", "url")
-    head = extract.head_facts(f).select("page_id", "metas")
-    return f.join(head, "page_id").select(F.col("page_id").alias("seq"), checks.noindex_header().alias("by_header"), checks.noindex_meta().alias("by_meta"))
+    f = view(spark, sf_dir, "fetches").select("seq", "x_robots_tag", extract.metas(F.col("html")).alias("metas"))
+    return f.select("seq", checks.noindex_header().alias("by_header"), checks.noindex_meta().alias("by_meta"))
 
 
 OUTGOING = f"SELECT p.page_id, count(ref) FILTER (h = l.host) AS internal, count(ref) FILTER (h <> l.host) AS external FROM pages_ext p LEFT JOIN (SELECT page_id, host, ref, {d.host('(' + d.resolve('url', 'ref') + ')')} AS h FROM raw_links WHERE {CHECKABLE}) l ON p.page_id = l.page_id GROUP BY p.page_id"
