@@ -32,6 +32,8 @@ class Options:
     spam_unique: float = 0.35
     spam_count: int = 80
     markup_errors: int = 15
+    large_page_bytes: int = 2_000_000
+    large_html_chars: int = 2_000_000
 
 
 SEVERITIES = {"Info": 0, "Warning": 1, "Error": 2}
@@ -85,8 +87,9 @@ def meta(name: str) -> Column:
 
 def seo_facts(pages: DataFrame) -> DataFrame:
     head = extract.head_facts(pages)
+    described = F.size(F.filter(meta("description"), lambda m: m["content"].isNotNull()))
     description = F.transform(meta("description"), lambda m: F.trim(F.regexp_replace(text.decode_entities(F.coalesce(m["content"], F.lit(""))), text.SPACE, " ")))
-    return head.withColumn("descriptions", F.filter(description, lambda d: d != "")).withColumn("title", F.coalesce(F.get("titles", F.lit(0)), F.lit(""))).withColumn("h1", F.coalesce(F.get("h1s", F.lit(0)), F.lit(""))).withColumn("description", F.coalesce(F.get("descriptions", F.lit(0)), F.lit("")))
+    return head.withColumn("n_described", described).withColumn("descriptions", F.filter(description, lambda d: d != "")).withColumn("title", F.coalesce(F.get("titles", F.lit(0)), F.lit(""))).withColumn("h1", F.coalesce(F.get("h1s", F.lit(0)), F.lit(""))).withColumn("description", F.coalesce(F.get("descriptions", F.lit(0)), F.lit("")))
 
 
 @register("seo")
@@ -96,6 +99,7 @@ def seo(pages: DataFrame, o: Options = Options()) -> DataFrame:
     rules = {
         "NO_TITLE": F.size("titles") == 0, "MULTI_TITLE": F.size("titles") > 1,
         "NO_DESCRIPTION": F.size("descriptions") == 0, "MULTI_DESCRIPTION": F.size("descriptions") > 1,
+        "SEO_MISSING_TITLE": F.size("titles") == 0, "SEO_MULTIPLE_TITLE": F.size("titles") > 1, "SEO_MISSING_DESCRIPTION": F.col("n_described") == 0, "SEO_MULTIPLE_DESCRIPTION": F.col("n_described") > 1,
         "NO_H1": F.size("h1s") == 0, "H1_MULTIPLE": F.size("h1s") > 1, "SEO_MISSING_H1": (F.size("h1s") == 0) | (F.col("h1") == ""),
         "HTML_DOCTYPE_MISSING": F.col("doctype") == "", "HTML_DOCTYPE_NOT_HTML": (F.col("doctype") != "") & ~F.col("doctype").startswith("html"),
         "SEO_TITLE_EQUALS_H1": same("title", "h1"), "SEO_TITLE_EQUALS_DESCRIPTION": same("title", "description"), "SEO_DESCRIPTION_EQUALS_H1": same("description", "h1"),
@@ -113,11 +117,11 @@ def fetch_rules(o: Options = Options()) -> dict[str, Column | tuple[Column, str]
     http = lambda u: F.lower(urls.part(u, 1)) == "http"
     moved = F.coalesce(ha != hb, F.lit(False))
     return {
-        "NO_HTTPS": http(b), "PORT_443_IN_URL": http(a) & (urls.part(a, 3) == ":443"), "PORT_443_IN_FINAL_URL": http(b) & (urls.part(b, 3) == ":443"),
+        "NO_HTTPS": (http(b), "Error"), "PORT_443_IN_URL": (http(a) & (urls.part(a, 3) == ":443"), "Info"), "PORT_443_IN_FINAL_URL": (http(b) & (urls.part(b, 3) == ":443"), "Info"),
         "HTTP_TO_HTTPS_REDIRECT": (http(a) & ~http(b), "Info"), "NO_HTTP_TO_HTTPS_REDIRECT": http(a) & http(b), "REDIRECT_OTHER_DOMAIN": moved,
         "REDIRECT_TO_SUBDOMAIN": (moved & (urls.root2(ha) == urls.root2(hb)), "Info"), "REDIRECT_TO_OTHER_DOMAIN": moved & (urls.root2(ha) != urls.root2(hb)),
         "URL_EXPLICIT_443": a.rlike(r"(?i)^https?://[^/]+:443/?$"), "URL_NO_SCHEME": ~a.rlike(urls.HAS_SCHEME),
-        "PERF_SLOW_PAGE": F.col("load_seconds") >= o.slow_seconds, "BIG_PAGE": html_ok() & (F.col("content_length") >= o.big_page_bytes),
+        "PERF_SLOW_PAGE": F.col("load_seconds") >= o.slow_seconds, "BIG_PAGE": html_ok() & (F.col("content_length") >= o.big_page_bytes), "HTML_LARGE_PAGE": html_ok(200, 400) & (F.col("content_length") > o.large_page_bytes),
         "HTTP_REDIRECT_STATUS": (F.col("status_code").between(300, 399), "Info"), "HTTP_CLIENT_ERROR": F.col("status_code").between(400, 499), "HTTP_SERVER_ERROR": (F.col("status_code") >= 500, "Error"), "HTTP_FETCH_FAILED": (F.col("status_code") == 0, "Error"),
     }
 
@@ -126,6 +130,33 @@ def fetch_issues(fetches: DataFrame, o: Options = Options()) -> DataFrame:
     return issues(fetches, "fetch", fetch_rules(o), "seq")
 
 
+def redirect_issues(fetches: DataFrame) -> DataFrame:
+    """(seq, check, code, severity) of fetches(seq, original_url, redirects), redirects an array with `location`.  The first absolute location on another host
+    tells whether a chain stays within the last two labels; a fetch without redirects has no row."""
+    own = urls.host(F.col("original_url"))
+    away = F.filter(F.transform("redirects", lambda r: urls.host(r["location"])), lambda h: h.isNotNull() & (h != F.col("own")))
+    facts = fetches.withColumn("own", own).withColumn("other", F.get(away, F.lit(0)))
+    near = urls.root2(F.col("own")) == urls.root2(F.col("other"))
+    return issues(facts, "redirects", {"MULTI_REDIRECTS": (F.size("redirects") > 1, "Info"), "REDIRECT_TO_SUBDOMAIN": (near, "Info"), "REDIRECT_TO_OTHER_DOMAIN": ~near}, "seq")
+
+
+def noindex_issues(fetches: DataFrame) -> DataFrame:
+    """INDEX_NOINDEX of HTML pages with status 200 to 399: by header or by meta tag."""
+    facts = fetches.where(html_ok(200, 400)).select("seq", "x_robots_tag", extract.metas(F.col("html")).alias("metas"))
+    return issues(facts, "noindex", {"INDEX_NOINDEX": noindex_header() | noindex_meta()}, "seq")
+
+
+def landing_issues(pages: DataFrame) -> DataFrame:
+    """Landing pages that can't be indexed, of pages(seq, url, allowed, x_robots_tag, html); `allowed` comes from robots.allowed."""
+    facts = pages.where(urls.is_landing(F.col("url"))).select("seq", "allowed", "x_robots_tag", extract.metas(F.col("html")).alias("metas"))
+    return issues(facts, "landing", {"LANDING_BLOCKED_BY_ROBOTS": ~F.col("allowed"), "LANDING_NOINDEX_HEADER": noindex_header(), "LANDING_NOINDEX_META": noindex_meta()}, "seq")
+
+
+def failed_checks(read: DataFrame) -> DataFrame:
+    """A row for each page that a check couldn't read, of read(page_id, error)."""
+    return issues(read, "runner", {"CHECK_FAILED": (F.col("error").isNotNull(), "Error")}, "page_id")
+
+
 #: Fixed value: texts of server errors that leak into pages.
 LEAKS = r"(?i)(Fatal error: |Stack trace:|Traceback \(most recent call last\)|Unhandled exception|SQLSTATE\[|ORA-[0-9]{5}|You have an error in your SQL syntax)"
 
@@ -136,9 +167,9 @@ def mixed_content(html: Column) -> Column:
 
 
 @register("markup")
-def markup(pages: DataFrame) -> DataFrame:
+def markup(pages: DataFrame, o: Options = Options()) -> DataFrame:
     html = F.col("html")
-    rules = {"MIXED_CONTENT": F.lower("url").startswith("https://") & mixed_content(html), "IFRAME_PRESENT": (F.regexp_count(html, F.lit(r"(?i)<iframe[\s>]")) > 0, "Info"), "SERVER_ERROR_LEAK": (html.rlike(LEAKS), "Error"), "NO_DOCTYPE": ~F.coalesce(F.lower(html).contains("<!doctype"), F.lit(False))}
+    rules = {"HTML_LARGE_PAGE_BODY": F.length(html) > o.large_html_chars, "MIXED_CONTENT": F.lower("url").startswith("https://") & mixed_content(html), "IFRAME_PRESENT": (F.regexp_count(html, F.lit(r"(?i)<iframe[\s>]")) > 0, "Info"), "SERVER_ERROR_LEAK": (html.rlike(LEAKS), "Error"), "NO_DOCTYPE": ~F.coalesce(F.lower(html).contains("<!doctype"), F.lit(False))}
     return issues(pages, "markup", rules, "page_id")
 
 
@@ -258,6 +289,14 @@ def outgoing_blocklisted(pages: DataFrame, blocklist: DataFrame) -> DataFrame:
     return candidates.join(blocklist.hint("shuffle_hash"), "domain").groupBy("page_id", "domain").agg(F.array_join(F.array_sort(F.collect_set("zone")), ",").alias("zones"))
 
 
+def blocklist_issues(hits: DataFrame, top: int = 5) -> DataFrame:
+    """(page_id, check, code, severity, shown) of outgoing_blocklisted: one issue for a page, with the domains that most zones list, `top` of them."""
+    order = F.array_sort(F.collect_list(F.struct((-F.size(F.split("zones", ","))).alias("minus"), "domain", "zones")))
+    shown = F.array_join(F.transform(F.slice(order, 1, top), lambda x: F.concat(x["domain"], F.lit(": "), F.replace(x["zones"], F.lit(","), F.lit(", ")))), "; ")
+    per = hits.groupBy("page_id").agg(shown.alias("shown"))
+    return per.select("page_id", F.lit("outgoing").alias("check"), F.lit("OUTGOING_DOMAIN_DNSBL").alias("code"), F.lit("Warning").alias("severity"), "shown")
+
+
 def thin_page(o: Options = Options()) -> Column:
     """On columns chars, words and html_chars."""
     return (F.col("chars") < o.thin_chars) | (F.col("words") < o.thin_words) | (F.col("chars") / F.greatest(F.col("html_chars"), F.lit(1)) < o.thin_share)

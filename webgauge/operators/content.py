@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import materialize
 from .checks import Options, thin_page
 
 #: Frequent words that never count as stuffing, Russian and English ones.
@@ -67,8 +68,9 @@ def near_pairs(hashes: DataFrame, distance: int = 5) -> DataFrame:
     """(host, seq, other, distance): for each row the nearest earlier row that shares one of four 16-bit bands, within `distance` bits, of all rows.
 
     Rows of one hash make a class: all but its first are nearest to that one, at distance 0, so only classes meet.  Up to five differing bits leave one of the
-    six bytes beyond the band equal: classes meet by band and byte, 24 bits, which keeps the rows of a frequent band apart.
+    six bytes beyond the band equal: classes meet by band and byte, 24 bits, which keeps the rows of a frequent band apart.  Hashes are written out once.
     """
+    hashes = materialize(hashes.select("host", "seq", "simhash"))
     classes = hashes.groupBy("host", "simhash").agg(F.min("seq").alias("seq"))
     bits = lambda at, mask: F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit(mask).cast("bigint"))
     keys = [F.struct(F.lit(8 * k + b).alias("at"), (bits(16 * k, 0xFFFF) * 256 + bits(8 * b, 0xFF)).alias("part")) for k in range(4) for b in range(8) if b // 2 != k]
@@ -98,6 +100,15 @@ def thin(pages: DataFrame, visible: Column, o: Options = Options()) -> DataFrame
     return facts.withColumn("thin", thin_page(o))
 
 
+def content_issues(docs: DataFrame, o: Options = Options()) -> DataFrame:
+    """(seq, code) of docs(host, seq, text), visible texts: later copies of an equal text, later near copies of another, stuffed texts."""
+    keyed = docs.select("host", "seq", content_hash(F.col("text")).alias("hash")).where(F.col("hash") != F.upper(F.sha2(F.lit("").cast("binary"), 256)))
+    coded = lambda df, code: df.select("seq", F.lit(code).alias("code"))
+    copies = repeated(keyed, F.col("hash"))
+    near = near_pairs(simhash(docs)).join(copies.select("seq").hint("shuffle_merge"), "seq", "left_anti")
+    return coded(copies, "CONTENT_EXACT_DUPLICATE").unionByName(coded(near, "CONTENT_NEAR_DUPLICATE")).unionByName(coded(stuffing(docs, o), "CONTENT_KEYWORD_STUFFING"))
+
+
 def top_samples(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first n rows of each host by `order`; a window limit cuts each task's rows before the shuffle."""
     nth = F.row_number().over(Window.partitionBy("host").orderBy(*order))

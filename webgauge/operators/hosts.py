@@ -132,3 +132,20 @@ def host_audit(ends: DataFrame) -> DataFrame:
     from ..functions.urls import canonical_key
 
     return ends.groupBy("host").agg(F.bool_or(F.col("ok") & final.startswith("https://")).alias("https"), (F.count_distinct(canonical_key(final)) <= 1).alias("consistent"), F.min_by("final_url", F.struct(rank, final)).alias("canonical"))
+
+
+def host_issues(ends: DataFrame) -> DataFrame:
+    """(host, code, severity) of ends(host, url, final_url, ok): url a variant of the host's address, final_url where it led, ok whether it answered."""
+    from ..functions.urls import canonical_key
+
+    safe = lambda c: F.col(c).startswith("https://")
+    per = ends.where("ok").groupBy("host").agg(
+        F.bool_or(safe("url")).alias("https"), F.bool_or(~safe("url")).alias("http"), F.bool_or(~safe("url") & safe("final_url")).alias("led"), F.count_distinct(canonical_key(F.col("final_url"))).alias("keys")
+    )
+    rules = {
+        "HTTPS_UNAVAILABLE": (~F.col("https") & F.col("http"), "Error"), "NO_HTTP_TO_HTTPS_REDIRECT_HOST": (F.col("http") & ~F.col("led"), "Warning"),
+        "DOMAIN_VARIANTS_INCONSISTENT": (F.col("keys") > 1, "Warning"),
+    }
+    from .checks import issues
+
+    return issues(per, "host", rules, "host")

@@ -141,7 +141,11 @@ def _same(a: str, b: str) -> str:
     return f"{a} <> '' AND lower({a}) = lower({b})"
 
 
+#: Meta tags that describe a page, an empty text included.
+DESCRIBED = f"len(list_filter({d.tags('html', 'meta')}, lambda t: coalesce(lower({d.attr('t', 'name')}) = 'description' AND ({d.attr('t', 'content')}) IS NOT NULL, false)))"
+
 SEO_RULES = {
+    "SEO_MISSING_TITLE": "len(titles) = 0", "SEO_MULTIPLE_TITLE": "len(titles) > 1", "SEO_MISSING_DESCRIPTION": f"{DESCRIBED} = 0", "SEO_MULTIPLE_DESCRIPTION": f"{DESCRIBED} > 1",
     "NO_TITLE": "len(titles) = 0", "MULTI_TITLE": "len(titles) > 1", "NO_DESCRIPTION": "len(descriptions) = 0", "MULTI_DESCRIPTION": "len(descriptions) > 1", "NO_H1": "len(h1s) = 0", "H1_MULTIPLE": "len(h1s) > 1",
     "SEO_MISSING_H1": "len(h1s) = 0 OR h1 = ''", "HTML_DOCTYPE_MISSING": "doctype = ''", "HTML_DOCTYPE_NOT_HTML": "doctype <> '' AND NOT starts_with(doctype, 'html')",
     "SEO_TITLE_EQUALS_H1": _same("title", "h1"), "SEO_TITLE_EQUALS_DESCRIPTION": _same("title", "description"), "SEO_DESCRIPTION_EQUALS_H1": _same("description", "h1"),
@@ -155,11 +159,11 @@ def p1_p6_seo_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(d.issues("fetches", "fetch", {
-    "NO_HTTPS": "starts_with(final_url, 'http://')", "PORT_443_IN_URL": "regexp_matches(original_url, '^http://[^/]+:443')", "PORT_443_IN_FINAL_URL": "regexp_matches(final_url, '^http://[^/]+:443')",
+    "NO_HTTPS": ("starts_with(final_url, 'http://')", "Error"), "PORT_443_IN_URL": ("regexp_matches(original_url, '^http://[^/]+:443')", "Info"), "PORT_443_IN_FINAL_URL": ("regexp_matches(final_url, '^http://[^/]+:443')", "Info"),
     "HTTP_TO_HTTPS_REDIRECT": ("starts_with(original_url, 'http://') AND starts_with(final_url, 'https://')", "Info"), "NO_HTTP_TO_HTTPS_REDIRECT": "starts_with(original_url, 'http://') AND starts_with(final_url, 'http://')",
     "REDIRECT_OTHER_DOMAIN": "split_part(original_url, '/', 3) <> split_part(final_url, '/', 3)", "REDIRECT_TO_SUBDOMAIN": ("'www.' || split_part(original_url, '/', 3) = split_part(final_url, '/', 3)", "Info"),
     "URL_EXPLICIT_443": "regexp_matches(original_url, '^https?://[^/]+:443/?$')", "URL_NO_SCHEME": "NOT regexp_matches(original_url, '^https?://')", "PERF_SLOW_PAGE": "load_seconds >= 3.0",
-    "BIG_PAGE": "status_code = 200 AND contains(content_type, 'html') AND content_length >= 2000000", "HTTP_CLIENT_ERROR": "status_code BETWEEN 400 AND 499", "HTTP_SERVER_ERROR": ("status_code >= 500", "Error"),
+    "BIG_PAGE": "status_code = 200 AND contains(content_type, 'html') AND content_length >= 2000000", "HTML_LARGE_PAGE": "status_code BETWEEN 200 AND 399 AND contains(content_type, 'html') AND content_length > 2000000", "HTTP_CLIENT_ERROR": "status_code BETWEEN 400 AND 499", "HTTP_SERVER_ERROR": ("status_code >= 500", "Error"),
 }, "seq"))
 def p3_p7_p8_p10_p11_p25_p27_p33_fetch_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.fetch_issues(view(spark, sf_dir, "fetches"))
@@ -167,7 +171,7 @@ def p3_p7_p8_p10_p11_p25_p27_p33_fetch_issues(spark: SparkSession, sf_dir: str)
 
 @query(d.issues("pages_ext", "markup", {
     "MIXED_CONTENT": "starts_with(url, 'https://') AND (regexp_matches(html, '(?i)\\s(src|href)\\s*=\\s*[\"'']\\s*http://') OR regexp_matches(html, '(?i)\\sstyle\\s*=\\s*[\"''][^\"'']*http://') OR regexp_matches(html, '(?is)<style[^>]*>[^<]*http://'))",
-    "IFRAME_PRESENT": ("regexp_matches(html, '(?i)<iframe[\\s>]')", "Info"), "SERVER_ERROR_LEAK": (f"regexp_matches(html, {d.q(checks.LEAKS)})", "Error"), "NO_DOCTYPE": "NOT contains(lower(html), '<!doctype')",
+    "HTML_LARGE_PAGE_BODY": "length(html) > 2000000", "IFRAME_PRESENT": ("regexp_matches(html, '(?i)<iframe[\\s>]')", "Info"), "SERVER_ERROR_LEAK": (f"regexp_matches(html, {d.q(checks.LEAKS)})", "Error"), "NO_DOCTYPE": "NOT contains(lower(html), '<!doctype')",
 }, "page_id"))
 def p3_p9_p28_p29_markup_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.markup(view(spark, sf_dir, "pages_ext"))
