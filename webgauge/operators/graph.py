@@ -50,6 +50,32 @@ def frontier(edges: DataFrame, starts: DataFrame, max_pages: int = 1000, max_dep
     return top_samples(seen, max_pages, "depth", "url").drop("nth")
 
 
+def crawl_counters(edges: DataFrame, starts: DataFrame, seeds: DataFrame, blocked: DataFrame, results: DataFrame, max_pages: int = 1000, allow_query: bool = False) -> DataFrame:
+    """(host, visited, seeded, skipped_robots, skipped_external, skipped_query, skipped_http_errors, skipped_non_html, truncated) of a crawl from starts and sitemap
+    seeds(host, url) over edges(host, src, dst) to its end.  blocked(host, url): what robots files forbid.  results(host, url, status_code, content_type,
+    truncated): what a visited address answered.  Links are counted each time that a visited page has one: those to other hosts first, then those with a
+    query, then blocked ones."""
+    low = lambda df, *cs: df.select("host", *(F.lower(c).alias(c) for c in cs))
+    banned = materialize(low(blocked, "url").distinct())
+    open_seeds = low(seeds, "url").join(banned.hint("shuffle_merge"), ["host", "url"], "left_anti")
+    links = materialize(edges.select("host", F.lower("src").alias("src"), F.lower("dst").alias("dst"), (F.lower(urls.host(F.col("dst"))) != F.col("host")).alias("away"), F.col("dst").contains("?").alias("asks")))
+    seen = materialize(frontier(links.where(~F.col("away")), low(starts, "url").unionByName(open_seeds), max_pages, None, allow_query, banned).select("host", "url"))
+    marked = links.join(seen.withColumnRenamed("url", "src").hint("shuffle_merge"), ["host", "src"]).withColumn("url", F.col("dst")).join(banned.withColumn("banned", F.lit(True)).hint("shuffle_merge"), ["host", "url"], "left")
+    away, asks, banned_ = F.col("away"), F.lit(not allow_query) & F.col("asks"), F.col("banned").isNotNull()
+    n = lambda c, name: F.count_if(c).alias(name)
+    skipped = marked.groupBy("host").agg(n(away, "skipped_external"), n(~away & asks, "skipped_query"), n(~away & ~asks & banned_, "links_banned"))
+    html = F.coalesce(F.lower("content_type").contains("html"), F.lit(False))
+    good = F.col("status_code").between(200, 299)
+    found = results.select("host", F.lower("url").alias("url"), "status_code", "content_type", "truncated").dropDuplicates(["host", "url"])
+    answers = seen.join(found.hint("shuffle_merge"), ["host", "url"], "left").groupBy("host").agg(F.count("*").alias("visited"), n(~good, "skipped_http_errors"), n(good & ~html, "skipped_non_html"), n(good & html & F.col("truncated"), "truncated"))
+    seeded = open_seeds.groupBy("host").agg(F.count("*").alias("seeded"))
+    refused = low(seeds, "url").join(banned.hint("shuffle_merge"), ["host", "url"], "left_semi").groupBy("host").agg(F.count("*").alias("seeds_banned"))
+    for part in (skipped, seeded, refused):
+        answers = answers.join(part.hint("shuffle_merge"), "host", "left")
+    out = answers.na.fill(0)
+    return out.withColumn("skipped_robots", F.col("links_banned") + F.col("seeds_banned")).drop("links_banned", "seeds_banned")
+
+
 def resolve_redirects(hops: DataFrame, starts: DataFrame, limit: int = 10) -> DataFrame:
     """(url, final_url, hops, too_many): follow hops(from_url, location) from starts(url), `limit` at most."""
     at = materialize(starts.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops")).distinct())

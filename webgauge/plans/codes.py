@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import checks, content, extract, hosts, robots
+from ..operators import checks, content, extract, graph, hosts, robots
 from . import duck as d
 from .content import BANDS, HASHED, NEAR, SIMHASH, STUFFED, TOKENS, _docs, _titles
 from .fixtures import view
@@ -96,3 +96,33 @@ def j10_host_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A host's fetched pages stand for its variants."""
     f = view(spark, sf_dir, "fetches")
     return hosts.host_issues(f.select("host", F.col("original_url").alias("url"), "final_url", (F.col("status_code") < 400).alias("ok")))
+
+
+TARGETS = "SELECT DISTINCT url AS seq, host, url AS original_url FROM (SELECT host, dst AS url FROM crawl_edges WHERE split_part(dst, '/', 3) = host UNION ALL SELECT host, loc FROM sitemap_entries) t"
+CRAWL_EDGES = "SELECT host, src, dst FROM site_edges UNION ALL SELECT host, src, dst || '?again=1' FROM site_edges WHERE length(dst) % 5 = 0 UNION ALL SELECT host, src, 'https://elsewhere.example.org/' FROM site_edges WHERE length(dst) % 7 = 0"
+BANNED = "SELECT DISTINCT host, lower(original_url) AS url FROM targets JOIN target_allowed USING (seq) WHERE NOT allowed"
+WALK = (
+    "SELECT host, lower(min_by(url, page_id)) AS url FROM pages_ext GROUP BY host UNION SELECT host, lower(loc) FROM sitemap_entries WHERE (host, lower(loc)) NOT IN (SELECT (host, url) FROM banned) "
+    "UNION SELECT e.host, lower(e.dst) FROM walk w JOIN crawl_edges e ON w.host = e.host AND w.url = lower(e.src) WHERE split_part(e.dst, '/', 3) = e.host AND NOT contains(e.dst, '?') AND (e.host, lower(e.dst)) NOT IN (SELECT (host, url) FROM banned)"
+)
+MARKED = "SELECT e.host, split_part(dst, '/', 3) <> e.host AS away, contains(dst, '?') AS asks, (e.host, lower(dst)) IN (SELECT (host, url) FROM banned) AS ban FROM crawl_edges e JOIN walk w ON e.host = w.host AND lower(e.src) = w.url"
+SKIPPED = "SELECT host, count(*) FILTER (away) AS external, count(*) FILTER (NOT away AND asks) AS asked, count(*) FILTER (NOT away AND NOT asks AND ban) AS ban FROM marked GROUP BY host"
+ANSWERS = "SELECT w.host, count(*) AS visited, count(*) FILTER (status_code NOT BETWEEN 200 AND 299) AS errors, count(*) FILTER (status_code BETWEEN 200 AND 299 AND NOT contains(content_type, 'html')) AS other, count(*) FILTER (status_code BETWEEN 200 AND 299 AND contains(content_type, 'html') AND length(html) > 1500000) AS cut FROM walk w LEFT JOIN fetches f ON f.host = w.host AND lower(f.original_url) = w.url GROUP BY w.host"
+SEEDED = "SELECT host, count(*) FILTER ((host, lower(loc)) NOT IN (SELECT (host, url) FROM banned)) AS free, count(*) FILTER ((host, lower(loc)) IN (SELECT (host, url) FROM banned)) AS ban FROM sitemap_entries GROUP BY host"
+
+
+@query(
+    "SELECT a.host, a.visited, coalesce(s.free, 0) AS seeded, coalesce(k.ban, 0) + coalesce(s.ban, 0) AS skipped_robots, coalesce(k.external, 0) AS skipped_external, coalesce(k.asked, 0) AS skipped_query, a.errors AS skipped_http_errors, a.other AS skipped_non_html, a.cut AS truncated FROM answers a LEFT JOIN skipped k USING (host) LEFT JOIN seeded s USING (host)",
+    answers=ANSWERS, skipped=SKIPPED, seeded=SEEDED, marked=MARKED, walk=WALK, banned=BANNED, targets=TARGETS, crawl_edges=CRAWL_EDGES, robot_lines=LINES, robot_groups=GROUPED, robot_rules=RULES, target_allowed=ALLOWED.replace("FROM fetches f", "FROM targets f"),
+)
+def a15_crawl_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole crawl, from each host's first page and its sitemap, with links that carry a query and links to another host added."""
+    pages, edges, f = view(spark, sf_dir, "pages_ext"), view(spark, sf_dir, "site_edges"), view(spark, sf_dir, "fetches")
+    asking = edges.where(F.length("dst") % 5 == 0).withColumn("dst", F.concat("dst", F.lit("?again=1")))
+    leaving = edges.where(F.length("dst") % 7 == 0).withColumn("dst", F.lit("https://elsewhere.example.org/"))
+    edges = edges.unionByName(asking).unionByName(leaving)
+    seeds = view(spark, sf_dir, "sitemap_entries").select("host", F.col("loc").alias("url"))
+    targets = edges.select("host", F.col("dst").alias("url")).unionByName(seeds).distinct()
+    blocked = robots.allowed(targets, robots.rules(view(spark, sf_dir, "robots_files"))).where(~F.col("allowed"))
+    results = checks.truncate(f.withColumn("url", F.col("original_url")))
+    return graph.crawl_counters(edges, pages.groupBy("host").agg(F.min_by("url", "page_id").alias("url")), seeds, blocked, results)

@@ -88,16 +88,19 @@ def chain(query: str, made: dict[str, str] | None = None) -> str:
     """The query with the views that it needs, and those that these need, in front."""
     views = VIEWS | (made or {})
     needed: list[str] = []
+    open_: list[str] = []  # a recursive view reads itself
 
     def add(sql: str) -> None:
         for name in views:
-            if name not in needed and re.search(rf"\b(FROM|JOIN) {name}\b", sql):
+            if name not in needed and name not in open_ and re.search(rf"\b(FROM|JOIN) {name}\b", sql):
+                open_.append(name)
                 add(views[name])
                 if name not in needed:
                     needed.append(name)
 
     add(query)
-    return ("WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in needed) + "\n" if needed else "") + query
+    recursive = any(re.search(rf"\b(FROM|JOIN) {n}\b", views[n]) for n in needed)
+    return ("WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(f"{n} AS ({views[n]})" for n in needed) + "\n" if needed else "") + query
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
