@@ -79,6 +79,45 @@ def test_near_pairs_are_true_pairs(spark, values):
     assert all(bin((values[p.seq] ^ values[p.other]) & (2**64 - 1)).count("1") == p.distance <= 5 and p.other < p.seq for p in pairs)
 
 
+def test_near_pairs_lose_none(spark):
+    """Against all pairs: 300 hashes that share a band, some of them equal, so that no bucket limit could hide a late pair."""
+    import random
+
+    draw = random.Random(5)
+    apart = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    base = [draw.getrandbits(47) << 16 | 0xBEEF for _ in range(60)]
+    values = []
+    for _ in range(300):
+        v = draw.choice(base)
+        for k in draw.sample(range(63), draw.randrange(8)):
+            v ^= 1 << k
+        values.append(v)
+    bands = lambda a, b: any(not (a ^ b) >> 16 * k & 0xFFFF for k in range(4))
+    best = {}
+    for i, v in enumerate(values):
+        found = [(apart(v, w), j) for j, w in enumerate(values[:i]) if apart(v, w) <= 5 and bands(v, w)]
+        if found:
+            best[i] = min(found)
+    made = content.near_pairs(spark.createDataFrame([("h", i, v) for i, v in enumerate(values)], "host string, seq bigint, simhash bigint")).collect()
+    assert {r.seq: (r.distance, r.other) for r in made} == best and len(best) > 50
+
+
+def test_large_pages_and_failed_checks(spark):
+    o = checks.Options(large_html_chars=10)
+    pages = spark.createDataFrame([(1, "https://h/", "<!doctype html><p>long enough"), (2, "https://h/2", "<p>x")], "page_id bigint, url string, html string")
+    assert [r.page_id for r in checks.markup(pages, o).where("code = 'HTML_LARGE_PAGE_BODY'").collect()] == [1]
+    fetches = spark.createDataFrame([(n, "https://h/", "https://h/", status, "text/html", size, 0.1) for n, status, size in ((1, 200, 2_000_001), (2, 302, 2_000_001), (3, 200, 2_000_000), (4, 404, 9_000_000))], "seq bigint, original_url string, final_url string, status_code int, content_type string, content_length bigint, load_seconds double")
+    assert sorted(r.seq for r in checks.fetch_issues(fetches).where("code = 'HTML_LARGE_PAGE'").collect()) == [1, 2]
+    read = spark.createDataFrame([(1, None), (2, "RecursionError")], "page_id bigint, error string")
+    assert [tuple(r) for r in checks.failed_checks(read).collect()] == [(2, "runner", "CHECK_FAILED", "Error")]
+
+
+def test_invalid_and_misplaced_canonicals(spark):
+    html = ['<html><head><link rel="canonical" href="http://[bad"></head><body></body></html>', '<html><head></head><body><link rel="canonical" href="https://h/1"></body></html>', "<html></html>"]
+    pages = spark.createDataFrame([(k, "h", f"https://h/{k}", x) for k, x in enumerate(html)], "page_id bigint, host string, url string, html string")
+    assert sorted((r.page_id, r.code) for r in checks.canonical_issues(pages).collect()) == [(0, "CANONICAL_INVALID_URL"), (1, "CANONICAL_IN_BODY")]
+
+
 def test_frontier_goes_to_the_end(spark):
     edges = [("h", f"p{k}", f"P{k + 1}") for k in range(54)] + [("h", "p3", "p0"), ("h", "p4", "q"), ("h", "q", "r"), ("g", "p0", "p1"), ("h", "x", "y")]
     depth, level = {"p0": 0}, ["p0"]

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Scheme, host, port, path, query; no user part, no blanks.
-PATTERN = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#:@\s]+)(:[0-9]{1,5})?([^?#\s]*)(\?[^#\s]*)?(#\S*)?\s*$"
+#: Scheme, host, port, path, query; no user part, no blanks, no brackets in the host.
+PATTERN = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#:@\s\[\]]+)(:[0-9]{1,5})?([^?#\s]*)(\?[^#\s]*)?(#\S*)?\s*$"
 HAS_SCHEME = r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://"
 #: References that lead to no page, and to no resource.
 NOT_A_LINK = r"(?i)^\s*($|#|javascript:|mailto:|tel:)"
