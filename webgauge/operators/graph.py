@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -100,6 +100,26 @@ def domain_variants(hosts: DataFrame, hops: DataFrame) -> DataFrame:
     return variants.join(ends.hint("shuffle_merge"), "url").groupBy("host").agg(F.bool_and(origin == expected).alias("ok")).select("host", F.when(F.col("ok"), "DOMAIN_VARIANTS_OK").otherwise("DOMAIN_VARIANTS_PROBLEM").alias("code"))
 
 
+def uniformity_alerts(fetches: DataFrame, least: int = 50, every: int = 25, share: float = 0.75) -> DataFrame:
+    """(host, pages, top_count): the first of a host's looks at which one content length has `share` of the pages known till then, in the order of seq.
+
+    A look is at `least` pages and at each multiple of `every` beyond.  Pages are numbered in slices of the sorted table, so that no host is one
+    task's work; the largest count till a look is a running maximum, since counts only grow.
+    """
+    rows = fetches.where("content_length > 0").select("host", "seq", "content_length").repartitionByRange("host", "seq")
+    rows = materialize(rows.withColumn("slice", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("host", "slice").agg(F.count("*").alias("n")).select("host", "slice", before.alias("before"))
+    nth = F.row_number().over(Window.partitionBy("host", "slice").orderBy("seq", "content_length"))
+    numbered = rows.withColumn("nth", nth).join(sizes.hint("shuffle_merge"), ["host", "slice"]).withColumn("nth", F.col("nth") + F.col("before"))
+    look = F.when(F.col("nth") <= least, F.lit(least)).otherwise(F.ceil(F.col("nth") / every) * every).cast("bigint")
+    counts = numbered.groupBy("host", "content_length", look.alias("look")).agg(F.count("*").alias("n"), F.max("nth").alias("last"))
+    till = counts.withColumn("n", F.sum("n").over(Window.partitionBy("host", "content_length").orderBy("look")))
+    looks = till.groupBy("host", "look").agg(F.max("n").alias("n"), F.max("last").alias("last")).withColumn("top_count", F.max("n").over(Window.partitionBy("host").orderBy("look")))
+    hit = looks.where((F.col("last") == F.col("look")) & (F.col("top_count") >= share * F.col("look")))
+    return hit.groupBy("host").agg(F.min_by(F.struct(F.col("look").alias("pages"), "top_count"), "look").alias("a")).select("host", "a.*")
+
+
 def canonical_targets(canonicals: DataFrame, fetches: DataFrame, blocked: Column) -> DataFrame:
     """(page_id, code): canonical targets that fail, or that may not be indexed.  blocked: a condition on fetches."""
     known = fetches.select(urls.sitemap_url(F.col("original_url")).alias("key"), "status_code", blocked.alias("blocked"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import registrable_domain
+
 #: What creation and expiry lines begin with, and the date formats that registries use.
 CREATED = ["Creation Date", "Created", "Created On", "Registered On", "Registration Time", "Domain Registration Date", "created:", "created on", "created-date"]
 EXPIRES = ["Registry Expiry Date", "Registrar Registration Expiration Date", "Expiration Date", "Expires On", "Expiry Date", "paid-till", "paid till", "expire:", "expires:"]
@@ -70,22 +72,40 @@ def rdap(domains: DataFrame, as_of: str, soon: int = 30) -> DataFrame:
     return out.withColumn("code", F.when(F.col("created").isNull() & F.col("expires").isNull(), "DOMAIN_WHOIS_FAILED").when(F.col("expires").isNull(), "DOMAIN_EXPIRES_UNKNOWN").when(left < 0, "DOMAIN_EXPIRED").when(left <= soon, "DOMAIN_EXPIRES_SOON").otherwise("DOMAIN_EXPIRES_AT"))
 
 
+def rdap_candidates(names: DataFrame) -> DataFrame:
+    """(host, domain, nth): what to ask for a host, in order: itself, without www., its registrable domain."""
+    asked = F.array_distinct(F.array("host", F.regexp_replace("host", r"^www\.", ""), registrable_domain(F.col("host"))))
+    return names.select("host", F.posexplode(asked).alias("nth", "domain"))
+
+
+def rdap_by_candidates(names: DataFrame, answers: DataFrame, as_of: str, soon: int = 30) -> DataFrame:
+    """rdap() of the first candidate that has an answer in answers(domain, json), with that domain; hosts without any stay and have failed."""
+    known = answers.where("json is not null").groupBy("domain").agg(F.min("json").alias("json"))
+    first = rdap_candidates(names).join(known.hint("shuffle_merge"), "domain").groupBy("host").agg(F.min_by(F.struct("domain", "json"), "nth").alias("a"))
+    got = names.select("host").distinct().join(first.hint("shuffle_merge"), "host", "left").select("host", "a.domain", "a.json")
+    return rdap(got.select("host", "json"), as_of, soon).join(got.select("host", "domain").hint("shuffle_merge"), "host")
+
+
 def rdap_country(ips: DataFrame) -> DataFrame:
-    """(ip, country): the first two-letter code of country, countryCode, cc, or of an entity."""
-    got = lambda p: F.nullif(F.upper(F.get_json_object("json", p)), F.lit(""))
-    two = lambda c: F.when(F.length(c) == 2, c)
-    return ips.select("ip", F.coalesce(two(got("$.country")), two(got("$.countryCode")), two(got("$.cc")), two(got("$.entities[0].country"))).alias("country"))
+    """(ip, country): the first two-letter code of country, countryCode, cc, or of the entities in their order."""
+    r = F.from_json("json", "struct<country:string,countryCode:string,cc:string,entities:array<struct<country:string>>>")
+    codes_ = F.concat(F.array(r["country"], r["countryCode"], r["cc"]), F.coalesce(r["entities"]["country"], F.array().cast("array<string>")))
+    return ips.select("ip", F.upper(F.get(F.filter(codes_, lambda c: F.length(c) == 2), F.lit(0))).alias("country"))
 
 
 def public_ip(ip: Column) -> Column:
-    return ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & ~ip.rlike(r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^22[4-9]\.|^2[3-5][0-9]\.")
+    """Neither private, loopback, link-local, multicast nor reserved; an IPv6 address neither site-local, unique local nor Teredo either."""
+    v4 = ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & ~ip.rlike(r"^(10|127)\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^22[4-9]\.|^2[3-5][0-9]\.")
+    v6 = ip.rlike(r"(?i)^[0-9a-f:.]*:[0-9a-f:.]*$") & ~ip.rlike(r"(?i)^[0:]*:0*1$|^fe[89a-f][0-9a-f]:|^ff[0-9a-f]{2}:|^f[cd][0-9a-f]{2}:|^2001:0{0,4}:")
+    return v4 | v6
 
 
 def geo(observations: DataFrame, ip_country: DataFrame) -> DataFrame:
-    """(host, code, countries): where a host's public addresses, three at most, are."""
-    ips = observations.select("host", F.slice(F.array_sort(F.filter("ips", public_ip)), 1, 3).alias("ips"))
+    """(host, code, countries): where a host's public addresses are, three at most, IPv4 first."""
+    ranked = F.array_sort(F.array_distinct(F.transform(F.filter("ips", public_ip), lambda ip: F.struct(ip.contains(":").alias("v6"), F.lower(ip).alias("ip")))))
+    ips = observations.select("host", F.transform(F.slice(ranked, 1, 3), lambda s: s["ip"]).alias("ips"))
     found = ips.select("host", F.explode("ips").alias("ip")).join(ip_country.hint("shuffle_hash"), "ip").groupBy("host").agg(F.array_join(F.array_sort(F.collect_set("country")), ",").alias("countries"))
-    return ips.join(found, "host", "left").select("host", F.when(F.size("ips") == 0, "HOST_GEO_NO_PUBLIC_IP").when(F.col("countries").isNull(), "HOST_GEO_UNKNOWN").otherwise("HOST_COUNTRY").alias("code"), "countries")
+    return ips.join(found.hint("shuffle_merge"), "host", "left").select("host", F.when(F.size("ips") == 0, "HOST_GEO_NO_PUBLIC_IP").when(F.coalesce("countries", F.lit("")) == "", "HOST_GEO_UNKNOWN").otherwise("HOST_COUNTRY").alias("code"), F.nullif("countries", F.lit("")).alias("countries"))
 
 
 def reversed_key(ip: Column, zone: Column) -> Column:
@@ -125,6 +145,38 @@ def pagespeed(observations: DataFrame, strategy: str = "MOBILE") -> DataFrame:
     return out.withColumn("code", F.when(F.col("score").isNull(), f"{strategy}_PSI_FAILED").when(F.col("score") < 50, f"{strategy}_PSI_SCORE_LOW").when(F.col("score") < 90, f"{strategy}_PSI_SCORE_NEEDS_IMPROVEMENT"))
 
 
+#: The audits that a result keeps, with their columns.
+AUDITS = {"first-contentful-paint": "fcp_ms", "largest-contentful-paint": "lcp_ms", "speed-index": "speed_index_ms", "total-blocking-time": "tbt_ms", "cumulative-layout-shift": "cls", "interaction-to-next-paint": "inp_ms"}
+
+
+def pagespeed_targets(fetches: DataFrame) -> DataFrame:
+    """(host, strategy, url): the root of each host that answered with a page, one row a strategy; its scheme is that of the first such page."""
+    page = F.col("status_code").between(200, 399) & F.lower("content_type").contains("html")
+    roots = fetches.where(page).groupBy("host").agg(F.min_by(F.concat(F.regexp_extract("final_url", "^(https?://[^/?#]+)", 1), F.lit("/")), "seq").alias("url"))
+    return roots.select("host", F.explode(F.array(F.lit("MOBILE"), F.lit("DESKTOP"))).alias("strategy"), "url")
+
+
+def pagespeed_results(observations: DataFrame) -> DataFrame:
+    """Observations(host, strategy, url, psi_json) as results: success (an answer that is JSON), score of 100, six metrics, final_url and code."""
+    ddl = "struct<lighthouseResult:struct<finalUrl:string,categories:struct<performance:struct<score:double>>,audits:map<string,struct<numericValue:double>>>,_corrupt_record:string>"
+    read = observations.withColumn("r", F.from_json("psi_json", ddl, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    light = F.col("r")["lighthouseResult"]
+    score = F.round(light["categories"]["performance"]["score"] * 100).cast("int")
+    success = F.col("r").isNotNull() & F.col("r")["_corrupt_record"].isNull()
+    out = read.select("host", "strategy", "url", success.alias("success"), score.alias("score"), *(light["audits"][a]["numericValue"].alias(c) for a, c in AUDITS.items()), light["finalUrl"].alias("final_url"))
+    code = F.when(~F.col("success"), "PSI_FAILED").when(F.col("score") < 50, "PSI_SCORE_LOW").when(F.col("score") < 90, "PSI_SCORE_NEEDS_IMPROVEMENT")
+    return out.withColumn("code", F.concat("strategy", F.lit("_"), code))
+
+
+def pagespeed_report(results: DataFrame, n: int = 50) -> DataFrame:
+    """(host, strategy, tested, succeeded, failed, avg_score, worst): counters, and the n urls of the lowest scores joined by blanks."""
+    per = results.groupBy("host", "strategy").agg(F.count("*").alias("tested"), F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.avg(F.when(F.col("success"), F.col("score"))).alias("avg_score"))
+    nth = F.row_number().over(Window.partitionBy("host", "strategy").orderBy("score", "url"))
+    worst = results.where("success and score is not null").select("host", "strategy", "url", nth.alias("nth")).where(F.col("nth") <= n)
+    shown = worst.groupBy("host", "strategy").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "url"))), lambda s: s["url"]), " ").alias("worst"))
+    return per.join(shown.hint("shuffle_merge"), ["host", "strategy"], "left").na.fill("", ["worst"])
+
+
 def host_audit(ends: DataFrame) -> DataFrame:
     """(host, https, consistent, canonical): of ends(host, url, final_url, ok); the canonical address is https naked, https www, then any."""
     final = F.col("final_url")

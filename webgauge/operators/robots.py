@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.shared import materialize
 
 AGENT, RULE = "user-agent", ("allow", "disallow")
 #: Directives that robots files may have, in lower case.
@@ -91,16 +92,28 @@ def sitemaps_of(files: DataFrame) -> DataFrame:
     return lines(files).where((F.col("key") == "sitemap") & (F.col("value") != "")).select("host", urls.resolve(base, F.col("value")).alias("sitemap_url")).distinct()
 
 
+def _sitemap_body() -> Column:
+    """A sitemap without comments, CDATA marks and what pictures, videos and news add to an entry."""
+    bare = F.regexp_replace("body", r"(?s)<!--.*?-->", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), r"(?is)<((?:image|video|news):\w+)\b[^>]*>.*?</\1\s*>", "")
+
+
+def sitemap_kind(body: Column) -> Column:
+    """index, urlset, unknown (another root) or broken (no root, or its end is missing)."""
+    root = F.lower(F.regexp_extract(body, r"<(?:[\w.\-]+:)?([A-Za-z]+)[\s>]", 1))
+    whole = body.rlike(r"(?i)</(?:[\w.\-]+:)?(urlset|sitemapindex)\s*>\s*$")
+    return F.when((root == "") | body.isNull(), "broken").when(~root.isin("urlset", "sitemapindex"), "unknown").when(~whole, "broken").when(root == "urlset", "urlset").otherwise("index")
+
+
 def sitemap_urls(files: DataFrame) -> DataFrame:
     """(host, file, kind, loc): entries of sitemap files(host, url, body).  kind: index, urlset, unknown or broken; files that say nothing keep a row without loc.
 
-    Entries are read by local name with any prefix; a regular expression doesn't fail on broken markup.
+    Entries are read by local name with any prefix, blank ones left out; a regular expression doesn't fail on broken markup.
     """
-    body = F.regexp_replace("body", r"(?s)<!--.*?-->", "")
-    root = F.lower(F.regexp_extract(body, r"<(?:[\w.\-]+:)?([A-Za-z]+)[\s>]", 1))
-    whole = body.rlike(r"(?i)</(?:[\w.\-]+:)?(urlset|sitemapindex)\s*>\s*$")
-    kind = F.when(~root.isin("urlset", "sitemapindex"), "unknown").when(~whole, "broken").when(root == "urlset", "urlset").otherwise("index")
-    locs = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<(?:[\w.\-]+:)?loc\s*>\s*(.*?)\s*</(?:[\w.\-]+:)?loc\s*>"), F.lit(1)), lambda s: F.replace(s, F.lit("&amp;"), F.lit("&")))
+    body = _sitemap_body()
+    kind = sitemap_kind(body)
+    found = F.regexp_extract_all(body, F.lit(r"(?is)<(?:[\w.\-]+:)?loc\s*>\s*(.*?)\s*</(?:[\w.\-]+:)?loc\s*>"), F.lit(1))
+    locs = F.filter(F.transform(found, lambda s: F.replace(s, F.lit("&amp;"), F.lit("&"))), lambda s: s != "")
     return files.select("host", F.col("url").alias("file"), kind.alias("kind"), F.explode_outer(F.when(kind.isin("urlset", "index"), locs)).alias("loc"))
 
 
@@ -134,3 +147,29 @@ def sitemap_audit(entries: DataFrame, states: DataFrame) -> dict[str, DataFrame]
         "not_in_sitemap": crawled.where("state = 'indexable'").join(listed, ["host", "key"], "left_anti").select("host", "key"),
         "not_indexable": listed.join(crawled.where("state in ('robots_blocked', 'noindex_header', 'noindex_meta')"), ["host", "key"]).select("host", "key", "state"),
     }
+
+
+def sitemap_report(files: DataFrame, states: DataFrame, max_urls: int = 200_000) -> DataFrame:
+    """By host of states(host, url, state): what its sitemap files(host, url, status_code, body), each address once, hold, and how that meets the crawl.
+
+    found: a file was read and gave an address.  errors: files not fetched, broken files, and one where nothing was found.  warnings: other roots,
+    entries that are no address, files without any address, more than max_urls addresses; all of them are counted all the same.
+    """
+    got = F.coalesce(F.col("status_code") == 200, F.lit(False))
+    kind = sitemap_kind(_sitemap_body())
+    of_files = files.select("host", got.alias("got"), kind.alias("kind"), F.lower(urls.part(F.col("url"), 4)).alias("path")).groupBy("host").agg(
+        F.count_if("got").alias("files"), F.count_if(~F.col("got")).alias("unfetched"), F.count_if(F.col("got") & (F.col("kind") == "broken")).alias("broken"),
+        F.count_if(F.col("got") & (F.col("kind") == "unknown")).alias("unknown"), F.coalesce(F.bool_or(F.col("got") & (F.col("path") == "/sitemap.xml")), F.lit(False)).alias("has_sitemap_xml"),
+    )
+    entries = materialize(sitemap_urls(files.where(got)).where("loc is not null").select("host", "kind", "loc", F.when(F.col("kind") == "urlset", urls.sitemap_url(F.col("loc"))).alias("key")))
+    keys = entries.groupBy("host", "key").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "urlset").alias("listed"))
+    of_urls = keys.groupBy("host").agg(F.sum("n").alias("elements"), F.count("key").alias("urls"), F.count_if(F.col("key").isNotNull() & urls.looks_like_html(F.col("key"))).alias("html_estimate"), F.sum(F.when(F.col("key").isNull(), F.col("listed")).otherwise(0)).alias("bad_urls"))
+    crawl = materialize(states.select("host", "url", "state"))
+    sets = [rows.groupBy("host").agg(F.count("*").alias(name)) for name, rows in sitemap_audit(entries.where("kind = 'urlset'"), crawl).items()]
+    out = crawl.select("host").distinct()
+    for one in [of_files, of_urls, *sets]:
+        out = out.join(one.hint("shuffle_merge"), "host", "left")
+    out = out.na.fill(0).na.fill(False).withColumn("found", (F.col("files") > 0) & (F.col("urls") > 0))
+    errors = F.col("unfetched") + F.col("broken") + (~F.col("found")).cast("bigint")
+    warnings = F.col("unknown") + F.col("bad_urls") + ((F.col("files") > 0) & (F.col("urls") == 0)).cast("bigint") + (F.col("urls") > max_urls).cast("bigint")
+    return out.select("host", "found", "files", "elements", "urls", "html_estimate", "has_sitemap_xml", errors.alias("errors"), warnings.alias("warnings"), "not_crawled", "not_in_sitemap", "not_indexable")

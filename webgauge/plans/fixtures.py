@@ -81,6 +81,38 @@ SELECT host, src, dst FROM (SELECT host, url AS src, lead(url) OVER (PARTITION B
  UNION ALL SELECT host, first_url, dst FROM (SELECT host, page_id, url AS dst, min(page_id) OVER (PARTITION BY host) AS m, first_value(url) OVER (PARTITION BY host ORDER BY page_id) AS first_url FROM pages_ext) c WHERE page_id > m AND page_id % 3 = 0
 """
 
+VIEWS["psi_obs"] = """
+SELECT host, strategy, url, CASE WHEN (seq + k) % 31 = 0 THEN NULL WHEN (seq + k) % 29 = 0 THEN '<html>quota</html>' ELSE concat('{"lighthouseResult":{"finalUrl":"',url,'#f","categories":{"performance":{"score":',CASE WHEN (seq + k) % 37 = 0 THEN 'null' ELSE concat(CAST((seq * 7 + k * 13) % 101 AS VARCHAR(10)),'e-2') END,'}},"audits":{"first-contentful-paint":{"numericValue":',CAST(seq % 900 AS VARCHAR(10)),'},"speed-index":{"numericValue":',CAST(seq % 700 AS VARCHAR(10)),'.5},"cumulative-layout-shift":{"numericValue":0.25}}}}') END AS psi_json
+ FROM (SELECT host, original_url AS url, seq, 'MOBILE' AS strategy, 1 AS k FROM fetches UNION ALL SELECT host, original_url, seq, 'DESKTOP', 2 FROM fetches) p
+"""
+
+VIEWS["sitemap_files"] = """
+SELECT host, concat('https://',host,CASE WHEN nth = 1 AND length(host) % 2 = 0 THEN '/sitemap.xml' ELSE concat('/sm/',CAST(page_id AS VARCHAR(10)),'.xml') END) AS url, CASE WHEN page_id % 13 = 0 THEN 500 ELSE 200 END AS status_code,
+ CASE page_id % 7 WHEN 0 THEN concat('<?xml version="1.0"?><sitemapindex><sitemap><loc>https://',host,'/sm/1.xml</loc></sitemap><sitemap><loc> </loc></sitemap></sitemapindex>')
+  WHEN 1 THEN '<html><loc>no</loc></html>' WHEN 2 THEN '<urlset><url><loc>x</loc>' WHEN 3 THEN concat('<s:urlset><s:url><s:loc>ftp/x</s:loc></s:url><s:url><s:loc> ',url,' </s:loc></s:url></s:urlset>') WHEN 4 THEN ''
+  ELSE concat('<urlset><url><loc><![CDATA[',url,']]></loc><image:image><image:loc>https://',host,'/i.png</image:loc></image:image></url><!-- <url><loc>https://',host,'/c</loc></url> --><url><loc>https://',host,'/f.pdf</loc></url></urlset>') END AS body
+ FROM (SELECT host, page_id, url, row_number() OVER (PARTITION BY host ORDER BY page_id) AS nth FROM pages_ext) s
+"""
+
+VIEWS["length_obs"] = """
+SELECT host, event_id AS seq, CAST(CASE WHEN event_id % 211 = 0 THEN 0 WHEN event_id % 20 < length(host) % 9 + 10 AND event_id > 900 THEN 2048 ELSE body_size END AS BIGINT) AS content_length FROM probes
+"""
+
+VIEWS["host_ips"] = """
+SELECT DISTINCT host, CASE seq % 13 WHEN 0 THEN '10.0.0.7' WHEN 1 THEN '172.31.4.4' WHEN 2 THEN 'fe80::1' WHEN 3 THEN 'fd12:3456::9' WHEN 4 THEN '::1' WHEN 5 THEN 'ff02::1' WHEN 6 THEN '2001:0:53aa::1' WHEN 7 THEN '224.0.0.1'
+  WHEN 8 THEN '2001:db8::5' WHEN 9 THEN '2a00:1450::12' WHEN 10 THEN '198.51.100.4' WHEN 11 THEN '203.0.113.77' ELSE '172.32.0.1' END AS ip FROM fetches
+"""
+
+VIEWS["variant_hosts"] = """
+SELECT page_id AS seq, concat(CASE WHEN page_id % 5 = 0 THEN 'www.' ELSE '' END,'s',CAST(page_id AS VARCHAR(10)),'.example.org') AS host, concat('s',CAST(page_id AS VARCHAR(10)),'.example.org') AS naked FROM pages
+"""
+
+VIEWS["variant_hops"] = """
+SELECT concat('http://',naked,'/') AS from_url, concat('https://',host,'/') AS location FROM variant_hosts WHERE seq % 3 <> 1
+ UNION ALL SELECT concat('http://www.',naked,'/'), concat('http://',naked,'/') FROM variant_hosts
+ UNION ALL SELECT concat('https://',CASE WHEN host = naked THEN 'www.' ELSE '' END,naked,'/'), concat('https://',host,'/') FROM variant_hosts WHERE seq % 4 <> 2
+"""
+
 TABLES = ["pages", "documents", "events", "labels"]
 
 
