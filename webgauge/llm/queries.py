@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, langid, lm, near_dedup, quality_mil, quality_rules, toxicity
+from . import bpe, chat, decontaminate, hard_negatives, html_extract, langid, lm, near_dedup, quality_mil, quality_rules, token_align, toxicity, url_filter
 from .common import crc_mod, table
 
 
@@ -62,7 +62,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_extract, op3_bpe_codec, op4_lm_score, op5_quality_mil, op6_chat_format, op7_langid_ppm, op8_toxicity_subword, op9_quality_rules, op10_decontaminate)}
+URL_RULES = url_filter.Rules(block=(("net", "/"), ("example.com", "/de/")), allow=(("example.net", "/en/"), ("org", "/fr/")))
+URL_TERMS = url_filter.Vocabulary()
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, URL_TERMS)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", turned), "id % 100 = 0")
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_align.align(table(spark, sf_dir, "documents"), groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_extract, op3_bpe_codec, op4_lm_score, op5_quality_mil, op6_chat_format, op7_langid_ppm, op8_toxicity_subword, op9_quality_rules, op10_decontaminate, op11_url_filter, op12_hard_negatives, op13_token_align)}
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -121,4 +139,31 @@ SELECT f.*, n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_rep
 FROM figures f LEFT JOIN class_near c USING (doc_id) LEFT JOIN word_near v USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op9_quality_rules": OP9, "op1_near_dedup": OP1, "op10_decontaminate": OP10}
+
+
+def _times(terms: list[str]) -> str:
+    """Occurrences of terms between boundaries; a boundary is given to both its neighbours by doubling it."""
+    doubled = "regexp_replace(' ' || u || ' ', '([^a-z0-9])', '\\1\\1', 'g')"
+    return f"len(regexp_extract_all({doubled}, '[^a-z0-9](?:{'|'.join(terms)})[^a-z0-9]'))" if terms else "0"
+
+
+OP11 = f"""
+WITH parts AS (SELECT page_id, {LOW.replace('text', 'url')} AS u, contains(url, '://') AS has, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+urls AS (SELECT page_id, u, CASE WHEN has THEN {LOW.replace("coalesce(text, '')", "regexp_extract(rest, '^[^/?#]*')")} ELSE '' END AS host, CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM parts),
+rules(rule, h, p, said) AS (VALUES {', '.join(f"('{h}{p}', '{h}', '{p}', '{v}')" for v, own in (('block', URL_RULES.block), ('allow', URL_RULES.allow)) for h, p in own)}),
+best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(said, length(rule)) AS said FROM urls JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+scored AS (SELECT page_id, {_times(list(URL_TERMS.strict))} AS n_strict, {_times([t for t, _ in URL_TERMS.soft])} AS n_soft,
+  {' + '.join(f"CASE WHEN {_times([t])} > 0 THEN {w} ELSE 0 END" for t, w in (*((t, URL_TERMS.limit) for t in URL_TERMS.strict), *URL_TERMS.soft))} AS weight FROM urls)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN weight >= {URL_TERMS.limit} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft, CAST(weight AS BIGINT) AS weight FROM urls JOIN scored USING (page_id) LEFT JOIN best USING (page_id)
+"""
+
+OP12 = """
+WITH vectors AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, positive_score, n.score AS negative_score FROM positives JOIN scored n USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 5
+"""
+
+ORACLES: dict[str, str] = {"op11_url_filter": OP11, "op12_hard_negatives": OP12, "op9_quality_rules": OP9, "op1_near_dedup": OP1, "op10_decontaminate": OP10}
