@@ -32,6 +32,10 @@ from .common import bounds, csr_take, inputs, materialize, outputs, scratch, sli
 
 EXPANDED = 2_000_000
 """Pairs of large groups that a task writes out at a time."""
+REMEMBERED = 200_000
+"""Units that a worker keeps with their tokens, about 60 MB."""
+SLICE = 2 << 20
+"""Bytes of text that are aligned at a time."""
 SPACE = "▁"
 BYTE = re.compile("<0x([0-9A-F]{2})>")
 ODD = re.compile(r"[^\S \n]").search
@@ -52,7 +56,7 @@ class Units(dict):
     model with such pieces gets whole texts.  `limit` units are remembered; others only until trim().
     """
 
-    def __init__(self, first: str, second: str, limit: int = bpe.CACHED):
+    def __init__(self, first: str, second: str, limit: int = REMEMBERED):
         import sentencepiece
 
         self.first, self.model, self.limit = bpe.load(first), sentencepiece.SentencePieceProcessor(model_file=second), limit
@@ -129,6 +133,7 @@ class Units(dict):
         new = np.flatnonzero(at < 0).tolist()
         self.learn(list(dict.fromkeys([units[k] for k in new])))
         at[new] = [self[units[k]] for k in new]
+        del cut, units
         out = []
         for ids, lens in ((self.a, self.lens_a), (self.b, self.lens_b)):
             found, n = csr_take(np.concatenate(([0], np.cumsum(lens, dtype=np.int64))), np.frombuffer(ids, np.int32), at)
@@ -164,7 +169,7 @@ def components(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
     ends: the sorted byte offsets where tokens end; both sides end at the same last byte.
     """
     if not len(ends_a):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), 0
     n, size = len(ends_a), int(ends_a[-1]) + 1
     here_a, here_b = np.zeros(size, np.int32), np.zeros(size, np.int32)
     here_a[ends_a], here_b[ends_b] = 1, 1
@@ -172,14 +177,14 @@ def components(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
     over_a = (np.cumsum(here_b, dtype=np.int32) - here_b)[ends_a]
     over_b = (np.cumsum(here_a, dtype=np.int32) - here_a)[ends_b]
     last = ends_a[over_b] <= ends_b
-    to = np.concatenate((n + over_a, np.where(last, n + np.arange(len(ends_b)), over_b)))
+    to = np.concatenate((n + over_a, np.where(last, n + np.arange(len(ends_b), dtype=np.int32), over_b)))
     while True:
         further = to[to]
         if np.array_equal(further, to):
             break
         to = further
     # What a component comes to is a token of the second side that points to itself.
-    nth = np.cumsum(last) - 1
+    nth = np.cumsum(last, dtype=np.int32) - 1
     group = nth[to - n]
     return group[:n], group[n:], int(nth[-1]) + 1
 
@@ -204,8 +209,8 @@ def linked(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: n
     key = lambda d, a, b: (d * size_a + a) * size_b + b
     alone_a, alone_b = sole[group_a], sole[group_b]
     found = [_distinct(key(doc[group_a[alone_a]], ids_a[alone_a].astype(np.int64), ids_b[alone_b]))]
-    a, times_a = _distinct(group_a[~alone_a] * size_a + ids_a[~alone_a])
-    b, times_b = _distinct(group_b[~alone_b] * size_b + ids_b[~alone_b])
+    a, times_a = _distinct(group_a[~alone_a].astype(np.int64) * size_a + ids_a[~alone_a])
+    b, times_b = _distinct(group_b[~alone_b].astype(np.int64) * size_b + ids_b[~alone_b])
     in_a, in_b = a // size_a, b // size_b
     at_b = np.searchsorted(in_b, np.arange(n + 1))
     total = np.concatenate(([0], np.cumsum(at_b[in_a + 1] - at_b[in_a])))
@@ -243,7 +248,7 @@ class Aligned:
     def written(self) -> Iterator[bytes]:
         """a1,a2|b1;a3|b2,b3 of each text: the tokens of a group's sides one after the other, each with the mark that follows it."""
         before_a, before_b = np.concatenate(([0], np.cumsum(self.per_a))), np.concatenate(([0], np.cumsum(self.per_b)))
-        size, mark = max(self.size_a, self.size_b), np.empty(len(self.ids_a) + len(self.ids_b), np.int64)
+        size, mark = max(self.size_a, self.size_b), np.empty(len(self.ids_a) + len(self.ids_b), np.int32)
         place_a, place_b = np.arange(len(self.ids_a)) + before_b[self.group_a], np.arange(len(self.ids_b)) + before_a[self.group_b + 1]
         mark[place_a], mark[place_b] = self.ids_a, self.ids_b
         mark[place_a[before_a[1:] - 1]] += size
@@ -269,7 +274,7 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first:
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, part = load(path_a, path_b), TaskContext.get().partitionId()
         ids = units.size_a * units.size_b
-        for k, batch in enumerate(slices(batches)):
+        for k, batch in enumerate(slices(batches, limit=SLICE)):
             texts = Aligned(batch.column("text").to_pylist(), units)
             keys, times = texts.links()
             pair = keys % ids
@@ -277,7 +282,8 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first:
             n, starts = batch.num_rows, np.searchsorted(keys // ids, np.arange(batch.num_rows + 1))
             many = np.flatnonzero(times > 1)
             starts_many = np.searchsorted(many, starts)
-            written = list(texts.written())
+            written = list(texts.written()) if groups else None
+            digests = [hashlib.sha256(x).hexdigest() if x else "" for x in written or texts.written()]
             links = np.concatenate(([0], np.cumsum(texts.per_a * texts.per_b)))[texts.at]
             packed = lambda x, at: pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())
             within = many - np.repeat(starts[:-1], np.diff(starts_many))
@@ -285,7 +291,7 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first:
                 "id": batch.column("id"),
                 "n_a": pa.array(np.diff(texts.at_a), pa.int64()), "n_b": pa.array(np.diff(texts.at_b), pa.int64()),
                 "n_groups": pa.array(np.diff(texts.at), pa.int64()), "n_links": pa.array(np.diff(links), pa.int64()),
-                "groups_sha256": pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in written]),
+                "groups_sha256": pa.array(digests),
                 "chunk": pa.array(np.full(n, part << 32 | k), pa.int64()),
                 "held": packed(at.astype(np.uint32), starts), "many": packed(within.astype(np.uint32), starts_many), "times": packed(times[many], starts_many),
                 "pairs": pa.nulls(n, pa.list_(pa.int64())), "docs": pa.nulls(n, pa.list_(pa.int32())),
