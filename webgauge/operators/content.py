@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.shared import materialize
 from .checks import Options, thin_page
+from .near_blocks import near_pairs
 
 #: Frequent words that never count as stuffing, Russian and English ones.
 STOP_WORDS = (
@@ -64,26 +64,6 @@ def simhash(docs: DataFrame) -> DataFrame:
     return sums.select("host", "seq", value.alias("simhash"))
 
 
-def near_pairs(hashes: DataFrame, distance: int = 5) -> DataFrame:
-    """(host, seq, other, distance): for each row the nearest earlier row that shares one of four 16-bit bands, within `distance` bits, of all rows.
-
-    Rows of one hash make a class: all but its first are nearest to that one, at distance 0, so only classes meet.  Up to five differing bits leave one of the
-    six bytes beyond the band equal: classes meet by band and byte, 24 bits, which keeps the rows of a frequent band apart.  Hashes are written out once.
-    """
-    hashes = materialize(hashes.select("host", "seq", "simhash"))
-    classes = hashes.groupBy("host", "simhash").agg(F.min("seq").alias("seq"))
-    bits = lambda at, mask: F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit(mask).cast("bigint"))
-    keys = [F.struct(F.lit(8 * k + b).alias("at"), (bits(16 * k, 0xFFFF) * 256 + bits(8 * b, 0xFF)).alias("part")) for k in range(4) for b in range(8) if b // 2 != k]
-    if distance > 5:
-        keys = [F.struct(F.lit(k).alias("at"), bits(16 * k, 0xFFFF).alias("part")) for k in range(4)]
-    met = classes.select("host", "seq", "simhash", F.explode(F.array(*keys)).alias("key")).select("host", "seq", "simhash", "key.at", "key.part")
-    earlier = met.select("host", "at", "part", F.col("seq").alias("other"), F.col("simhash").alias("other_hash"))
-    pairs = met.join(earlier.hint("shuffle_merge"), ["host", "at", "part"]).where("other < seq").withColumn("distance", F.bit_count(F.col("simhash").bitwiseXOR(F.col("other_hash"))))
-    best = pairs.where(F.col("distance") <= distance).groupBy("host", "seq").agg(F.min(F.struct("distance", "other")).alias("best")).select("host", "seq", "best.other", "best.distance")
-    copies = hashes.join(classes.withColumnRenamed("seq", "other").hint("shuffle_merge"), ["host", "simhash"]).where("other < seq")
-    return best.unionByName(copies.select("host", "seq", "other", F.lit(0).alias("distance")))
-
-
 def stuffing(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """(seq, token, n, total, distinct) of texts that repeat one word too often.  The top token is the most frequent that is no stop word and three long;
     where there is none, the most frequent of all."""

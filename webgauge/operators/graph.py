@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..sources.shared import materialize
+from ..sources.shared import materialize, new_path
 from .content import top_samples
 
 
@@ -32,22 +32,35 @@ def image_use(images: DataFrame, pages: DataFrame, rare: int = 10) -> DataFrame:
 
 def frontier(edges: DataFrame, starts: DataFrame, max_pages: int = 1000, max_depth: int | None = None, allow_query: bool = True, blocked: DataFrame | None = None) -> DataFrame:
     """(host, url, depth): breadth-first from starts(host, url) over edges(host, src, dst), unique by lower-case address, `max_pages` of a host by depth and
-    address.  Without max_depth it goes on until no new page comes.  blocked(host, url) aren't entered.  Each level is a join and an anti join, written out so that plans don't grow."""
-    key = lambda c: F.lower(c)
-    level = starts.select("host", key("url").alias("url")).distinct().withColumn("depth", F.lit(0))
-    seen = materialize(level)
-    level = seen
+    address (0 or less: all).  blocked(host, url) aren't entered.  Without max_depth it goes on until no new page comes.
+
+    A level is a join with the links, an anti join with what was visited, and a cut by what is left of its host's budget; it is appended to the visited
+    pages as a part of its own, so no page is written twice.  A host that has used up its budget leaves the loop, and so an endless site ends.
+    """
+    spark, key = edges.sparkSession, lambda c: F.lower(c)
+    budget = max_pages if max_pages > 0 else (1 << 62)
     steps = edges.select("host", key("src").alias("src"), key("dst").alias("dst")).distinct()
     steps = materialize(steps if allow_query else steps.where(~F.col("dst").contains("?")))
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        found = level.join(steps, (level["host"] == steps["host"]) & (level["url"] == steps["src"])).select(steps["host"], F.col("dst").alias("url")).distinct()
-        if blocked is not None:
-            found = found.join(blocked.select("host", key("url").alias("url")), ["host", "url"], "left_anti")
-        level = materialize(found.join(seen, ["host", "url"], "left_anti").withColumn("depth", F.lit(depth)))
+    banned = None if blocked is None else materialize(blocked.select("host", key("url").alias("url")).distinct())
+    visited = new_path(spark)
+    found = starts.select("host", key("url").alias("url")).distinct()
+    used = materialize(found.select("host").distinct().withColumn("used", F.lit(0).cast("bigint")))
+    for depth in count() if max_depth is None else range(max_depth + 1):
+        if depth and banned is not None:
+            found = found.join(banned.hint("shuffle_merge"), ["host", "url"], "left_anti")
+        if depth:
+            found = found.join(spark.read.schema("host string, url string").parquet(visited).hint("shuffle_merge"), ["host", "url"], "left_anti")
+        nth = F.row_number().over(Window.partitionBy("host").orderBy("url"))
+        cut = found.withColumn("nth", nth).where(F.col("nth") <= budget).join(used.hint("shuffle_merge"), "host").where(F.col("nth") + F.col("used") <= budget)
+        cut.select("host", "url").write.parquet(f"{visited}/depth={depth}")
+        level = spark.read.schema("host string, url string").parquet(f"{visited}/depth={depth}")
         if not level.head(1):
             break
-        seen = materialize(seen.unionByName(level))
-    return top_samples(seen, max_pages, "depth", "url").drop("nth")
+        came = level.groupBy("host").agg(F.count("*").alias("n"))
+        used = materialize(used.join(came.hint("shuffle_merge"), "host").select("host", (F.col("used") + F.col("n")).alias("used")).where(F.col("used") < budget))
+        going = level.join(used.select("host").hint("shuffle_merge"), "host", "left_semi")
+        found = going.join(steps.hint("shuffle_merge"), (going["host"] == steps["host"]) & (going["url"] == steps["src"])).select(steps["host"], F.col("dst").alias("url")).distinct()
+    return spark.read.schema("host string, url string, depth int").parquet(visited)
 
 
 def crawl_counters(edges: DataFrame, starts: DataFrame, seeds: DataFrame, blocked: DataFrame, results: DataFrame, max_pages: int = 1000, allow_query: bool = False) -> DataFrame:
@@ -77,16 +90,22 @@ def crawl_counters(edges: DataFrame, starts: DataFrame, seeds: DataFrame, blocke
 
 
 def resolve_redirects(hops: DataFrame, starts: DataFrame, limit: int = 10) -> DataFrame:
-    """(url, final_url, hops, too_many): follow hops(from_url, location) from starts(url), `limit` at most."""
-    at = materialize(starts.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops")).distinct())
-    step = hops.select(F.col("from_url").alias("final_url"), F.col("location")).groupBy("final_url").agg(F.min("location").alias("location"))
-    for _ in range(limit):
-        moved = at.join(step, "final_url", "left").select("url", F.coalesce("location", "final_url").alias("final_url"), (F.col("hops") + F.col("location").isNotNull().cast("int")).alias("hops"), F.col("location").isNotNull().alias("moved"))
-        moved = materialize(moved)
-        at = moved.drop("moved")
-        if not moved.where("moved").head(1):
-            break
-    more = at.join(step.select("final_url", F.lit(True).alias("more")), "final_url", "left")
+    """(url, final_url, hops, too_many): follow hops(from_url, location) from starts(url), `limit` at most.  too_many: there is a further hop, as in a loop.
+
+    Pointers of 1, 2, 4, ... hops come from joins of the pointers with themselves; those that make up the limit are followed.  An address that leads
+    nowhere stands still, so a chain that ends early keeps its own number of hops.  There are as many joins as the limit has binary digits and ones.
+    """
+    at = starts.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops")).distinct()
+    step = materialize(hops.where("from_url is not null and location is not null").groupBy(F.col("from_url").alias("at")).agg(F.min("location").alias("to")).withColumn("n", F.lit(1)))
+    jump, rest = step, limit
+    while rest:
+        if rest & 1:
+            at = materialize(at.join(jump.hint("shuffle_merge"), at["final_url"] == jump["at"], "left").select("url", F.coalesce("to", "final_url").alias("final_url"), (F.col("hops") + F.coalesce("n", F.lit(0))).alias("hops")))
+        rest >>= 1
+        if rest:
+            on = jump.select(F.col("at").alias("to"), F.col("to").alias("further"), F.col("n").alias("more")).hint("shuffle_merge")
+            jump = materialize(jump.join(on, "to", "left").select("at", F.coalesce("further", "to").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+    more = at.join(step.select(F.col("at").alias("final_url"), F.lit(True).alias("more")).hint("shuffle_merge"), "final_url", "left")
     return more.select("url", "final_url", "hops", F.coalesce("more", F.lit(False)).alias("too_many"))
 
 

@@ -56,14 +56,29 @@ def j2_a6_image_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.image_use(extract.images(pages), pages)
 
 
-@query(
-    "SELECT host, url, min(depth) AS depth FROM walk GROUP BY host, url",
-    walk="SELECT host, lower(min_by(url, page_id)) AS url, 0 AS depth FROM pages_ext GROUP BY host UNION SELECT e.host, lower(e.dst), 1 FROM site_edges e JOIN starts s ON e.host = s.host AND lower(e.src) = s.url UNION SELECT e2.host, lower(e2.dst), 2 FROM site_edges e2 JOIN (SELECT e.host, lower(e.dst) AS url FROM site_edges e JOIN starts s ON e.host = s.host AND lower(e.src) = s.url) o ON e2.host = o.host AND lower(e2.src) = o.url",
-    starts="SELECT host, lower(min_by(url, page_id)) AS url FROM pages_ext GROUP BY host",
-)
+WALK = {
+    "starts": "SELECT host, lower(min_by(url, page_id)) AS url FROM pages_ext GROUP BY host",
+    "sizes": "SELECT host, count(*) AS n FROM pages_ext GROUP BY host",
+    "steps": "SELECT DISTINCT e.host, lower(src) AS src, lower(dst) AS dst, n FROM site_edges e JOIN sizes USING (host)",
+    "walk": "SELECT host, url, 0 AS depth FROM starts UNION SELECT s.host, s.dst, w.depth + 1 FROM walk w JOIN steps s ON w.host = s.host AND w.url = s.src WHERE w.depth < s.n",
+    "depths": "SELECT host, url, min(depth) AS depth FROM walk GROUP BY host, url",
+}
+
+
+def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "pages_ext").groupBy("host").agg(F.min_by("url", "page_id").alias("url"))
+
+
+@query("SELECT host, url, depth FROM depths QUALIFY row_number() OVER (PARTITION BY host ORDER BY depth, url) <= 1000", **WALK)
 def j7_a15_crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = view(spark, sf_dir, "pages_ext").groupBy("host").agg(F.min_by("url", "page_id").alias("url"))
-    return graph.frontier(view(spark, sf_dir, "site_edges"), starts, max_depth=2)
+    """To the end: no bound on depth."""
+    return graph.frontier(view(spark, sf_dir, "site_edges"), _starts(spark, sf_dir))
+
+
+@query("SELECT host, url, depth FROM depths QUALIFY row_number() OVER (PARTITION BY host ORDER BY depth, url) <= 4", **WALK)
+def j7_crawl_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget of four pages, which many hosts use up."""
+    return graph.frontier(view(spark, sf_dir, "site_edges"), _starts(spark, sf_dir), max_pages=4)
 
 
 @query()
@@ -72,11 +87,29 @@ def u13_ascii_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.ascii_hosts(hosts.unionByName(hosts.select(F.concat(F.lit("пример."), "host").alias("host"))))
 
 
-@query("SELECT f.original_url AS url, coalesce(r2.location, r1.location, f.original_url) AS final_url, CASE WHEN r2.location IS NOT NULL THEN 2 WHEN r1.location IS NOT NULL THEN 1 ELSE 0 END AS hops, false AS too_many FROM (SELECT DISTINCT original_url FROM fetches) f LEFT JOIN hop r1 ON f.original_url = r1.from_url LEFT JOIN hop r2 ON r1.location = r2.from_url", hop="SELECT from_url, min(location) AS location FROM redirects GROUP BY from_url")
+HOP = "SELECT from_url, min(location) AS location FROM redirects GROUP BY from_url"
+LONG_HOP = "SELECT from_url, location FROM hop_chains UNION ALL SELECT from_url, location FROM hop WHERE from_url NOT IN (SELECT from_url FROM hop_chains)"
+
+
+def _followed(hop: str, starts: str) -> dict[str, str]:
+    """Chains hop by hop, to the eleventh at most."""
+    return {"ways": f"SELECT DISTINCT url, url AS place, 0 AS n FROM ({starts}) s UNION ALL SELECT w.url, h.location, w.n + 1 FROM ways w JOIN {hop} h ON w.place = h.from_url WHERE w.n < 11", "ends": "SELECT url, arg_max(place, n) FILTER (n <= 10) AS final_url, max(n) FILTER (n <= 10) AS hops, max(n) > 10 AS too_many FROM ways GROUP BY url"}
+
+
+@query("SELECT * FROM ends", hop=HOP, **_followed("hop", "SELECT original_url AS url FROM fetches"))
 def j8_redirect_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve_redirects(view(spark, sf_dir, "redirects"), view(spark, sf_dir, "fetches").select(F.col("original_url").alias("url")))
 
 
+@query("SELECT * FROM ends", hop=HOP, long_hop=LONG_HOP, **_followed("long_hop", "SELECT from_url AS url FROM hop_chains UNION ALL SELECT original_url FROM fetches"))
+def j8_redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of up to thirteen hops, and loops."""
+    chains = view(spark, sf_dir, "hop_chains")
+    rest = view(spark, sf_dir, "redirects").join(chains.select("from_url").hint("shuffle_merge"), "from_url", "left_anti")
+    starts = chains.select(F.col("from_url").alias("url")).unionByName(view(spark, sf_dir, "fetches").select(F.col("original_url").alias("url")))
+    return graph.resolve_redirects(chains.select("from_url", "location").unionByName(rest.select("from_url", "location")), starts)
+
+
 @query("SELECT DISTINCT host, 'DOMAIN_VARIANTS_PROBLEM' AS code FROM pages_ext")
 def j9_domain_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.domain_variants(view(spark, sf_dir, "pages_ext").select("host").distinct(), view(spark, sf_dir, "redirects"))

@@ -113,6 +113,30 @@ SELECT concat('http://',naked,'/') AS from_url, concat('https://',host,'/') AS l
  UNION ALL SELECT concat('https://',CASE WHEN host = naked THEN 'www.' ELSE '' END,naked,'/'), concat('https://',host,'/') FROM variant_hosts WHERE seq % 4 <> 2
 """
 
+VIEWS["hop_chains"] = """
+SELECT concat(url,'#',CAST(k AS VARCHAR(10))) AS from_url, CASE WHEN k + 1 = page_id % 14 AND page_id % 5 = 0 THEN concat(url,'#',CAST(page_id % 3 AS VARCHAR(10))) WHEN k + 1 = page_id % 14 THEN url ELSE concat(url,'#',CAST(k + 1 AS VARCHAR(10))) END AS location
+ FROM pages JOIN (SELECT DISTINCT page_id % 14 AS k FROM pages) s ON k < page_id % 14
+"""
+
+VIEWS["robots_many"] = """
+SELECT DISTINCT host, CASE WHEN length(host) % 3 = 0 AND page_id % 4 = 0 THEN 'mycrawler' WHEN page_id % 31 = 0 THEN 'otherbot' ELSE '*' END AS agent, page_id % 3 = 0 AS allow,
+ CASE page_id % 7 WHEN 0 THEN concat(path,'$') WHEN 1 THEN concat('/*',substr(path,5)) WHEN 2 THEN substr(path,1,5) WHEN 3 THEN concat(substr(path,1,4),'*',substr(path,length(path),1),'$') WHEN 4 THEN '/*?' WHEN 5 THEN concat('*',substr(path,length(path)-1,2)) ELSE path END AS pattern
+ FROM (SELECT page_id, host, regexp_extract(url,'^https?://[^/?#]+([^#]*)',1) AS path FROM pages_ext) p
+"""
+
+VIEWS["sitemap_xml_files"] = """
+SELECT host, page_id AS nth, concat('https://',host,'/sm/',CAST(page_id AS VARCHAR(10)),'.xml') AS url,
+ CASE page_id % 11 WHEN 0 THEN concat('<?xml version="1.0" encoding="ISO-8859-1"?>',chr(10),'<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>',xml,'</loc></url></urlset>')
+  WHEN 1 THEN concat('<s:urlset xmlns:s="x"><s:url><s:loc> ',xml,' </s:loc></s:url><s:url><s:lastmod>2024</s:lastmod><s:loc>ftp/x</s:loc></s:url></s:urlset>')
+  WHEN 2 THEN concat('<!DOCTYPE urlset [<!ENTITY site "https://',host,'">]><urlset><url><loc>&site;/e&#38;&#x41;</loc></url></urlset>')
+  WHEN 3 THEN concat('<urlset xmlns:image="i"><url><image:image><image:loc>no</image:loc></image:image><loc><![CDATA[',url,']]></loc></url><!-- <url><loc>no</loc></url> --></urlset>')
+  WHEN 4 THEN concat('<sitemapindex><sitemap><loc>https://',host,'/a.xml</loc></sitemap><sitemap><loc> </loc></sitemap><sitemap><loc>b.xml</loc></sitemap></sitemapindex>')
+  WHEN 5 THEN concat('<urlset><url><loc>',xml,'</loc></url>') WHEN 6 THEN concat('<urlset><url><loc>',xml,'</loc><image:loc>x</image:loc></url></urlset>')
+  WHEN 7 THEN '<html><loc>no</loc></html>' WHEN 8 THEN ' ' WHEN 9 THEN concat('<urlset><url><loc>',xml,'</url></loc></urlset>')
+  ELSE concat('<!-- c --><URLSET><URL><LOC>',xml,'</LOC><loc>second</loc></URL></URLSET>') END AS body
+ FROM (SELECT page_id, host, url, replace(url,'&','&amp;') AS xml FROM pages_ext) p
+"""
+
 TABLES = ["pages", "documents", "events", "labels"]
 
 

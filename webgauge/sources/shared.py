@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 FETCHES = "seq bigint, host string, original_url string, final_url string, status_code int, content_type string, content_length bigint, load_seconds double, headers map<string,string>, redirects array<struct<from_url:string,status_code:int,location:string>>, html string"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back; a temporary folder only in local mode, where no shared one is set."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the folder that all executors share; in a temporary folder only in local mode, where no shared one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="webgauge-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/webgauge/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/webgauge/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -39,9 +43,15 @@ def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
 
 
-def read_observations(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """JSON lines with a given schema; nothing is inferred."""
-    return spark.read.schema(ddl).json(path)
+def read_observations(spark: SparkSession, path: str, ddl: str, bad: str = "bad_record") -> DataFrame:
+    """JSON lines with a given schema; nothing is inferred.  A line that isn't JSON, or whose values don't fit the schema, stays as a row with its text in
+    `bad` and what could be read of it beside; others have null there."""
+    return spark.read.schema(f"{ddl}, `{bad}` string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
+
+
+def split_bad(rows: DataFrame, bad: str = "bad_record") -> tuple[DataFrame, DataFrame]:
+    """Readable rows without the column of unreadable ones, and the texts of the unreadable ones as `record`."""
+    return rows.where(F.col(bad).isNull()).drop(bad), rows.where(F.col(bad).isNotNull()).select(F.col(bad).alias("record"))
 
 
 def pick_robots(files: DataFrame) -> DataFrame:
