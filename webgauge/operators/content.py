@@ -53,7 +53,12 @@ LANES = 0x0000000100000001
 def simhash(docs: DataFrame) -> DataFrame:
     """(host, seq, simhash) of docs(host, seq, text): 64 bits by term weights.  Each distinct token is hashed once.  A bit is set where the tokens that have it
     weigh more than half of the text; weights of two bits share a sum, so 32 sums do."""
-    tokens = docs.select("host", "seq", F.explode(text.tokenize(F.col("text"))).alias("token")).groupBy("host", "seq", "token").agg(F.count("*").alias("w"))
+    return simhash_of(docs.select("host", "seq", text.tokenize(F.col("text")).alias("tokens")))
+
+
+def simhash_of(docs: DataFrame) -> DataFrame:
+    """simhash() of docs(host, seq, tokens)."""
+    tokens = docs.select("host", "seq", F.explode("tokens").alias("token")).groupBy("host", "seq", "token").agg(F.count("*").alias("w"))
     hashed = tokens.select("token").distinct().withColumn("h", text.fnv1a(F.col("token")))
     pair = lambda k: F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANES).cast("bigint")) * F.col("w")
     sums = tokens.join(hashed.hint("shuffle_merge"), "token").groupBy("host", "seq").agg(F.sum("w").alias("total"), *(F.sum(pair(k)).alias(f"b{k}") for k in range(32)))
@@ -67,7 +72,12 @@ def simhash(docs: DataFrame) -> DataFrame:
 def stuffing(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """(seq, token, n, total, distinct) of texts that repeat one word too often.  The top token is the most frequent that is no stop word and three long;
     where there is none, the most frequent of all."""
-    tokens = docs.select("seq", F.explode(text.tokenize(F.col("text"))).alias("token")).groupBy("seq", "token").agg(F.count("*").alias("n"))
+    return stuffing_of(docs.select("seq", text.tokenize(F.col("text")).alias("tokens")), o)
+
+
+def stuffing_of(docs: DataFrame, o: Options = Options()) -> DataFrame:
+    """stuffing() of docs(seq, tokens)."""
+    tokens = docs.select("seq", F.explode("tokens").alias("token")).groupBy("seq", "token").agg(F.count("*").alias("n"))
     plain = (F.length("token") >= 3) & ~F.col("token").isin(STOP_WORDS)
     best = lambda c: F.min(F.when(c, F.struct((-F.col("n")).alias("m"), "token")))
     per = tokens.groupBy("seq").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), best(plain).alias("own"), best(F.lit(True)).alias("any"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import addresses
 from ..functions.urls import registrable_domain
 
 #: What creation and expiry lines begin with, and the date formats that registries use.
@@ -37,9 +38,11 @@ def tls(observations: DataFrame, as_of: str, soon: int = 30) -> DataFrame:
 
 
 def tls_summary(observations: DataFrame) -> DataFrame:
+    """(host, code); with `final_url` also HTTPS_NOT_USED where a host has https and a page of it ended elsewhere."""
     ok = F.col("handshake_ok")
     name = F.array(F.coalesce("san", F.regexp_replace("subject", "^CN=", "")))
-    return codes(observations, [(ok, "HTTPS_PRESENT"), (~ok, "HTTPS_MISSING"), (ok & F.col("not_after").isNotNull(), "SSL_EXPIRES_AT"), (ok & F.col("not_after").isNull(), "SSL_EXPIRES_UNKNOWN"), (ok & cert_matches(F.col("host"), name), "SSL_DOMAIN_MATCH"), (ok & ~F.coalesce(F.col("chain_error").rlike(CHAIN_ERRORS), F.lit(False)), "SSL_CA_CHAIN_VALID")], "host")
+    unused = [(ok & ~F.col("final_url").rlike("(?i)^https:"), "HTTPS_NOT_USED")] if "final_url" in observations.columns else []
+    return codes(observations, [*unused, (ok, "HTTPS_PRESENT"), (~ok, "HTTPS_MISSING"), (ok & F.col("not_after").isNotNull(), "SSL_EXPIRES_AT"), (ok & F.col("not_after").isNull(), "SSL_EXPIRES_UNKNOWN"), (ok & cert_matches(F.col("host"), name), "SSL_DOMAIN_MATCH"), (ok & ~F.coalesce(F.col("chain_error").rlike(CHAIN_ERRORS), F.lit(False)), "SSL_CA_CHAIN_VALID")], "host")
 
 
 def parse_date(value: Column) -> Column:
@@ -63,6 +66,30 @@ def whois(observations: DataFrame, as_of: str, soon: int = 30) -> DataFrame:
     return out.withColumn("code", code).drop("whois_raw")
 
 
+def whois_issues(dates: DataFrame, soon: int = 30) -> DataFrame:
+    """(host, check, code, severity): all that holds of whois(); where there was no answer, only that."""
+    got, left = F.col("code").isNull() | (F.col("code") != "WHOIS_UNAVAILABLE"), F.col("days_left")
+    rules = {
+        "WHOIS_UNAVAILABLE": ~got, "WHOIS_CREATED_UNKNOWN": (got & F.col("created").isNull(), "Info"), "WHOIS_EXPIRES_UNKNOWN": (got & F.col("expires").isNull(), "Info"),
+        "DOMAIN_EXPIRED": got & (left < 0), "DOMAIN_EXPIRING_SOON": got & left.between(0, soon),
+    }
+    from .checks import issues
+
+    return issues(dates, "whois", rules, "host")
+
+
+def rdap_issues(dates: DataFrame, as_of: str, soon: int = 30) -> DataFrame:
+    """(host, check, code, severity): all that holds of rdap(); where no date is known, only that."""
+    left, got = F.datediff("expires", F.lit(as_of).cast("date")), F.col("created").isNotNull() | F.col("expires").isNotNull()
+    rules = {
+        "DOMAIN_WHOIS_FAILED": ~got, "DOMAIN_CREATED_AT": (F.col("created").isNotNull(), "Info"), "DOMAIN_CREATED_UNKNOWN": (got & F.col("created").isNull(), "Info"), "DOMAIN_EXPIRED": (left < 0, "Error"),
+        "DOMAIN_EXPIRES_SOON": left.between(0, soon), "DOMAIN_EXPIRES_AT": (left > soon, "Info"), "DOMAIN_EXPIRES_UNKNOWN": got & F.col("expires").isNull(),
+    }
+    from .checks import issues
+
+    return issues(dates, "rdap", rules, "host")
+
+
 def rdap(domains: DataFrame, as_of: str, soon: int = 30) -> DataFrame:
     """(host, created, expires, code) of domains(host, json)."""
     events = F.from_json("json", "struct<events:array<struct<eventAction:string,eventDate:string>>>")["events"]
@@ -112,6 +139,18 @@ def reversed_key(ip: Column, zone: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(ip, r"\.")), "."), F.lit("."), zone)
 
 
+def addresses_blocklisted(observations: DataFrame, zones: list[str], blocklist: DataFrame) -> DataFrame:
+    """(host, code, ips, listed) of observations(host, ips), IPv4 and IPv6, against blocklist(query_name); listed: addresses that a zone names.  What is no address isn't
+    asked for.  A host without addresses has RBL_NO_IP; without zones nothing is asked.  Repeated addresses in any spelling count once."""
+    if not zones:
+        return observations.select("host", F.lit("HOSTING_RBL_DISABLED").alias("code"), F.lit(0).cast("bigint").alias("ips"), F.lit(0).cast("bigint").alias("listed"))
+    ips = observations.select("host", F.explode_outer("ips").alias("ip")).select("host", "ip", addresses.nibbles(F.col("ip")).alias("n")).dropDuplicates(["host", "n"])
+    asked = ips.select("host", "n", F.explode(F.array(*(addresses.lookup_name(F.col("ip"), F.lit(z)) for z in zones))).alias("query_name"))
+    hit = asked.join(blocklist.select("query_name", F.lit(True).alias("hit")).distinct().hint("shuffle_merge"), "query_name", "left").groupBy("host", "n").agg(F.bool_or("hit").alias("hit"))
+    per = hit.groupBy("host").agg(F.count("n").alias("ips"), F.count_if(F.coalesce("hit", F.lit(False))).alias("listed"))
+    return per.select("host", F.when(F.col("ips") == 0, "RBL_NO_IP").when(F.col("listed") > 0, "HOSTING_RBL_LISTED").otherwise("HOSTING_RBL_CLEAN").alias("code"), "ips", "listed")
+
+
 def ip_blocklisted(observations: DataFrame, zones: list[str], blocklist: DataFrame) -> DataFrame:
     """(host, code) of observations(host, ips) against blocklist(query_name)."""
     if not zones:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import text, urls
 from ..sources.shared import materialize
-from . import checks, graph
+from . import checks, content, graph
 from .content import top_samples
+from .near_blocks import near_pairs
 
 
 def listed(rows: DataFrame, name: str, n: int, *order: Column | str, value: Column | None = None) -> DataFrame:
@@ -84,3 +85,56 @@ def image_use_report(images: DataFrame, pages: DataFrame, rare: int = 10, n: int
     by_host = by_host.join(counts.groupBy("host").agg(F.count("*").alias("images")).hint("shuffle_merge"), "host", "left").na.fill(0, ["images"])
     most = listed(counts, "most_shared", top, F.desc("n"), "image_url", value=F.concat_ws("=", "image_url", F.col("n").cast("string")))
     return with_lists(by_host, *(listed(facts.where(c), f"{k}_urls", n, "url") for k, c in flags.items()), most)
+
+
+def worst_pages(rows: DataFrame, n: int, lists: dict[str, tuple[Column, list[Column | str]]], *figures: str) -> DataFrame:
+    """(host, kind, nth, url, figures): for each list the first n pages of each host that meet its condition, in its order, with their figures.
+
+    One pass: a page is a row for each list that it is in; a window limit cuts them within each task before the shuffle."""
+    rows = materialize(rows.select("host", "url", *figures))
+    out = None
+    for kind, (condition, order) in lists.items():
+        one = top_samples(rows.where(condition), n, *order).select("host", F.lit(kind).alias("kind"), "nth", "url", *figures)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def image_pages(pages: DataFrame, n: int = 200) -> DataFrame:
+    """The pages with most images without alt, and without title, each with its number of images and both figures."""
+    return worst_pages(checks.image_meta(pages), n, {k: (F.col(k) > 0, [F.desc(k), "url"]) for k in ("empty_alt", "empty_title")}, "images", "empty_alt", "empty_title")
+
+
+def outgoing_pages(pages: DataFrame, many: int = 200, n: int = 200) -> DataFrame:
+    """Pages without internal, with very many internal and with external links, each with both numbers."""
+    lists = {"no_internal": (F.col("internal") == 0, ["url"]), "many_internal": (F.col("internal") > many, [F.desc("internal"), "url"]), "any_external": (F.col("external") > 0, [F.desc("external"), "url"])}
+    return worst_pages(checks.outgoing(pages), n, lists, "internal", "external")
+
+
+def slow_pages(fetches: DataFrame, n: int = 200) -> DataFrame:
+    """The slowest pages with their seconds."""
+    return worst_pages(fetches.select("host", F.col("original_url").alias("url"), "load_seconds"), n, {"slow": (F.col("load_seconds").isNotNull(), [F.desc("load_seconds"), "url"])}, "load_seconds")
+
+
+def content_report(docs: DataFrame, o: checks.Options = checks.Options(), n: int = 50, groups: int = 200, pairs: int = 500) -> DataFrame:
+    """By host of docs(host, seq, url, text, html_chars), visible texts: thin pages and stuffed ones with n samples each, groups of equal texts (the `groups` largest as
+    hash=count), near pairs (the `pairs` nearest as url~url=distance).
+
+    Counters are true counts.  Each text is tokenised once; its facts are written out and every part reads those.
+    """
+    tokens = text.tokenize(F.col("text"))
+    facts = materialize(docs.select("host", "seq", "url", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.coalesce("html_chars", F.lit(0)).alias("html_chars"), tokens.alias("tokens"), content.content_hash(F.col("text")).alias("hash"), F.coalesce(text.fold(F.col("text")) == "", F.lit(True)).alias("blank")))
+    thin = facts.select("host", "seq", "url", "chars", "html_chars", F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0)).alias("words")).where(checks.thin_page(o))
+    stuffed = facts.select("host", "url", "seq").join(content.stuffing_of(facts, o).select("seq").hint("shuffle_merge"), "seq")
+    equal = materialize(facts.where("not blank").groupBy("host", "hash").agg(F.count("*").alias("n")).where("n >= 2"))
+    urls_ = facts.select("host", "seq", "url")
+    near = materialize(near_pairs(content.simhash_of(facts)))
+    named = near.join(urls_.hint("shuffle_merge"), ["host", "seq"]).join(urls_.select("host", F.col("seq").alias("other"), F.col("url").alias("other_url")).hint("shuffle_merge"), ["host", "other"])
+    count = lambda rows, name: rows.groupBy("host").agg(F.count("*").alias(name)).hint("shuffle_merge")
+    out = facts.groupBy("host").agg(F.count("*").alias("pages"))
+    for rows, name in ((thin, "thin"), (stuffed, "stuffed"), (equal, "exact_groups"), (near, "near_pairs")):
+        out = out.join(count(rows, name), "host", "left").na.fill(0, [name])
+    lists = [
+        listed(thin, "thin_urls", n, "url"), listed(stuffed, "stuffed_urls", n, "url"), listed(equal, "largest_groups", groups, F.desc("n"), "hash", value=F.concat_ws("=", "hash", F.col("n").cast("string"))),
+        listed(named, "nearest_pairs", pairs, "distance", "url", "other_url", value=F.concat(F.col("url"), F.lit("~"), F.col("other_url"), F.lit("="), F.col("distance").cast("string"))),
+    ]
+    return with_lists(out, *lists)

@@ -62,7 +62,7 @@ def allowed(pages: DataFrame, rules_: DataFrame, agent: str = "mycrawler") -> Da
 def lint(files: DataFrame) -> DataFrame:
     """(host, line, code); line 0 is the file."""
     by = Window.partitionBy("host").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    found = lines(files).withColumn("seen", F.coalesce(F.max((F.col("key") == AGENT).cast("int")).over(by), F.lit(0)) == 1)
+    found = lines(files).withColumn("seen", F.coalesce(F.max(((F.col("key") == AGENT) & (F.col("value") != "")).cast("int")).over(by), F.lit(0)) == 1)
     seen = F.col("seen")
     key, value = F.col("key"), F.col("value")
     rule = F.coalesce(key.isin(*RULE), F.lit(False))
@@ -73,8 +73,34 @@ def lint(files: DataFrame) -> DataFrame:
     ]
     made = F.filter(F.array(*(F.when(c, F.lit(code)) for c, code in codes)), lambda c: c.isNotNull())
     rows = found.select("host", "line", F.explode(made).alias("code"))
-    none = found.groupBy("host").agg(F.count_if(key == AGENT).alias("n")).where("n = 0").select("host", F.lit(0).alias("line"), F.lit("ROBOTS_NO_USER_AGENT").alias("code"))
-    return rows.unionByName(none)
+    # A file without any line is one without agents, too.
+    agents = found.groupBy("host").agg(F.count_if((key == AGENT) & (value != "")).alias("named"), F.count_if(key == AGENT).alias("n"))
+    counts = files.select("host").distinct().join(agents.hint("shuffle_merge"), "host", "left").na.fill(0)
+    whole = F.array(F.when(F.col("named") == 0, F.lit("ROBOTS_NO_USER_AGENT")), F.when(F.col("n") == 0, F.lit("ROBOTS_NO_UA_LINES")))
+    return rows.unionByName(counts.select("host", F.lit(0).alias("line"), F.explode(F.filter(whole, lambda c: c.isNotNull())).alias("code")))
+
+
+def host_issues(hosts: DataFrame, fetched: DataFrame, agent: str = "mycrawler") -> DataFrame:
+    """(host, code, severity) of a host's robots files, of fetched(host, scheme, status_code, body): https where it exists, else http.
+
+    A file exists if its status is below 400; status 0 or null, and a host without any row, were not fetched.  A host without a file has the reason (of https, where
+    that was tried) and ROBOTS_MISSING_OR_UNAVAILABLE; one with a file has ROBOTS_ONLY_HTTP, ROBOTS_NO_GROUP_FOR_UA and ROBOTS_BLOCKS_ALL as they hold.  Repeated
+    rows count once, null bodies are empty.
+    """
+    there = F.coalesce(F.col("status_code").between(1, 399), F.lit(False))
+    order = F.struct((~there).cast("int"), (F.col("scheme") != "https").cast("int"), F.coalesce("status_code", F.lit(0)), F.coalesce("body", F.lit("")))
+    picked = fetched.groupBy("host").agg(F.min_by(F.struct("scheme", "status_code", "body"), order).alias("f")).select("host", "f.*")
+    files = materialize(hosts.select("host").distinct().join(picked.hint("shuffle_merge"), "host", "left").withColumn("there", there))
+    read = files.where("there").select("host", F.coalesce("body", F.lit("")).alias("body"))
+    groups = lines(read).where((F.col("key") == AGENT) & F.lower("value").isin(agent.lower(), "*")).select("host", F.lit(True).alias("has_group")).distinct()
+    roots = allowed(read.select("host", F.concat(F.lit("https://"), "host", F.lit("/")).alias("url")), rules(read), agent).select("host", F.col("allowed").alias("root"))
+    facts = files.join(groups.hint("shuffle_merge"), "host", "left").join(roots.hint("shuffle_merge"), "host", "left")
+    got, status = F.col("there"), F.coalesce("status_code", F.lit(0))
+    codes = [
+        (~got, "ROBOTS_MISSING_OR_UNAVAILABLE"), (status == 404, "ROBOTS_MISSING"), ((status >= 400) & (status != 404), "ROBOTS_HTTP_ERROR"), (status == 0, "ROBOTS_FETCH_FAILED"), (got & (F.col("scheme") != "https"), "ROBOTS_ONLY_HTTP"),
+        (got & F.col("has_group").isNull(), "ROBOTS_NO_GROUP_FOR_UA"), (got & ~F.coalesce("root", F.lit(True)), "ROBOTS_BLOCKS_ALL"),
+    ]
+    return facts.select("host", F.explode(F.filter(F.array(*(F.when(c, F.lit(code)) for c, code in codes)), lambda c: c.isNotNull())).alias("code"), F.lit("Warning").alias("severity"))
 
 
 def host_state(hosts: DataFrame, files: DataFrame, agent: str = "mycrawler") -> DataFrame:
@@ -133,8 +159,10 @@ def indexability(fetches: DataFrame, noindex_header: Column, noindex_meta: Colum
 
 
 def site_indexability(homes: DataFrame) -> DataFrame:
-    """(host, code) of homepages with `allowed`, `by_header`, `by_meta` and status_code; one row for each host."""
-    codes = [(~F.col("allowed"), "SITE_INDEX_BLOCKED_BY_ROBOTS"), (F.col("status_code") >= 400, "SITE_INDEX_HOMEPAGE_HTTP_ERROR"), (F.col("by_header"), "SITE_INDEX_HOMEPAGE_NOINDEX_HEADER"), (F.col("by_meta"), "SITE_INDEX_HOMEPAGE_NOINDEX_META")]
+    """(host, code) of homepages with `allowed`, `by_header`, `by_meta` and status_code; one row for each host.  With `robots_fetched`, also whether the rules
+    could be read; where they couldn't, nothing is known to be blocked."""
+    codes = [(~F.col("robots_fetched"), "SITE_INDEX_ROBOTS_FETCH_FAILED")] if "robots_fetched" in homes.columns else []
+    codes += [(~F.col("allowed"), "SITE_INDEX_BLOCKED_BY_ROBOTS"), (F.col("status_code") >= 400, "SITE_INDEX_HOMEPAGE_HTTP_ERROR"), (F.col("by_header"), "SITE_INDEX_HOMEPAGE_NOINDEX_HEADER"), (F.col("by_meta"), "SITE_INDEX_HOMEPAGE_NOINDEX_META")]
     return homes.select("host", F.explode(F.filter(F.array(*(F.when(c, F.lit(code)) for c, code in codes)), lambda c: c.isNotNull())).alias("code"))
 
 
@@ -149,6 +177,18 @@ def sitemap_audit(entries: DataFrame, states: DataFrame) -> dict[str, DataFrame]
     }
 
 
+def sitemap_samples(entries: DataFrame, states: DataFrame, n: int = 50) -> DataFrame:
+    """(host, kind, nth, url, state): the first n addresses of each of sitemap_audit's sets, by address."""
+    from .content import top_samples
+
+    sets = sitemap_audit(entries, states)
+    out = None
+    for kind, rows in sets.items():
+        one = top_samples(rows.select("host", F.col("key").alias("url"), F.col("state") if "state" in rows.columns else F.lit(None).cast("string").alias("state")).distinct(), n, "url", "state").select("host", F.lit(kind).alias("kind"), "nth", "url", "state")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def sitemap_report(files: DataFrame, states: DataFrame, max_urls: int = 200_000) -> DataFrame:
     """By host of states(host, url, state): what its sitemap files(host, url, status_code, body), each address once, hold, and how that meets the crawl.
 

@@ -118,6 +118,39 @@ SELECT concat(url,'#',CAST(k AS VARCHAR(10))) AS from_url, CASE WHEN k + 1 = pag
  FROM pages JOIN (SELECT DISTINCT page_id % 14 AS k FROM pages) s ON k < page_id % 14
 """
 
+VIEWS["robots_fetches"] = """
+SELECT h.host, f.scheme, f.status_code, f.body, k FROM (SELECT host, min(page_id) AS k FROM pages_ext GROUP BY host) h JOIN (
+ SELECT 0 AS case_, 'https' AS scheme, 200 AS status_code, concat('User-agent: *',chr(10),'Disallow: /x') AS body UNION ALL SELECT 1, 'https', 404, '' UNION ALL SELECT 1, 'http', 200, concat('User-agent: *',chr(10),'Disallow: /')
+ UNION ALL SELECT 2, 'https', 404, '' UNION ALL SELECT 2, 'http', 404, '' UNION ALL SELECT 3, 'https', 500, '' UNION ALL SELECT 3, 'http', 403, '' UNION ALL SELECT 4, 'https', 0, NULL UNION ALL SELECT 4, 'http', 404, ''
+ UNION ALL SELECT 6, 'https', 200, concat('User-agent: otherbot',chr(10),'Disallow: /') UNION ALL SELECT 7, 'https', 200, concat('User-agent: MyCrawler',chr(10),'Disallow: /') UNION ALL SELECT 7, 'http', 200, ''
+ ) f ON h.k % 8 = f.case_
+"""
+
+VIEWS["robots_texts"] = """
+SELECT host, CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN '# a comment' WHEN 2 THEN 'Disallow: /x' WHEN 3 THEN concat('User-agent:',chr(10),'Disallow: /x') WHEN 4 THEN 'User-agent: *' ELSE 'Sitemap: /s.xml' END AS body, k FROM (SELECT host, min(page_id) AS k FROM pages_ext GROUP BY host) h
+"""
+
+VIEWS["domain_obs"] = """
+SELECT page_id, concat('d',CAST(page_id AS VARCHAR(10)),'.example') AS host, page_id % 3 > 0 AS with_created, page_id % 4 AS end_, page_id % 11 = 0 AS silent FROM pages
+"""
+
+VIEWS["whois_obs"] = """
+SELECT page_id, host, CASE WHEN silent THEN '' ELSE concat('domain: ',host,CASE WHEN with_created THEN concat(chr(10),'created: 2019-03-04') ELSE '' END,CASE end_ WHEN 1 THEN concat(chr(10),'paid-till: 2023-12-31') WHEN 2 THEN concat(chr(10),'paid-till: 2024-02-01') WHEN 3 THEN concat(chr(10),'paid-till: 2030-01-01') ELSE '' END) END AS whois_raw FROM domain_obs
+"""
+
+VIEWS["rdap_obs"] = """
+SELECT page_id, host, CASE WHEN silent THEN NULL ELSE concat('{"events":[',CASE WHEN page_id % 7 = 0 THEN '7,' ELSE '' END,'{"eventAction":"last changed","eventDate":"2020-01-01"}',CASE WHEN with_created THEN ',{"eventAction":"registration","eventDate":"2019-03-04T00:00:00Z"}' ELSE '' END,
+ CASE end_ WHEN 1 THEN ',{"eventAction":"expiration","eventDate":"2023-12-31"}' WHEN 2 THEN ',{"eventAction":"expiration","eventDate":"2024-02-01"}' WHEN 3 THEN ',{"eventAction":"expiration","eventDate":"2030-01-01"}' ELSE '' END,'],"entities":[{"country":"x"},{"country":"',CASE WHEN page_id % 2 = 0 THEN 'nl' ELSE 'none' END,'"}]}') END AS json FROM domain_obs
+"""
+
+VIEWS["suffix_hosts"] = """
+SELECT DISTINCT concat(CASE page_id % 4 WHEN 0 THEN 'a.b.' WHEN 1 THEN 'x.' ELSE '' END,CASE page_id % 6 WHEN 0 THEN 'shop.co.uk' WHEN 1 THEN 'www.ck' WHEN 2 THEN 'shop.ck' WHEN 3 THEN 'city.kobe.jp' WHEN 4 THEN host ELSE 'co.uk' END) AS host FROM pages_ext
+"""
+
+VIEWS["suffix_rules"] = """
+SELECT DISTINCT rule FROM (SELECT regexp_extract(host,'([^.]+)$',1) AS rule FROM pages_ext UNION ALL SELECT regexp_extract(host,'([^.]+[.][^.]+)$',1) FROM pages_ext WHERE page_id % 5 = 0) p UNION ALL SELECT 'uk' UNION ALL SELECT 'co.uk' UNION ALL SELECT '*.ck' UNION ALL SELECT '!www.ck' UNION ALL SELECT 'jp' UNION ALL SELECT '*.kobe.jp' UNION ALL SELECT '!city.kobe.jp'
+"""
+
 VIEWS["robots_many"] = """
 SELECT DISTINCT host, CASE WHEN length(host) % 3 = 0 AND page_id % 4 = 0 THEN 'mycrawler' WHEN page_id % 31 = 0 THEN 'otherbot' ELSE '*' END AS agent, page_id % 3 = 0 AS allow,
  CASE page_id % 7 WHEN 0 THEN concat(path,'$') WHEN 1 THEN concat('/*',substr(path,5)) WHEN 2 THEN substr(path,1,5) WHEN 3 THEN concat(substr(path,1,4),'*',substr(path,length(path),1),'$') WHEN 4 THEN '/*?' WHEN 5 THEN concat('*',substr(path,length(path)-1,2)) ELSE path END AS pattern

@@ -161,7 +161,7 @@ def p1_p6_seo_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(d.issues("fetches", "fetch", {
     "NO_HTTPS": ("starts_with(final_url, 'http://')", "Error"), "PORT_443_IN_URL": ("regexp_matches(original_url, '^http://[^/]+:443')", "Info"), "PORT_443_IN_FINAL_URL": ("regexp_matches(final_url, '^http://[^/]+:443')", "Info"),
     "HTTP_TO_HTTPS_REDIRECT": ("starts_with(original_url, 'http://') AND starts_with(final_url, 'https://')", "Info"), "NO_HTTP_TO_HTTPS_REDIRECT": "starts_with(original_url, 'http://') AND starts_with(final_url, 'http://')",
-    "REDIRECT_OTHER_DOMAIN": "split_part(original_url, '/', 3) <> split_part(final_url, '/', 3)", "REDIRECT_TO_SUBDOMAIN": ("'www.' || split_part(original_url, '/', 3) = split_part(final_url, '/', 3)", "Info"),
+    "REDIRECT_OTHER_DOMAIN": "split_part(original_url, '/', 3) <> split_part(final_url, '/', 3)",
     "URL_EXPLICIT_443": "regexp_matches(original_url, '^https?://[^/]+:443/?$')", "URL_NO_SCHEME": "NOT regexp_matches(original_url, '^https?://')", "PERF_SLOW_PAGE": "load_seconds >= 3.0",
     "BIG_PAGE": "status_code = 200 AND contains(content_type, 'html') AND content_length >= 2000000", "HTML_LARGE_PAGE": "status_code BETWEEN 200 AND 399 AND contains(content_type, 'html') AND content_length > 2000000", "HTTP_CLIENT_ERROR": "status_code BETWEEN 400 AND 499", "HTTP_SERVER_ERROR": ("status_code >= 500", "Error"),
 }, "seq"))
@@ -234,6 +234,23 @@ def p24_outgoing_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.outgoing_blocklisted(view(spark, sf_dir, "pages_ext"), spark.sql(BLOCKLIST))
 
 
-@query()
+OUT_TEXT = "SELECT page_id, count(*) FILTER (trim(regexp_replace(a, '<[^>]*>', '', 'g')) = '') AS empty_text FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)(<a(?:\\s[^>]*)?>.*?)</a>', 1)) AS a FROM pages_ext) x GROUP BY page_id"
+OUT_BARE = f"SELECT page_id, count(*) AS missing_scheme FROM raw_links WHERE NOT regexp_matches(trim(ref), '(?i)^(/|\\./|\\.\\./|#|https?:)') AND contains(ref, '.') AND NOT contains(trim(ref), ' ') AND NOT regexp_matches(ref, {d.q(urls.NOT_A_RESOURCE)}) GROUP BY page_id"
+META = f"SELECT p.page_id, count(tag) FILTER (trim(coalesce({d.attr('tag', 'alt')}, '')) = '' AND NOT regexp_matches(lower({d.attr('tag', 'src')}), '(^data:image|\\.svg(\\?|$))')) AS empty_alt, count(tag) FILTER (trim(coalesce({d.attr('tag', 'title')}, '')) = '') AS empty_title FROM pages_ext p LEFT JOIN raw_images i ON p.page_id = i.page_id GROUP BY p.page_id"
+NESTED = "SELECT a.page_id, coalesce(n, 0) AS nested_anchors, unbalanced FROM apart a LEFT JOIN (SELECT page_id, count(*) AS n FROM a_depth WHERE tag = '<a' AND depth >= 2 GROUP BY page_id) d ON a.page_id = d.page_id"
+MARKUP_RULES = {
+    "MIXED_CONTENT": "starts_with(url, 'https://') AND (regexp_matches(html, '(?i)\\s(src|href)\\s*=\\s*[\"'']\\s*http://') OR regexp_matches(html, '(?i)\\sstyle\\s*=\\s*[\"''][^\"'']*http://') OR regexp_matches(html, '(?is)<style[^>]*>[^<]*http://'))",
+    "NO_DOCTYPE": "NOT contains(lower(html), '<!doctype')",
+}
+ALL_ISSUES = " UNION ALL ".join([
+    d.issues("head", "seo", SEO_RULES, "page_id"), d.issues("pages_ext", "markup", MARKUP_RULES, "page_id"),
+    d.issues("(SELECT * FROM outgoing LEFT JOIN out_text USING (page_id) LEFT JOIN out_bare USING (page_id)) o", "outgoing", {"URL_MISSING_SCHEME": "missing_scheme > 0", "OUT_NO_INTERNAL_LINKS": "internal = 0", "OUT_TOO_MANY_INTERNAL_LINKS": "internal > 200", "OUT_MANY_EXTERNAL_LINKS": "external >= 50", "LINK_TEXT_EMPTY": "empty_text > 0"}, "page_id"),
+    d.issues("meta_rows", "images", {"IMAGES_WITHOUT_ALT": "empty_alt > 0", "IMAGES_WITHOUT_TITLE": ("empty_title > 0", "Info")}, "page_id"),
+    d.issues("canonical", "canonical", {"CANONICAL_MULTIPLE": "len(canonicals) > 1", "CANONICAL_EMPTY_HREF": "first = ''", "CANONICAL_MISSING_SCHEME": NO_SCHEME, "CANONICAL_CROSS_DOMAIN": f"NOT ({NO_SCHEME}) AND {d.host('target')} <> host"}, "page_id"),
+    d.issues("nested", "structure", {"HTML_NESTED_ANCHORS": "nested_anchors > 0", "HTML_MARKUP_PARSE_ERRORS": ("unbalanced >= 15", "Error")}, "page_id"),
+])
+
+
+@query(ALL_ISSUES, head=HEAD, outgoing=OUTGOING, raw_links=LINKS, out_text=OUT_TEXT, out_bare=OUT_BARE, meta_rows=META, raw_images=IMAGES, canonical=CANONICAL, nested=NESTED, raw_tags=RAW_TAGS, a_depth=A_DEPTH, apart=APART)
 def e1_w7_all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.run_checks(view(spark, sf_dir, "pages_ext"))

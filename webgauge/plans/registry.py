@@ -24,4 +24,4 @@ def query(sql: str | None = None, **made: str) -> Callable:
     return register
 
 
-from . import codes, content, crawl, hosts, observations, pages, readers, reports, robots  # noqa: E402, F401  (they register their queries)
+from . import arrivals, branches, codes, content, crawl, hosts, observations, pages, readers, reports, robots  # noqa: E402, F401  (they register their queries)

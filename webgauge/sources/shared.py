@@ -46,7 +46,8 @@ def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
 def read_observations(spark: SparkSession, path: str, ddl: str, bad: str = "bad_record") -> DataFrame:
     """JSON lines with a given schema; nothing is inferred.  A line that isn't JSON, or whose values don't fit the schema, stays as a row with its text in
     `bad` and what could be read of it beside; others have null there."""
-    return spark.read.schema(f"{ddl}, `{bad}` string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
+    read = F.from_json("value", f"{ddl}, `{bad}` string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    return spark.read.text(path).where(F.trim("value") != "").select(read.alias("r")).select("r.*")
 
 
 def split_bad(rows: DataFrame, bad: str = "bad_record") -> tuple[DataFrame, DataFrame]:
