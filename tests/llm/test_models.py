@@ -174,3 +174,29 @@ def test_exact_marginals_by_enumeration():
         total += w
         one += w * np.array(y)
     assert np.allclose(model.marginals(forest)[0], one / total, atol=1e-6)
+
+
+def test_toxic_windows_are_even(spark, odd_docs):
+    """Scores equal a plain loop over all windows of twelve words, and words put behind a text never lower them."""
+    labels = [(k, int(k % 3 == 0)) for k in range(300)]
+    clean = "the house stands near a river and many people walk along it every day".split()
+    rows = [(k, " ".join([*clean[k % 5 :], *(["idiot", "fool"] if toxic else ["bread", "milk"]), *clean[: k % 9]])) for k, toxic in labels]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"), "true")
+    share, constant = model.linear()
+
+    def brute(text):
+        words = [w for w in toxicity.words_of((text or "").encode())]
+        each = [float(np.mean(share[toxicity.subwords(w, model.s)])) for w in words]
+        size = model.s.window
+        sets = [each[i : i + size] for i in range(max(1, len(each) - size + 1))]
+        return 1 / (1 + np.exp(-(max(np.mean(x) if x else 0.0 for x in sets) + constant)))
+
+    texts = [(None, r.text) for r in odd_docs.collect()] + [(k, " ".join([*clean[:5], "idiot", *clean[5:11], *(clean * 3)[:n]])) for k, n in enumerate(range(0, 30))]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    got = toxicity.scores(df, model).collect()
+    for (_, text), r in zip(texts, got):
+        assert abs(brute(text) - r.score) < 1e-9
+    alone = next(r.score for r in got if r.doc_id == 0)
+    assert all(r.score >= alone - 1e-9 for r in got if r.doc_id is not None)
+    assert toxicity.starts(23, 12) == [0, 11] and toxicity.starts(24, 12) == [0, 12] and toxicity.starts(5, 12) == [0] == toxicity.starts(0, 12)

@@ -2,7 +2,8 @@
 
 A word is the mean of the embeddings of its character n-grams (hashed into buckets) and of the word itself; a window of words is the mean of its words;
 a linear softmax over it gives the classes.  Embeddings and softmax are trained jointly.  A document has label and score by
-its windows: the most toxic one decides, so a long text doesn't drown one insult.  While training, a toxic document's
+its windows: the most toxic one decides, so a long text doesn't drown one insult.  All windows of a text have as many words, and
+every one of that length counts, so neither what stands around an insult nor the text's length changes its weight.  While training, a toxic document's
 windows are first all taken as toxic, later only those that the model itself finds so, the best one at least.
 
 Scoring uses that the softmax is linear: each bucket's share in the logit is one number, and so is each word's.
@@ -91,8 +92,27 @@ def subwords(word: bytes, s: Settings) -> list[int]:
     return out
 
 
-def windows(n: int, size: int) -> int:
-    return max(1, n // size)
+def starts(n: int, size: int) -> list[int]:
+    """Where the windows that are learned from begin: one after the other, the last one at the text's end."""
+    return [*range(0, n - size + 1, size), *([n - size] if n % size else [])] if n > size else [0]
+
+
+def best_windows(value: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The highest mean of `size` neighbours in each run value[at[i]:at[i + 1]], of all its values where it has fewer, 0 where it has none."""
+    lens = np.diff(at)
+    n = np.maximum(1, lens - size + 1)
+    sums = np.concatenate(([0], np.cumsum(value)))
+    doc_at = np.cumsum(n) - n
+    first = np.repeat(at[:-1] - doc_at, n) + np.arange(n.sum())
+    long = np.repeat(np.minimum(size, lens), n)
+    mean = (sums[first + long] - sums[first]) / np.maximum(1, long)
+    return np.maximum.reduceat(mean, doc_at) if len(n) else mean
+
+
+def _runs(first: np.ndarray, lens: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """data[first[i]:first[i] + lens[i]] for all i, end to end."""
+    ends = np.cumsum(lens)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - lens), lens)]
 
 
 class Model:
@@ -103,34 +123,36 @@ class Model:
         self.W = r.standard_normal((s.width, 2)).astype(np.float32)
         self.b = np.zeros(2, np.float32)
 
-    def fit(self, docs: list[list[bytes]], y: np.ndarray) -> Model:
-        """docs: each document's words."""
+    def fit(self, docs: Iterable[list[bytes]], y: np.ndarray) -> Model:
+        """docs: each document's words, which are asked for one after the other and not kept."""
         s, r = self.s, np.random.default_rng(self.s.seed + 1)
         ids = Numbered()
-        flat = number([w for d in docs for w in d], ids)
+        own = [number(d, ids).astype(np.int32) for d in docs]
+        at = bounds(map(len, own))
+        flat = np.concatenate([*own, np.zeros(0, np.int32)])
+        del own
         if not len(flat):
             return self
         subs = [subwords(w, s) for w in ids]
-        sub_at, sub = bounds(map(len, subs)), np.fromiter((x for v in subs for x in v), np.int64)
-        at = bounds(map(len, docs))
+        sub_at, sub = bounds(map(len, subs)), np.fromiter((x for v in subs for x in v), np.int32)
+        del subs
         # Buckets of too few documents keep their start, next to nothing.
         rare = np.zeros(s.buckets, np.int64)
         for a, b in zip(at, at[1:]):
             rare[np.unique(csr_take(sub_at, sub, np.unique(flat[a:b]))[0])] += 1
         rare = rare < s.least_documents
-        first, doc = [], []
-        for k in range(len(docs)):
-            n = windows(at[k + 1] - at[k], s.window)
-            first += [at[k] + j * s.window for j in range(n)]
-            doc += [k] * n
-        win_at, doc = np.array([*first, at[-1]]), np.array(doc)
+        begin = [starts(n, s.window) for n in np.diff(at).tolist()]
+        per = np.fromiter(map(len, begin), np.int64, len(begin))
+        doc = np.repeat(np.arange(len(begin)), per)
+        first = np.fromiter((k for b in begin for k in b), np.int64, len(doc)) + at[doc]
+        lens = np.minimum(s.window, np.diff(at))[doc]
         label = y[doc]
-        fine = np.diff(win_at) > 0
+        fine = lens > 0
         gE, gW, gb = (np.full_like(v, 1e-10) for v in (self.E, self.W, self.b))
         for epoch in range(s.epochs):
             if epoch >= 2:
-                p = self.probability(flat, win_at, sub_at, sub)
-                best = np.zeros(len(docs), np.float32)
+                p = self.probability(flat, first, lens, sub_at, sub)
+                best = np.zeros(len(begin), np.float32)
                 np.maximum.at(best, doc, p)
                 label = (y[doc] == 1) & ((p >= 0.5) | (p >= best[doc]))
             pos, neg = np.flatnonzero(fine & (label == 1)), np.flatnonzero(fine & (label == 0))
@@ -141,7 +163,8 @@ class Model:
             up = min(s.most_weight, max(1.0, len(neg) / max(1, len(pos))))
             order = order[r.permutation(len(order))]
             for part in np.array_split(order, max(1, len(order) // s.batch)):
-                words, lens = csr_take(win_at, flat, part)
+                size = lens[part]
+                words = _runs(first[part], size, flat)
                 own, back = np.unique(words, return_inverse=True)
                 grams, n = csr_take(sub_at, sub, own)
                 # A random part of a word's n-grams is left out, so that no single one carries the word.
@@ -150,7 +173,7 @@ class Model:
                 n = np.add.reduceat(heard, np.cumsum(n) - n, dtype=np.int64)
                 grams = grams[heard]
                 vec = np.add.reduceat(self.E[grams], np.cumsum(n) - n) / n[:, None]
-                win = np.add.reduceat(vec[back], np.cumsum(lens) - lens) / lens[:, None]
+                win = np.add.reduceat(vec[back], np.cumsum(size) - size) / size[:, None]
                 logit = win @ self.W + self.b
                 e = np.exp(logit - logit.max(1, keepdims=True))
                 g = e / e.sum(1, keepdims=True)
@@ -159,7 +182,7 @@ class Model:
                 g *= np.where(t == 1, up, 1.0)[:, None] / s.batch
                 dW, db, dwin = win.T @ g, g.sum(0), g @ self.W.T
                 dvec = np.zeros_like(vec)
-                np.add.at(dvec, back, np.repeat(dwin / lens[:, None], lens, 0))
+                np.add.at(dvec, back, np.repeat(dwin / size[:, None], size, 0))
                 dgram = np.repeat(dvec / n[:, None], n, 0)
                 touched, where = np.unique(grams, return_inverse=True)
                 dE = np.stack([np.bincount(where, dgram[:, j], len(touched)) for j in range(s.width)], 1).astype(np.float32)
@@ -170,11 +193,10 @@ class Model:
                 self.W -= s.rate * dW / np.sqrt(gW)
                 gb += db * db
                 self.b -= s.rate * db / np.sqrt(gb)
-        # The logit at which documents are told apart best.
-        p = self.probability(flat, win_at, sub_at, sub)
-        p = np.log(np.clip(p, 1e-12, 1)) - np.log(np.clip(1 - p, 1e-12, 1))
-        best = np.full(len(docs), -np.inf)
-        np.maximum.at(best, doc[fine], p[fine])
+        # The logit at which documents are told apart best, by the windows that they are scored by.
+        word, constant = self.logits(sub_at, sub)
+        best = np.concatenate([best_windows(word[flat[at[k] : at[min(k + 200, len(at) - 1)]]], at[k : k + 201] - at[k], s.window) for k in range(0, len(at) - 1, 200)]) + constant
+        best[np.diff(at) == 0] = -np.inf
         toxic, clean = (np.sort(best[(y == k) & np.isfinite(best)]) for k in (1, 0))
         if len(toxic) and len(clean):
             cuts = np.linspace(clean[0], toxic[-1], 2000)
@@ -187,12 +209,15 @@ class Model:
         d = self.W[:, 1] - self.W[:, 0]
         return self.E @ d, float(self.b[1] - self.b[0])
 
-    def probability(self, flat: np.ndarray, win_at: np.ndarray, sub_at: np.ndarray, sub: np.ndarray) -> np.ndarray:
+    def logits(self, sub_at: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, float]:
+        """Each word's share in a window's logit, and the constant."""
         share, constant = self.linear()
-        word = np.add.reduceat(share[sub], sub_at[:-1]) / np.diff(sub_at)
+        return np.add.reduceat(share[sub], sub_at[:-1]) / np.diff(sub_at), constant
+
+    def probability(self, flat: np.ndarray, first: np.ndarray, lens: np.ndarray, sub_at: np.ndarray, sub: np.ndarray) -> np.ndarray:
+        word, constant = self.logits(sub_at, sub)
         sums = np.concatenate(([0], np.cumsum(word[flat])))
-        lens = np.diff(win_at)
-        return 1 / (1 + np.exp(-((sums[win_at[1:]] - sums[win_at[:-1]]) / np.maximum(1, lens) + constant)))
+        return 1 / (1 + np.exp(-((sums[first + lens] - sums[first]) / np.maximum(1, lens) + constant)))
 
 
 def train(df: DataFrame, labels: DataFrame, usable: Column | str, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -209,7 +234,7 @@ def train(df: DataFrame, labels: DataFrame, usable: Column | str, s: Settings =
     sample = labelled_sample(docs, labels, label_col, usable, s.sample, s.seed, 1 / 3, label_id=id_col)
     rows = sample.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, label int, words binary").collect()
     rows.sort(key=lambda r: (r.id, bytes(r.words)))
-    return Model(s).fit([bytes(r.words).split(b" ") for r in rows], np.array([r.label for r in rows], np.int64))
+    return Model(s).fit((bytes(r.words).split(b" ") for r in rows), np.array([r.label for r in rows], np.int64))
 
 
 class _Logits(dict):
@@ -241,14 +266,7 @@ def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             at = bounds(map(len, split))
             value = np.fromiter((logit[w] for d in split for w in d), np.float64, at[-1])
             logit.extra.clear()
-            sums = np.concatenate(([0], np.cumsum(value)))
-            lens = np.diff(at)
-            n = np.maximum(1, lens // s.window)
-            doc_at = np.cumsum(n) - n
-            first = np.repeat(at[:-1] - doc_at * s.window, n) + np.arange(n.sum()) * s.window
-            stop = np.append(first[1:], at[-1])
-            mean = (sums[stop] - sums[first]) / np.maximum(1, stop - first)
-            best = np.maximum.reduceat(mean, doc_at) if len(n) else mean
+            best = best_windows(value, at, s.window)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": pa.array(1 / (1 + np.exp(-(best + constant))))})
 
     small_batches(df.sparkSession)
