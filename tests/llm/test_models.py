@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 
+from tests.conftest import SF
 from webgauge.llm import bpe, chat, html_extract, html_pages, langid, quality_mil, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -136,7 +138,7 @@ def test_chat_round_trip(spark, odd_docs):
 
 
 def test_html(spark):
-    model = html_extract.trained()
+    model = html_extract.loaded()
     trees = [html_extract.parse(p) for p in html_pages.labelled(80, 99)]
     p, joint = model.marginals(forest := model.forest(trees))
     y = np.array([v if v >= 0 else 1 for t in trees for v in t.labels])
@@ -152,6 +154,55 @@ def test_html(spark):
     assert sorted((r.page_id, r.text) for r in got) == sorted((i, t) for i, _, t in pages)
 
 
+LONG = "<p>" + "This is a fairly long paragraph of the article with many words in it, so that nobody can doubt it. " * 3 + "</p>"
+SAID = " ".join(["This is a fairly long paragraph of the article with many words in it, so that nobody can doubt it."] * 3)
+PAGES = [
+    ("<article><ul><li>one<ul><li>two</li></ul>three</li></ul></article>", "one\ntwo\nthree"),
+    (f"<body><nav><a href=/>Home</a></nav><article><h1>Post</h1>{LONG}{LONG}</article><section id=comments><article class=comment><p>I do not agree with this at all, it was better before.</p></article><article class=comment><p>Nice post!</p></article></section></body>", f"Post\n{SAID}\n{SAID}"),
+    (f"<body><main><article><h1>Post</h1>{LONG}{LONG}</article><article class=comment><header>Joe <time>Monday</time></header><p>I do not agree with this at all.</p></article></main></body>", f"Post\n{SAID}\n{SAID}"),
+    (f"<body><article><h1>Post</h1>{LONG}</article><div class=reviews><p>Great thing, I bought two of these and my friends did as well.</p></div></body>", f"Post\n{SAID}"),
+    (f"<article><header><h1>Title</h1><p>Standfirst</p></header>{LONG}</article>", f"Title\nStandfirst\n{SAID}"), (f"<article>{LONG}<p hidden>secret</p><div style='display: none'>gone</div></article>", SAID),
+    (f"<article>{LONG}</article><!-- not text", SAID), (f"<article>{LONG}</article><!DOCTYPE html", SAID), (f"<article>{LONG}</article><a href='x", SAID), (f"<article>{LONG}<div>Advertisement</div>{LONG}</article>", f"{SAID}\n{SAID}"),
+    (f"<table><tr><td><a href=/>Home</a> <a href=/b>News</a> <a href=/c>Sport</a></td><td><h1>Title</h1>{LONG}{LONG}</td></tr></table>", f"Title\n{SAID}\n{SAID}"),
+]
+
+
+def test_html_of_hand_written_pages(spark):
+    got = html_extract.extract(spark.createDataFrame([(k, h, "clash") for k, (h, _) in enumerate(PAGES)], "page_id int, html string, text string")).orderBy("page_id").collect()
+    assert [r.text for r in got] == [t for _, t in PAGES]
+
+
+def test_given_pages_equal_their_article(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()
+
+    def article(html):
+        tree = html_extract.parse(re.search(r"(?s)<article.*?</article>", html)[0])
+        return html_extract.text_of(tree, np.ones(len(tree.tags), bool))
+
+    got = {r.page_id: r.text for r in html_extract.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
+    assert got == {r.page_id: article(r.html) for r in rows}
+
+
+def test_weights_of_the_file_are_those_that_training_gives():
+    small = html_extract.Settings(pages=20, steps=20)
+    assert html_extract.trained(small).unary.shape[0] > 0
+    model = html_extract.loaded()
+    assert len(model.unary) == model.rest + html_extract.FIGURES and abs(model.unary).max() > 1
+
+
+def test_held_out_layouts_by_words():
+    """Precision and recall of words over generated layouts that aren't learned from."""
+    model, found = html_extract.loaded(), np.zeros(3)
+    trees = [html_extract.parse(p) for p in html_pages.labelled(150, 4321)]
+    p, _ = model.marginals(forest := model.forest(trees))
+    for tree, a in zip(trees, forest[0]):
+        for e, x in tree.texts:
+            if e >= 0 and tree.tags[e] not in html_extract.SILENT:
+                said, true = p[a + e] >= 0.5, tree.labels[e] != 0
+                found += len(x.split()) * np.array([said and true, said and not true, true and not said])
+    assert found[0] / (found[0] + found[1]) > 0.95 and found[0] / (found[0] + found[2]) > 0.95
+
+
 def test_html_head_without_end_tag():
     for start in ("<body>", ""):
         page = html_extract.Tree()
@@ -162,7 +213,7 @@ def test_html_head_without_end_tag():
 
 
 def test_exact_marginals_by_enumeration():
-    model = html_extract.trained()
+    model = html_extract.loaded()
     tree = html_extract.parse("<article><p>some text of a page</p><div class=ad>buy</div></article>")
     forest = model.forest([tree])
     at, parent, node, feature, edge, _ = forest

@@ -8,11 +8,13 @@ gradient is made of the same marginals.  Sweeps go level by level over all pages
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounds, slices
-from .html_pages import labelled
+from .html_pages import MARKS, labelled
 
 #: Fixed values of HTML: elements without content, without text of the page, within lines, and what ends an open <p>.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +39,15 @@ N_KINDS = 5
 HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 
 
+#: Fixed value: styles under which nothing is shown.
+UNSEEN = re.compile(r"(?i)(^|;)\s*(display\s*:\s*none|visibility\s*:\s*hidden)").search
+#: Fixed value: how markup begins that a page's end cuts off.
+OPEN_MARKUP = re.compile(r"<[!?/a-zA-Z]").match
+MARKED = frozenset(m.lower() for m in MARKS)
+FIGURES = 9
+"""Features of an element's text, after those of tags and names."""
+
+
 class Tree(HTMLParser):
     """Elements of a page in order: tag, parent, names; and the texts with their element, -1 where a block begins or ends."""
 
@@ -44,6 +55,8 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.names, self.labels = ["#"], [-1], [""], [1]
         self.texts: list[tuple[int, str]] = []
+        self.unseen: set[int] = set()
+        """Elements that the page itself hides."""
         self.open = [0]
         self.depths: dict[str, list[int]] = {}
         """Where in `open` the elements of a tag are."""
@@ -73,8 +86,9 @@ class Tree(HTMLParser):
             self._close(*ENDS[tag])
         if tag not in INLINE and tag not in SILENT:
             self.texts.append((-1, ""))
-        names, label = "", -1
+        names, label, unseen = "", -1, False
         for k, v in attrs:
+            unseen = unseen or k == "hidden" or k == "style" and bool(v and UNSEEN(v))
             if k in ("class", "id", "role", "aria-label") and v:
                 names += " " + v
             elif k == "data-label" and v in ("0", "1"):
@@ -83,6 +97,8 @@ class Tree(HTMLParser):
         self.parents.append(self.open[-1])
         self.names.append(names)
         self.labels.append(label)
+        if unseen:
+            self.unseen.add(len(self.tags) - 1)
         if tag not in VOID:
             self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.tags) - 1)
@@ -107,13 +123,15 @@ class Tree(HTMLParser):
 def parse(html: str) -> Tree:
     tree = Tree()
     tree.feed(html)
+    if OPEN_MARKUP(tree.rawdata):  # a comment, declaration or tag without an end is no text
+        tree.rawdata = ""
     tree.close()
     return tree
 
 
 @dataclass(frozen=True)
 class Settings:
-    pages: int = 300
+    pages: int = 500
     seed: int = 5
     steps: int = 600
     rate: float = 0.3
@@ -129,7 +147,7 @@ class Model:
         self.tag = {t: i for i, t in enumerate(TAGS)}
         self.name = {w: len(TAGS) + 1 + i for i, w in enumerate(names)}
         self.rest = len(TAGS) + 1 + len(names)
-        self.unary = np.zeros(self.rest + 8)
+        self.unary = np.zeros(self.rest + FIGURES)
         self.pair = np.zeros((N_KINDS * N_KINDS, 2, 2))
         self.cache: dict[tuple[str, str], list[int]] = {}
 
@@ -150,7 +168,7 @@ class Model:
         static = [self._static(g, n) for t in trees for g, n in zip(t.tags, t.names)]
         node = np.repeat(np.arange(at[-1]), np.fromiter(map(len, static), np.int64, at[-1]))
         feature = np.fromiter((f for s in static for f in s), np.int64, len(node))
-        chars, linked = np.zeros(at[-1]), np.zeros(at[-1])
+        chars, linked, marked = np.zeros(at[-1]), np.zeros(at[-1]), []
         tags = [g for t in trees for g in t.tags]
         link = np.fromiter((g == "a" for g in tags), bool, at[-1])
         depth = np.zeros(at[-1], np.int64)
@@ -162,6 +180,8 @@ class Model:
             for e, text in t.texts:
                 if e >= 0 and t.tags[e] not in SILENT:
                     chars[a + e] += len(text)
+                    if len(text) < 40 and text.strip().lower() in MARKED:
+                        marked.append(a + e)
         linked[:] = np.where(link, chars, 0)
         levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth)))[1:-1]
         for level in reversed(levels):
@@ -169,8 +189,8 @@ class Model:
             np.add.at(linked, parent[level], linked[level])
         share = linked / np.maximum(1, chars)
         bucket = np.select([chars == 0, share > 0.6, share > 0.25, chars < 25, chars < 100, chars < 400], range(6), 6)
-        node = np.concatenate((node, np.arange(at[-1])))
-        feature = np.concatenate((feature, self.rest + bucket))
+        node = np.concatenate((node, np.arange(at[-1]), np.array(marked, np.int64)))
+        feature = np.concatenate((feature, self.rest + bucket, np.full(len(marked), self.rest + 8)))
         kind = np.fromiter((KINDS.get(g, 0) for g in tags), np.int64, at[-1])
         return at, parent, node, feature, kind[parent] * N_KINDS + kind, levels
 
@@ -216,6 +236,18 @@ class Model:
         return self
 
 
+WEIGHTS = Path(__file__).with_name("html_weights.json")
+"""What trained() gives with default settings; `python -m webgauge.llm.html_extract` writes it."""
+
+
+@lru_cache(4)
+def loaded(path: Path = WEIGHTS) -> Model:
+    known = json.loads(path.read_text())
+    model = Model(known["names"])
+    model.unary, model.pair = np.array(known["unary"]), np.array(known["pair"]).reshape(model.pair.shape)
+    return model
+
+
 @lru_cache(4)
 def trained(s: Settings = Settings()) -> Model:
     trees = [parse(page) for page in labelled(s.pages, s.seed)]
@@ -229,7 +261,7 @@ def text_of(tree: Tree, article: np.ndarray) -> str:
     block, silent = list(range(n)), [False] * n
     for k in range(1, n):
         p = tree.parents[k]
-        silent[k] = silent[p] or tree.tags[k] in SILENT
+        silent[k] = silent[p] or tree.tags[k] in SILENT or k in tree.unseen
         if tree.tags[k] in INLINE:
             block[k] = block[p]
     out, held = [], []
@@ -243,14 +275,15 @@ def text_of(tree: Tree, article: np.ndarray) -> str:
     return "\n".join(x for x in (" ".join(x.split()) for x in out) if x)
 
 
-def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: list[str] = [], settings: Settings = Settings()) -> DataFrame:
-    """Each row's id, and the columns to `keep`, with the text of its article.
+def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: list[str] = [], settings: Settings | None = None) -> DataFrame:
+    """Each row's id, and the columns to `keep`, with the text of its article.  An article's own head belongs to it; a page's doesn't.
 
-    A null, empty or blank page, and one without an article, has the empty text.  Broken markup is read as far as it goes: open
+    settings: train anew with these; else the weights of the file count, which come from the default ones.  What the page hides by `hidden` or its own style is
+    no text, nor is a comment, declaration or tag that the page's end cuts off.  A null, empty or blank page, and one without an article, has the empty text.  Broken markup is read as far as it goes: open
     elements end where HTML lets them, at the page's end at last.  Pages of any length are read whole; repeated rows give
     a row each.
     """
-    model = trained(settings)
+    model = trained(settings) if settings else loaded()
     sent = df.sparkSession.sparkContext.broadcast((model.unary, model.pair, list(model.name)))  # some hundred numbers
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,3 +302,8 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
     schema = ", ".join(f"{o} {df.schema[c].dataType.simpleString()}" for c, o in zip([id_col, *keep], own))
     made = df.select(*kept, df[html_col].alias("html")).mapInArrow(run, f"{schema}, out string")
     return made.select(*(F.col(o).alias(c) for c, o in zip([id_col, *keep], own)), F.col("out").alias("text"))
+
+
+if __name__ == "__main__":
+    made = trained()
+    WEIGHTS.write_text(json.dumps({"names": list(made.name), "unary": [round(float(x), 6) for x in made.unary], "pair": [round(float(x), 6) for x in made.pair.reshape(-1)]}) + "\n")

@@ -15,8 +15,12 @@ OTHER = [
     (["div", "ins", "section", "aside"], ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "ad-slot", "adbox", "promotion"]),
     (["form", "div"], ["form", "search", "newsletter", "subscribe", "signup", "login", "search-box", "contact-form"]),
     (["div", "section", "ol"], ["comments", "comment", "comment-list", "responses", "discussion", "replies", "reader-comments", "disqus", "comment-body"]),
+    (["article", "li", "div"], ["comment", "review", "comment-item", "reply", "user-review", "comment-by-reader"]),
+    (["div", "section"], ["reviews", "feedback", "guestbook", "opinions", "talkback", "thread", "ratings", "user-reviews"]),
     (["div", "ul"], ["share", "social", "social-links", "tags", "byline-links", "follow", "sharing"]),
 ]
+#: What stands above or in an advert that has no name.
+MARKS = ["Advertisement", "Advert", "Ad", "Ads", "Sponsored", "Sponsored content", "Promoted", "Anzeige", "Werbung", "Publicité", "Publicidad"]
 PLAIN_OTHER = ["nav", "header", "footer", "aside", "form"]
 MAIN = ["article", "content", "main", "post", "entry", "entry-content", "article-body", "story", "post-content", "main-content", "text", "body-text", "page"]
 
@@ -56,7 +60,7 @@ class Pages:
             elif x < 0.76:
                 out.append((r.choice(["h2", "h3", "h4"]), {}, 1, [self.sentence(1, 8)]))
             elif x < 0.84:
-                out.append((r.choice(["ul", "ol"]), {}, 1, [("li", {}, 1, self.inline(1, 0.2)) for _ in range(r.randint(1, 5))]))
+                out.append(self.list())
             elif x < 0.88:
                 out.append(("blockquote", {}, 1, [("p", {}, 1, self.inline(1, 0.1))]))
             elif x < 0.91:
@@ -69,8 +73,25 @@ class Pages:
                 out.append(("div", {}, 1, self.inline(1, 0.2)))
         return out
 
+    def list(self, deep: int = 0) -> Node:
+        r = self.r
+        item = lambda: ("li", {}, 1, [*self.inline(1, 0.2), *([self.list(deep + 1)] if deep < 3 and r.random() < 0.25 else []), *([self.words(1, 6)] if r.random() < 0.2 else [])] if r.random() < 0.7 else [self.words(1, 4)])
+        return (r.choice(["ul", "ol"]), {}, 1, [item() for _ in range(r.randint(1, 5))])
+
+    def remarks(self) -> Node:
+        """What readers say below an article, in boxes of any kind, with or without telling names."""
+        r = self.r
+        tag, name = r.choice(["article", "li", "div", "div"]), r.choice(["comment", "review", "comment-body", "reply", "user-comment", "media", "row", "item"])
+        named = tag == "article" or r.random() < 0.7
+        one = lambda: (tag, {"class": name} if named else {}, 0, [(r.choice(["header", "div", "p"]), {}, 0, [("span" if r.random() < 0.5 else "b", {}, 0, [self.words(1, 2)]), ("time", {}, 0, [self.words(1, 3)])]), (r.choice(["p", "div"]), {}, 0, [self.sentence(2, 40)]), *([("a", {"href": "/r"}, 0, [self.words(1, 1)])] if r.random() < 0.6 else [])])
+        attrs = {r.choice(["class", "id"]): r.choice(["comments", "reviews", "discussion", "responses", "replies", "feedback"])} if not named or r.random() < 0.6 else {}
+        return ("ol" if tag == "li" else r.choice(["div", "section"]), attrs, 0, [("h3", {}, 0, [self.words(1, 3)])] * r.randint(0, 1) + [one() for _ in range(r.randint(1, 5))])
+
     def other(self) -> Node:
         r = self.r
+        if r.random() < 0.08:
+            mark = r.choice(MARKS)
+            return (r.choice(["div", "div", "p", "section", "span"]), {}, 0, [r.choice([mark, mark.upper()])]) if r.random() < 0.6 else ("div", {}, 0, [(r.choice(["p", "span", "div"]), {}, 0, [mark]), ("a", {"href": "/x"}, 0, [self.words(2, 8)])])
         if r.random() < 0.35:
             tag, attrs = r.choice(PLAIN_OTHER), {}
         else:
@@ -102,13 +123,25 @@ class Pages:
             attrs = {"role": "main"}
         if r.random() < 0.4:  # names that say nothing, as far as the model goes
             attrs = {}
-        kids = self.prose()
+        kids = self.prose() if r.random() < 0.94 else [("h1", {}, 1, [self.sentence(1, 9)])] * r.randint(0, 1) + [self.list()]
+        if tag == "article" and r.random() < 0.25:  # its own head and foot
+            kids = [("header", {}, 1, [("h1", {}, 1, [self.sentence(1, 12)]), *([("p", {}, 1, [self.sentence(4, 25)])] if r.random() < 0.6 else [])]), *kids]
+        if tag == "article" and r.random() < 0.15:
+            kids = [*kids, ("footer", {}, 0, [("a", {"href": "/t"}, 0, [self.words(1, 2)]) for _ in range(r.randint(1, 4))])]
         for _ in range(r.choice([0, 0, 1, 2])):
             kids.insert(r.randint(0, len(kids)), self.other())
+        if r.random() < 0.06:  # next to nothing
+            kids = [r.choice([self.list(), ("ul", {}, 1, [("li", {}, 1, [self.words(1, 1), ("ul", {}, 1, [("li", {}, 1, [self.words(1, 1)])]), self.words(1, 1)])]), ("p", {}, 1, [self.words(1, 3)])])]
+            tag, attrs = r.choice([("article", {}), ("main", {}), ("article", {"class": r.choice(MAIN)})])
         main = (tag, attrs, 1, kids)
         if r.random() < 0.3:
             main = (r.choice(["div", "main", "section"]), {"class": r.choice(["container", "wrapper", "row", "layout", "page"])}, 1, [*(self.other() for _ in range(r.randint(0, 1))), main, *(self.other() for _ in range(r.randint(0, 2)))])
-        kids = [*(self.other() for _ in range(r.randint(0, 3))), main, *(self.other() for _ in range(r.randint(0, 3)))]
+        if r.random() < 0.07:  # a layout by a table
+            side = ("td", {}, 0, [("a", {"href": "/m"}, 0, [self.words(1, 2)]) for _ in range(r.randint(2, 8))])
+            cells = [side, ("td", {}, 1, [main])]
+            main = ("table", {}, 1, [("tr", {}, 1, cells if r.random() < 0.7 else cells[::-1])])
+        after = [self.remarks()] if r.random() < 0.3 else []
+        kids = [*(self.other() for _ in range(r.randint(0, 3))), main, *after, *(self.other() for _ in range(r.randint(0, 3)))]
         return ("html", {}, 1, [("body", {}, 1, kids)])
 
 
