@@ -251,3 +251,13 @@ def test_toxic_windows_are_even(spark, odd_docs):
     alone = next(r.score for r in got if r.doc_id == 0)
     assert all(r.score >= alone - 1e-9 for r in got if r.doc_id is not None)
     assert toxicity.starts(23, 12) == [0, 11] and toxicity.starts(24, 12) == [0, 12] and toxicity.starts(5, 12) == [0] == toxicity.starts(0, 12)
+
+
+def test_very_many_languages(spark):
+    """A dirty column of languages: the most frequent ones are learned."""
+    rows = [(k, "the cat and the dog sat on the mat together", "en") for k in range(40)] + [(100 + k, "der hund und die katze sitzen auf der matte", "de") for k in range(40)] + [(1000 + k, "zzz qqq", f"x{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(df, "true", langid.Settings(max_languages=50))
+    assert len(model.langs) == 50 and {"en", "de"} <= set(model.langs)
+    got = langid.predict(spark.createDataFrame([(1, "the dog and the cat"), (2, "die katze und der hund")], "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["en", "de"]

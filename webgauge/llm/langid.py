@@ -149,12 +149,12 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def train(df: DataFrame, usable: Column | str, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from about s.sample documents of each language, picked by a hash of their ids.  Gram counts are made and
+    """Learn from about s.sample documents of each language, picked by a hash of their ids.  Of more than s.max_languages values of lang those with
+    most documents are learned, of equal ones the first by name, so a dirty column doesn't stop the job.  Gram counts are made and
     summed on the executors; what comes here is bounded by the sample."""
     known = df.where(usable).select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].alias("lang")).where("lang is not null")
-    n = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(s.max_languages + 1).collect()}
-    if len(n) > s.max_languages:
-        raise ValueError(f"more than {s.max_languages} languages")
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.max_languages)
+    n = {r.lang: r["count"] for r in most.collect()}
     share = F.lit(0.0)
     for lang, rows in n.items():
         share = F.when(F.col("lang") == lang, s.sample / rows).otherwise(share)
