@@ -1,6 +1,7 @@
 """Addresses, suffixes, answers without a schema, codes, reports and streams on odd rows."""
 
 import ipaddress
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,16 @@ def test_observation_files_keep_bad_lines(spark, tmp_path):
     assert sorted((r.host, r.n) for r in good.collect()) == [("a", 1), ("c", None), ("d", 1)] and sorted(r.record for r in bad.collect()) == ['not json', '{"host":"b","n":"x"}']
 
 
+def test_clear_removes_what_this_application_wrote(spark):
+    written = shared.materialize(spark.range(3).selectExpr("id", "'x' AS v"))
+    assert written.count() == 3
+    folder = written.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file://")
+    assert os.path.isdir(folder) and spark.sparkContext.applicationId in folder
+    shared.clear(spark)
+    assert not os.path.exists(folder)
+    shared.clear(spark)
+
+
 def drain(stream, out, checkpoint, without_rows="true"):
     """without_rows: batches without data move a watermark on, but never end where state expires by the clock."""
     spark = stream.sparkSession

@@ -19,7 +19,14 @@ def new_path(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="webgauge-")
         spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/webgauge/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/webgauge/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has written under new_path: when its results have been read, as they may read those tables."""
+    own = new_path(spark).rsplit("/", 1)[0]
+    where = spark._jvm.org.apache.hadoop.fs.Path(own)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
