@@ -53,6 +53,21 @@ def test_visible_text_cases(spark):
     assert [r.visible_text for r in extract.visible_text(df).orderBy("page_id").collect()] == ["a d", "y & z", "plain", "", "one"]
 
 
+def test_visible_text_of_hostile_pages(spark):
+    """Very many open elements take time in proportion, and a declaration that is none is a comment."""
+    import time
+
+    took = {}
+    for n in (4000, 16000):
+        start = time.perf_counter()
+        assert extract._visible("<body>" + "<div>x</i>" * n) == " ".join("x" * n)
+        took[n] = time.perf_counter() - start
+    assert took[16000] < 12 * took[4000]
+    df = spark.createDataFrame([(1, "a", "<body>one<![foo[ two ]]>three", 5), (2, "b", None, None)], "page_id bigint, host string, html string, error int")
+    got = extract.visible_text(df, keep=["host"]).orderBy("page_id").collect()
+    assert [(r.host, r.error) for r in got] == [("a", None), ("b", None)] and got[0].visible_text.startswith("one") and got[1].visible_text == ""
+
+
 def test_nested_markup(spark):
     df = spark.createDataFrame([(0, "<a>x<a>y</a></a><form><form></form></form>"), (1, "<p><b></p>"), (2, None)], "page_id bigint, html string")
     assert [tuple(r)[1:] for r in checks.tag_balance(df).orderBy("page_id").collect()][:2] == [(1, 1, 0), (0, 0, 1)]

@@ -36,7 +36,7 @@ def test_query(spark, con, name):
 
 
 #: Queries with a parser, an automaton, user code or blocks of hashes, which columns can't express.
-PYTHON = {"u19_p26_visible_text", "u13_ascii_hosts", "r3_robots_automaton", "e1_p26_user_checks", "r8_sitemap_xml", "r8_sitemap_xml_problems"} | {"d5_j12_near_pairs", "a1_content_audit", "d2_d5_p22_content_issues"}
+PYTHON = {"u19_p26_visible_text", "u13_ascii_hosts", "r3_robots_automaton", "e1_p26_user_checks", "r8_sitemap_xml", "r8_sitemap_xml_problems"} | {"d5_j12_near_pairs", "a1_content_audit", "d2_d5_p22_content_issues", "a1_content_report", "p21_u19_thin_pages", "d3_u19_page_copies"}
 
 
 def test_plans_stay_declarative(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import extract
 from .checks import Options, thin_page
 from .near_blocks import near_pairs
 
@@ -90,6 +91,19 @@ def thin(pages: DataFrame, visible: Column, o: Options = Options()) -> DataFrame
     return facts.withColumn("thin", thin_page(o))
 
 
+def thin_pages(pages: DataFrame, o: Options = Options()) -> DataFrame:
+    """thin() of pages(page_id, host, url, html) by the text of their nearest root, in which hidden parts may nest; a page that can't be read has an empty text."""
+    read = extract.visible_text(pages.withColumn("html_chars", F.length("html")), keep=["host", "url", "html_chars"]).withColumn("visible", F.coalesce("visible_text", F.lit("")))
+    facts = read.select("page_id", "host", "url", F.length("visible").alias("chars"), F.size(text.tokenize(F.col("visible"))).alias("words"), F.coalesce("html_chars", F.lit(0)).alias("html_chars"))
+    return facts.withColumn("thin", thin_page(o))
+
+
+def page_copies(pages: DataFrame) -> DataFrame:
+    """(host, hash, n): visible texts that two pages or more of a host share, by the same reading; pages without text have no copies."""
+    read = extract.visible_text(pages, keep=["host"]).where(F.trim("visible_text") != "")
+    return read.groupBy("host", content_hash(F.col("visible_text")).alias("hash")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
 def content_issues(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """(seq, code) of docs(host, seq, text), visible texts: later copies of an equal text, later near copies of another, stuffed texts."""
     keyed = docs.select("host", "seq", content_hash(F.col("text")).alias("hash")).where(F.col("hash") != F.upper(F.sha2(F.lit("").cast("binary"), 256)))

@@ -102,10 +102,20 @@ class _Visible(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = [("", False, 4)]
+        # Of each open element: whether it's hidden, and the roots around it as bits.
+        self.open: list[tuple[str, bool, int]] = [("", False, 1 << 4)]
+        self.depths: dict[str, list[int]] = {}
+        """Where in `open` the elements of a tag are."""
         self.texts: dict[int, list[str]] = {}
         self.firsts: set[int] = set()
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A declaration that is none is a comment, as in browsers."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: (v or "").lower().replace(" ", "") for k, v in attrs}
         hidden = tag in self.SKIP or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "") or "visibility:hidden" in a.get("style", "")
@@ -115,19 +125,23 @@ class _Visible(HTMLParser):
         self.firsts.add(root)
         self.data(" ")
         if tag not in self.VOID:
-            self.open.append((tag, self.open[-1][1] or hidden, root))
+            self.depths.setdefault(tag, []).append(len(self.open))
+            self.open.append((tag, self.open[-1][1] or hidden, self.open[-1][2] | 1 << root))
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                break
+        if self.depths.get(tag):
+            at = self.depths[tag][-1]
+            for name, _, _ in self.open[at:]:
+                self.depths[name].pop()
+            del self.open[at:]
         self.data(" ")
 
     def data(self, data: str) -> None:
-        if not self.open[-1][1]:
-            for root in {r for _, _, r in self.open}:
-                self.texts.setdefault(root, []).append(data)
+        _, hidden, roots = self.open[-1]
+        if not hidden:
+            for root in range(5):
+                if roots >> root & 1:
+                    self.texts.setdefault(root, []).append(data)
 
     handle_data = data
 
@@ -140,19 +154,21 @@ def _visible(html: str | None) -> str:
     return " ".join("".join(tree.texts.get(root, [])).split())
 
 
-def visible_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, visible_text, error): hidden subtrees may nest.  A page that can't be read keeps its row with the error, so that other checks go on."""
+def visible_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: list[str] = []) -> DataFrame:
+    """(id, keep, visible_text, error): hidden subtrees may nest.  A page that can't be read keeps its row with the error, so that other checks go on.  Null and
+    empty pages have the empty text; `keep` names columns to carry along."""
+    own = [id_col, *keep]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, errors = [], []
-            for html in batch.column(1).to_pylist():
+            for html in batch.column(len(own)).to_pylist():
                 try:
                     texts.append(_visible(html))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001  the row tells of it
                     texts.append(None)
                     errors.append(type(e).__name__)
-            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "visible_text": pa.array(texts, pa.string()), "error": pa.array(errors, pa.string())})
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(own))), pa.array(texts, pa.string()), pa.array(errors, pa.string())], [*own, "visible_text", "error"])
 
-    return pages.select(id_col, html_col).mapInArrow(run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, visible_text string, error string")
+    return pages.select(*own, html_col).mapInArrow(run, ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in own) + ", visible_text string, error string")

@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import checks, content, extract
 from . import duck as d
 from .fixtures import view
-from .pages import FLAT, HEAD
+from .pages import FLAT, HEAD, ROOTED
 from .registry import query
 
 
@@ -72,6 +72,21 @@ def p21_thin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", F.col("chars").cast("bigint").alias("chars"), F.col("words").cast("bigint").alias("words"), "thin")
 
 
+@query("SELECT page_id, length(visible) AS chars, len(regexp_extract_all(lower(visible), '[\\p{L}\\p{Nd}]{2,}')) AS words, length(visible) < 600 OR len(regexp_extract_all(lower(visible), '[\\p{L}\\p{Nd}]{2,}')) < 120 OR length(visible) / length(html) < 0.05 AS thin FROM rooted", rooted=ROOTED)
+def p21_u19_thin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the text of the article, read as a tree."""
+    made = content.thin_pages(view(spark, sf_dir, "pages_ext"))
+    return made.select("page_id", F.col("chars").cast("bigint").alias("chars"), F.col("words").cast("bigint").alias("words"), "thin")
+
+
+@query(f"SELECT host, upper(sha256({d.fold('visible')})) AS hash, count(*) AS n FROM (SELECT host, visible FROM rooted UNION ALL SELECT host, visible FROM rooted WHERE page_id % 5 = 0) x GROUP BY ALL HAVING count(*) >= 2", rooted=ROOTED)
+def d3_u19_page_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fifth page occurs twice, the second time with other boxes around its article."""
+    pages = view(spark, sf_dir, "pages_ext").select("page_id", "host", "html")
+    again = pages.where("page_id % 5 = 0").withColumn("html", F.regexp_replace("html", "<article", "<aside><div hidden>x</div><aside>y</aside></aside><article"))
+    return content.page_copies(pages.unionByName(again))
+
+
 #: Fixed values, written out apart from the library's own so that a mistake there would show: Russian and English stop words.
 STOPPED = ", ".join(map(d.q, (
     "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по ее мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть был него до "

