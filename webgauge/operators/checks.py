@@ -276,7 +276,7 @@ def broken_resources(pages: DataFrame, url_status: DataFrame) -> DataFrame:
     """(page_id, code, broken, samples): resources that answer 404 or 410; links count only on the page's own host."""
     found = extract.resources(pages).where((F.col("kind") != "link") | (urls.host(F.col("target")) == F.col("host")))
     bad = url_status.where(F.col("status_code").isin(404, 410)).select(F.col("url").alias("target"))
-    hit = found.join(bad, "target").groupBy("page_id", "kind").agg(F.count("*").alias("broken"), F.array_join(F.slice(F.array_sort(F.collect_set("target")), 1, 5), " ").alias("samples"))
+    hit = found.join(bad.hint("shuffle_merge"), "target").groupBy("page_id", "kind").agg(F.count("*").alias("broken"), F.array_join(F.slice(F.array_sort(F.collect_set("target")), 1, 5), " ").alias("samples"))
     code = F.when(F.col("kind") == "link", "BROKEN_LINKS").when(F.col("kind") == "js", "MISSING_JS").when(F.col("kind") == "css", "MISSING_CSS").otherwise("MISSING_IMAGES")
     return hit.select("page_id", code.alias("code"), "broken", "samples")
 

@@ -26,8 +26,8 @@ def image_use(images: DataFrame, pages: DataFrame, rare: int = 10) -> DataFrame:
     rows = images.where("image_url is not null").select("host", "page_id", "image_url").distinct()
     counts = rows.groupBy("host", "image_url").agg(F.count("*").alias("n"))
     per = rows.join(counts.hint("shuffle_merge"), ["host", "image_url"]).groupBy("host", "page_id").agg(F.max((F.col("n") == 1).cast("int")).alias("unique"), F.max((F.col("n") < rare).cast("int")).alias("rare"))
-    by_page = pages.select("host", "page_id").join(per, ["host", "page_id"], "left").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("unique").isNull()).alias("without_images"), F.count_if(F.col("unique") == 0).alias("without_unique"), F.count_if(F.col("rare") == 0).alias("without_rare"))
-    return by_page.join(counts.groupBy("host").agg(F.count("*").alias("images")), "host", "left").na.fill(0)
+    by_page = pages.select("host", "page_id").join(per.hint("shuffle_merge"), ["host", "page_id"], "left").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("unique").isNull()).alias("without_images"), F.count_if(F.col("unique") == 0).alias("without_unique"), F.count_if(F.col("rare") == 0).alias("without_rare"))
+    return by_page.join(counts.groupBy("host").agg(F.count("*").alias("images")).hint("shuffle_merge"), "host", "left").na.fill(0)
 
 
 def frontier(edges: DataFrame, starts: DataFrame, max_pages: int = 1000, max_depth: int | None = None, allow_query: bool = True, blocked: DataFrame | None = None) -> DataFrame:

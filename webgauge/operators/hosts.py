@@ -173,7 +173,7 @@ def ns_zone(hosts: DataFrame, records: DataFrame, steps: int = 6) -> DataFrame:
     """(host, zone): the nearest zone above a host that has name servers."""
     labels = F.split("host", r"\.")
     up = hosts.select("host", F.posexplode(F.transform(F.sequence(F.lit(1), F.least(F.size(labels) - 1, F.lit(steps))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("step", "zone"))
-    return up.join(records.select("zone"), "zone").groupBy("host").agg(F.min_by("zone", "step").alias("zone"))
+    return up.join(records.select("zone").hint("shuffle_merge"), "zone").groupBy("host").agg(F.min_by("zone", "step").alias("zone"))
 
 
 def pagespeed(observations: DataFrame, strategy: str = "MOBILE") -> DataFrame:

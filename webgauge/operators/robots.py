@@ -43,7 +43,7 @@ def rules(files: DataFrame) -> DataFrame:
     grouped = _grouped(lines(files))
     agents = grouped.where((F.col("key") == AGENT) & (F.col("value") != "")).select("host", "group", F.lower("value").alias("agent"))
     kept = grouped.where((F.col("key") != AGENT) & (F.col("value") != "")).select("host", "group", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
-    return agents.join(kept, ["host", "group"]).select("host", "agent", "allow", "pattern", pattern(F.col("pattern")).alias("regex"), F.length("pattern").alias("specificity")).distinct()
+    return agents.join(kept.hint("shuffle_merge"), ["host", "group"]).select("host", "agent", "allow", "pattern", pattern(F.col("pattern")).alias("regex"), F.length("pattern").alias("specificity")).distinct()
 
 
 def allowed(pages: DataFrame, rules_: DataFrame, agent: str = "mycrawler") -> DataFrame:
@@ -53,10 +53,10 @@ def allowed(pages: DataFrame, rules_: DataFrame, agent: str = "mycrawler") -> Da
     """
     own = rules_.where(F.col("agent").isin(agent.lower(), "*")).withColumn("own", F.col("agent") != "*")
     best = own.groupBy("host").agg(F.max("own").alias("has_own"))
-    used = own.join(best, "host").where(F.col("own") == F.col("has_own")).groupBy("host").agg(F.collect_list(F.struct("specificity", "allow", "regex")).alias("rules"))
+    used = own.join(best.hint("shuffle_merge"), "host").where(F.col("own") == F.col("has_own")).groupBy("host").agg(F.collect_list(F.struct("specificity", "allow", "regex")).alias("rules"))
     path = F.concat(F.when(urls.part(F.col("url"), 4) == "", "/").otherwise(urls.part(F.col("url"), 4)), urls.part(F.col("url"), 5))
     hit = F.array_max(F.transform(F.filter("rules", lambda r: F.rlike("path", r["regex"])), lambda r: F.struct(r["specificity"], r["allow"])))
-    return pages.withColumn("path", path).join(used, "host", "left").withColumn("hit", hit).withColumn("allowed", F.coalesce(F.col("hit.allow"), F.lit(True))).drop("rules", "path", "hit")
+    return pages.withColumn("path", path).join(used.hint("shuffle_merge"), "host", "left").withColumn("hit", hit).withColumn("allowed", F.coalesce(F.col("hit.allow"), F.lit(True))).drop("rules", "path", "hit")
 
 
 def lint(files: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def host_state(hosts: DataFrame, files: DataFrame, agent: str = "mycrawler") ->
     r = rules(files)
     groups = lines(files).where(F.col("key") == AGENT).groupBy("host").agg(F.bool_or(F.lower("value").isin(agent.lower(), "*")).alias("has_group"))
     root = allowed(hosts.select("host", F.concat(F.lit("https://"), F.col("host"), F.lit("/")).alias("url")), r, agent).select("host", F.col("allowed").alias("root_allowed"))
-    all_ = hosts.select("host").join(files.select("host", "scheme", "status_code"), "host", "left").join(groups, "host", "left").join(root, "host", "left")
+    all_ = hosts.select("host").join(files.select("host", "scheme", "status_code").hint("shuffle_merge"), "host", "left").join(groups.hint("shuffle_merge"), "host", "left").join(root.hint("shuffle_merge"), "host", "left")
     codes = [(F.col("status_code").isNull() | (F.col("status_code") == 0), "ROBOTS_FETCH_FAILED"), (F.col("status_code").isin(404, 410), "ROBOTS_MISSING"), ((F.col("status_code") >= 400) & ~F.col("status_code").isin(404, 410), "ROBOTS_HTTP_ERROR"), (F.col("scheme") == "http", "ROBOTS_ONLY_HTTP"), ((F.col("status_code") == 200) & ~F.coalesce("has_group", F.lit(False)), "ROBOTS_NO_GROUP_FOR_UA"), (~F.col("root_allowed"), "ROBOTS_BLOCKS_ALL")]
     return all_.select("host", F.explode(F.filter(F.array(*(F.when(c, F.lit(code)) for c, code in codes)), lambda c: c.isNotNull())).alias("code"))
 
@@ -171,9 +171,9 @@ def sitemap_audit(entries: DataFrame, states: DataFrame) -> dict[str, DataFrame]
     listed = entries.select("host", urls.sitemap_url(F.col("loc")).alias("key")).where("key is not null").distinct()
     crawled = states.select("host", "url", "state", urls.sitemap_url(F.col("url")).alias("key"))
     return {
-        "not_crawled": listed.join(crawled, ["host", "key"], "left_anti"),
-        "not_in_sitemap": crawled.where("state = 'indexable'").join(listed, ["host", "key"], "left_anti").select("host", "key"),
-        "not_indexable": listed.join(crawled.where("state in ('robots_blocked', 'noindex_header', 'noindex_meta')"), ["host", "key"]).select("host", "key", "state"),
+        "not_crawled": listed.join(crawled.hint("shuffle_merge"), ["host", "key"], "left_anti"),
+        "not_in_sitemap": crawled.where("state = 'indexable'").join(listed.hint("shuffle_merge"), ["host", "key"], "left_anti").select("host", "key"),
+        "not_indexable": listed.join(crawled.where("state in ('robots_blocked', 'noindex_header', 'noindex_meta')").hint("shuffle_merge"), ["host", "key"]).select("host", "key", "state"),
     }
 
 

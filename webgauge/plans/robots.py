@@ -21,10 +21,8 @@ STATE = "SELECT f.host, f.seq, f.original_url AS url, CASE WHEN NOT allowed THEN
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = view(spark, sf_dir, "fetches").withColumn("url", F.col("original_url"))
-    metas = extract.head_facts(f.withColumn("page_id", F.col("seq"))).select(F.col("page_id").alias("seq"), "metas")
-    judged = robots.allowed(f.drop("html"), robots.rules(view(spark, sf_dir, "robots_files"))).join(metas, "seq")
-    return robots.indexability(judged, checks.noindex_header(), checks.noindex_meta())
+    f = view(spark, sf_dir, "fetches").withColumn("url", F.col("original_url")).withColumn("metas", extract.metas(F.col("html"))).drop("html")
+    return robots.indexability(robots.allowed(f, robots.rules(view(spark, sf_dir, "robots_files"))), checks.noindex_header(), checks.noindex_meta())
 
 
 @query("SELECT host, agent, allow, pattern, regex, CAST(specificity AS INTEGER) AS specificity FROM robot_rules", **MADE)
