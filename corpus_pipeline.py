@@ -28,12 +28,16 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, and of rows that share it the one whose text, then
-    whose whole row as JSON, comes first.  Documents without an id stay, and so do null and empty texts under ids of their own."""
+    whose whole row as JSON, comes first.  Documents without an id stay, and so do null and empty texts under ids of their own.  Only rows of ids that
+    occur twice are compared; the ids alone tell which these are."""
     gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     left = docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(*columns(docs))
+    twice = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not twice.head(1):
+        return left
     row = F.struct(*columns(docs))
-    one = left.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row")).select("row.*")
-    return one.unionByName(left.where("doc_id is null"))
+    one = left.join(twice.hint("shuffle_merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row")).select("row.*")
+    return one.unionByName(left.join(twice.hint("shuffle_merge"), "doc_id", "left_anti").select(*columns(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
