@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -52,12 +52,13 @@ def frontier(edges: DataFrame, starts: DataFrame, max_pages: int = 1000, max_dep
             found = found.join(spark.read.schema("host string, url string").parquet(visited).hint("shuffle_merge"), ["host", "url"], "left_anti")
         nth = F.row_number().over(Window.partitionBy("host").orderBy("url"))
         cut = found.withColumn("nth", nth).where(F.col("nth") <= budget).join(used.hint("shuffle_merge"), "host").where(F.col("nth") + F.col("used") <= budget)
-        cut.select("host", "url").write.parquet(f"{visited}/depth={depth}")
-        level = spark.read.schema("host string, url string").parquet(f"{visited}/depth={depth}")
-        if not level.head(1):
+        came = Observation()
+        cut.select("host", "url").observe(came, F.count(F.lit(1)).alias("n")).write.parquet(f"{visited}/depth={depth}")
+        if not came.get["n"]:
             break
-        came = level.groupBy("host").agg(F.count("*").alias("n"))
-        used = materialize(used.join(came.hint("shuffle_merge"), "host").select("host", (F.col("used") + F.col("n")).alias("used")).where(F.col("used") < budget))
+        level = spark.read.schema("host string, url string").parquet(f"{visited}/depth={depth}")
+        new = level.groupBy("host").agg(F.count("*").alias("n"))
+        used = materialize(used.join(new.hint("shuffle_merge"), "host").select("host", (F.col("used") + F.col("n")).alias("used")).where(F.col("used") < budget))
         going = level.join(used.select("host").hint("shuffle_merge"), "host", "left_semi")
         found = going.join(steps.hint("shuffle_merge"), (going["host"] == steps["host"]) & (going["url"] == steps["src"])).select(steps["host"], F.col("dst").alias("url")).distinct()
     return spark.read.schema("host string, url string, depth int").parquet(visited)
