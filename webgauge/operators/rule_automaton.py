@@ -114,8 +114,9 @@ def allowed(pages: DataFrame, rules: DataFrame, key: str = "seq", agent: str = "
     asked = pages.select(F.col(key).alias("key"), "host", path_of(F.col("url")).alias("path"))
     counts = materialize(asked.groupBy("host").agg(F.count("*").alias("n")))
     buckets = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // group)
+    # Both sides of the cogroup need keys of one type: an int and a long that are equal hash to different partitions.
     shares = counts.select("host", F.pmod(F.xxhash64("host"), F.lit(buckets)).alias("bucket"), F.ceil(F.col("n") / group).cast("int").alias("shares"))
-    dealt = asked.join(shares.hint("shuffle_merge"), asked["host"].eqNullSafe(shares["host"])).select("key", asked["host"], "path", "bucket", F.pmod(F.xxhash64("key", "path"), F.col("shares")).alias("share"))
+    dealt = asked.join(shares.hint("shuffle_merge"), asked["host"].eqNullSafe(shares["host"])).select("key", asked["host"], "path", "bucket", F.pmod(F.xxhash64("key", "path"), F.col("shares")).cast("int").alias("share"))
     copied = used.join(shares.hint("shuffle_merge"), "host").select("host", "pattern", "allow", F.col("bucket").alias("to_bucket"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("to_share"))
     schema = T.StructType([T.StructField("key", asked.schema["key"].dataType), *T.StructType.fromDDL("host string, allowed boolean, specificity int")])
 
