@@ -91,7 +91,8 @@ def crawl_counters(edges: DataFrame, starts: DataFrame, seeds: DataFrame, blocke
 
 
 def resolve_redirects(hops: DataFrame, starts: DataFrame, limit: int = 10) -> DataFrame:
-    """(url, final_url, hops, too_many): follow hops(from_url, location) from starts(url), `limit` at most.  too_many: there is a further hop, as in a loop.
+    """(url, final_url, hops, too_many): follow hops(from_url, location) from starts(url), `limit` at most.  too_many: there is a further hop, as in a loop.  Of several locations of one
+    address the first by name counts.
 
     Pointers of 1, 2, 4, ... hops come from joins of the pointers with themselves; those that make up the limit are followed.  An address that leads
     nowhere stands still, so a chain that ends early keeps its own number of hops.  There are as many joins as the limit has binary digits and ones.

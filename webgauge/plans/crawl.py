@@ -88,7 +88,7 @@ def u13_ascii_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HOP = "SELECT from_url, min(location) AS location FROM redirects GROUP BY from_url"
-LONG_HOP = "SELECT from_url, location FROM hop_chains UNION ALL SELECT from_url, location FROM hop WHERE from_url NOT IN (SELECT from_url FROM hop_chains)"
+LONG_HOP = "SELECT from_url, min(location) AS location FROM hop_chains GROUP BY from_url UNION ALL SELECT from_url, location FROM hop WHERE from_url NOT IN (SELECT from_url FROM hop_chains)"
 
 
 def _followed(hop: str, starts: str) -> dict[str, str]:
