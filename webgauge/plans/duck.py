@@ -48,6 +48,18 @@ def entities(s: str) -> str:
     return s
 
 
+def references(s: str) -> str:
+    """The same references with or without their semicolon, as HTML reads them in text; a number ends before what is no digit."""
+    for name, value in text.ENTITIES:
+        if name[1] == "#":
+            s = f"regexp_replace({s}, {q(name)}, {q(value)}, 'g')"
+            for _ in range(2):  # neighbours share a character
+                s = f"regexp_replace({s}, {q(name[:-1] + '([^0-9]|$)')}, {q(value + chr(92) + '1')}, 'g')"
+        else:
+            s = f"regexp_replace({s}, {q(name + '?')}, {q(value)}, 'g')"
+    return s
+
+
 def fold(s: str) -> str:
     return f"lower(trim(regexp_replace({entities(s)}, {q(text.SPACE)}, ' ', 'g')))"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,16 +112,16 @@ def u18_head_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.seo_facts(view(spark, sf_dir, "pages_ext")).select("page_id", size("titles"), "title", "h1", size("h1s"), "description", size("canonicals"), "doctype")
 
 
-def _flat(body: str = "regexp_replace(html, '(?is)^.*<body[^>]*>', '')") -> str:
+def _flat(body: str = "regexp_replace(html, '(?is)^.*<body[^>]*>', '')", decode: Callable[[str], str] = d.entities) -> str:
     for tag in extract.HIDDEN.split("|"):
         body = f"regexp_replace({body}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}>', ' ', 'g')"
     bare = f"regexp_replace(regexp_replace({body}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-    return f"trim(regexp_replace({d.entities(bare)}, {d.q(text.SPACE)}, ' ', 'g'))"
+    return f"trim(regexp_replace({decode(bare)}, {d.q(text.SPACE)}, ' ', 'g'))"
 
 
 FLAT = f"SELECT page_id, host, url, html, {_flat()} AS visible FROM pages_ext"
-#: All pages have one article, in which nothing hidden nests.
-ROOTED = f"SELECT page_id, host, url, html, {_flat("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")} AS visible FROM pages_ext"
+#: All pages have one article, in which nothing hidden nests.  The parser reads references without a semicolon too, as titles that were cut have them.
+ROOTED = f"SELECT page_id, host, url, html, {_flat("regexp_extract(html, '(?s)<article>(.*)</article>', 1)", d.references)} AS visible FROM pages_ext"
 
 
 @query("SELECT page_id, visible FROM flat", flat=FLAT)
