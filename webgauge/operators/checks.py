@@ -111,7 +111,7 @@ def seo(pages: DataFrame, o: Options = Options()) -> DataFrame:
 
 
 def fetch_rules(o: Options = Options()) -> dict[str, Column | tuple[Column, str]]:
-    """Rules on a fetch row alone: no HTML is read.  Whether a redirect stays within the domain is redirect_issues' to say."""
+    """Rules on a fetch row alone: no HTML is read.  By its two ends a redirect stays within the last two labels or not; redirect_issues tells it by the chain."""
     a, b = F.col("original_url"), F.col("final_url")
     ha, hb = urls.host(a), urls.host(b)
     http = lambda u: F.lower(urls.part(u, 1)) == "http"
@@ -119,6 +119,7 @@ def fetch_rules(o: Options = Options()) -> dict[str, Column | tuple[Column, str]
     return {
         "NO_HTTPS": (http(b), "Error"), "PORT_443_IN_URL": (http(a) & (urls.part(a, 3) == ":443"), "Info"), "PORT_443_IN_FINAL_URL": (http(b) & (urls.part(b, 3) == ":443"), "Info"),
         "HTTP_TO_HTTPS_REDIRECT": (http(a) & ~http(b), "Info"), "NO_HTTP_TO_HTTPS_REDIRECT": http(a) & http(b), "REDIRECT_OTHER_DOMAIN": moved,
+        "REDIRECT_TO_SUBDOMAIN": (moved & (urls.root2(ha) == urls.root2(hb)), "Info"), "REDIRECT_TO_OTHER_DOMAIN": moved & (urls.root2(ha) != urls.root2(hb)),
         "URL_EXPLICIT_443": a.rlike(r"(?i)^https?://[^/]+:443/?$"), "URL_NO_SCHEME": ~a.rlike(urls.HAS_SCHEME),
         "PERF_SLOW_PAGE": F.col("load_seconds") >= o.slow_seconds, "BIG_PAGE": html_ok() & (F.col("content_length") >= o.big_page_bytes), "HTML_LARGE_PAGE": html_ok(200, 400) & (F.col("content_length") > o.large_page_bytes),
         "HTTP_REDIRECT_STATUS": (F.col("status_code").between(300, 399), "Info"), "HTTP_CLIENT_ERROR": F.col("status_code").between(400, 499), "HTTP_SERVER_ERROR": (F.col("status_code") >= 500, "Error"), "HTTP_FETCH_FAILED": (F.col("status_code") == 0, "Error"),
