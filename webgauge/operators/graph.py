@@ -67,7 +67,7 @@ def frontier(edges: DataFrame, starts: DataFrame, max_pages: int = 1000, max_dep
 def crawl_counters(edges: DataFrame, starts: DataFrame, seeds: DataFrame, blocked: DataFrame, results: DataFrame, max_pages: int = 1000, allow_query: bool = False) -> DataFrame:
     """(host, visited, seeded, skipped_robots, skipped_external, skipped_query, skipped_http_errors, skipped_non_html, truncated) of a crawl from starts and sitemap
     seeds(host, url) over edges(host, src, dst) to its end.  blocked(host, url): what robots files forbid.  results(host, url, status_code, content_type,
-    truncated): what a visited address answered.  Links are counted each time that a visited page has one: those to other hosts first, then those with a
+    truncated): what a visited address answered; of several answers the least by these columns counts.  Links are counted each time that a visited page has one: those to other hosts first, then those with a
     query, then blocked ones."""
     low = lambda df, *cs: df.select("host", *(F.lower(c).alias(c) for c in cs))
     banned = materialize(low(blocked, "url").distinct())
@@ -80,7 +80,7 @@ def crawl_counters(edges: DataFrame, starts: DataFrame, seeds: DataFrame, blocke
     skipped = marked.groupBy("host").agg(n(away, "skipped_external"), n(~away & asks, "skipped_query"), n(~away & ~asks & banned_, "links_banned"))
     html = F.coalesce(F.lower("content_type").contains("html"), F.lit(False))
     good = F.col("status_code").between(200, 299)
-    found = results.select("host", F.lower("url").alias("url"), "status_code", "content_type", "truncated").dropDuplicates(["host", "url"])
+    found = results.groupBy("host", F.lower("url").alias("url")).agg(F.min(F.struct("status_code", "content_type", "truncated")).alias("a")).select("host", "url", "a.*")
     answers = seen.join(found.hint("shuffle_merge"), ["host", "url"], "left").groupBy("host").agg(F.count("*").alias("visited"), n(~good, "skipped_http_errors"), n(good & ~html, "skipped_non_html"), n(good & html & F.col("truncated"), "truncated"))
     seeded = open_seeds.groupBy("host").agg(F.count("*").alias("seeded"))
     refused = low(seeds, "url").join(banned.hint("shuffle_merge"), ["host", "url"], "left_semi").groupBy("host").agg(F.count("*").alias("seeds_banned"))

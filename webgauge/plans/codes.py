@@ -107,13 +107,15 @@ WALK = (
 )
 MARKED = "SELECT e.host, split_part(dst, '/', 3) <> e.host AS away, contains(dst, '?') AS asks, (e.host, lower(dst)) IN (SELECT (host, url) FROM banned) AS ban FROM crawl_edges e JOIN walk w ON e.host = w.host AND lower(e.src) = w.url"
 SKIPPED = "SELECT host, count(*) FILTER (away) AS external, count(*) FILTER (NOT away AND asks) AS asked, count(*) FILTER (NOT away AND NOT asks AND ban) AS ban FROM marked GROUP BY host"
-ANSWERS = "SELECT w.host, count(*) AS visited, count(*) FILTER (status_code NOT BETWEEN 200 AND 299) AS errors, count(*) FILTER (status_code BETWEEN 200 AND 299 AND NOT contains(content_type, 'html')) AS other, count(*) FILTER (status_code BETWEEN 200 AND 299 AND contains(content_type, 'html') AND length(html) > 1500000) AS cut FROM walk w LEFT JOIN fetches f ON f.host = w.host AND lower(f.original_url) = w.url GROUP BY w.host"
+#: Of several answers of an address the least counts.
+FIRST_ANSWERS = "SELECT host, lower(original_url) AS url, status_code, content_type, length(html) > 1500000 AS long FROM fetches QUALIFY row_number() OVER (PARTITION BY host, lower(original_url) ORDER BY status_code NULLS FIRST, content_type NULLS FIRST, long NULLS FIRST) = 1"
+ANSWERS = "SELECT w.host, count(*) AS visited, count(*) FILTER (status_code NOT BETWEEN 200 AND 299) AS errors, count(*) FILTER (status_code BETWEEN 200 AND 299 AND NOT contains(content_type, 'html')) AS other, count(*) FILTER (status_code BETWEEN 200 AND 299 AND contains(content_type, 'html') AND long) AS cut FROM walk w LEFT JOIN first_answers f ON f.host = w.host AND f.url = w.url GROUP BY w.host"
 SEEDED = "SELECT host, count(*) FILTER ((host, lower(loc)) NOT IN (SELECT (host, url) FROM banned)) AS free, count(*) FILTER ((host, lower(loc)) IN (SELECT (host, url) FROM banned)) AS ban FROM sitemap_entries GROUP BY host"
 
 
 @query(
     "SELECT a.host, a.visited, coalesce(s.free, 0) AS seeded, coalesce(k.ban, 0) + coalesce(s.ban, 0) AS skipped_robots, coalesce(k.external, 0) AS skipped_external, coalesce(k.asked, 0) AS skipped_query, a.errors AS skipped_http_errors, a.other AS skipped_non_html, a.cut AS truncated FROM answers a LEFT JOIN skipped k USING (host) LEFT JOIN seeded s USING (host)",
-    answers=ANSWERS, skipped=SKIPPED, seeded=SEEDED, marked=MARKED, walk=WALK, banned=BANNED, targets=TARGETS, crawl_edges=CRAWL_EDGES, robot_lines=LINES, robot_groups=GROUPED, robot_rules=RULES, target_allowed=ALLOWED.replace("FROM fetches f", "FROM targets f"),
+    answers=ANSWERS, first_answers=FIRST_ANSWERS, skipped=SKIPPED, seeded=SEEDED, marked=MARKED, walk=WALK, banned=BANNED, targets=TARGETS, crawl_edges=CRAWL_EDGES, robot_lines=LINES, robot_groups=GROUPED, robot_rules=RULES, target_allowed=ALLOWED.replace("FROM fetches f", "FROM targets f"),
 )
 def a15_crawl_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole crawl, from each host's first page and its sitemap, with links that carry a query and links to another host added."""
@@ -125,4 +127,4 @@ def a15_crawl_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = edges.select("host", F.col("dst").alias("url")).unionByName(seeds).distinct()
     blocked = robots.allowed(targets, robots.rules(view(spark, sf_dir, "robots_files"))).where(~F.col("allowed"))
     results = checks.truncate(f.withColumn("url", F.col("original_url")))
-    return graph.crawl_counters(edges, pages.groupBy("host").agg(F.min_by("url", "page_id").alias("url")), seeds, blocked, results)
+    return graph.crawl_counters(edges, pages.groupBy("host").agg(F.min_by("url", "page_id").alias("url")), seeds, blocked, results, max_pages=0)
