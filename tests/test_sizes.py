@@ -3,7 +3,10 @@
 import duckdb
 import pytest
 
-from webgauge.operators import checks, graph, rule_automaton
+from pyspark.sql import functions as F
+
+from webgauge.functions import text
+from webgauge.operators import checks, content, graph, rule_automaton
 from webgauge.plans import registry
 
 
@@ -63,3 +66,24 @@ def test_fetches_tell_whether_a_redirect_stays_in_its_domain(spark):
     fetches = spark.createDataFrame([(k, a, b, 200, "text/html", 1, 0.1) for k, a, b in ends], "seq bigint, original_url string, final_url string, status_code int, content_type string, content_length bigint, load_seconds double")
     got = checks.fetch_issues(fetches).where("code like 'REDIRECT_TO_%'").orderBy("seq").collect()
     assert [(r.seq, r.code) for r in got] == [(1, "REDIRECT_TO_SUBDOMAIN"), (2, "REDIRECT_TO_OTHER_DOMAIN")]
+
+
+def test_tokens_stay_with_their_document(apart):
+    """Texts are dealt out once; what is counted after that is counted where it is, also for rows that share a seq."""
+    rows = [("h", k % 40, f"one two{k} two{k} ЖУК 𝒜b {'long' * 9}") for k in range(60)] + [("h", 99, ""), ("h", 98, None), (None, None, "some words")]
+    docs = apart.createDataFrame(rows, "host string, seq bigint, text string")
+    for made in (content.simhash(docs), content.stuffing(docs)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+    token = docs.select("host", "seq", F.explode(text.tokenize(F.col("text"))).alias("token"))
+    want = {}
+    for r in token.collect():
+        h = 14695981039346656037
+        for b in r.token.encode("utf-16-be")[1::2]:
+            h = (h ^ b) * 1099511628211 % (1 << 64)
+        bits, n = want.setdefault((r.host, r.seq), ([0] * 64, [0]))
+        n[0] += 1
+        for k in range(64):
+            bits[k] += h >> k & 1
+    hashes = {k: sum(1 << i for i in range(64) if 2 * bits[i] > n[0]) for k, (bits, n) in want.items()}
+    assert {(r.host, r.seq): r.simhash % (1 << 64) for r in content.simhash(docs).collect()} == hashes

@@ -39,14 +39,15 @@ def preview(s: Column, n: int) -> Column:
 
 def fnv1a(token: Column) -> Column:
     """FNV-1a, 64 bits, over the low byte of each UTF-16 unit.  The product runs in halves, as a bigint that overflows is an error."""
-    units = F.encode(token, "UTF-16BE")
-    low = F.transform(F.sequence(F.lit(1), (F.octet_length(units) / 2).cast("int")), lambda i: F.conv(F.hex(F.substring(units, i.cast("int") * 2, 1)), 16, 10).cast("bigint"))
+    # Each byte as a letter; each second one is a low byte.
+    letters = F.split(F.decode(F.encode(token, "UTF-16BE"), "ISO-8859-1"), "")
+    low = F.transform(F.filter(letters, lambda _, i: i.bitwiseAND(1) == 1), lambda c: F.ascii(c).cast("bigint"))
     mask = F.lit(0xFFFFFFFF).cast("bigint")
 
     def step(h: Column, b: Column) -> Column:
         x = h.bitwiseXOR(b)
         lo = x.bitwiseAND(mask) * 435
-        hi = (F.shiftrightunsigned(x, 32) * 435 + F.shiftleft(x.bitwiseAND(mask), 8) + F.shiftrightunsigned(lo, 32)).bitwiseAND(mask)
+        hi = F.shiftrightunsigned(x, 32) * 435 + F.shiftleft(x.bitwiseAND(mask), 8) + F.shiftrightunsigned(lo, 32)
         return F.shiftleft(hi, 32).bitwiseOR(lo.bitwiseAND(mask))
 
     return F.aggregate(low, F.lit(-3750763034362895579).cast("bigint"), step)

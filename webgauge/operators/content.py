@@ -52,17 +52,26 @@ LANES = 0x0000000100000001
 
 
 def simhash(docs: DataFrame) -> DataFrame:
-    """(host, seq, simhash) of docs(host, seq, text): 64 bits by term weights.  Each distinct token is hashed once.  A bit is set where the tokens that have it
+    """(host, seq, simhash) of docs(host, seq, text): 64 bits by term weights.  Each distinct token of a text is hashed once.  A bit is set where the tokens that have it
     weigh more than half of the text; weights of two bits share a sum, so 32 sums do."""
-    return simhash_of(docs.select("host", "seq", text.tokenize(F.col("text")).alias("tokens")))
+    return _simhash(counted(docs.select("host", "seq", "text"), text.tokenize(F.col("text"))))
 
 
 def simhash_of(docs: DataFrame) -> DataFrame:
     """simhash() of docs(host, seq, tokens)."""
-    tokens = docs.select("host", "seq", F.explode("tokens").alias("token")).groupBy("host", "seq", "token").agg(F.count("*").alias("w"))
-    hashed = tokens.select("token").distinct().withColumn("h", text.fnv1a(F.col("token")))
+    return _simhash(counted(docs.select("host", "seq", "tokens"), F.col("tokens")))
+
+
+def counted(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(host, seq or seq alone, token, w) of docs, which have one more column, out of which come `tokens`.  Whole texts are dealt out by seq, each once; their tokens are
+    counted, and what is counted by seq after that is summed up, where they are, so no token travels."""
+    own = [c for c in ("host", "seq") if c in docs.columns]
+    return docs.repartition("seq").select(*own, F.explode(tokens).alias("token")).groupBy(*own, "token").agg(F.count("*").alias("w"))
+
+
+def _simhash(tokens: DataFrame) -> DataFrame:
     pair = lambda k: F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANES).cast("bigint")) * F.col("w")
-    sums = tokens.join(hashed.hint("shuffle_merge"), "token").groupBy("host", "seq").agg(F.sum("w").alias("total"), *(F.sum(pair(k)).alias(f"b{k}") for k in range(32)))
+    sums = tokens.withColumn("h", text.fnv1a(F.col("token"))).groupBy("host", "seq").agg(F.sum("w").alias("total"), *(F.sum(pair(k)).alias(f"b{k}") for k in range(32)))
     value = F.lit(0).cast("bigint")
     for k in range(64):
         ones = F.shiftrightunsigned(f"b{k - 32}", 32) if k >= 32 else F.col(f"b{k}").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
@@ -73,12 +82,16 @@ def simhash_of(docs: DataFrame) -> DataFrame:
 def stuffing(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """(seq, token, n, total, distinct) of texts that repeat one word too often.  The top token is the most frequent that is no stop word and three long;
     where there is none, the most frequent of all."""
-    return stuffing_of(docs.select("seq", text.tokenize(F.col("text")).alias("tokens")), o)
+    return _stuffing(counted(docs.select("seq", "text"), text.tokenize(F.col("text"))), o)
 
 
 def stuffing_of(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """stuffing() of docs(seq, tokens)."""
-    tokens = docs.select("seq", F.explode("tokens").alias("token")).groupBy("seq", "token").agg(F.count("*").alias("n"))
+    return _stuffing(counted(docs.select("seq", "tokens"), F.col("tokens")), o)
+
+
+def _stuffing(counts: DataFrame, o: Options) -> DataFrame:
+    tokens = counts.withColumnRenamed("w", "n")
     plain = (F.length("token") >= 3) & ~F.col("token").isin(STOP_WORDS)
     best = lambda c: F.min(F.when(c, F.struct((-F.col("n")).alias("m"), "token")))
     per = tokens.groupBy("seq").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), best(plain).alias("own"), best(F.lit(True)).alias("any"))
