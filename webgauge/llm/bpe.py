@@ -29,6 +29,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 UNEVEN = ["  ", " \n", "\n ", "\n\n", "\0", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 CACHED = 500_000
 """Chunks of text that a worker remembers, about 150 MB; further ones are encoded again for each slice."""
+PIECE_BYTES = 1 << 20
+"""Text that is encoded at a time: gathering digits and bytes takes some 50 times its size."""
 
 
 def default_vocabulary() -> str:
@@ -163,6 +165,10 @@ class Bpe:
         ends = np.concatenate(([0], np.cumsum(lens)))
         return ids, ends[bounds(map(len, pre))]
 
+    def forget(self) -> None:
+        """Drop all that is remembered of texts; the vocabulary stays."""
+        self.words, self.known = _Words(self), {}
+
     def decode(self, ids: np.ndarray) -> bytes:
         return csr_take(self.byte_offsets, self.bytes, ids)[0].tobytes()
 
@@ -185,7 +191,7 @@ class _Words(dict):
                 own = self.single.get(w)
                 if own is None:
                     own = self.bpe.encode_word(w.encode().decode("latin-1"))
-                    if len(self.single) < CACHED:
+                    if w != word and len(self.single) < CACHED:  # a chunk of one pre-token is remembered as a chunk
                         self.single[w] = array("H" if self.bpe.size < 1 << 16 else "i", own)
                 ids.extend(own)
         n = len(self.lens)
@@ -226,7 +232,7 @@ def _run(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None, carr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in slices(opened(batches, where)):
+        for batch in slices(opened(batches, where), limit=PIECE_BYTES, forget=bpe.forget):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             ids, at = bpe.encode_batch(texts)
             digits, lens = csr_take(bpe.decimal_offsets, bpe.decimals, ids)

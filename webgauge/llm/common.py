@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -90,9 +91,29 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into runs of rows with about `limit` bytes of text; a longer text stands alone."""
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: Spark uses a Python worker again, and what its largest step took would stay with it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:  # not every C library has it
+        _trim(0)
+
+
+_remembered: list[Callable[[], None]] = []
+"""Of a worker: what drops the memory of the step that ran last in it, if that step remembers texts from task to task."""
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, forget: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut record batches into runs of rows with about `limit` bytes of text; a longer text stands alone.  Freed memory goes back
+    to the system with each batch and at the end.  forget: drops what the caller remembers, once a task of another step begins."""
+    for drop in _remembered:
+        if drop != forget:
+            drop()
+    _remembered[:] = [forget] if forget else []
     for batch in batches:
+        give_back()
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
@@ -100,6 +121,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def inputs(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:

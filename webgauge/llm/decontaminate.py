@@ -10,6 +10,7 @@ occurrences are merged into spans of words.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import bounds, carried, csr_take, inputs, opened, outputs, places, slices, utf8
 
 WINDOW = 13
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+"""Text that is indexed at a time; the index and the figures of its words take some 20 times a word's number."""
 SAMPLE = 8
 MAX_BENCHMARK_BYTES = 8 << 20
 """Distinct benchmark text that is sent to all executors at once, as windows of 13 numbers a word; a larger benchmark is searched in
@@ -228,9 +230,10 @@ def _find(df: DataFrame, id_col: str, text_col: str, carry: bool, benchmark: Ben
         b = sent.value
         look = b.vocab.get
         for batch in _shards(opened(batches, where)):
-            split = [words_of(t) for t in utf8(batch.column("text"))]
+            # A text's words are gone before the next text's are there.
+            split = [np.fromiter(map(look, words_of(t), repeat(0)), np.int32) for t in utf8(batch.column("text"))]
             at = bounds(map(len, split))
-            ids = np.fromiter((look(w, 0) for s in split for w in s), np.int64, at[-1])
+            ids = np.concatenate([np.zeros(0, np.int64), *split])
             doc = np.repeat(np.arange(len(split)), np.diff(at))
             first, window = b.occurrences(ids, doc)
             mark = np.zeros(len(ids) + 1, np.int64)

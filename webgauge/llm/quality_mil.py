@@ -42,8 +42,23 @@ class Settings:
 POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
+PIECE_BYTES = 512 << 10
+"""Text whose characters are classed at a time, which takes some 70 times its size."""
+
+
 def encode_passages(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages end to end, and each text's offsets.  A text without words is one empty passage."""
+    size = np.cumsum([0, *map(len, texts)])
+    cuts = [0]
+    while cuts[-1] < len(texts):  # a longer text is a piece of its own
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(size, size[cuts[-1]] + PIECE_BYTES, "right")) - 1))
+    if len(cuts) < 3:
+        return _encode_piece(texts, s)
+    parts = [_encode_piece(texts[a:b], s) for a, b in zip(cuts, cuts[1:])]
+    return np.concatenate([x for x, _ in parts]), bounds(n for _, at in parts for n in np.diff(at))
+
+
+def _encode_piece(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     at = bounds(map(len, texts))
     buf = np.frombuffer(b"".join(texts), np.uint8)
     width = len(CLASSES) + 8 + s.buckets
