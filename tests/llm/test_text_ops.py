@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,20 @@ def test_elias_fano():
         assert (ef.find(q) == np.searchsorted(v, q)).all()
 
 
+def test_elias_fano_finds():
+    r = np.random.default_rng(1)
+    for n, top in ((1, 1), (1000, 10), (1000, 10**6), (777, 2**40)):
+        v = np.sort(r.integers(0, top, n))
+        q = np.concatenate((v[::7], r.integers(0, v[-1] + 1, 500)))
+        many, few = (ngram_trie.EliasFano(ngram_trie.EliasFano.build(v)) for _ in range(2))
+        place, same = many.found(q)
+        assert (same == np.isin(q, v)).all() and (place == np.searchsorted(v, q)).all()
+        # One by one these are too few to unpack the high bits for, unless there is but one value.
+        assert [int(few.find(q[k : k + 1])[0]) for k in range(50)] == place[:50].tolist()
+        assert [int(few.at(np.array([k]))[0]) for k in range(min(n, 50))] == v[:50].tolist()
+        assert n == 1 or not few._unpacked and many._unpacked
+
+
 def tokens_of(df):
     return [(i, WORD.findall(lower(t)) + [None]) for i, t in texts_of(df)]
 
@@ -302,6 +317,42 @@ def test_lm_contexts_sum_to_one():
                 assert abs(sum(p((a, b, w)) for w in words) - 1) < 1e-9 and abs(sum(p((b, w)) for w in words) - 1) < 1e-9
 
 
+def test_lm_tokens():
+    texts = ["", " ", "A b\x0b\fb", "\xa0É a\x00b \n\n B", "x", "\u2003 x\t"]
+    want = [[w.encode() for w in WORD.findall(lower(t))] for t in texts]
+    for n in (1, 2, len(texts)):  # the first ones are blank
+        for end in (False, True):
+            codes, at, known = lm.coded([t.encode() for t in texts[:n]], end)
+            assert len(set(known)) == len(known)
+            assert [[known[c] for c in codes[a:b]] for a, b in zip(at, at[1:])] == [w + [lm.END] * end for w in want[:n]]
+
+
+def test_distinct_keys():
+    r = np.random.default_rng(3)
+    for keys in (np.zeros(0, np.int64), np.zeros(5, np.int64), r.integers(0, 9, 100), r.integers(0, 60, 100) << 57):
+        for got, want in zip(lm.distinct(keys), np.unique(keys, return_index=True, return_inverse=True)):
+            assert (got == want).all()
+
+
+def test_lm_sorts_numbers_only(monkeypatch):
+    """Pairs and triples are told apart by sorting plain numbers: sorting places by keys took most of the time of a pass."""
+    r = np.random.default_rng(4)
+    words = (r.zipf(1.3, 20000) % 5000).astype(str)
+    codes, at, known = lm.coded([" ".join(words[k : k + 100]).encode() for k in range(0, len(words), 100)], True)
+    packed = {"codes": codes, "at": at, "lead": np.zeros(len(at) - 1, np.int64)}
+    batch = pa.RecordBatch.from_pydict({**{k: pa.array([lm.pack(v)]) for k, v in packed.items()}, "train": pa.array([[True] * (len(at) - 1)])})
+    sorted_places = []
+    unique = np.unique
+    monkeypatch.setattr(np, "unique", lambda a, **how: sorted_places.append(len(a)) or unique(a, **how))
+    chunk = lm.Chunk(batch, 0)
+    a, b, _, at_pair = chunk.pairs(len(known))
+    before, after, ends, which = chunk.triples(at_pair, len(a))
+    assert not sorted_places
+    token = lambda k: codes[ends - k]
+    assert (a[before[which]] == token(2)).all() and (b[before[which]] == token(1)).all() and (b[after[which]] == token(0)).all()
+    assert len(before) == len(set(zip(token(2).tolist(), token(1).tolist(), token(0).tolist())))
+
+
 def test_lm_without_rows(spark, odd_docs, no_docs):
     assert lm.scores(no_docs, "true").count() == 0
     assert all(abs(x.score) < 1e-9 and x.train_tokens == 0 for x in lm.scores(odd_docs, "false").collect())

@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_trie
-from .common import Numbered, bounds, materialize, number, scratch, slices, small_batches, utf8
+from .common import bounds, materialize, scratch, slices, small_batches, utf8
 
 
 @dataclass(frozen=True)
@@ -51,30 +52,62 @@ END = b"\n"
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 STEP = 2048
 """Steps of a quantised log10 probability in one."""
+TENTHS = 10 ** (-np.arange(1 << 16) / STEP)
+"""The probability of each quantised logarithm."""
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()  # bytes: A-Z and ASCII white space only
+IS_SPACE = np.array([SPACE.fullmatch(bytes([b])) is not None for b in range(256)])
+
+
+def coded(texts: list[bytes], end: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The tokens of all texts as numbers of the distinct ones, where each text's begin, and the distinct ones.  end: each text
+    has its end token."""
+    data = np.frombuffer(b"".join(t.lower() + b"\n" for t in texts), np.uint8)  # bytes: A-Z only
+    space = IS_SPACE[data]
+    edges = np.flatnonzero(np.diff(space, prepend=True))
+    offsets = np.concatenate(([0], np.cumsum(edges[1::2] - edges[::2]))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])]).dictionary_encode()
+    codes, (_, ends, held) = words.indices.to_numpy().astype(np.int64), words.dictionary.buffers()
+    ends, held = np.frombuffer(ends, np.int32)[: len(words.dictionary) + 1].tolist(), bytes(held or b"")
+    known = [held[a:b] for a, b in zip(ends, ends[1:])]
+    at = np.concatenate(([0], np.searchsorted(edges[::2], np.cumsum([len(t) + 1 for t in texts]))))
+    if end:
+        codes = np.insert(codes, at[1:], len(known))
+        at, known = at + np.arange(len(at)), [*known, END]
+    return codes, at, known
 
 
 def quantised(log: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log * STEP), 0, 65535).astype(np.uint16)
 
 
+@cache
+def compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@cache
+def decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def pack(a: np.ndarray) -> bytes:
     """Numbers from 0 on in as many bytes each as the largest needs, first bytes first, compressed.  Rising ones go by their steps."""
-    rising = len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+    rising = len(a) > 1 and bool(a[0] <= a[-1] and (a[1:] >= a[:-1]).all())
     if rising:
         a = np.diff(a, prepend=0)
     kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
     planes = np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(len(a), kind.itemsize).T)
-    return (kind.char.upper() if not rising else kind.char.lower()).encode() + zstandard.compress(planes.tobytes(), 1)
+    return (kind.char.upper() if not rising else kind.char.lower()).encode() + compressor().compress(planes)
 
 
 def unpack(data: bytes) -> np.ndarray:
     kind, rising = np.dtype(chr(data[0]).upper()), data[:1].islower()
-    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8)
-    out = np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel().astype(np.int64)
+    planes = np.frombuffer(decompressor().decompress(memoryview(data)[1:]), np.uint8).reshape(kind.itemsize, -1)
+    out = np.empty(planes.shape[::-1], np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = plane
+    out = out.view(kind).ravel().astype(np.int64)
     return np.cumsum(out) if rising else out
 
 
@@ -84,11 +117,37 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(arrays), bounds(map(len, arrays))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys (from 0 on) in order, where each is first, and each key's place among them.  Key and place are sorted as one
+    number where both fit, which takes a fraction of the time that sorting places by keys takes."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        return np.unique(keys, return_index=True, return_inverse=True)
+    both = keys.astype(np.int64) << bits
+    both |= np.arange(len(keys))
+    both.sort()
+    order = both & ((1 << bits) - 1)
+    both >>= bits
+    head = begins(both)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(head) - 1
+    head = np.flatnonzero(head)
+    return both[head], order[head], which
+
+
+def begins(rising: np.ndarray) -> np.ndarray:
+    """Whether each number is another than the one before."""
+    out = np.ones(len(rising), bool)
+    np.not_equal(rising[1:], rising[:-1], out=out[1:])
+    return out
+
+
 def dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids in order, and each one's place among them; by a table where ids aren't far apart, else by sorting."""
     size = int(ids.max(initial=0)) + 1
     if size > 4 * len(ids):
-        return np.unique(ids, return_inverse=True)
+        known, _, which = distinct(ids)
+        return known, which
     seen = np.zeros(size, bool)
     seen[ids] = True
     return np.flatnonzero(seen), (np.cumsum(seen) - 1)[ids]
@@ -118,32 +177,31 @@ def chunks(docs: DataFrame, s: Settings) -> DataFrame:
     to at[k + 1], of which lead[k] are those before a later piece of a cut text."""
     kind = docs.schema["id"].dataType.simpleString()
 
-    def lists(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
+    def lists(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes], bool]]:
         if len(texts) > 1 or len(texts[0]) <= s.piece:
-            yield list(range(len(texts))), [0] * len(texts), [[*words_of(t), END] for t in texts]
+            yield list(range(len(texts))), [0] * len(texts), texts, True
             return
         lead: list[bytes] = []
         held = None
         for part in pieces(texts[0], s.piece):
             if held is not None:
-                yield [0], [len(lead)], [lead + held]
-                lead = (lead + held)[-2:]
-            held = words_of(part)
-        yield [0], [len(lead)], [[*lead, *held, END]]
+                yield [0], [len(lead)], [b" ".join((*lead, held))], False
+                lead = (lead + held.rsplit(None, 2)[-2:])[-2:]
+            held = part
+        yield [0], [len(lead)], [b" ".join((*lead, held))], True
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
         for batch in slices(batches, limit=s.piece):
             cut = batch.num_rows == 1 and len(utf8(batch.column("text"))[0]) > s.piece
-            for which, lead, words in lists(utf8(batch.column("text"))):
-                ids = Numbered()
-                codes = number([w for d in words for w in d], ids)
-                digests = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
+            for which, lead, texts, end in lists(utf8(batch.column("text"))):
+                codes, at, words = coded(texts, end)
+                digests = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
                 own = pa.array(which)
                 yield pa.RecordBatch.from_pydict({
                     "chunk": pa.array([n], pa.int64()), "tokens": pa.array([len(codes)], pa.int64()), "cut": [cut],
                     **{c: pa.array([batch.column(c).take(own).to_pylist()], pa.list_(batch.schema.field(c).type)) for c in ("row", "id", "train")},
-                    "lead": pa.array([pack(np.array(lead))]), "at": pa.array([pack(bounds(map(len, words)))]), "codes": pa.array([pack(codes)]), "words": pa.array([digests.tobytes()], pa.binary()),
+                    "lead": pa.array([pack(np.array(lead))]), "at": pa.array([pack(at)]), "codes": pa.array([pack(codes)]), "words": pa.array([digests.tobytes()], pa.binary()),
                 })
                 n += 1
 
@@ -163,10 +221,15 @@ class Chunk:
         train = np.array(batch.column("train")[k].as_py(), bool)
         self.counted = self.own & train[self.doc]
 
+    def pair_keys(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where pairs end, and a number for each pair there."""
+        ends = np.flatnonzero(self.place >= 1)
+        return ends, self.codes[ends - 1] * words + self.codes[ends]
+
     def pairs(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs' codes; where pairs end, and which pair ends at each place."""
-        ends = np.flatnonzero(self.place >= 1)
-        keys, which = np.unique(self.codes[ends - 1] * words + self.codes[ends], return_inverse=True)
+        ends, keys = self.pair_keys(words)
+        keys, _, which = distinct(keys)
         at = np.full(len(self.codes), -1, np.int64)
         at[ends] = which
         return *np.divmod(keys, words), ends, at
@@ -174,7 +237,7 @@ class Chunk:
     def triples(self, pair_at: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct triples as pairs of pairs; where triples end, and which one each is."""
         ends = np.flatnonzero(self.own & (self.place >= 2))
-        keys, which = np.unique(pair_at[ends - 1] * max(1, pairs) + pair_at[ends], return_inverse=True)
+        keys, _, which = distinct(pair_at[ends - 1] * max(1, pairs) + pair_at[ends])
         return *np.divmod(keys, max(1, pairs)), ends, which
 
 
@@ -184,26 +247,28 @@ def counts(which: np.ndarray, size: int, flags: np.ndarray) -> np.ndarray:
 
 def dealt(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by shard, and where each shard's run begins."""
-    order = np.argsort(part, kind="stable")
+    kind = np.min_scalar_type(int(part.max(initial=0)))
+    order = np.argsort(part.astype(kind), kind="stable")  # of two bytes at most, a radix sort
     return order, np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)) if len(part) else np.zeros(1, np.int64)
 
 
 def asked(chunk: int, part: np.ndarray, columns: Callable[[np.ndarray], dict[str, bytes]]) -> Iterator[pa.RecordBatch]:
     """A row for each shard; columns(places) packs what it gets."""
     order, at = dealt(part)
-    for a, b in zip(at, at[1:]):
-        own = order[a:b]
-        packed = columns(own)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part[own[0]]], pa.int64()), "chunk": pa.array([chunk], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in packed.items()}})
+    rows = [columns(order[a:b]) for a, b in zip(at, at[1:])]
+    if rows:
+        packed = {k: pa.array([r[k] for r in rows], pa.binary()) for k in rows[0]}
+        yield pa.RecordBatch.from_pydict({"part": pa.array(part[order[at[:-1]]], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), **packed})
 
 
-def answers(replies: pa.Scalar, part: np.ndarray, field: str) -> np.ndarray:
-    """The numbers of a field of all shards' replies, in the order of what was asked."""
+def answers(replies: pa.Scalar, part: np.ndarray, *fields: str) -> list[np.ndarray]:
+    """The numbers of each field of all shards' replies, in the order of what was asked."""
     order, _ = dealt(part)
-    out = np.zeros(len(part), np.int64)
+    out = [np.zeros(len(part), np.int64) for _ in fields]
     if len(part):
         rows = sorted(replies.as_py(), key=lambda r: r["part"])
-        out[order] = np.concatenate([unpack(r[field]) for r in rows])
+        for values, field in zip(out, fields):
+            values[order] = np.concatenate([unpack(r[field]) for r in rows])
     return out
 
 
@@ -252,7 +317,7 @@ class Passes:
         for batch in batches:
             for k in range(batch.num_rows):
                 part = self.word_part(np.frombuffer(batch.column("words")[k].as_py(), np.uint64))
-                made = {f"word_{f}": pa.array([pack(answers(batch.column("replies")[k], part, f))], pa.binary()) for f in ("ids", "n", "split")}
+                made = {f: pa.array([pack(v)], pa.binary()) for f, v in zip(NUMBERED, answers(batch.column("replies")[k], part, "ids", "n", "split"))}
                 row = batch.slice(k, 1)
                 yield pa.RecordBatch.from_pydict({c: row.column(c) for c in KEPT} | made)
 
@@ -272,7 +337,7 @@ class Passes:
                 seen, every = (counts(at[ends], len(a), f[ends]) for f in (c.counted, c.own))
 
                 def columns(own: np.ndarray) -> dict[str, bytes]:
-                    words, where = np.unique(np.concatenate((a[own], b[own])), return_inverse=True)
+                    words, where = dense(np.concatenate((a[own], b[own])))
                     return {"ids": pack(ids[words]), "word_n": pack(n[words]), "a": pack(where[: len(own)]), "b": pack(where[len(own) :]), "n": pack(seen[own]), "every": pack(every[own])}
 
                 yield from asked(batch.column("chunk")[k].as_py(), self.pair_part(ids[a], ids[b], split[a]), columns)
@@ -285,26 +350,27 @@ class Passes:
         n_of, base = np.zeros(len(words), np.int64), np.repeat(word_at[:-1], np.diff(at))
         n_of[place] = word_n
         word_n = n_of
-        keys, which = np.unique(place[a + base] * len(words) + place[b + base], return_inverse=True)
+        keys, _, which = distinct(place[a + base] * len(words) + place[b + base])
         a, b = np.divmod(keys, len(words))
         n, every = (np.bincount(which, v, len(keys)).astype(np.int64) for v in (n, every))
         m = self.s.pair_mass
-        lower = np.log10((word_n + self.s.add) / self.norm)
-        own = np.log10((n + m * 10 ** lower[b]) / (word_n[a] + m))
+        lower = (word_n + self.s.add) / self.norm
+        own = np.log10((n + m * lower[b]) / (word_n[a] + m))
         some = n > 0
         trie = ngram_trie.opened(ngram_trie.image(ngram_trie.build(len(words), (a[some], b[some], quantised(own[some])))))
         rest = np.log10(m / (word_n + m))
         (node,) = trie.find(a, b)
-        score = np.where(node >= 0, trie.levels[0].weights[node] if some.any() else 0, quantised(rest[a] + lower[b]))
+        score = np.where(node >= 0, trie.levels[0].weights[node] if some.any() else 0, quantised(rest[a] + np.log10(lower)[b]))
         return replied(table, at, which, score=score, n=n, split=split_of(every, self.s))
 
     def paired(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 c, (ids, _, split) = Chunk(batch, k), self.words(batch, k)
-                a, b, _, _ = c.pairs(len(ids))
+                keys = np.sort(c.pair_keys(len(ids))[1])
+                a, b = np.divmod(keys[begins(keys)], len(ids))
                 part = self.pair_part(ids[a], ids[b], split[a])
-                made = {f"pair_{f}": pa.array([pack(answers(batch.column("replies")[k], part, f))], pa.binary()) for f in ("score", "n", "split")}
+                made = {f: pa.array([pack(v)], pa.binary()) for f, v in zip(PAIRED, answers(batch.column("replies")[k], part, "score", "n", "split"))}
                 row = batch.slice(k, 1)
                 yield pa.RecordBatch.from_pydict({c: row.column(c) for c in (*KEPT, *NUMBERED)} | made)
 
@@ -316,18 +382,20 @@ class Passes:
         a, b, _, at = c.pairs(len(ids))
         score, pair_n, split = (unpack(batch.column(f"pair_{f}")[k].as_py()) for f in ("score", "n", "split"))
         before, after, ends, which = c.triples(at, len(a))
-        part = mixed(ids[a[before]], ids[b[before]], mixed(ids[b[after]]) % split[before]) % self.parts
-        return c, ids, n, (a, b, at, score, pair_n), (before, after, ends, which, part)
+        third = b[after]
+        part = mixed(ids[a[before]], ids[b[before]], mixed(ids)[third] % split[before]) % self.parts
+        return c, ids, n, (a, b, at, score, pair_n), (before, after, third, ends, which, part)
 
     def ask_triples(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                c, ids, _, (a, b, _, score, pair_n), (before, after, ends, which, part) = self.opened(batch, k)
-                seen = counts(which, len(before), c.counted[ends])
+                c, ids, _, (a, b, _, score, pair_n), (before, after, third, ends, which, part) = self.opened(batch, k)
+                seen, third, lower = counts(which, len(before), c.counted[ends]), ids[third], score[after]
 
                 def columns(own: np.ndarray) -> dict[str, bytes]:
-                    context, where = np.unique(before[own], return_inverse=True)
-                    return {"a": pack(ids[a[context]]), "b": pack(ids[b[context]]), "pair_n": pack(pair_n[context]), "context": pack(where), "c": pack(ids[b[after[own]]]), "lower": pack(score[after[own]]), "n": pack(seen[own])}
+                    head = begins(before[own])  # they rise
+                    context, where = before[own[head]], np.cumsum(head) - 1
+                    return {"a": pack(ids[a[context]]), "b": pack(ids[b[context]]), "pair_n": pack(pair_n[context]), "context": pack(where), "c": pack(third[own]), "lower": pack(lower[own]), "n": pack(seen[own])}
 
                 yield from asked(batch.column("chunk")[k].as_py(), part, columns)
 
@@ -336,13 +404,13 @@ class Passes:
         (context, at), (c, _), (lower, _), (n, _) = (unpacked(table.column(x)) for x in ("context", "c", "lower", "n"))
         words, place = dense(np.concatenate((a, b, c)))
         a, b, c = np.split(place, [len(a), 2 * len(a)])
-        contexts, first, same = np.unique(b * len(words) + a, return_index=True, return_inverse=True)
+        contexts, first, same = distinct(b * len(words) + a)
         b, a = np.divmod(contexts, len(words))
         pair_n = pair_n[first]
-        keys, first, which = np.unique(same[context + np.repeat(context_at[:-1], np.diff(at))] * len(words) + c, return_index=True, return_inverse=True)
+        keys, first, which = distinct(same[context + np.repeat(context_at[:-1], np.diff(at))] * len(words) + c)
         context, c = np.divmod(keys, len(words))
-        n, lower, m = np.bincount(which, n, len(keys)), -lower[first] / STEP, self.s.triple_mass
-        own = np.log10((n + m * 10**lower) / (pair_n[context] + m))
+        n, lower, m = np.bincount(which, n, len(keys)), lower[first], self.s.triple_mass
+        own = np.log10((n + m * TENTHS[lower]) / (pair_n[context] + m))
         # Contexts that were never seen have no node.
         kept, some = pair_n > 0, n > 0
         node = np.cumsum(kept) - 1
@@ -351,7 +419,7 @@ class Passes:
         pair = trie.levels[0].find(b, a)[context]
         triple = trie.levels[1].find(pair, c)
         back = np.where(pair >= 0, trie.levels[0].weights[pair] if kept.any() else 0, 0)
-        score = np.where(triple >= 0, trie.levels[1].weights[triple] if some.any() else 0, np.minimum(65535, back + quantised(lower)))
+        score = np.where(triple >= 0, trie.levels[1].weights[triple] if some.any() else 0, np.minimum(65535, back + lower))
         return replied(table, at, which, score=score)
 
     # 4. sums
@@ -359,12 +427,12 @@ class Passes:
     def sums(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                c, _, n, (_, _, at, score, _), (_, _, ends, which, part) = self.opened(batch, k)
+                c, _, n, (_, _, at, score, _), (_, _, _, ends, which, part) = self.opened(batch, k)
                 own = np.log10((n + self.s.add) / self.norm)[c.codes]
                 token = own.copy()
                 second = np.flatnonzero(c.own & (c.place == 1))
                 token[second] = -score[at[second]] / STEP
-                token[ends] = -answers(batch.column("replies")[k], part, "score")[which] / STEP
+                token[ends] = -answers(batch.column("replies")[k], part, "score")[0][which] / STEP
                 add = lambda v: np.bincount(c.doc[c.own], v[c.own], len(c.at) - 1)
                 whole = {"n_tokens": add(np.ones(len(own))).astype(np.int64), "n_known": add((n > 0)[c.codes]).astype(np.int64), "base_score": add(own), "score": add(token)}
                 row = batch.slice(k, 1)
@@ -383,6 +451,7 @@ def of_group(answer: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.
 
 KEPT = ["chunk", "cut", "row", "id", "train", "lead", "at", "codes"]
 NUMBERED = ["word_ids", "word_n", "word_split"]
+PAIRED = ["pair_score", "pair_n", "pair_split"]
 BINARY = lambda *names: ", ".join(f"{x} binary" for x in names)
 
 
@@ -409,7 +478,7 @@ def scores(df: DataFrame, usable: Column | str, s: Settings = Settings(), id_col
                 numbered = materialize(answered(made, words, "ids", "n", "split").mapInArrow(p.numbered, f"{schema}, {BINARY(*NUMBERED)}"), keep=True)
             p = Passes(s, parts, total, kinds)
             pairs = materialize(numbered.mapInArrow(p.ask_pairs, f"part bigint, chunk bigint, {BINARY('ids', 'word_n', 'a', 'b', 'n', 'every')}").groupBy("part").applyInArrow(of_group(p.answer_pairs), f"chunk bigint, part bigint, {BINARY('score', 'n', 'split')}"))
-            paired = materialize(answered(numbered, pairs, "score", "n", "split").mapInArrow(p.paired, f"{schema}, {BINARY(*NUMBERED, 'pair_score', 'pair_n', 'pair_split')}"), keep=True)
+            paired = materialize(answered(numbered, pairs, "score", "n", "split").mapInArrow(p.paired, f"{schema}, {BINARY(*NUMBERED, *PAIRED)}"), keep=True)
         triples = materialize(paired.mapInArrow(p.ask_triples, f"part bigint, chunk bigint, {BINARY('a', 'b', 'pair_n', 'context', 'c', 'lower', 'n')}").groupBy("part").applyInArrow(of_group(p.answer_triples), f"chunk bigint, part bigint, {BINARY('score')}"))
         summed = materialize(answered(paired, triples, "score").mapInArrow(p.sums, f"row bigint, id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, cut boolean"), keep=True)
     names = ["n_tokens", "n_known", "base_score", "score"]
